@@ -46,8 +46,10 @@ CONTINUES = (np.arange(256) & 0xC0) == 0x80
 _RANDOM = np.random.default_rng(20240229)
 _BYTE = _RANDOM.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _POWER = np.cumprod(np.full(256, _BYTE[0] | np.uint64(1), np.uint64), dtype=np.uint64)
-_UPPER = np.arange(256, dtype=np.uint8)
-_LOWER = np.where((_UPPER >= 65) & (_UPPER <= 90), _UPPER + 32, _UPPER).astype(np.uint8)
+_ALL = np.arange(256, dtype=np.uint8)
+#: Byte tables: A-Z folded; and, besides, every ASCII character but letters a space.
+FOLD = np.where((_ALL >= 65) & (_ALL <= 90), _ALL + 32, _ALL).astype(np.uint8)
+LETTERS = np.where((FOLD >= 97) & (FOLD <= 122) | (FOLD >= 128), FOLD, 32).astype(np.uint8)
 
 
 class Words:
@@ -55,14 +57,14 @@ class Words:
 
     ``hash`` (64 bits of the word's bytes), ``doc`` (number of its text) and ``chars``
     (its code points) have an entry a word; ``counts`` and ``starts`` one a text.
-    Nulls count as empty.  ``lower`` folds A-Z first.
+    Nulls count as empty.  ``table`` (FOLD or LETTERS) is applied to all bytes first.
     """
 
-    def __init__(self, texts: list[str | None], lower: bool = False):
+    def __init__(self, texts: list[str | None], table: np.ndarray | None = None):
         parts = [(t or "").encode() for t in texts]
         raw = np.frombuffer(b"\n".join(parts) + b"\n", np.uint8)
-        if lower:
-            raw = _LOWER[raw]
+        if table is not None:
+            raw = table[raw]
         inside = ~SPACE[raw]
         edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
         if inside[0]:
@@ -89,6 +91,16 @@ class Words:
         self.starts = np.concatenate([[0], np.cumsum(self.counts)])
         self.doc = np.repeat(np.arange(len(texts)), self.counts)
 
+    def prefix_hashes(self, n: int) -> np.ndarray:
+        """Hash of the first ``n`` bytes of each word; 0 for words not longer than that."""
+        out = np.zeros(len(self.hash), np.uint64)
+        long = np.flatnonzero(self.last - self.first > n)
+        h = np.full(len(long), n, np.uint64)
+        for k in range(n):
+            h += _BYTE[self.raw[self.first[long] + k]] * _POWER[k]
+        out[long] = mix64(h)
+        return out
+
     def windows(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Start positions of the n-word windows inside one text, and their hashes."""
         w = window_hashes(self.hash, n)

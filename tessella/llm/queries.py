@@ -7,10 +7,31 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, langid, repetition
+from tessella.llm import bpe, langid, mixing, pages, quality, repetition, toxicity
 from tessella.llm.common import is_held_out, read_table
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    sample = quality.labelled_sample(labels, "quality", ~is_held_out(F.col("doc_id")), max_train=20_000)
+    vectors, network = quality.train(docs, sample)
+    return quality.score(docs, vectors, network).select(
+        "doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    learnable = ~is_held_out(F.col("doc_id"))
+    sample = quality.labelled_sample(labels, "toxic", learnable, max_train=20_000)
+    model = toxicity.train(docs, sample, learnable)
+    return toxicity.score(docs, model).select(
+        "doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -20,10 +41,18 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(read_table(spark, sf_dir, "pages"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.quality_rules(read_table(spark, sf_dir, "documents"))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     model = langid.train(docs, "text", "lang", ~is_held_out(F.col("doc_id")))
@@ -33,8 +62,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
+    "op2_toxicity": op2_toxicity,
     "op3_byte_bpe": op3_byte_bpe,
+    "op5_html_text": op5_html_text,
     "op7_quality_rules": op7_quality_rules,
+    "op8_mixing": op8_mixing,
     "op10_language_id": op10_language_id,
 }
 
