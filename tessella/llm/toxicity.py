@@ -6,7 +6,8 @@
    with a hidden class estimates by EM how often each voter fires in either class (its
    accuracy) and how the voters correlate within a class; correlated voters share their weight.
 3. A sparse linear classifier over votes, hashed words and word stems is fitted to the
-   posterior labels of a bounded sample (``max_train``) of documents; it scores every text.
+   posterior labels (the label itself where it was observed) of a bounded sample of
+   documents (``max_train`` labelled ones, half as many others); it scores every text.
 """
 
 from __future__ import annotations
@@ -49,8 +50,9 @@ class Induced:
 
     def merged(self) -> "Induced":
         fixed = [(int(h), 1 << VOTERS.index(name)) for name, text in LEXICONS.items() for h in Words([text], LETTERS).hash]
-        keys = np.concatenate([self.keys, np.array([k for k, _ in fixed], np.uint64)])
-        bits = np.concatenate([self.bits, np.array([b for _, b in fixed], np.int32)])
+        new = ~np.isin(self.keys, np.array([k for k, _ in fixed], np.uint64))
+        keys = np.concatenate([self.keys[new], np.array([k for k, _ in fixed], np.uint64)])
+        bits = np.concatenate([self.bits[new], np.array([b for _, b in fixed], np.int32)])
         keys, at = np.unique(keys, return_inverse=True)
         both = np.zeros(len(keys), np.int32)
         np.bitwise_or.at(both, at, bits)
@@ -64,12 +66,18 @@ def features(texts: list[str | None]) -> tuple[Words, list[np.ndarray]]:
 
 
 def votes(texts: list[str | None], words: Words, kinds: list[np.ndarray], lexicon: Induced) -> np.ndarray:
-    """Bit mask of the voters that fire on each text."""
+    """Bit mask of the voters that fire on each text.
+
+    A word counts once: as itself if a lexicon has it, else by its longest listed stem, so
+    that voters do not repeat each other.
+    """
     out = np.zeros(len(texts), np.int32)
-    for h in kinds if len(lexicon.keys) else ():
+    free = np.ones(len(words.hash), bool)
+    for h in (kinds[0], *kinds[:0:-1]) if len(lexicon.keys) else ():
         at = np.minimum(np.searchsorted(lexicon.keys, h), len(lexicon.keys) - 1)
-        hit = np.flatnonzero((lexicon.keys[at] == h) & (h != 0))
+        hit = np.flatnonzero((lexicon.keys[at] == h) & (h != 0) & free)
         np.bitwise_or.at(out, words.doc[hit], lexicon.bits[at[hit]])
+        free[hit] = False
     for name, pattern in PATTERNS.items():
         bit = 1 << VOTERS.index(name)
         for i, t in enumerate(texts):
@@ -126,26 +134,31 @@ def induce(rows: DataFrame, number: int = 3000, least: int = 4) -> Induced:
 class LabelModel:
     """Rates at which each voter fires in either class, correlations within classes, prior."""
 
-    def __init__(self, patterns: np.ndarray, number: np.ndarray, prior: float, rounds: int = 50):
+    def __init__(self, patterns: np.ndarray, number: np.ndarray, bad: np.ndarray, good: np.ndarray, rounds: int = 50):
+        """``number``, ``bad`` and ``good``: documents with each pattern, in all and labelled 1 and 0.
+
+        Labelled rows keep their class in every round, which fixes the meaning of the classes.
+        """
         x = (patterns[:, None] >> np.arange(len(VOTERS))) & 1
-        n = number.astype(float)
-        lexical = np.array([not v in PATTERNS for v in VOTERS])
-        base = (x * n[:, None]).sum(0) / n.sum()
-        self.rate = np.array([np.minimum(0.9, base + 1e-3), np.where(lexical, np.maximum(0.3, base), base)])
-        self.rate[0][lexical] = np.minimum(self.rate[0][lexical], 0.02)
-        self.prior, self.share = prior, np.ones(len(VOTERS))
+        rates = lambda w0, w1: np.array([((x * w[:, None]).sum(0) + 0.5) / (w.sum() + 5) for w in (w0, w1)])
+        if not bad.sum():  # nothing is labelled toxic: a lexicon is taken to be right three times in ten
+            bad = number * (x[:, [v not in PATTERNS for v in VOTERS]].sum(1) > 1) * 0.3
+        self.rate = rates(number - bad, bad + 1e-3)
+        self.prior = float(np.clip(bad.sum() / max(1.0, bad.sum() + good.sum()), 1e-3, 0.5))
+        self.share = np.ones(len(VOTERS))
         self.correlation = np.eye(len(VOTERS))
+        free = np.maximum(number - bad - good, 0)
         for _ in range(rounds):
             q = self._posterior(x)
-            w1, w0 = n * q, n * (1 - q)
-            self.prior = float(np.clip(w1.sum() / n.sum(), 1e-3, 0.5))
-            self.rate = np.array([((x * w[:, None]).sum(0) + r) / (w.sum() + 2 * r) for w, r in ((w0, 0.5), (w1, 0.5))])
+            w1, w0 = free * q + bad, free * (1 - q) + good
+            self.prior = float(np.clip(w1.sum() / max(1.0, w0.sum() + w1.sum()), 1e-3, 0.5))
+            self.rate = rates(w0, w1)
             # what the classes leave unexplained: correlations within a class
             cov = sum(((x - self.rate[c]) * w[:, None]).T @ (x - self.rate[c]) for c, w in ((0, w0), (1, w1)))
             sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
             self.correlation = cov / np.outer(sd, sd)
             off = np.clip(self.correlation - np.eye(len(VOTERS)), 0, 1)
-            self.share = 1 / (1 + off.sum(1))
+            self.share = 1 / (1 + (off**2).sum(1))  # the part that the other voters do not repeat
 
     def _posterior(self, x: np.ndarray) -> np.ndarray:
         r0, r1 = np.clip(self.rate, 1e-4, 1 - 1e-4)
@@ -226,7 +239,7 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(z.astype(float), -500, 500)))
 
 
-def train(docs: DataFrame, sample: DataFrame, eligible: Column, max_train: int = 10_000, text_col: str = "text", id_col: str = "doc_id") -> ToxicityModel | None:
+def train(docs: DataFrame, sample: DataFrame, eligible: Column, max_train: int = 8_000, text_col: str = "text", id_col: str = "doc_id") -> ToxicityModel | None:
     """Induces lexicons from the labelled ``sample`` (``_id``, ``y``), estimates the label model on
     the votes of all documents and fits the classifier on a sample of ``eligible`` ones.
 
@@ -236,40 +249,47 @@ def train(docs: DataFrame, sample: DataFrame, eligible: Column, max_train: int =
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"), eligible.alias("_ok"))
     # both samples are bounded by parameters, so their ids can be broadcast
     lexicon = induce(rows.join(F.broadcast(sample), "_id")).merged()
-    base = sample.agg(F.avg("y")).first()[0]
     shared = context.broadcast(lexicon)
 
     def vote(batches):
         for batch in batches:
-            texts = batch.column(0).to_pylist()
+            texts, y = batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False).astype(float)
             for a, b in blocks([len(t or "") for t in texts]):
                 fired = votes(texts[a:b], *features(texts[a:b]), shared.value)
-                key, n = np.unique(fired, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int32()), pa.array(n)], names=["pattern", "n"])
+                key, at, n = np.unique(fired, return_inverse=True, return_counts=True)
+                bad, good = (np.bincount(at, weights=y[a:b] == c, minlength=len(key)) for c in (1, 0))
+                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int32()), pa.array(n), pa.array(bad), pa.array(good)], names=["pattern", "n", "bad", "good"])
 
-    found = rows.select("text").mapInArrow(vote, "pattern int, n bigint").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").toArrow()
+    found = (
+        rows.join(F.broadcast(sample), "_id", "left").select("text", "y").mapInArrow(vote, "pattern int, n bigint, bad double, good double")
+        .groupBy("pattern").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.sum("good").alias("good")).orderBy("pattern").toArrow()
+    )
     if not found.num_rows:
         return None
     number = found["n"].to_numpy()
-    model = LabelModel(found["pattern"].to_numpy(), number, float(np.clip(base or 0.1, 0.01, 0.5)))
-    share = min(1.0, max_train / int(number.sum()))
+    model = LabelModel(found["pattern"].to_numpy(), number.astype(float), found["bad"].to_numpy(), found["good"].to_numpy())
+    known = float((found["bad"].to_numpy() + found["good"].to_numpy()).sum())
+    shares = F.when(F.col("y").isNotNull(), F.lit(min(1.0, max_train / max(1.0, known)))).otherwise(F.lit(min(1.0, max_train / 2 / int(number.sum()))))
     model_shared = context.broadcast(model)
 
     def weak(batches):
         for batch in batches:
-            texts = batch.column(0).to_pylist()
+            texts, y = batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False).astype(float)
             for a, b in blocks([len(t or "") for t in texts]):
                 words, kinds = features(texts[a:b])
                 fired = votes(texts[a:b], words, kinds, shared.value)
+                q = np.where(np.isnan(y[a:b]), model_shared.value.posterior(fired), y[a:b])
                 doc, col = columns_of(words, kinds, fired)
                 cuts = np.searchsorted(doc, np.arange(b - a + 1))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(model_shared.value.posterior(fired)), pa.array([col[i:j].astype(np.int32).tobytes() for i, j in zip(cuts, cuts[1:], strict=False)], pa.binary())],
+                    [pa.array(q), pa.array([col[i:j].astype(np.int32).tobytes() for i, j in zip(cuts, cuts[1:], strict=False)], pa.binary())],
                     names=["q", "col"],
                 )
 
     bucket = F.pmod(F.xxhash64("_id", F.lit("classifier")), F.lit(1 << 20))
-    picked = rows.where(F.col("_ok") & (bucket < int(share * (1 << 20)))).select("text").mapInArrow(weak, "q double, col binary").toArrow()
+    picked = (
+        rows.where("_ok").join(F.broadcast(sample), "_id", "left").where(bucket < shares * (1 << 20)).select("text", "y").mapInArrow(weak, "q double, col binary").toArrow()
+    )
     cols = [np.frombuffer(x, np.int32) for x in picked["col"].to_pylist()]
     weights = np.zeros(COLUMNS + 1, np.float32)
     if cols:
