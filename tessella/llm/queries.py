@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, langid, mixing, pages, quality, repetition, toxicity
+from tessella.llm import bpe, langid, minhash, mixing, pages, quality, repetition, toxicity
 from tessella.llm.common import is_held_out, read_table
 
 
@@ -41,6 +41,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract(read_table(spark, sf_dir, "pages"))
 
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_toxicity": op2_toxicity,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_minhash": op4_minhash,
     "op5_html_text": op5_html_text,
     "op7_quality_rules": op7_quality_rules,
     "op8_mixing": op8_mixing,
