@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, embeddings, langid, minhash, mixing, pages, quality, repetition, toxicity
+from tessella.llm import bpe, embeddings, langid, minhash, mixing, pages, quality, repetition, substrings, toxicity
 from tessella.llm.common import is_held_out, read_table
 
 
@@ -49,6 +49,10 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract(read_table(spark, sf_dir, "pages"))
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.quality_rules(read_table(spark, sf_dir, "documents"))
 
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_bpe": op3_byte_bpe,
     "op4_minhash": op4_minhash,
     "op5_html_text": op5_html_text,
+    "op6_substrings": op6_substrings,
     "op7_quality_rules": op7_quality_rules,
     "op8_mixing": op8_mixing,
     "op9_embeddings": op9_embeddings,
