@@ -23,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.common import FOLD, WINDOW_BASE, Words, blocks, cut, mix64
@@ -347,3 +347,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"),
         F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"),
     )
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", forest: Forest = Forest()) -> DataFrame:
+    """The rows of ``docs`` with their columns, without those that ``near_duplicates`` does not keep.
+
+    Of rows that share an id the one with the smallest hash of its text stays; rows
+    with a null id stay.
+    """
+    found = cut(near_duplicates(docs, id_col, text_col, forest).where(F.col(id_col).isNotNull()))
+    out = docs.join(found.where(~F.col("kept")).select(id_col).distinct(), id_col, "left_anti")
+    if not found.groupBy(id_col).count().where("count > 1").isEmpty():
+        order = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col))
+        out = out.withColumn("_turn", F.row_number().over(order)).where(F.col(id_col).isNull() | (F.col("_turn") == 1)).drop("_turn")
+    return out.select(*docs.columns)
