@@ -5,13 +5,15 @@
 2. Every class has a signature of ``trees * depth`` minima.  Tree t sorts the classes by the
    signature read from column ``t * depth`` on; classes that agree on the first ``depth`` values
    are a region.  Regions of one class are dropped before anything wide is shuffled.
-3. First round: in a region of up to ``small`` classes all pairs, in larger ones the nearest
-   neighbours by longest common prefix are compared; larger regions go on to a deeper
-   prefix (adaptive depth), so that no task holds more than a chunk of one.  Of the pairs whose
-   signatures agree enough, a spanning forest is verified on the full sets.
-4. Second round, which makes the result whole: in every region whose classes do not all belong to
-   one component, all pairs across components are compared by signature, in blocks,
-   and those that agree enough are verified as well.  Pairs inside a component need no check.
+3. Candidates: in a region of up to ``small`` classes all pairs, in larger ones the nearest
+   neighbours by longest common prefix are compared by signature; larger regions go on to a deeper
+   prefix (adaptive depth), so that no task holds more than a chunk of one.  A spanning forest of the
+   pairs that agree enough ties classes into families.  In regions that still have several
+   families all pairs across them are compared, in blocks, and tie further: so any two
+   classes of one region that agree enough are of one family.
+4. Verification: the classes of a family meet once, in pairs of blocks, with their full sets.
+   Every pair that agrees enough is verified unless verified links connect it already; a task
+   returns a spanning forest of the links, never the pairs.
 
 At similarity 0.8 a pair shares no region with probability (1 - 0.8**4)**24 = 3e-6, and
 falls under the agreement ``floor`` with probability below 1e-4.
@@ -235,11 +237,11 @@ def _first_pairs(members: DataFrame, forest: Forest) -> DataFrame:
 
 
 def _cross_pairs(blocks_: DataFrame, forest: Forest) -> DataFrame:
-    """Agreeing pairs of different components in blocks (key, i, j, query, component, id, sig)."""
+    """Spanning pairs of agreeing classes of different families in blocks (key, i, j, query, family, id, sig)."""
 
     def run(batches):
         for batch in _in_groups(batches, 3):
-            key, i, j, query, comp, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(6))
+            key, i, j, query, family, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(6))
             sig = _matrix(batch.column(6), forest.width)
             cuts = _bounds(key, i, j)
             a, b = [], []
@@ -247,16 +249,17 @@ def _cross_pairs(blocks_: DataFrame, forest: Forest) -> DataFrame:
                 q, r = s + np.flatnonzero(query[s:e]), s + np.flatnonzero(~query[s:e])
                 for lo in range(0, len(q), 64):
                     part = q[lo : lo + 64]
-                    ok = (sig[part][:, None, :] == sig[r][None, :, :]).mean(axis=2) >= forest.floor
-                    ok &= comp[part][:, None] != comp[r][None, :]
-                    x, y = np.nonzero(ok)
-                    a.append(ids[part[x]])
-                    b.append(ids[r[y]])
+                    share = (sig[part][:, None, :] == sig[r][None, :, :]).mean(axis=2)
+                    x, y = np.nonzero((share >= forest.floor) & (family[part][:, None] != family[r][None, :]))
+                    # families, not classes, are to be tied: one pair for each two of them
+                    keep = _forest_of(family[part[x]], family[r[y]], share[x, y])
+                    a.append(ids[part[x[keep]]])
+                    b.append(ids[r[y[keep]]])
             if a and sum(map(len, a)):
                 yield _pair_batch(a, b)
 
     rows = blocks_.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return rows.select("key", "i", "j", "query", "component", "id", "sig").mapInArrow(run, _PAIRS)
+    return rows.select("key", "i", "j", "query", "family", "id", "sig").mapInArrow(run, _PAIRS)
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, forest: Forest) -> DataFrame:
@@ -272,25 +275,66 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, forest: Forest) -> DataFrame:
     return docs.join(wanted, "id", "left_semi").select("id", "text").mapInArrow(run, "id bigint, set binary")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, forest: Forest) -> DataFrame:
-    """The pairs whose full sets are similar enough."""
+def _links(rows: DataFrame, forest: Forest) -> DataFrame:
+    """Spanning links between the classes of a family, from blocks (family, i, j, side, id, sig, set)."""
 
     def run(batches):
-        for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if 100 * min(len(x), len(y)) < forest.percent * max(len(x), len(y)):
-                    continue
-                both = np.sort(np.concatenate([x, y]))
-                inter = int((both[1:] == both[:-1]).sum())
-                keep[i] = 100 * inter >= forest.percent * (len(x) + len(y) - inter)
-            at = np.flatnonzero(keep)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at))], names=["a", "b"])
-
-    left = sets.select(F.col("id").alias("a"), F.col("set").alias("x"))
-    right = sets.select(F.col("id").alias("b"), F.col("set").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, _PAIRS)
+        for batch in _in_groups(batches, 3):
+            family, i, j, side, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(5))
+            sig = _matrix(batch.column(5), forest.width)
+            sets = batch.column(6)
+            cuts = _bounds(family, i, j)
+            a, b = [], []
+            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+                own = [np.frombuffer(x, np.uint64) for x in sets.slice(s, e - s).to_pylist()]
+                for x, y in _verify_block(own, sig[s:e], side[s:e], bool(i[s] == j[s]), forest):
+                    a.append(ids[s + x])
+                    b.append(ids[s + y])
+            if a:
+                yield _pair_batch([np.array(a)], [np.array(b)])
+
+    dealt = rows.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "id")
+    return dealt.select("family", "i", "j", "side", "id", "sig", "set").mapInArrow(run, _PAIRS)
+
+
+def _verify_block(sets: list[np.ndarray], sig: np.ndarray, side: np.ndarray, same: bool, forest: Forest) -> list[tuple[int, int]]:
+    """Forest of the verified pairs of one block, or of two (``side`` 0 and 1), best agreement first."""
+    n = np.array([len(s) for s in sets])
+    q = np.arange(len(sets)) if same else np.flatnonzero(side == 0)
+    r = q if same else np.flatnonzero(side == 1)
+    left, right, agree = [], [], []
+    for lo in range(0, len(q), 64):
+        part = q[lo : lo + 64]
+        share = (sig[part][:, None, :] == sig[r][None, :, :]).mean(axis=2)
+        ok = (share >= forest.floor) & (100 * np.minimum(n[part][:, None], n[r][None, :]) >= forest.percent * np.maximum(n[part][:, None], n[r][None, :]))
+        if same:
+            ok &= part[:, None] < r[None, :]
+        x, y = np.nonzero(ok)
+        left.append(part[x])
+        right.append(r[y])
+        agree.append(share[x, y])
+    left, right, agree = np.concatenate(left), np.concatenate(right), np.concatenate(agree)
+    parent = list(range(len(sets)))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = []
+    for k in np.lexsort((right, left, -agree)).tolist():
+        x, y = int(left[k]), int(right[k])
+        u, v = find(x), find(y)
+        if u == v:
+            continue
+        both = np.concatenate([sets[x], sets[y]])
+        both.sort()
+        inter = int(np.count_nonzero(both[1:] == both[:-1]))
+        if 100 * inter >= forest.percent * (len(both) - inter):
+            parent[u] = v
+            out.append((x, y))
+    return out
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", forest: Forest = Forest()) -> DataFrame:
@@ -316,29 +360,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rolled = F.concat(F.expr(f"substring(sig, tree * {width} + 1)"), F.expr(f"substring(sig, 1, tree * {width})"))
     members = _chunks(shared.join(classes, "id").withColumn("sig", rolled), width, forest)
     first = cut(_first_pairs(members, forest).distinct())
-
-    # full sets of everything either round may verify: classes in agreeing pairs or in larger regions
-    wanted = first.select(F.col("a").alias("id")).unionByName(first.select(F.col("b").alias("id"))).unionByName(shared.where(F.col("size") > 2).select("id")).distinct()
-    sets = cut(_sets_of(rows, wanted, forest))
-    edges = cut(_verified(first, sets, forest))
-    comps = connected_components(edges)
-
-    # second round: pairs across components, in regions that have several
-    open_ = shared.where("size > 2").join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    per = open_.groupBy("key", "component").agg(F.count("*").alias("n"))
-    several = per.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("all")).where("parts > 1")
-    several = several.select("key", F.col("main.component").alias("main"), (F.col("all") - F.col("main.n")).alias("minor"))
-    open_ = open_.join(several, "key").join(classes, "id")
-    mine = F.col("component") != F.col("main")
+    families = connected_components(first)
+
+    # regions whose classes are of several families
+    open_ = shared.where("size > 2").join(families.withColumnRenamed("node", "id").withColumnRenamed("component", "family"), "id", "left")
+    open_ = open_.withColumn("family", F.coalesce("family", "id"))
+    per = open_.groupBy("key", "family").agg(F.count("*").alias("n"))
+    several = per.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("n", "family")).alias("main"), F.sum("n").alias("all")).where("parts > 1")
+    several = several.select("key", F.col("main.family").alias("main"), (F.col("all") - F.col("main.n")).alias("minor"))
+    open_ = open_.where(F.col("size") > forest.small).join(several, "key").join(classes, "id")
     ci, cj = F.ceil(F.col("minor") / forest.chunk), F.ceil(F.col("size") / forest.chunk)
     spread = F.xxhash64("id", F.lit(5))
-    query = open_.where(mine).withColumn("query", F.lit(True)).withColumn("i", F.pmod(spread, ci)).withColumn("j", F.explode(F.sequence(F.lit(0), cj - 1)))
+    query = open_.where("family <> main").withColumn("query", F.lit(True)).withColumn("i", F.pmod(spread, ci)).withColumn("j", F.explode(F.sequence(F.lit(0), cj - 1)))
     other = open_.withColumn("query", F.lit(False)).withColumn("j", F.pmod(spread, cj)).withColumn("i", F.explode(F.sequence(F.lit(0), ci - 1)))
-    cross = _cross_pairs(query.select("key", "i", "j", "query", "component", "id", "sig").unionByName(other.select("key", "i", "j", "query", "component", "id", "sig")), forest)
-    cross = cut(cross.where("a <> b").distinct().join(first, ["a", "b"], "left_anti"))
-    more = cut(_verified(cross, sets, forest))
-    stars = comps.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-    final = connected_components(stars.unionByName(more)) if not more.isEmpty() else comps
+    columns = ["key", "i", "j", "query", "family", "id", "sig"]
+    cross = cut(_cross_pairs(query.select(columns).unionByName(other.select(columns)), forest).distinct())
+    if not cross.isEmpty():
+        stars = families.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+        families = connected_components(stars.unionByName(cross))
+
+    # the full sets of a family's classes, in pairs of blocks
+    families = families.select(F.col("node").alias("id"), F.col("component").alias("family"))
+    number = families.groupBy("family").agg(F.count("*").alias("m")).select("family", F.ceil(F.col("m") / forest.chunk).alias("blocks"))
+    dealt = families.join(number, "family").withColumn("b", F.pmod(F.xxhash64("id", F.lit(9)), F.col("blocks")))
+    dealt = dealt.join(classes, "id").join(_sets_of(rows, families.select("id"), forest), "id")
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).withColumns(
+        {"i": F.least("b", "other"), "j": F.greatest("b", "other"), "side": F.when(F.col("b") <= F.col("other"), 0).otherwise(1)}
+    )
+    final = connected_components(_links(dealt, forest))
 
     named = sketch.select("id", "n", "k1", "k2").join(keys, ["k1", "k2", "n"], "left")
     named = named.join(final.withColumnRenamed("node", "rep"), "rep", "left")
