@@ -408,5 +408,7 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = docs.join(found.where(~F.col("kept")).select(id_col).distinct(), id_col, "left_anti")
     if not found.groupBy(id_col).count().where("count > 1").isEmpty():
         order = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col))
-        out = out.withColumn("_turn", F.row_number().over(order)).where(F.col(id_col).isNull() | (F.col("_turn") == 1)).drop("_turn")
+        turn = F.row_number().over(order)
+        out = out.select(F.struct(*docs.columns).alias("row"), F.col(id_col).isNull().alias("nameless"), turn.alias("turn"))
+        out = out.where("nameless or turn = 1").select("row.*")
     return out.select(*docs.columns)

@@ -120,7 +120,7 @@ def _mix_units(rows: DataFrame, units: DataFrame, weights: tuple, most: float, g
         targets = F.broadcast(targets)
     groups = F.greatest(F.lit(1), F.ceil(F.col("n_rows") / group_rows))
     factor = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    kind = units.schema["doc_id"].dataType.simpleString()
+    kind, source_kind = (units.schema[c].dataType.simpleString() for c in ("doc_id", "source"))
     dealt = (
         units.join(targets.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
         .withColumn("f", F.least(factor, F.lit(float(most))))
@@ -134,7 +134,7 @@ def _mix_units(rows: DataFrame, units: DataFrame, weights: tuple, most: float, g
         .select("doc_id", "source", "size", "rows", "source_size", "target", "number", "whole", "more", "p", "draw", "unit_group")
     )
     schema = (
-        f"doc_id {kind}, source string, size bigint, rows bigint, source_size bigint, target double, number int, "
+        f"doc_id {kind}, source {source_kind}, size bigint, rows bigint, source_size bigint, target double, number int, "
         "whole bigint, more bigint, p double, draw bigint, unit_group bigint, open boolean, extra bigint"
     )
     first = dealt.groupBy("number", "unit_group").applyInPandas(_rounded(False), schema)
@@ -174,12 +174,14 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     their text; such repeats meet in one partition.
     """
     taken = mix(docs, id_col, text_col, source_col, **options)
-    key = ["_id", "_source", "_size", "_n"]
-    plan = taken.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "copies")
-    plan = plan.where("copies > 0").withColumn("_n", F.row_number().over(Window.partitionBy(*key[:3]).orderBy(F.desc("copies"))))
-    rows = docs.select("*", F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), size_of(F.col(text_col)).alias("_size"))
-    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*key[:3]).orderBy(F.xxhash64(text_col))))
+    key = ["doc_id", "source", "size"]
+    plan = taken.where("copies > 0").select(*key, "copies", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("copies"))).alias("n"))
+    rows = docs.select(
+        F.struct(*docs.columns).alias("row"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size"),
+        F.xxhash64(text_col).alias("h"),
+    )
+    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy(*key).orderBy("h")))
     a, b = rows.alias("a"), plan.alias("b")
-    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in key]
-    joined = a.join(b, same[0] & same[1] & same[2] & same[3]).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return joined.select(*[F.col(f"a.`{c}`") for c in docs.columns])
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in (*key, "n")]
+    joined = a.join(b, same[0] & same[1] & same[2] & same[3]).select("a.row", F.explode(F.sequence(F.lit(1), F.col("b.copies"))).alias("copy"))
+    return joined.select("row.*")

@@ -226,6 +226,8 @@ def score(
     def run(batches):
         v, net = shared.value
         for batch in batches:
+            if not batch.num_rows:
+                continue
             texts, out = batch.column(1).to_pylist(), []
             for a, b in blocks([len(t or "") for t in texts]):
                 out.append(np.full(b - a, 0.5) if net is None else net.score(pooled(texts[a:b], v, space).astype(np.float64)))

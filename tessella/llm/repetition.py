@@ -122,5 +122,8 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", rules: RepetitionRules = RepetitionRules()) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with their own columns."""
-    return measured(docs, text_col, rules, "_rule_").where("_rule_kept").select(*docs.columns)
+    """The rows of ``docs`` that the rules keep, with their own columns, whatever their names."""
+    prefix = "_rule_"
+    while any(c.startswith(prefix) for c in docs.columns):
+        prefix = "_" + prefix
+    return measured(docs, text_col, rules, prefix).where(f"{prefix}kept").select(*docs.columns)

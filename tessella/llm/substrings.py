@@ -238,7 +238,9 @@ def remove_repeats(
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", how: Repeats = Repeats()) -> DataFrame:
     """``docs`` with repeated passages cut from the text; a document that loses all its words goes."""
-    others = tuple(c for c in docs.columns if c not in (id_col, text_col))
-    found = remove_repeats(docs, id_col, text_col, how, keep=others, with_text=True)
+    others = [F.col(c) for c in docs.columns if c not in (id_col, text_col)] or [F.lit(0).alias("none")]
+    packed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct(*others).alias("row"))
+    found = remove_repeats(packed, "id", "text", how, keep=("row",), with_text=True)
+    own = {id_col: F.col("id"), text_col: F.col("kept_text")}
     stays = (F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words"))
-    return found.where(stays).select(*[F.col("kept_text").alias(text_col) if c == text_col else F.col(c) for c in docs.columns])
+    return found.where(stays).select(*[own.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

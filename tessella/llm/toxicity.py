@@ -95,6 +95,8 @@ def induce(rows: DataFrame, number: int = 3000, least: int = 4) -> Induced:
 
     def count(batches):
         for batch in batches:
+            if not batch.num_rows:
+                continue
             y, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
             seen = []
             for a, b in blocks([len(t or "") for t in texts]):
@@ -310,6 +312,8 @@ def score(docs: DataFrame, model: ToxicityModel | None, id_col: str = "doc_id",
 
     def run(batches):
         for batch in batches:
+            if not batch.num_rows:
+                continue
             texts, out = batch.column(1).to_pylist(), []
             for a, b in blocks([len(t or "") for t in texts]):
                 out.append(np.zeros(b - a) if shared.value is None else shared.value.score(texts[a:b]))
