@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, embeddings, langid, minhash, mixing, pages, quality, repetition, substrings, toxicity
+from tessella.llm import bpe, embeddings, langid, minhash, mixing, oracles, pages, quality, repetition, substrings, toxicity
 from tessella.llm.common import is_held_out, read_table
 
 
@@ -86,4 +86,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = oracles.ORACLES
