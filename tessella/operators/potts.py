@@ -123,7 +123,7 @@ def belief_propagation(
             d = new.agg(F.max("d_max"), F.sum("d_sum")).first()
             worst, total = max(worst, d[0] or 0.0), total + (d[1] or 0.0)
             now = new.select("u", "v", "w", "muv", "mvu")
-            fields = cut(_fields(phi, now, types))
+            fields = _fields(phi, now, types)  # derived from the checkpoint, so its lineage stays short
         top, mean = worst, (total / (n_edges * types) if n_edges else None)
         history.append((turn, top, mean))
         if verbose:

@@ -402,7 +402,7 @@ def _(spark, d):
 
 @query("crf_default")
 def _(spark, d):
-    found = workflows.run_crf(raw(spark, d), tables.block_signatures(spark))
+    found = workflows.run_crf(raw(spark, d), tables.block_signatures(spark), max_iter=10)
     return found.labels.select("tid", "hilbert", "index", "gene", "label")
 
 
@@ -507,7 +507,7 @@ def _(spark, d):
 
 @query("basis_labels")
 def _(spark, d):
-    found = workflows.spatial_basis(raw(spark, d), tables.block_signatures(spark), EDGE, maxit=30, reltol=1e-4)
+    found = workflows.spatial_basis(raw(spark, d), tables.block_signatures(spark), EDGE, maxit=15, reltol=1e-4)
     return found.labels.select("tid", "gene", "label_k", "label")
 
 
