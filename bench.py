@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import sys
 import tempfile
 import time
 
@@ -45,6 +46,7 @@ def main() -> None:
         began = time.time()
         f(spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.time() - began, 3)
+        print(name, seconds[name], file=sys.stderr, flush=True)
     sf = os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")
     print(json.dumps({"metric": "total_seconds", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds, "sf": sf}))
     spark.stop()

@@ -90,32 +90,44 @@ def _vertex(lattice: list[Column], weight: Column) -> Column:
     return F.struct(*[c.cast("bigint").alias(n) for c, n in zip(lattice, "ijk", strict=False)], weight.alias("w"))
 
 
-def _snapped(vertices: list[Column], tol: float) -> Column:
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _snapped(vertices: Column, tol: float) -> Column:
     """An array of vertices with weights set to 0 or 1 within ``tol`` and scaled to add up to 1."""
 
     def snap(v: Column) -> Column:
-        w = F.when(F.abs(v["w"]) <= tol, 0.0).when(F.abs(v["w"] - 1) <= tol, 1.0).otherwise(v["w"])
-        return v.withField("w", w)
+        return v.withField("w", F.when(F.abs(v["w"]) <= tol, 0.0).when(F.abs(v["w"] - 1) <= tol, 1.0).otherwise(v["w"]))
 
-    found = F.transform(F.array(*vertices), snap)
-    total = F.aggregate(found, F.lit(0.0), lambda s, v: s + v["w"])
-    return F.transform(found, lambda v: v.withField("w", F.when(F.abs(total - 1) > tol, v["w"] / total).otherwise(v["w"])))
+    def scale(found: Column) -> Column:
+        total = F.aggregate(found, F.lit(0.0), lambda s, v: s + v["w"])
+        return _let(total, lambda t: F.transform(found, lambda v: v.withField("w", F.when(F.abs(t - 1) > tol, v["w"] / t).otherwise(v["w"]))))
+
+    return _let(F.transform(vertices, snap), scale)
 
 
 def tri_vertices(x: Column, y: Column, s: float, origin: tuple[float, float] = (0.0, 0.0), tol: float = 1e-10) -> Column:
     """The three lattice vertices ``(i, j, w)`` around a point of a triangular lattice of edge ``s``."""
-    v = 2 * (y - origin[1]) / (math.sqrt(3) * s)
-    u = (x - origin[0]) / s - v / 2
-    i, j = F.floor(u), F.floor(v)
 
-    def frac(a: Column, b: Column) -> Column:
-        d = a - b
+    def frac(d: Column) -> Column:
         return F.when(F.abs(d) <= tol, 0.0).when(F.abs(d - 1) <= tol, 1.0).otherwise(d)
 
-    r, t = frac(u, i), frac(v, j)
-    lower = _snapped([_vertex([i, j], 1 - r - t), _vertex([i + 1, j], r), _vertex([i, j + 1], t)], tol)
-    upper = _snapped([_vertex([i + 1, j + 1], r + t - 1), _vertex([i, j + 1], 1 - r), _vertex([i + 1, j], 1 - t)], tol)
-    return F.when(r + t <= 1 + tol, lower).otherwise(upper)
+    def corners(c: Column) -> Column:
+        i, j, r, t = c["i"], c["j"], c["r"], c["t"]
+        lower = F.array(_vertex([i, j], 1 - r - t), _vertex([i + 1, j], r), _vertex([i, j + 1], t))
+        upper = F.array(_vertex([i + 1, j + 1], r + t - 1), _vertex([i, j + 1], 1 - r), _vertex([i + 1, j], 1 - t))
+        return F.when(r + t <= 1 + tol, lower).otherwise(upper)
+
+    def cell(p: Column) -> Column:
+        u, v = p["u"], p["v"]
+        i, j = F.floor(u), F.floor(v)
+        return _let(F.struct(i.alias("i"), j.alias("j"), frac(u - i).alias("r"), frac(v - j).alias("t")), corners)
+
+    v = 2 * (y - origin[1]) / (math.sqrt(3) * s)
+    skewed = _let(v, lambda v: F.struct(((x - origin[0]) / s - v / 2).alias("u"), v.alias("v")))
+    return _snapped(_let(skewed, cell), tol)
 
 
 def tri_point(i: Column, j: Column, s: float, origin: tuple[float, float] = (0.0, 0.0)) -> list[Column]:
@@ -128,24 +140,31 @@ def bcc_vertices(x: Column, y: Column, z: Column, s: float, origin: tuple[float,
     The lattice is all-even and all-odd integer triples in units of ``s / 2``.  With the offsets from
     the nearest even triple sorted by size, the tetrahedron and its weights have a closed form.
     """
-    q = [(c - o) / (s / 2) for c, o in zip((x, y, z), origin, strict=True)]
-    e = [2 * F.round(c / 2) for c in q]
-    side = [F.when(c - b >= 0, 1).otherwise(-1) for c, b in zip(q, e, strict=True)]
-    size = [F.abs(c - b) for c, b in zip(q, e, strict=True)]
-    ranked = F.array_sort(F.array(*[F.struct((-a).alias("a"), F.lit(n).alias("axis")) for n, a in enumerate(size)]))
-    top, mid, low = (-ranked[k]["a"] for k in range(3))
-    first, last = ranked[0]["axis"], ranked[2]["axis"]
-    even = [_whole(c) for c in e]
-    odd = [b + d for b, d in zip(even, side, strict=True)]
-    far_even = [b + F.when(first == n, 2 * d).otherwise(0) for n, (b, d) in enumerate(zip(even, side, strict=True))]
-    far_odd = [b - F.when(last == n, 2 * d).otherwise(0) for n, (b, d) in enumerate(zip(odd, side, strict=True))]
-    return _snapped(
-        [_vertex(even, 1 - (top + mid) / 2), _vertex(far_even, (top - mid) / 2), _vertex(odd, (mid + low) / 2), _vertex(far_odd, (mid - low) / 2)], tol
-    )
-
-
-def _whole(c: Column) -> Column:
-    return c.cast("bigint")
+
+    def axis(q: Column) -> Column:
+        """Nearest even number, side and distance of one scaled coordinate."""
+        def parts(e: Column) -> Column:
+            side = F.when(q - e >= 0, 1).otherwise(-1)
+            return F.struct((-F.abs(q - e)).alias("a"), e.cast("bigint").alias("e"), side.cast("bigint").alias("side"))
+
+        return _let(2 * F.round(q / 2), parts)
+
+    def corners(p: Column) -> Column:
+        def vertices(ranked: Column) -> Column:
+            top, mid, low = (-ranked[k]["a"] for k in range(3))
+            first, last = ranked[0]["n"], ranked[2]["n"]
+            even, side = [p[n]["e"] for n in range(3)], [p[n]["side"] for n in range(3)]
+            odd = [b + d for b, d in zip(even, side, strict=True)]
+            far_even = [b + F.when(first == n, 2 * d).otherwise(0) for n, (b, d) in enumerate(zip(even, side, strict=True))]
+            far_odd = [b - F.when(last == n, 2 * d).otherwise(0) for n, (b, d) in enumerate(zip(odd, side, strict=True))]
+            return F.array(
+                _vertex(even, 1 - (top + mid) / 2), _vertex(far_even, (top - mid) / 2), _vertex(odd, (mid + low) / 2), _vertex(far_odd, (mid - low) / 2)
+            )
+
+        return _let(F.array_sort(F.transform(p, lambda v, n: F.struct(v["a"].alias("a"), n.alias("n")))), vertices)
+
+    scaled = F.array(*[(c - o) / (s / 2) for c, o in zip((x, y, z), origin, strict=True)])
+    return _snapped(_let(F.transform(scaled, axis), corners), tol)
 
 
 def bcc_point(i: Column, j: Column, k: Column, s: float, origin: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> list[Column]:
