@@ -2,12 +2,12 @@
 
 Every word position starts a suffix, cut at ``width`` words.  Suffixes are split into groups by
 variable-length prefixes: a suffix belongs to its shortest prefix of 1, 2, 4 or 8 words that is not
-too frequent, by counts over all documents; prefixes are packed into groups sized for a
-task's memory.  A group's tree is held as its sorted suffixes, labels being 64-bit
+too frequent, by counts over all documents, or else to its whole window; prefixes are packed into
+groups sized for a task's memory.  A group's tree is held as its sorted suffixes, labels being 64-bit
 fingerprints; its deep internal nodes, those of depth ``width`` with two or more leaves, are
 the repeated windows, and runs of them in a document are the maximal repeats.
 
-Documents are dealt to blocks that are ranges of the id, so whichever block has a window first also
+Documents are dealt to blocks that are ranges of the id with about equal text, so whichever block has a window first also
 has the smallest id.  A block sends each distinct window once, which also keeps a passage that
 is in every document to one leaf a block, and gets back one bit for each: whether an
 earlier block has it.  Blocks and groups are read by one exchange each.
@@ -35,11 +35,19 @@ _BITS = 15
 
 @dataclass(frozen=True)
 class Repeats:
-    """``block_bytes`` of text a block and ``group_windows`` suffixes a group fit a task's memory."""
+    """``block_bytes`` of text a block and ``group_windows`` suffixes a group fit a task's memory.
+
+    A block costs the driver 8 bytes; blocks and groups are dealt to ``most_partitions``
+    partitions at most, each of which takes its blocks and groups one after the other.
+    """
 
     width: int = 13
     block_bytes: int = 6 << 20
     group_windows: int = 600_000
+    most_partitions: int = 20_000
+
+    def partitions(self, number: int) -> int:
+        return max(2, min(number, self.most_partitions))
 
 
 def prefix_buckets(words: Words, at: np.ndarray, n: int) -> np.ndarray:
@@ -50,8 +58,38 @@ def prefix_buckets(words: Words, at: np.ndarray, n: int) -> np.ndarray:
     return (mix64(h) >> np.uint64(64 - _BITS)).astype(np.int64)
 
 
+#: Blocks at most; their limits are then 128 MB.
+_MOST_BLOCKS = 1 << 24
+
+
+def block_limits(rows: DataFrame, how: Repeats) -> np.ndarray:
+    """Largest id of each block but the last, ascending.
+
+    Running sums of text bytes over ranges of sorted ids: a block holds at most about 1.5
+    ``block_bytes`` and one text, wherever the long texts are.  Rows that share an id share a block.
+    """
+
+    def cuts(batches):
+        total, last = 0, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, running = batch.column(0).to_numpy(), total + np.cumsum(batch.column(1).to_numpy())
+            full = np.flatnonzero(np.diff(running // how.block_bytes, prepend=total // how.block_bytes))
+            total, last = int(running[-1]), int(ids[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[full])], names=["id"])
+        if last is not None and total % how.block_bytes >= how.block_bytes // 2:
+            yield pa.RecordBatch.from_arrays([pa.array([last], pa.int64())], names=["id"])
+
+    sizes = rows.where("id is not null").select("id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n"))
+    found = sizes.repartitionByRange("id").sortWithinPartitions("id").mapInArrow(cuts, "id bigint").distinct().limit(_MOST_BLOCKS + 1).toArrow()
+    if found.num_rows > _MOST_BLOCKS:
+        raise ValueError(f"more than {_MOST_BLOCKS} blocks: give larger block_bytes")
+    return np.sort(found["id"].to_numpy())
+
+
 def prefix_counts(docs: DataFrame, how: Repeats) -> np.ndarray:
-    """Suffixes by place for each prefix length, over all documents: ``(len(PREFIXES), 2**15)``."""
+    """Suffixes by place for each prefix length, over all documents: ``(len(PREFIXES), 2**_BITS)``."""
 
     def count(batches):
         total = np.zeros((len(PREFIXES), 1 << _BITS), np.int64)
@@ -79,7 +117,6 @@ class Plan:
         self.how = how
         self.groups = max(1, int(-(-counts[0].sum() // how.group_windows)))
         self.frequent = counts > how.group_windows // 8
-        self.frequent[-1] = False  # the longest prefix is split no further
 
     def leaves(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start, group and fingerprint of every suffix."""
@@ -91,7 +128,11 @@ class Plan:
             mine = ~self.frequent[k][place]
             spot = mix64(place[mine] + (k << _BITS)) % np.uint64(self.groups)
             group[rest[mine]] = spot.astype(np.int64)
-        return at, group, mix64(h)
+        # a whole window has one leaf a block at most, so this splits whatever is left
+        leaf = mix64(h)
+        rest = np.flatnonzero(group < 0)
+        group[rest] = (mix64(h[rest] + np.uint64(1)) % np.uint64(self.groups)).astype(np.int64)
+        return at, group, leaf
 
 
 class Block:
@@ -145,7 +186,7 @@ class Block:
         return covered(self.at[bad], width, int(self.counts.sum()))
 
 
-def _answers(leaves: DataFrame, groups: int) -> DataFrame:
+def _answers(leaves: DataFrame, partitions: int) -> DataFrame:
     """(block, g, bits): for each leaf a block sent, whether a block before it sent it too."""
 
     def run(batches):
@@ -167,7 +208,7 @@ def _answers(leaves: DataFrame, groups: int) -> DataFrame:
                     names=["block", "g", "bits"],
                 )
 
-    dealt = leaves.repartition(max(2, groups), "g").sortWithinPartitions("g", "block")
+    dealt = leaves.repartition(partitions, "g").sortWithinPartitions("g", "block")
     return dealt.select("g", "block", "leaves").mapInArrow(run, "block bigint, g bigint, bits binary")
 
 
@@ -182,13 +223,7 @@ def remove_repeats(
     word stays as it is there).  Null and empty texts have no words.
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"_{c}") for c in keep])
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    number = max(1, -(-size // how.block_bytes))
-    # limits of id ranges of about equal text; a few bytes a block
-    limits = np.array([])
-    if number > 1:
-        shares = [k / number for k in range(1, number)]
-        limits = np.unique(np.array(rows.select("id").agg(F.percentile_approx("id", shares, 10 * number)).first()[0] or [], np.int64))
+    limits = block_limits(rows, how)
     plan = Plan(prefix_counts(rows, how), how)
     shared = docs.sparkSession.sparkContext.broadcast((limits, plan))
 
@@ -198,7 +233,7 @@ def remove_repeats(
         v = ids.fillna(0).to_numpy(np.int64)
         return pd.Series(np.where(known, len(shared.value[0]), np.searchsorted(shared.value[0], v, side="left")))
 
-    dealt = rows.withColumn("block", block_of("id")).repartition(int(max(2, number)), "block")
+    dealt = rows.withColumn("block", block_of("id")).repartition(how.partitions(len(limits) + 1), "block")
 
     def send(table: pa.Table) -> pa.Table:
         return Block(table, shared.value[1]).sent(table["block"][0].as_py())
@@ -231,7 +266,7 @@ def remove_repeats(
             out["kept_text"] = pa.array(texts, pa.string())
         return pa.table(out | {n: table[n].take(order) for n in names})
 
-    answers = _answers(dealt.select("id", "text", "block").groupBy("block").applyInArrow(send, "g bigint, block bigint, leaves binary"), plan.groups)
+    answers = _answers(dealt.select("id", "text", "block").groupBy("block").applyInArrow(send, "g bigint, block bigint, leaves binary"), how.partitions(plan.groups))
     found = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(settle, schema)
     return found.withColumnsRenamed({"id": id_col} | {f"_{c}": c for c in keep})
 

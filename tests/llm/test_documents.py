@@ -181,6 +181,20 @@ def test_substrings(docs, no_docs, how):
     assert substrings.remove_repeats(no_docs, how=how).count() == 0 and substrings.deduplicated(no_docs).count() == 0
 
 
+def test_blocks_hold_equal_text(spark, no_docs):
+    how = substrings.Repeats(block_bytes=1000, most_partitions=3)
+    sizes = [(i, 10 if i % 100 else 5000) for i in range(1000)] + [(77, 30), (None, 40)]
+    rows = spark.createDataFrame([(i, "x" * n) for i, n in sizes], "id bigint, text string").repartition(3)
+    limits = substrings.block_limits(rows, how)
+    assert (np.diff(limits) > 0).all() and len(limits) >= 10
+    held = Counter()
+    for i, n in sizes[:-1]:
+        held[int(np.searchsorted(limits, i))] += n
+    assert max(held.values()) <= 1500 + 5000
+    assert len(substrings.block_limits(no_docs.select(F.col("doc_id").alias("id"), "text"), how)) == 0
+    assert how.partitions(50) == 3
+
+
 def test_mixing(docs, no_docs):
     found = mixing.mix(docs, group_rows=8)
     rows = found.collect()
