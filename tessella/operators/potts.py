@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.vectors import safe_ln, softmax
-from tessella.sources.tables import cut, signature_arrays
+from tessella.sources.tables import cut, cut_anew, signature_arrays
 
 
 @dataclass
@@ -119,7 +119,7 @@ def belief_propagation(
             new = joined.mapInArrow(_kernel(damping), _EDGE + ", d_max double, d_sum double")
             if schedule == "async":
                 new = _only_phase(new, now, phase, phases)
-            new = cut(new)
+            new = cut_anew(new)
             d = new.agg(F.max("d_max"), F.sum("d_sum")).first()
             worst, total = max(worst, d[0] or 0.0), total + (d[1] or 0.0)
             now = new.select("u", "v", "w", "muv", "mvu")

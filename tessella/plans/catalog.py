@@ -402,7 +402,7 @@ def _(spark, d):
 
 @query("crf_default")
 def _(spark, d):
-    found = workflows.run_crf(raw(spark, d), tables.block_signatures(spark), max_iter=10)
+    found = workflows.run_crf(raw(spark, d), tables.block_signatures(spark))
     return found.labels.select("tid", "hilbert", "index", "gene", "label")
 
 
@@ -559,4 +559,4 @@ def _(spark, d):
 
 @query("profile_crf")
 def _(spark, d):
-    return workflows.profile_crf(raw(spark, d), tables.block_signatures(spark), dist_threshold=1.0, max_iter=5).drop("seconds", "size_mb")
+    return workflows.profile_crf(raw(spark, d), tables.block_signatures(spark)).drop("seconds", "size_mb")
