@@ -388,7 +388,7 @@ def _(spark, d):
 
 @query("lbp_async")
 def _(spark, d):
-    return _marginals(beliefs(spark, d, 3, schedule="async", phases=2))
+    return _marginals(beliefs(spark, d, 50, schedule="async", tol=1e-2))
 
 
 LABEL_SQL = "SELECT node AS tid, CAST(arg_max(k, p) AS INTEGER) AS label_k, 'type' || arg_max(k, p) AS label FROM marg GROUP BY node"

@@ -34,3 +34,27 @@ def test_profile_is_of_the_operators_graph(spark, monkeypatch):
     row = catalog.QUERIES["profile_crf"](spark, SMALL).first()
     want = catalog.QUERIES["lbp_memory_estimate"](spark, SMALL).first()
     assert (row.n_nodes, row.n_directed_edges) == (want.n_nodes, want.n_edges) and found[0].max_delta < 0.1
+
+
+def fixed_point(edges, phi):
+    """Synchronous sweeps in numpy until nothing moves; marginals by node."""
+    at = {r.node: i for i, r in enumerate(phi)}
+    u, v, w = np.array([at[r.u] for r in edges]), np.array([at[r.v] for r in edges]), np.array([r.w for r in edges])
+    start = np.array([r.phi for r in phi])
+    h, uv, vu, change = start, np.zeros((len(u), start.shape[1])), np.zeros((len(u), start.shape[1])), 1.0
+    while change > 1e-9:
+        new_uv, new_vu = potts.updated_message(h[u], vu, uv, w, 1.0), potts.updated_message(h[v], uv, vu, w, 1.0)
+        change, uv, vu, h = max(np.abs(new_uv - uv).max(), np.abs(new_vu - vu).max()), new_uv, new_vu, start.copy()
+        np.add.at(h, v, uv)
+        np.add.at(h, u, vu)
+    p = np.exp(h - h.max(axis=1, keepdims=True))
+    return {n: row / row.sum() for (n, _), row in zip(at.items(), p, strict=True)}
+
+
+def test_lbp_async_ends_at_the_synchronous_fixed_point(spark, monkeypatch):
+    found = watched(monkeypatch, potts, "belief_propagation")
+    phi = watched(monkeypatch, potts, "node_potentials")
+    rows = catalog.QUERIES["lbp_async"](spark, SMALL).collect()
+    want = fixed_point(found[0].edges.select("u", "v", "w").collect(), phi[0].collect())
+    assert found[0].max_delta < 1e-2 and len(rows) == 4 * len(want)
+    assert max(abs(r.p - want[r.node][r.k]) for r in rows) < 0.01
