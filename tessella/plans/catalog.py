@@ -505,16 +505,22 @@ def _(spark, d):
     return pts.select("basis_id", F.posexplode(centered(w)).alias("k", "w")).select("basis_id", "k", r6("w").alias("w"))
 
 
+def _ended(fit: fields.Fit, name: str) -> list[F.Column]:
+    """How a fit ended, as columns."""
+    return [F.lit(fit.status).alias(f"{name}_status"), F.lit(fit.iterations).alias(f"{name}_iterations")]
+
+
 @query("basis_labels")
 def _(spark, d):
-    found = workflows.spatial_basis(raw(spark, d), tables.block_signatures(spark), EDGE, maxit=15, reltol=1e-4)
-    return found.labels.select("tid", "gene", "label_k", "label")
+    found = workflows.spatial_basis(raw(spark, d), tables.block_signatures(spark), EDGE)
+    return found.labels.select("tid", "gene", "label_k", "label", *_ended(found.fit, "fit"))
 
 
 @query("basis_refined_signatures")
 def _(spark, d):
-    found = workflows.spatial_basis(raw(spark, d), tables.block_signatures(spark), EDGE, "tri", refine_signatures=True, maxit=10, refinement_maxit=5, reltol=1e-3)
-    return found.signatures.select("gene", "k", "cell_type", r6("theta").alias("theta"))
+    found = workflows.spatial_basis(raw(spark, d), tables.block_signatures(spark), EDGE, "tri", refine_signatures=True)
+    first, last = found.fits
+    return found.signatures.select("gene", "k", "cell_type", r6("theta").alias("theta"), *_ended(first, "fit"), *_ended(last, "refit"))
 
 
 # --- refinement

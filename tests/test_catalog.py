@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from tessella.operators import potts
+from tessella.operators import field, potts
 from tessella.plans import catalog
 
 SMALL, MORE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -58,3 +58,12 @@ def test_lbp_async_ends_at_the_synchronous_fixed_point(spark, monkeypatch):
     want = fixed_point(found[0].edges.select("u", "v", "w").collect(), phi[0].collect())
     assert found[0].max_delta < 1e-2 and len(rows) == 4 * len(want)
     assert max(abs(r.p - want[r.node][r.k]) for r in rows) < 0.01
+
+
+def test_basis_queries_fit_to_the_end(spark, monkeypatch):
+    fits = watched(monkeypatch, field, "minimize")
+    row = catalog.QUERIES["basis_labels"](spark, SMALL).first()
+    assert (row.fit_status, row.fit_iterations) == ("converged", fits[0].iterations) and fits[0].value < 2.5985
+    row = catalog.QUERIES["basis_refined_signatures"](spark, SMALL).first()
+    assert (row.fit_status, row.refit_status) == ("converged", "converged")
+    assert (row.fit_iterations, row.refit_iterations) == (fits[1].iterations, fits[2].iterations) and fits[2].value < 2.902
