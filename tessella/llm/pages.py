@@ -20,11 +20,16 @@ from pyspark.sql import functions as F
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|title|svg|math|iframe|object|canvas|select|button)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|textarea|title)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|<[!?/][^>]*>",
     re.S | re.I,
 )
+# Elements without article text; one that is never closed ends at the next block-level tag.
+_MUTED = {
+    tag: re.compile(rf"<(/?){tag}(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>", re.I)
+    for tag in ("noscript", "template", "svg", "math", "iframe", "object", "canvas", "select", "button")
+}
 _HINTS = re.compile(r"""(?:^|\s)(class|id|role|style|aria-label|aria-hidden)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)", re.I)
 
@@ -74,6 +79,7 @@ def text_blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
     linked = link = 0
     heading = False
     muted: str | None = None  # a boilerplate element that holds no others, such as a list item
+    silent: str | None = None  # an element of _MUTED without an end tag of its own
 
     def close() -> None:
         nonlocal words, linked, heading
@@ -87,20 +93,34 @@ def text_blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
 
     def add(text: str) -> None:
         nonlocal linked
-        if text:
+        if text and not silent:
             words.append(text)
             if link:
                 linked += len(text)
 
     at = 0
-    for m in _TOKEN.finditer(page):
+    while m := _TOKEN.search(page, at):
         add(page[at : m.start()])
         at = m.end()
         tag = (m["tag"] or "").lower()
         if not tag:
-            if m["raw"] and m["raw"].lower() in ("title", "textarea", "select", "button", "iframe", "object"):
+            if m["raw"] and m["raw"].lower() in ("title", "textarea"):
+                add(" ")
+            continue
+        if tag in _MUTED:
+            if tag in ("select", "button", "iframe", "object"):
                 add(" ")
+            if m["end"]:
+                silent = None if silent == tag else silent
+            elif not (tag in ("svg", "math") and m["rest"].endswith("/")):
+                edge = _MUTED[tag].search(page, at)
+                if edge and edge[1]:
+                    at = edge.end()
+                else:
+                    silent = silent or tag
             continue
+        if tag in _BLOCK and not (silent == "select" and tag in ("option", "optgroup", "hr")):
+            silent = None
         if tag == "br" or tag == "img":
             add(" ")
         elif tag == "a":

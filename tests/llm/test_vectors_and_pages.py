@@ -92,6 +92,23 @@ def test_pages(spark):
     assert pages.extract(df.limit(0)).count() == 0
 
 
+LONG = "The text of the page goes on with a good many words that nobody should lose on the way to its reader. " * 3
+
+
+@pytest.mark.parametrize(
+    "before",
+    [
+        "<svg class='i'/>", "<math/>", "<p><svg viewBox='0 0 1 1' /></p>", "<svg-icon>i</svg-icon>", "<button-group></button-group>", "<select-menu></select-menu>",
+        "<object-view></object-view>", "<title-bar></title-bar>", "<button>Menu", "<iframe src='/x'>", "<object data='x'>", "<button>Menu<p></p><button>More</button>",
+        "<select><option>a<option>b", "<svg><svg></svg></svg>", "<template><p>hidden row</p></template>", "<noscript><p>Enable it</p></noscript>", "<canvas>none</canvas>",
+    ],
+)
+def test_embedded_elements_leave_the_article(before):
+    page = f"<html><body><div>{before}</div><article>{before}<p>{LONG}</p></article></body></html>"
+    found = pages.main_texts([page], pages.default_tree())[0]
+    assert LONG.strip() in found and not any(w in found for w in ("Menu", "More", "hidden", "Enable", "none"))
+
+
 def test_tree():
     rng = np.random.default_rng(0)
     x = rng.random((200, 3))
