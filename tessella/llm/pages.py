@@ -43,38 +43,45 @@ _HOLDER = _BLOCK - frozenset("p hr h1 h2 h3 h4 h5 h6 dt dd li td th tr".split())
 _ASIDE = frozenset("nav aside footer form menu dialog search fieldset head".split())
 # Words of class, id and role that name what is not the article.
 _BOILER = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|adbox|adsense|sponsor(?:ed)?|promo(?:tion)?s?|banners?|sidebars?|side-?bar|nav(?:bar|igation)?|"
+    r"(?:^|[\s_-])(?<!\bhas[_-])(?<!\bno[_-])(?<!\bwith[_-])(?:ads?|adverts?|advertisements?|adbox|adsense|sponsor(?:ed)?|promo(?:tion)?s?|banners?|sidebars?|side-?bar|nav(?:bar|igation)?|"
     r"menus?|breadcrumbs?|footers?|site-?header|page-?header|masthead|topbar|comments?|commentlist|comment-?list|respond|disqus|replies|reactions|"
     r"cookies?|consent|gdpr|notices?|alert|popups?|modal|overlay|share|sharing|social|related|recommend(?:ed|ations)?|newsletter|subscribe|"
     r"subscription|signup|login|search|widgets?|pagination|pager|toolbar|skip|copyright|legal|disclaimer|contentinfo|complementary|navigation|"
-    r"dialog|tags|metadata|hidden|sr-only|visually-hidden|paywall|outbrain|taboola)(?:$|[\s_-])",
+    r"dialog|tags|metadata|hidden|sr-only|visually-hidden|paywall|outbrain|taboola)(?:$|[\s_-])(?!(?:enabled|disabled)\b)",
     re.I,
 )
 
 
-def _boiler(tag: str, rest: str, in_main: bool) -> bool:
+def _boiler(tag: str, rest: str, in_main: bool) -> int:
+    """2 for boilerplate by the kind of element or as hidden, 1 by a word of its class, id or role, else 0."""
     if tag in _ASIDE or tag == "header" and not in_main:
-        return True
+        return 2
     if not rest:
-        return False
+        return 0
+    named = 0
     for name, value in _HINTS.findall(rest):
         value, name = value.strip("\"'"), name.lower()
         if name == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return True
+                return 2
         elif name == "aria-hidden":
             if value.lower() == "true":
-                return True
+                return 2
         elif tag not in ("body", "html", "article", "main") and _BOILER.search(value):
             if not (tag == "header" and in_main) and not re.fullmatch(r"h[1-6]", tag):
-                return True
-    return bool(_HIDDEN.search(re.sub(r"\"[^\"]*\"|'[^']*'", "", rest)))
+                named = 1
+    return 2 if _HIDDEN.search(re.sub(r"\"[^\"]*\"|'[^']*'", "", rest)) else named
+
+
+def _comment(rest: str) -> bool:
+    """Whether the class, id or role of an article names something else, such as a comment."""
+    return any(name.lower() in ("class", "id", "role") and _BOILER.search(value.strip("\"'")) for name, value in _HINTS.findall(rest or ""))
 
 
 def text_blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
     """Flat blocks of a page: text, words, words in links, in boilerplate, in the main element, heading."""
     out: list[tuple[str, int, int, bool, bool, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # open holders: tag, boilerplate, main
+    stack: list[tuple[str, int, bool]] = []  # open holders: tag, boilerplate as in _boiler, main
     words: list[str] = []
     linked = link = 0
     heading = False
@@ -85,10 +92,10 @@ def text_blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
         nonlocal words, linked, heading
         text = " ".join(html.unescape("".join(words)).split()) if words else ""
         if text:
-            boiler, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+            boiler, main = (stack[-1][1], stack[-1][2]) if stack else (0, False)
             n = text.count(" ") + 1
             share = linked / max(1, sum(len(w) for w in words))
-            out.append((text, n, round(share * n), boiler or muted is not None, main, heading))
+            out.append((text, n, round(share * n), bool(boiler) or muted is not None, main, heading))
         words, linked = [], 0
 
     def add(text: str) -> None:
@@ -138,15 +145,17 @@ def text_blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
                             del stack[i:]
                             break
             else:
-                boiler, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+                boiler, main = (stack[-1][1], stack[-1][2]) if stack else (0, False)
                 own = _boiler(tag, m["rest"], main)
                 heading = len(tag) == 2 and tag[0] == "h" and tag[1].isdigit()
                 if tag in _HOLDER:
                     muted = None
                     if tag == "body":
                         stack.clear()
-                        boiler = main = False
-                    stack.append((tag, boiler or own, main or tag in ("article", "main")))
+                        boiler, main = 0, False
+                    if tag in ("article", "main") and boiler == 1 and not main and not _comment(m["rest"]):
+                        boiler = 0
+                    stack.append((tag, max(boiler, own), main or tag in ("article", "main")))
                 else:
                     muted = tag if own else None
     add(page[at:] if not page[at:].startswith("<") else "")
@@ -287,7 +296,10 @@ def block_features(blocks: list[tuple]) -> np.ndarray:
     density = np.array([b[2] for b in blocks], float) / np.maximum(n, 1)
     flags = np.array([[b[3], b[4], b[5]] for b in blocks], float)
     before, after = (lambda v: np.append(0, v[:-1])), (lambda v: np.append(v[1:], 0))
-    has_main = np.full(len(blocks), float(any(b[4] and not b[3] for b in blocks)))
+    # a main element counts if it holds half of the page's running text at least, so a mere teaser does not
+    text = np.where((flags[:, 0] == 0) & (density <= 0.5), n, 0)
+    inside = (flags[:, 0] == 0) & (flags[:, 1] == 1)
+    has_main = np.full(len(blocks), float(inside.any() and 2 * text[inside].sum() >= text.sum()))
     return np.column_stack([n, density, before(n), before(density), after(n), after(density), flags[:, 0], flags[:, 1], has_main, flags[:, 2]])
 
 

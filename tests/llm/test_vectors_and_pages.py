@@ -109,6 +109,19 @@ def test_embedded_elements_leave_the_article(before):
     assert LONG.strip() in found and not any(w in found for w in ("Menu", "More", "hidden", "Enable", "none"))
 
 
+@pytest.mark.parametrize("name", ["layout has-sidebar", "no-sidebar", "with-comments", "post-share-enabled", "sidebar-left layout"])
+def test_wrappers_leave_the_article(name):
+    page = f"<body><div class='{name}'><article><p>{LONG}</p></article><div class='comments'><article class='comment'><p>Not this one here</p></article></div></div></body>"
+    assert pages.main_texts([page], pages.default_tree()) == [LONG.strip()]
+    hidden = f"<body><aside><article><p>{LONG}</p></article></aside><div hidden><main><p>{LONG}</p></main></div></body>"
+    assert pages.main_texts([hidden], pages.default_tree()) == [""]
+
+
+def test_teaser_article_does_not_hide_the_text():
+    page = f"<body><article><p>A short teaser of some other page</p></article><div><p>{LONG}</p><p>{LONG}</p></div></body>"
+    assert LONG.strip() in pages.main_texts([page], pages.default_tree())[0]
+
+
 def test_tree():
     rng = np.random.default_rng(0)
     x = rng.random((200, 3))
