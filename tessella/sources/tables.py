@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 
 import numpy as np
@@ -15,11 +16,37 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage of an iteration by a reliable checkpoint in the session's shared folder."""
+    """Cuts the lineage by a reliable checkpoint in the session's shared folder (``spark.checkpoint.dir``).
+
+    Where that is unset a folder of our own is used in local mode only; on a cluster it would be a folder
+    of the driver alone, so there it is an error.
+    """
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+    done = df.checkpoint()
+    done._files = _checkpoint_files(done)
+    return done
+
+
+def _checkpoint_files(df: DataFrame) -> str | None:
+    """Folder of a DataFrame that ``checkpoint`` returned."""
+    found = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    return found.get() if found.isDefined() else None
+
+
+def forget(*frames: DataFrame | None) -> None:
+    """Deletes the files of checkpoints (from ``cut``) that nothing reads any more; others are left alone."""
+    for df in frames:
+        if files := getattr(df, "_files", None):
+            context = df.sparkSession.sparkContext
+            path = context._jvm.org.apache.hadoop.fs.Path(files)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+            df._files = None
 
 
 def cut_anew(df: DataFrame) -> DataFrame:
@@ -30,7 +57,9 @@ def cut_anew(df: DataFrame) -> DataFrame:
     """
     done = cut(df)
     session = df.sparkSession._jsparkSession
-    return DataFrame(session.internalCreateDataFrame(done._jdf.queryExecution().toRdd(), done._jdf.schema(), False), df.sparkSession)
+    anew = DataFrame(session.internalCreateDataFrame(done._jdf.queryExecution().toRdd(), done._jdf.schema(), False), df.sparkSession)
+    anew._files = done._files
+    return anew
 
 
 def events_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
