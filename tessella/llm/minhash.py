@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import FOLD, WINDOW_BASE, Words, blocks, cut, mix64
+from tessella.llm.common import FOLD, WINDOW_BASE, Words, blocks, cut, in_groups, mix64
 from tessella.llm.components import connected_components
 
 
@@ -131,26 +131,6 @@ def _region_keys(classes: DataFrame, forest: Forest) -> DataFrame:
     return classes.select("id", "sig").mapInArrow(run, "key bigint, tree int, id bigint")
 
 
-def _in_groups(batches, key_columns: int):
-    """Splits batches sorted by their first columns into record batches of whole groups."""
-    rest: pa.RecordBatch | None = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        if rest is not None:
-            batch = pa.concat_batches([rest, batch])
-        same = np.ones(batch.num_rows, bool)
-        for c in range(key_columns):
-            v = batch.column(c).to_numpy(zero_copy_only=False)
-            same &= v == v[-1]
-        n = batch.num_rows - int(np.argmin(same[::-1])) if not same.all() else 0
-        rest = batch.slice(n)
-        if n:
-            yield batch.slice(0, n)
-    if rest is not None and rest.num_rows:
-        yield rest
-
-
 def _bounds(*columns: np.ndarray) -> np.ndarray:
     new = np.ones(len(columns[0]) + 1, bool)
     new[1:-1] = False
@@ -208,7 +188,7 @@ def _first_pairs(members: DataFrame, forest: Forest) -> DataFrame:
     """
 
     def run(batches):
-        for batch in _in_groups(batches, 2):
+        for batch in in_groups(batches, 2):
             key, chunk, size, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 3))
             sig = _matrix(batch.column(5), forest.width)
             left, right, agree = [], [], []
@@ -240,7 +220,7 @@ def _cross_pairs(blocks_: DataFrame, forest: Forest) -> DataFrame:
     """Spanning pairs of agreeing classes of different families in blocks (key, i, j, query, family, id, sig)."""
 
     def run(batches):
-        for batch in _in_groups(batches, 3):
+        for batch in in_groups(batches, 3):
             key, i, j, query, family, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(6))
             sig = _matrix(batch.column(6), forest.width)
             cuts = _bounds(key, i, j)
@@ -279,7 +259,7 @@ def _links(rows: DataFrame, forest: Forest) -> DataFrame:
     """Spanning links between the classes of a family, from blocks (family, i, j, side, id, sig, set)."""
 
     def run(batches):
-        for batch in _in_groups(batches, 3):
+        for batch in in_groups(batches, 3):
             family, i, j, side, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(5))
             sig = _matrix(batch.column(5), forest.width)
             sets = batch.column(6)

@@ -50,7 +50,7 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.remove_repeats(read_table(spark, sf_dir, "documents"))
+    return substrings.remove_repeats(read_table(spark, sf_dir, "documents")).drop("spans")
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

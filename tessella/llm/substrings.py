@@ -3,109 +3,158 @@
 Every word position starts a suffix, cut at ``width`` words.  Suffixes are split into groups by
 variable-length prefixes: a suffix belongs to its shortest prefix of 1, 2, 4 or 8 words that is not
 too frequent, by counts over all documents, or else to its whole window; prefixes are packed into
-groups sized for a task's memory.  A group's tree is held as its sorted suffixes, labels being 64-bit
-fingerprints; its deep internal nodes, those of depth ``width`` with two or more leaves, are
-the repeated windows, and runs of them in a document are the maximal repeats.
-
-Documents are dealt to blocks that are ranges of the id with about equal text, so whichever block has a window first also
-has the smallest id.  A block sends each distinct window once, which also keeps a passage that
-is in every document to one leaf a block, and gets back one bit for each: whether an
-earlier block has it.  Blocks and groups are read by one exchange each.
+groups sized for a task's memory.  A group is a bundle of subtrees, held as its leaves in suffix order: a
+leaf's 64-bit label has 8 bits of its 4-word prefix, 8 of its 8-word prefix and 48 of its whole window,
+so leaves below one internal node lie together and the common prefix of neighbours is read from their
+labels.  The deep internal nodes, those of depth ``width`` with leaves of two or more documents, are the
+repeated windows; runs of them in a document are its maximal repeats.
+
+Documents are dealt to blocks that are ranges of the id with about equal text, so whichever block has a
+window first also has the smallest id.  An id (or the null id) with more text than a block has blocks of
+its own, which all have one place in that order.  A block sends each distinct leaf once, which also keeps a
+passage that is in every document to one leaf a block, and gets back one bit for each: whether an
+earlier block has it.  Texts are dealt by one exchange that both passes read, leaves by another.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import WINDOW_BASE, Words, blocks, covered, mix64
-from tessella.llm.minhash import _in_groups
+from tessella.llm.common import WINDOW_BASE, Words, blocks, covered, in_groups, mix64
 
-#: Lengths of the prefixes, in words, and hash bits of the table of their counts.
+#: Lengths of the prefixes, in words.
 PREFIXES = (1, 2, 4, 8)
-_BITS = 15
+#: Label bits of a leaf from its 4-word and its 8-word prefix; the window has the rest.
+_ORDER_BITS = 8
 
 
 @dataclass(frozen=True)
 class Repeats:
     """``block_bytes`` of text a block and ``group_windows`` suffixes a group fit a task's memory.
 
-    A block costs the driver 8 bytes; blocks and groups are dealt to ``most_partitions``
-    partitions at most, each of which takes its blocks and groups one after the other.
+    A block costs the driver 16 bytes; blocks and groups are dealt to ``most_partitions``
+    partitions at most, each of which takes its blocks and groups one after the other.  The table
+    of prefix counts has 2**15 to 2**20 places a length (32 MB at most), by the size of the input.
     """
 
     width: int = 13
-    block_bytes: int = 6 << 20
-    group_windows: int = 600_000
+    block_bytes: int = 4 << 20
+    group_windows: int = 400_000
     most_partitions: int = 20_000
 
     def partitions(self, number: int) -> int:
         return max(2, min(number, self.most_partitions))
 
+    def table_bits(self, text_bytes: int) -> int:
+        """Eight places a group: a text has a suffix in about 6 bytes."""
+        return int(np.clip(np.ceil(np.log2(max(1, 8 * text_bytes / 6 / self.group_windows))), 15, 20))
 
-def prefix_buckets(words: Words, at: np.ndarray, n: int) -> np.ndarray:
-    """Table place of the n-word prefix of the suffixes that start at ``at``."""
-    h = words.hash[at].copy()
-    for k in range(1, n):
-        h = h * WINDOW_BASE + words.hash[at + k]
-    return (mix64(h) >> np.uint64(64 - _BITS)).astype(np.int64)
 
+def prefix_hashes(words: Words, at: np.ndarray) -> Iterator[np.ndarray]:
+    """Hashes of the prefixes of each length of the suffixes that start at ``at``."""
+    h, done = words.hash[at].copy(), 1
+    for n in PREFIXES:
+        for k in range(done, n):
+            h *= WINDOW_BASE
+            h += words.hash[at + k]
+        done = n
+        yield mix64(h)
 
-#: Blocks at most; their limits are then 128 MB.
+
+#: Blocks at most; their limits are then 256 MB.
 _MOST_BLOCKS = 1 << 24
 
 
-def block_limits(rows: DataFrame, how: Repeats) -> np.ndarray:
-    """Largest id of each block but the last, ascending.
+@dataclass(frozen=True)
+class Ranges:
+    """Blocks of ids: ``limits`` are the largest ids of each range but the last, ascending; null ids have
+    a range of their own after it.  Range r has the blocks ``first[r]`` to ``first[r + 1] - 1``."""
+
+    limits: np.ndarray
+    first: np.ndarray
+    text_bytes: int
+
+    @property
+    def blocks(self) -> int:
+        return int(self.first[-1])
+
+    def block(self, ids: np.ndarray, null: np.ndarray, spread: np.ndarray) -> np.ndarray:
+        r = np.where(null, len(self.limits) + 1, np.searchsorted(self.limits, ids, side="left"))
+        return self.first[r] + spread % (self.first[r + 1] - self.first[r])
+
+    def place(self, block: np.ndarray) -> np.ndarray:
+        """Number of a block's range: the order of the blocks by id."""
+        return np.searchsorted(self.first, block, side="right") - 1
+
+
+def block_ranges(rows: DataFrame, how: Repeats) -> Ranges:
+    """Ranges of the id with about equal text, from the text bytes of every id.
 
-    Running sums of text bytes over ranges of sorted ids: a block holds at most about 1.5
-    ``block_bytes`` and one text, wherever the long texts are.  Rows that share an id share a block.
+    Running sums over the sorted ids: a block holds at most about 1.5 ``block_bytes`` and one
+    text, wherever the long texts are.  An id of more bytes than a block is a range alone, of as many blocks as
+    its bytes fill; its rows are spread over them by a hash of the text.
     """
 
     def cuts(batches):
         total, last = 0, None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids, running = batch.column(0).to_numpy(), total + np.cumsum(batch.column(1).to_numpy())
-            full = np.flatnonzero(np.diff(running // how.block_bytes, prepend=total // how.block_bytes))
-            total, last = int(running[-1]), int(ids[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(ids[full])], names=["id"])
-        if last is not None and total % how.block_bytes >= how.block_bytes // 2:
-            yield pa.RecordBatch.from_arrays([pa.array([last], pa.int64())], names=["id"])
-
-    sizes = rows.where("id is not null").select("id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n"))
-    found = sizes.repartitionByRange("id").sortWithinPartitions("id").mapInArrow(cuts, "id bigint").distinct().limit(_MOST_BLOCKS + 1).toArrow()
+            ids, sizes = (batch.column(i).to_numpy() for i in (0, 1))
+            limit, parts = [], []
+            for i, n in zip(ids.tolist(), sizes.tolist(), strict=True):
+                if n > how.block_bytes:
+                    limit += [i - 1, i]
+                    parts += [1, -(-n // how.block_bytes)]
+                    total = 0
+                elif (total := total + n) >= how.block_bytes:
+                    limit.append(i)
+                    parts.append(1)
+                    total = 0
+                last = i
+            yield pa.RecordBatch.from_arrays([pa.array(limit, pa.int64()), pa.array(parts, pa.int64())], names=["id", "parts"])
+        if last is not None and total >= how.block_bytes // 2:
+            yield pa.RecordBatch.from_arrays([pa.array([last], pa.int64()), pa.array([1], pa.int64())], names=["id", "parts"])
+
+    sizes = rows.groupBy("id").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint")).alias("n"))
+    known = sizes.where("id is not null")
+    found = known.repartitionByRange("id").sortWithinPartitions("id").mapInArrow(cuts, "id bigint, parts bigint")
+    found = found.groupBy("id").agg(F.max("parts").alias("parts")).limit(_MOST_BLOCKS + 1).toArrow()
     if found.num_rows > _MOST_BLOCKS:
         raise ValueError(f"more than {_MOST_BLOCKS} blocks: give larger block_bytes")
-    return np.sort(found["id"].to_numpy())
+    bytes_, null_bytes = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("id").isNull(), F.col("n"))), F.lit(0))).first()
+    ids, parts = found["id"].to_numpy(), found["parts"].to_numpy()
+    order = np.argsort(ids)
+    parts = np.concatenate([parts[order], [1, max(1, -(-null_bytes // how.block_bytes))]])
+    return Ranges(ids[order], np.concatenate([[0], np.cumsum(parts)]).astype(np.int64), int(bytes_))
 
 
-def prefix_counts(docs: DataFrame, how: Repeats) -> np.ndarray:
-    """Suffixes by place for each prefix length, over all documents: ``(len(PREFIXES), 2**_BITS)``."""
+def prefix_counts(docs: DataFrame, how: Repeats, bits: int = 15) -> np.ndarray:
+    """Suffixes by place for each prefix length, over all documents: ``(len(PREFIXES), 2**bits)``."""
 
     def count(batches):
-        total = np.zeros((len(PREFIXES), 1 << _BITS), np.int64)
+        total = np.zeros((len(PREFIXES), 1 << bits), np.int64)
         for batch in batches:
             texts = batch.column(0).to_pylist()
             for a, b in blocks([len(t or "") for t in texts]):
                 words = Words(texts[a:b])
                 at, _ = words.windows(how.width)
-                for row, n in zip(total, PREFIXES, strict=True):
-                    row += np.bincount(prefix_buckets(words, at, n), minlength=1 << _BITS)
+                for row, h in zip(total, prefix_hashes(words, at), strict=True):
+                    row += np.bincount((h >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
         for k, row in enumerate(total):
             at = np.flatnonzero(row)
-            yield pa.RecordBatch.from_arrays([pa.array(at + (k << _BITS), pa.int32()), pa.array(row[at])], names=["place", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(at + (k << bits), pa.int32()), pa.array(row[at])], names=["place", "n"])
 
     found = docs.select("text").mapInArrow(count, "place int, n bigint").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
-    table = np.zeros(len(PREFIXES) << _BITS, np.int64)
+    table = np.zeros(len(PREFIXES) << bits, np.int64)
     table[found["place"].to_numpy()] = found["n"].to_numpy()
     return table.reshape(len(PREFIXES), -1)
 
@@ -115,92 +164,119 @@ class Plan:
 
     def __init__(self, counts: np.ndarray, how: Repeats):
         self.how = how
+        self.bits = int(counts.shape[1]).bit_length() - 1
         self.groups = max(1, int(-(-counts[0].sum() // how.group_windows)))
         self.frequent = counts > how.group_windows // 8
 
     def leaves(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Start, group and fingerprint of every suffix."""
+        """Start, group and label of every suffix."""
         at, h = words.windows(self.how.width)
-        group = np.full(len(at), -1, np.int64)
-        for k, n in enumerate(PREFIXES):
-            rest = np.flatnonzero(group < 0)
-            place = prefix_buckets(words, at[rest], n)
-            mine = ~self.frequent[k][place]
-            spot = mix64(place[mine] + (k << _BITS)) % np.uint64(self.groups)
-            group[rest[mine]] = spot.astype(np.int64)
+        group = np.full(len(at), -1, np.int32)
+        window = mix64(h)
+        label = window >> np.uint64(2 * _ORDER_BITS)
+        for k, (n, prefix) in enumerate(zip(PREFIXES, prefix_hashes(words, at), strict=True)):
+            place = (prefix >> np.uint64(64 - self.bits)).astype(np.int64)
+            mine = (group < 0) & ~self.frequent[k][place]
+            group[mine] = mix64(place[mine] + (k << self.bits)) % np.uint64(self.groups)
+            if n >= 4:
+                label |= (prefix & np.uint64((1 << _ORDER_BITS) - 1)) << np.uint64(64 - _ORDER_BITS * (1 if n == 4 else 2))
         # a whole window has one leaf a block at most, so this splits whatever is left
-        leaf = mix64(h)
-        rest = np.flatnonzero(group < 0)
-        group[rest] = (mix64(h[rest] + np.uint64(1)) % np.uint64(self.groups)).astype(np.int64)
-        return at, group, leaf
+        rest = group < 0
+        group[rest] = mix64(window[rest] + np.uint64(1)) % np.uint64(self.groups)
+        return at, group, label
+
+
+def depth(left: np.ndarray, right: np.ndarray, width: int) -> np.ndarray:
+    """Words that two leaves of a group have in common at least, as far as their labels tell: 0, 4, 8 or ``width``."""
+    differ = left ^ right
+    return np.select([differ == 0, differ < np.uint64(1 << 48), differ < np.uint64(1 << 56)], [width, 8, 4], 0)
 
 
 class Block:
-    """The documents of one block in order of their id, with the leaves of their suffixes."""
+    """The documents of one block in order of their id, and the leaves of their suffixes in suffix order.
+
+    Texts stay in Arrow and are taken in small pieces; a suffix costs about 60 bytes while it is sorted.
+    """
 
     def __init__(self, table: pa.Table, plan: Plan):
-        ids = np.array([(i is None, i or 0) for i in table["id"].to_pylist()], dtype=[("null", bool), ("id", np.int64)])
-        texts = table["text"].to_pylist()
-        self.order = np.argsort(ids, kind="stable")
-        self.texts = [texts[i] for i in self.order]
-        rank = np.unique(ids, return_inverse=True)[1][self.order]  # equal ids have equal ranks
-        at, group, leaf, doc, self.words_of = [], [], [], [], []
+        ids = table["id"].combine_chunks()
+        null = ids.is_null().to_numpy(zero_copy_only=False)
+        ids = ids.fill_null(0).to_numpy()
+        self.order = np.lexsort((ids, null))
+        new = np.ones(len(ids), bool)
+        new[1:] = (ids[self.order][1:] != ids[self.order][:-1]) | (null[self.order][1:] != null[self.order][:-1])
+        rank = (np.cumsum(new) - 1).astype(np.int32)  # equal ids have equal ranks
+        self.texts = table["text"].combine_chunks().take(pa.array(self.order))
+        at, group, label, doc, counts = [], [], [], [], []
         base = 0
-        for a, b in blocks([len(t or "") for t in self.texts]):
-            words = Words(self.texts[a:b])
-            w_at, w_group, w_leaf = plan.leaves(words)
-            at.append(w_at + base)
+        for a, b in self.pieces():
+            words = Words(self.texts[a:b].to_pylist())
+            w_at, w_group, w_label = plan.leaves(words)
+            at.append((w_at + base).astype(np.int32))
             group.append(w_group)
-            leaf.append(w_leaf)
+            label.append(w_label)
             doc.append(rank[a:b][words.doc[w_at]])
-            self.words_of.append(words.counts)
+            counts.append(words.counts)
             base += len(words.hash)
-        self.counts = np.concatenate(self.words_of) if self.words_of else np.empty(0, np.int64)
-        self.at, self.group, self.leaf, self.rank = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (at, group, leaf, doc))
-        by = np.lexsort((self.rank, self.leaf, self.group))
-        self.at, self.group, self.leaf, self.rank = self.at[by], self.group[by], self.leaf[by], self.rank[by]
+        empty = np.empty(0, np.int64)
+        self.counts = np.concatenate(counts) if counts else empty
+        group, label, doc = (np.concatenate(x) if x else empty for x in (group, label, doc))
+        by = np.lexsort((doc, label, group))
+        self.group, label, self.rank = group[by], label[by], doc[by]
         new = np.ones(len(by), bool)
-        new[1:] = (self.group[1:] != self.group[:-1]) | (self.leaf[1:] != self.leaf[:-1])
-        self.first = np.flatnonzero(new)  # a node's first leaf, of the smallest id in the block
-        self.node = np.cumsum(new) - 1
-
-    def sent(self, number: int) -> pa.Table:
-        """For each group, the sorted distinct leaves of this block."""
-        group, leaf = self.group[self.first], self.leaf[self.first].astype(np.uint64)
-        cuts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]])) if len(group) else np.zeros(1, np.int64)
+        new[1:] = (self.group[1:] != self.group[:-1]) | (label[1:] != label[:-1])
+        self.first = np.flatnonzero(new).astype(np.int32)  # a node's first leaf, of the smallest id in the block
+        self.node = (np.cumsum(new) - 1).astype(np.int32)
+        self.label, self.group = label[self.first], self.group[self.first]
+        self.at = (np.concatenate(at) if at else empty)[by]
+
+    def pieces(self) -> Iterator[tuple[int, int]]:
+        return blocks(pc.fill_null(pc.binary_length(self.texts), 0).to_pylist())
+
+    def _cuts(self) -> np.ndarray:
+        g = self.group
+        return np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1], [True]])) if len(g) else np.zeros(1, np.int64)
+
+    def sent(self, number: int, place: int) -> pa.Table:
+        """For each group, the distinct leaves of this block in suffix order."""
+        cuts = self._cuts()
         return pa.table({
-            "g": pa.array(group[cuts[:-1]], pa.int64()), "block": pa.array(np.full(len(cuts) - 1, number), pa.int64()),
-            "leaves": pa.array([leaf[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
+            "g": pa.array(self.group[cuts[:-1]], pa.int64()), "place": pa.array(np.full(len(cuts) - 1, place), pa.int64()), "block": pa.array(np.full(len(cuts) - 1, number), pa.int64()),
+            "leaves": pa.array([self.label[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
         })
 
     def removed(self, answer: pa.Table, width: int) -> np.ndarray:
         """Mask of the words inside a window that starts in a document with a smaller id."""
         earlier = np.zeros(len(self.first), bool)
         bits = dict(zip(answer["g"].to_pylist(), answer["bits"].to_pylist(), strict=True))
-        group = self.group[self.first]
-        cuts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]])) if len(group) else np.zeros(1, np.int64)
+        cuts = self._cuts()
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            if raw := bits.get(int(group[a])):
+            if raw := bits.get(int(self.group[a])):
                 earlier[a:b] = np.unpackbits(np.frombuffer(raw, np.uint8), count=b - a).astype(bool)
         bad = earlier[self.node] | (self.rank > self.rank[self.first][self.node]) if len(self.node) else np.empty(0, bool)
         return covered(self.at[bad], width, int(self.counts.sum()))
 
 
-def _answers(leaves: DataFrame, partitions: int) -> DataFrame:
-    """(block, g, bits): for each leaf a block sent, whether a block before it sent it too."""
+def _answers(leaves: DataFrame, partitions: int, width: int) -> DataFrame:
+    """(block, g, bits): for each leaf a block sent, whether a block of an earlier place sent it too."""
 
     def run(batches):
-        for batch in _in_groups(batches, 1):
-            g, number = (batch.column(i).to_numpy() for i in (0, 1))
-            raw = batch.column(2).to_pylist()
+        for batch in in_groups(batches, 1):
+            g, place, number = (batch.column(i).to_numpy() for i in (0, 1, 2))
+            raw = batch.column(3)
             for group in np.unique(g):
                 mine = np.flatnonzero(g == group)
-                parts = [np.frombuffer(raw[i], np.uint64) for i in mine]
-                leaf = np.concatenate(parts)
-                source = np.repeat(number[mine], [len(p) for p in parts])
-                by = np.lexsort((source, leaf))
-                again = np.zeros(len(leaf), bool)
-                again[by[1:]] = leaf[by[1:]] == leaf[by[:-1]]
+                parts = [np.frombuffer(raw[int(i)].as_buffer(), np.uint64) for i in mine]
+                label = np.concatenate(parts)
+                source = np.repeat(place[mine].astype(np.int32), [len(p) for p in parts])
+                by = np.lexsort((source, label))
+                label, source = label[by], source[by]
+                # a deep internal node: leaves that share all words of the window; its first leaf is of the smallest id
+                first = np.ones(len(by), bool)
+                first[1:] = depth(label[:-1], label[1:], width) < width
+                origin = source[np.maximum.accumulate(np.where(first, np.arange(len(by)), 0))] if len(by) else source
+                again = np.zeros(len(by), bool)
+                again[by] = source > origin
                 cuts = np.cumsum([0] + [len(p) for p in parts])
                 sent = [(int(number[i]), again[a:b]) for i, a, b in zip(mine, cuts[:-1], cuts[1:], strict=True) if again[a:b].any()]
                 yield pa.RecordBatch.from_arrays(
@@ -208,71 +284,96 @@ def _answers(leaves: DataFrame, partitions: int) -> DataFrame:
                     names=["block", "g", "bits"],
                 )
 
-    dealt = leaves.repartition(partitions, "g").sortWithinPartitions("g", "block")
-    return dealt.select("g", "block", "leaves").mapInArrow(run, "block bigint, g bigint, bits binary")
+    dealt = leaves.repartition(partitions, "g").sortWithinPartitions("g", "place", "block")
+    return dealt.select("g", "place", "block", "leaves").mapInArrow(run, "block bigint, g bigint, bits binary")
 
 
 def remove_repeats(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", how: Repeats = Repeats(), keep: tuple[str, ...] = (), with_text: bool = False,
 ) -> DataFrame:
-    """Per row of ``docs``: id, ``n_words``, ``n_removed``, ``kept_sha256``, and the columns ``keep``.
+    """Per row of ``docs``: id, ``n_words``, ``n_removed``, ``kept_sha256``, ``spans``, and the columns ``keep``.
 
     A word goes if a window of ``width`` words over it also starts in a document with a smaller
-    id; null ids come after all others.  Rows that share an id do not remove each other's words.
+    id; null ids come after all others.  ``spans`` (start, length in words) are the maximal repeats that go.
     The kept words are joined by one space (``kept_text`` if ``with_text``; a text that loses no
-    word stays as it is there).  Null and empty texts have no words.
+    word stays as it is there).
+
+    Null and empty texts have no words; texts of fewer than ``width`` words lose none.  Rows that share an id do
+    not remove each other's words, so repeated rows get equal results.  A very long text is a block of its own.
+    Columns other than id and text are left alone, whatever their names, and an empty table gives an
+    empty result.
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"_{c}") for c in keep])
-    limits = block_limits(rows, how)
-    plan = Plan(prefix_counts(rows, how), how)
-    shared = docs.sparkSession.sparkContext.broadcast((limits, plan))
+    ranges = block_ranges(rows, how)
+    plan = Plan(prefix_counts(rows, how, how.table_bits(ranges.text_bytes)), how)
+    shared = docs.sparkSession.sparkContext.broadcast((ranges, plan))
 
     @F.pandas_udf(T.LongType())
-    def block_of(ids: pd.Series) -> pd.Series:
-        known = ids.isna().to_numpy()
-        v = ids.fillna(0).to_numpy(np.int64)
-        return pd.Series(np.where(known, len(shared.value[0]), np.searchsorted(shared.value[0], v, side="left")))
+    def block_of(ids: pd.Series, spread: pd.Series) -> pd.Series:
+        null = ids.isna().to_numpy()
+        return pd.Series(shared.value[0].block(ids.fillna(0).to_numpy(np.int64), null, spread.to_numpy(np.int64)))
 
-    dealt = rows.withColumn("block", block_of("id")).repartition(how.partitions(len(limits) + 1), "block")
+    spread = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
+    # both passes take the same columns, so that they read one exchange
+    dealt = rows.withColumn("block", block_of("id", spread)).repartition(how.partitions(ranges.blocks), "block")
 
     def send(table: pa.Table) -> pa.Table:
-        return Block(table, shared.value[1]).sent(table["block"][0].as_py())
+        number = table["block"][0].as_py()
+        out = Block(table, shared.value[1]).sent(number, int(shared.value[0].place(np.array(number))))
+        pa.default_memory_pool().release_unused()
+        return out
 
     names = [f"_{c}" for c in keep]
     kinds = {f.name: f.dataType for f in rows.schema.fields}
+    span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("length", T.LongType())]))
     schema = T.StructType(
-        [T.StructField("id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())]
+        [T.StructField("id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType()), T.StructField("spans", span)]
         + ([T.StructField("kept_text", T.StringType())] if with_text else []) + [T.StructField(n, kinds[n]) for n in names]
     )
 
     def settle(table: pa.Table, answer: pa.Table) -> pa.Table:
         block = Block(table, shared.value[1])
         gone = block.removed(answer, how.width)
-        starts = np.concatenate([[0], np.cumsum(block.counts)])
-        lost = np.add.reduceat(np.append(gone, False).astype(np.int64), starts[:-1]) if len(block.counts) else np.empty(0, np.int64)
-        lost[block.counts == 0] = 0
-        digest, texts = [], []
-        for i, text in enumerate(block.texts):
-            words = (text or "").encode().split()
-            if lost[i]:
-                stay = ~gone[starts[i] : starts[i + 1]]
-                words = [w for w, k in zip(words, stay.tolist(), strict=True) if k]
-            kept = b" ".join(words)
-            digest.append(hashlib.sha256(kept).hexdigest())
-            texts.append(kept.decode() if lost[i] else text)
-        order = pa.array(block.order)
-        out = {"id": table["id"].take(order), "n_words": pa.array(block.counts, pa.int64()), "n_removed": pa.array(lost, pa.int64()), "kept_sha256": pa.array(digest, pa.string())}
+        order, counts, texts = pa.array(block.order), block.counts, block.texts
+        pieces = list(block.pieces())
+        del block
+        starts = np.concatenate([[0], np.cumsum(counts)])
+        total = np.concatenate([[0], np.cumsum(gone)])
+        lost = total[starts[1:]] - total[starts[:-1]]
+        digest, kept_texts, spans = [], [], []
+        for a, b in pieces:
+            for i, text in enumerate(texts[a:b].to_pylist(), a):
+                words, runs = (text or "").encode().split(), []
+                if lost[i]:
+                    mine = gone[starts[i] : starts[i + 1]]
+                    edge = np.flatnonzero(np.diff(mine.astype(np.int8), prepend=0, append=0)).tolist()
+                    runs = [{"start": s, "length": e - s} for s, e in zip(edge[::2], edge[1::2], strict=True)]
+                    words = [w for w, k in zip(words, mine.tolist(), strict=True) if not k]
+                kept = b" ".join(words)
+                digest.append(hashlib.sha256(kept).hexdigest())
+                spans.append(runs)
+                if with_text:
+                    kept_texts.append(kept.decode() if lost[i] else text)
+        out = {
+            "id": table["id"].take(order), "n_words": pa.array(counts, pa.int64()), "n_removed": pa.array(lost, pa.int64()), "kept_sha256": pa.array(digest, pa.string()),
+            "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))),
+        }
         if with_text:
-            out["kept_text"] = pa.array(texts, pa.string())
-        return pa.table(out | {n: table[n].take(order) for n in names})
+            out["kept_text"] = pa.array(kept_texts, pa.string())
+        out = pa.table(out | {n: table[n].take(order) for n in names})
+        pa.default_memory_pool().release_unused()
+        return out
 
-    answers = _answers(dealt.select("id", "text", "block").groupBy("block").applyInArrow(send, "g bigint, block bigint, leaves binary"), how.partitions(plan.groups))
+    answers = _answers(dealt.groupBy("block").applyInArrow(send, "g bigint, place bigint, block bigint, leaves binary"), how.partitions(plan.groups), how.width)
     found = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(settle, schema)
     return found.withColumnsRenamed({"id": id_col} | {f"_{c}": c for c in keep})
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", how: Repeats = Repeats()) -> DataFrame:
-    """``docs`` with repeated passages cut from the text; a document that loses all its words goes."""
+    """``docs`` with repeated passages cut from the text; a document that loses all its words goes.
+
+    Rows, ids, nulls and ties are treated as in ``remove_repeats``; all columns stay as they are but the text.
+    """
     others = [F.col(c) for c in docs.columns if c not in (id_col, text_col)] or [F.lit(0).alias("none")]
     packed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct(*others).alias("row"))
     found = remove_repeats(packed, "id", "text", how, keep=("row",), with_text=True)

@@ -1,7 +1,10 @@
 """Operators on documents against plain Python."""
 
 import hashlib
+import random
 import re
+import subprocess
+import sys
 from collections import Counter
 
 import numpy as np
@@ -13,6 +16,11 @@ from pyspark.sql import functions as F
 from tessella.llm import bpe, langid, minhash, mixing, quality, repetition, substrings, toxicity
 from tessella.llm.common import FOLD, LETTERS, Words, is_held_out
 
+def prose(seed: int, n: int, vocabulary: int = 300) -> str:
+    rng = random.Random(seed)
+    return " ".join(f"w{rng.randrange(vocabulary)}" for _ in range(n))
+
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -173,26 +181,78 @@ def without_repeats(rows, width=13):
 
 @pytest.mark.parametrize("how", [substrings.Repeats(), substrings.Repeats(block_bytes=3000, group_windows=500)])
 def test_substrings(docs, no_docs, how):
-    have = Counter(tuple(r) for r in substrings.remove_repeats(docs, how=how).collect())
-    assert have == Counter(without_repeats([(r.doc_id, r.text) for r in docs.collect()]))
+    found = substrings.remove_repeats(docs, how=how).collect()
+    assert Counter(tuple(r)[:4] for r in found) == Counter(without_repeats([(r.doc_id, r.text) for r in docs.collect()]))
+    assert all(sum(s.length for s in r.spans) == r.n_removed and all(s.length > 0 for s in r.spans) for r in found)
     kept = substrings.deduplicated(docs, how=how)
     gone = sum(n and n == k for _, n, k, _ in without_repeats([(r.doc_id, r.text) for r in docs.collect()]))
     assert kept.columns == docs.columns and kept.count() == docs.count() - gone
     assert substrings.remove_repeats(no_docs, how=how).count() == 0 and substrings.deduplicated(no_docs).count() == 0
 
 
+def test_hot_ids_have_several_blocks(spark):
+    """Half of all rows share an id, others have none, and passages run through all of them."""
+    passage = "a passage that very many of the documents have in common with each other and that goes on"
+    rows = [(7 if i % 2 else None if i % 3 == 0 else i, f"{prose(i, 30)} {passage} {prose(i % 5, 20)}") for i in range(200)] + [(None, None), (7, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    how = substrings.Repeats(block_bytes=2000, group_windows=300)
+    ranges = substrings.block_ranges(df.withColumnRenamed("doc_id", "id"), how)
+    of = ranges.block(np.full(50, 7), np.zeros(50, bool), np.arange(50) * 7919)
+    assert len(set(of.tolist())) > 5 and len(set(ranges.place(of).tolist())) == 1
+    assert len(set(ranges.block(np.zeros(50, int), np.ones(50, bool), np.arange(50)).tolist())) > 2
+    have = Counter(tuple(r)[:4] for r in substrings.remove_repeats(df, how=how).collect())
+    assert have == Counter(without_repeats(rows))
+
+
 def test_blocks_hold_equal_text(spark, no_docs):
     how = substrings.Repeats(block_bytes=1000, most_partitions=3)
     sizes = [(i, 10 if i % 100 else 5000) for i in range(1000)] + [(77, 30), (None, 40)]
     rows = spark.createDataFrame([(i, "x" * n) for i, n in sizes], "id bigint, text string").repartition(3)
-    limits = substrings.block_limits(rows, how)
-    assert (np.diff(limits) > 0).all() and len(limits) >= 10
+    ranges = substrings.block_ranges(rows, how)
+    assert (np.diff(ranges.limits) > 0).all() and len(ranges.limits) >= 10 and (np.diff(ranges.first) > 0).all()
     held = Counter()
     for i, n in sizes[:-1]:
-        held[int(np.searchsorted(limits, i))] += n
+        held[int(np.searchsorted(ranges.limits, i))] += n
     assert max(held.values()) <= 1500 + 5000
-    assert len(substrings.block_limits(no_docs.select(F.col("doc_id").alias("id"), "text"), how)) == 0
-    assert how.partitions(50) == 3
+    empty = substrings.block_ranges(no_docs.select(F.col("doc_id").alias("id"), "text"), how)
+    assert len(empty.limits) == 0 and empty.blocks == 2
+    assert how.partitions(50) == 3 and how.table_bits(0) == 15 and how.table_bits(10**15) == 20
+
+
+def test_leaves_are_in_suffix_order():
+    """Suffixes below one internal node lie together, and labels tell what neighbours share."""
+    words = Words([" ".join(["a b c d e f g h", f"x{i} y z q r s t {i}"]) for i in range(40)] + [prose(3, 400, 40)])
+    plan = substrings.Plan(np.zeros((4, 1 << 15), np.int64), substrings.Repeats())
+    at, _, label = plan.leaves(words)
+    order = np.argsort(label, kind="stable")
+    text = [[words.hash[p + k] for k in range(13)] for p in at[order]]
+    shared = [next((k for k in range(13) if a[k] != b[k]), 13) for a, b in zip(text, text[1:])]
+    told = substrings.depth(label[order][:-1], label[order][1:], 13)
+    assert all(t <= s or t < 13 and s < t for t, s in zip(told.tolist(), shared)) and ((told == 13) == (np.array(shared) == 13)).all()
+    places = [i for i, t in enumerate(text) if t[:8] == text[shared.index(max(s for s in shared if s < 13))][:8]]
+    assert places == list(range(places[0], places[0] + len(places)))
+
+
+def test_a_full_block_fits_a_worker():
+    """Peak memory of both passes over a block of the largest size, besides the texts."""
+    code = """
+import resource, numpy as np, pyarrow as pa
+from tessella.llm import substrings as s
+how, rng = s.Repeats(), np.random.default_rng(1)
+vocabulary = np.array([f"w{k:x}" for k in range(4000)])
+texts = [" ".join(vocabulary[rng.integers(0, 4000, 300)]) for _ in range(int(1.5 * how.block_bytes / 1250))]
+table = pa.table({"id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts)})
+del texts
+plan = s.Plan(np.zeros((4, 1 << 15), np.int64), how)
+plan.groups = 200
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+block = s.Block(table, plan)
+n = block.sent(0, 0).num_rows
+block.removed(pa.table({"g": pa.array([], pa.int64()), "bits": pa.array([], pa.binary())}), 13)
+print(n, (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split()
+    assert int(out[0]) == 200 and float(out[1]) < 150
 
 
 def test_mixing(docs, no_docs):
