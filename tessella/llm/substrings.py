@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import WINDOW_BASE, Words, blocks, covered, in_groups, mix64
+from tessella.llm.common import WINDOW_BASE, Words, blocks, covered, cut, forget, in_groups, mix64
 
 #: Lengths of the prefixes, in words.
 PREFIXES = (1, 2, 4, 8)
@@ -100,41 +100,41 @@ class Ranges:
 def block_ranges(rows: DataFrame, how: Repeats) -> Ranges:
     """Ranges of the id with about equal text, from the text bytes of every id.
 
-    Running sums over the sorted ids: a block holds at most about 1.5 ``block_bytes`` and one
-    text, wherever the long texts are.  An id of more bytes than a block is a range alone, of as many blocks as
+    A running sum over all sorted ids (each partition starts at the sum of those before it) closes a block
+    whenever it passes a multiple of ``block_bytes``, so a block holds at most about that and one id more, however the
+    ids lie in partitions.  An id of more bytes than a block is a range alone, of as many blocks as
     its bytes fill; its rows are spread over them by a hash of the text.
     """
+    sizes = rows.groupBy("id").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint")).alias("n"))
+    ranged = cut(sizes.repartitionByRange("id").sortWithinPartitions("id").withColumn("part", F.spark_partition_id()))
+    sums = ranged.groupBy("part").agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(F.col("id").isNull(), F.col("n"))), F.lit(0)).alias("null")).orderBy("part").toArrow()
+    known = sums["n"].to_numpy() - sums["null"].to_numpy()
+    offsets = dict(zip(sums["part"].to_pylist(), (np.cumsum(known) - known).tolist(), strict=True))
+    total, null_bytes = sum(sums["n"].to_pylist()), sum(sums["null"].to_pylist())
 
     def cuts(batches):
-        total, last = 0, None
+        total = None
         for batch in batches:
-            ids, sizes = (batch.column(i).to_numpy() for i in (0, 1))
-            limit, parts = [], []
-            for i, n in zip(ids.tolist(), sizes.tolist(), strict=True):
-                if n > how.block_bytes:
-                    limit += [i - 1, i]
-                    parts += [1, -(-n // how.block_bytes)]
-                    total = 0
-                elif (total := total + n) >= how.block_bytes:
-                    limit.append(i)
-                    parts.append(1)
-                    total = 0
-                last = i
-            yield pa.RecordBatch.from_arrays([pa.array(limit, pa.int64()), pa.array(parts, pa.int64())], names=["id", "parts"])
-        if last is not None and total >= how.block_bytes // 2:
-            yield pa.RecordBatch.from_arrays([pa.array([last], pa.int64()), pa.array([1], pa.int64())], names=["id", "parts"])
-
-    sizes = rows.groupBy("id").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint")).alias("n"))
-    known = sizes.where("id is not null")
-    found = known.repartitionByRange("id").sortWithinPartitions("id").mapInArrow(cuts, "id bigint, parts bigint")
+            if not batch.num_rows:
+                continue
+            ids, sizes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            total = offsets[batch.column(2)[0].as_py()] if total is None else total
+            running = total + np.cumsum(sizes)
+            full = np.diff(running // how.block_bytes, prepend=total // how.block_bytes) > 0
+            total = int(running[-1])
+            large = ids[sizes > how.block_bytes]
+            parts = np.concatenate([np.maximum(1, -(-sizes[full] // how.block_bytes)), np.ones(len(large), np.int64)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([ids[full], large - 1])), pa.array(parts)], names=["id", "parts"])
+
+    found = ranged.where("id is not null").mapInArrow(cuts, "id bigint, parts bigint")
     found = found.groupBy("id").agg(F.max("parts").alias("parts")).limit(_MOST_BLOCKS + 1).toArrow()
+    forget(ranged)
     if found.num_rows > _MOST_BLOCKS:
         raise ValueError(f"more than {_MOST_BLOCKS} blocks: give larger block_bytes")
-    bytes_, null_bytes = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("id").isNull(), F.col("n"))), F.lit(0))).first()
     ids, parts = found["id"].to_numpy(), found["parts"].to_numpy()
     order = np.argsort(ids)
     parts = np.concatenate([parts[order], [1, max(1, -(-null_bytes // how.block_bytes))]])
-    return Ranges(ids[order], np.concatenate([[0], np.cumsum(parts)]).astype(np.int64), int(bytes_))
+    return Ranges(ids[order], np.concatenate([[0], np.cumsum(parts)]).astype(np.int64), int(total))
 
 
 def prefix_counts(docs: DataFrame, how: Repeats, bits: int = 15) -> np.ndarray:

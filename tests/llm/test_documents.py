@@ -213,7 +213,12 @@ def test_blocks_hold_equal_text(spark, no_docs):
     held = Counter()
     for i, n in sizes[:-1]:
         held[int(np.searchsorted(ranges.limits, i))] += n
-    assert max(held.values()) <= 1500 + 5000
+    assert max(held.values()) <= 1000 + 5000
+    many = rows.sparkSession.newSession()
+    many.conf.set("spark.sql.shuffle.partitions", 200)  # each with less text than a block
+    many.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spread = substrings.block_ranges(many.createDataFrame(rows.collect(), rows.schema), how)
+    assert (spread.limits == ranges.limits).all()
     empty = substrings.block_ranges(no_docs.select(F.col("doc_id").alias("id"), "text"), how)
     assert len(empty.limits) == 0 and empty.blocks == 2
     assert how.partitions(50) == 3 and how.table_bits(0) == 15 and how.table_bits(10**15) == 20
