@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import cut
+from tessella.llm.common import cut, forget
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -14,7 +14,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Alternates large-star and small-star steps: every edge of a node is moved to the smallest
     node it has seen, until nothing changes (a logarithmic number of rounds in practice).
     Each step is a grouped minimum and a join, so no group is gathered anywhere and a hot
-    node is a skewed join that Spark can split.  Rounds are cut by checkpoints.
+    node is a skewed join that Spark can split.  Rounds are cut by checkpoints; one that
+    nothing reads any more is deleted.
     """
     now = cut(edges.where("a is not null and b is not null and a <> b").select(
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
@@ -29,7 +30,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         # small star: the smaller neighbours of a node, and itself, to the smallest
         least = big.groupBy("a").agg(F.min("b").alias("m"))
         small = big.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = cut(small.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
+        last, now = now, cut(small.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
+        forget(last)
         before, state = state, _state(now)
         if before == state:
             break

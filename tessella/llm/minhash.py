@@ -5,15 +5,15 @@
 2. Every class has a signature of ``trees * depth`` minima.  Tree t sorts the classes by the
    signature read from column ``t * depth`` on; classes that agree on the first ``depth`` values
    are a region.  Regions of one class are dropped before anything wide is shuffled.
-3. Candidates: in a region of up to ``small`` classes all pairs, in larger ones the nearest
-   neighbours by longest common prefix are compared by signature; larger regions go on to a deeper
-   prefix (adaptive depth), so that no task holds more than a chunk of one.  A spanning forest of the
-   pairs that agree enough ties classes into families.  In regions that still have several
-   families all pairs across them are compared, in blocks, and tie further: so any two
-   classes of one region that agree enough are of one family.
-4. Verification: the classes of a family meet once, in pairs of blocks, with their full sets.
-   Every pair that agrees enough is verified unless verified links connect it already; a task
-   returns a spanning forest of the links, never the pairs.
+3. In a region's sorted order the common prefix of neighbours is computed.  A region is cut deeper and
+   deeper by it until no part has more than ``small`` classes (adaptive depth); candidates are all pairs of such a
+   part and, in the whole region, the ``neighbours`` next in order, which have the longest common
+   prefixes.  A spanning forest of the candidates whose signatures agree enough goes on.
+4. Those few pairs are verified on full sets, and verified links make components.
+5. Where a part was cut from a larger region, or a pair failed, classes of different components may
+   still be linked.  There the signatures of all pairs across components are compared, in blocks; classes that
+   agree with one of another component meet once more in blocks with their full sets, and every
+   such pair is verified unless links connect it already.  Tasks return spanning links, never the pairs.
 
 At similarity 0.8 a pair shares no region with probability (1 - 0.8**4)**24 = 3e-6, and
 falls under the agreement ``floor`` with probability below 1e-4.
@@ -28,20 +28,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import FOLD, WINDOW_BASE, Words, blocks, cut, in_groups, mix64
+from tessella.llm.common import FOLD, WINDOW_BASE, Words, blocks, cut, forget, in_groups, mix64
 from tessella.llm.components import connected_components
 
 
 @dataclass(frozen=True)
 class Forest:
+    """``chunk`` classes of a region and ``block_bytes`` of sets fit a task's memory."""
+
     trees: int = 24
     depth: int = 4
-    shingle: int = 4
+    shingle: int = 5
     percent: int = 80
     floor: float = 0.64
     small: int = 16
     neighbours: int = 6
-    chunk: int = 256
+    chunk: int = 1024
+    block_bytes: int = 8 << 20
 
     @property
     def width(self) -> int:
@@ -181,25 +184,49 @@ def _chunks(members: DataFrame, width: int, forest: Forest) -> DataFrame:
     return fits.unionByName(cut_up.select(*fits.columns))
 
 
+def prefix_parts(lcp: np.ndarray, small: int, depth: int, width: int) -> np.ndarray:
+    """Number of the part that each class of a sorted order belongs to.
+
+    ``lcp[i]`` is the length of the common prefix of classes i - 1 and i (below ``depth`` where a region
+    begins).  Parts of more than ``small`` classes are cut where their neighbours share one value less, again
+    and again; classes of equal signatures stay together.
+    """
+    new = lcp < depth
+    new[0] = True
+    for d in range(depth + 1, width + 1):
+        part = np.cumsum(new) - 1
+        long = np.bincount(part)[part] > small
+        if not long.any():
+            break
+        new |= long & (lcp < d)
+    return np.cumsum(new) - 1
+
+
 def _first_pairs(members: DataFrame, forest: Forest) -> DataFrame:
     """Spanning pairs of agreeing classes in regions and their chunks.
 
-    ``members``: (key, chunk, size, id, tree, sig), sig being read from the tree's columns on.
+    ``members``: (key, chunk, id, sig), sig being read from the tree's columns on.
     """
 
     def run(batches):
         for batch in in_groups(batches, 2):
-            key, chunk, size, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 3))
-            sig = _matrix(batch.column(5), forest.width)
+            key, chunk, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2))
+            sig = _matrix(batch.column(3), forest.width)
+            differ = sig[1:] != sig[:-1]
+            lcp = np.append(0, np.where(differ.any(axis=1), differ.argmax(axis=1), forest.width))
+            begins = np.ones(len(ids), bool)
+            begins[1:] = (key[1:] != key[:-1]) | (chunk[1:] != chunk[:-1])
+            region = np.cumsum(begins)
+            part = prefix_parts(np.where(begins, 0, np.maximum(lcp, forest.depth)), forest.small, forest.depth, forest.width)
+            size = np.bincount(part)[part]
             left, right, agree = [], [], []
-            for step in range(1, len(ids)):
-                i = np.flatnonzero((key[step:] == key[:-step]) & (chunk[step:] == chunk[:-step]) & (ids[step:] != ids[:-step]))
-                if not len(i) and not ((key[step:] == key[:-step]) & (chunk[step:] == chunk[:-step])).any():
+            for step in range(1, min(len(ids), max(forest.small, forest.neighbours + 1))):
+                near = region[step:] == region[:-step]
+                if not near.any():
                     break
                 if step > forest.neighbours:
-                    i = i[size[i] <= forest.small]
-                    if step > forest.small:
-                        break
+                    near &= (part[step:] == part[:-step]) & (size[step:] <= forest.small)
+                i = np.flatnonzero(near & (ids[step:] != ids[:-step]))
                 share = (sig[i] == sig[i + step]).mean(axis=1)
                 ok = share >= forest.floor
                 left.append(i[ok])
@@ -209,37 +236,62 @@ def _first_pairs(members: DataFrame, forest: Forest) -> DataFrame:
                 continue
             left, right, agree = np.concatenate(left), np.concatenate(right), np.concatenate(agree)
             if len(left):
-                keep = _forest_of(left, right, agree)
-                yield _pair_batch([ids[left[keep]]], [ids[right[keep]]])
+                # the order of equals is by ids, so that the forests of different trees have the same pairs
+                a, b = np.minimum(ids[left], ids[right]), np.maximum(ids[left], ids[right])
+                keep = _forest_of(a, b, agree)
+                yield _pair_batch([a[keep]], [b[keep]])
 
     rows = members.repartition("key", "chunk").sortWithinPartitions("key", "chunk", "sig", "id")
-    return rows.select("key", "chunk", "size", "id", "tree", "sig").mapInArrow(run, _PAIRS)
+    return rows.select("key", "chunk", "id", "sig").mapInArrow(run, _PAIRS)
 
 
-def _cross_pairs(blocks_: DataFrame, forest: Forest) -> DataFrame:
-    """Spanning pairs of agreeing classes of different families in blocks (key, i, j, query, family, id, sig)."""
+def _across(blocks_: DataFrame, forest: Forest) -> DataFrame:
+    """(id, family, root): classes that agree with one of another family, with a family that stands for all that
+    a task tied together; from blocks (key, i, j, query, family, id, sig)."""
 
     def run(batches):
         for batch in in_groups(batches, 3):
             key, i, j, query, family, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(6))
             sig = _matrix(batch.column(6), forest.width)
             cuts = _bounds(key, i, j)
-            a, b = [], []
+            marked = np.zeros(len(ids), bool)
+            left, right = [], []
             for s, e in zip(cuts[:-1], cuts[1:], strict=True):
                 q, r = s + np.flatnonzero(query[s:e]), s + np.flatnonzero(~query[s:e])
                 for lo in range(0, len(q), 64):
                     part = q[lo : lo + 64]
                     share = (sig[part][:, None, :] == sig[r][None, :, :]).mean(axis=2)
                     x, y = np.nonzero((share >= forest.floor) & (family[part][:, None] != family[r][None, :]))
-                    # families, not classes, are to be tied: one pair for each two of them
-                    keep = _forest_of(family[part[x]], family[r[y]], share[x, y])
-                    a.append(ids[part[x[keep]]])
-                    b.append(ids[r[y[keep]]])
-            if a and sum(map(len, a)):
-                yield _pair_batch(a, b)
+                    marked[part[x]] = True
+                    marked[r[y]] = True
+                    tie = np.unique(np.column_stack([family[part[x]], family[r[y]]]), axis=0)
+                    left.append(tie[:, 0])
+                    right.append(tie[:, 1])
+            at = np.flatnonzero(marked)
+            if len(at):
+                root = _roots(np.concatenate(left), np.concatenate(right))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[at]), pa.array(family[at]), pa.array([root[f] for f in family[at].tolist()], pa.int64())], names=["id", "family", "root"]
+                )
 
     rows = blocks_.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return rows.select("key", "i", "j", "query", "family", "id", "sig").mapInArrow(run, _PAIRS)
+    return rows.select("key", "i", "j", "query", "family", "id", "sig").mapInArrow(run, "id bigint, family bigint, root bigint")
+
+
+def _roots(a: np.ndarray, b: np.ndarray) -> dict[int, int]:
+    """Smallest connected node of every node of the edges."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        x, y = find(x), find(y)
+        parent[max(x, y)] = min(x, y)
+    return {x: find(x) for x in list(parent)}
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, forest: Forest) -> DataFrame:
@@ -255,30 +307,54 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, forest: Forest) -> DataFrame:
     return docs.join(wanted, "id", "left_semi").select("id", "text").mapInArrow(run, "id bigint, set binary")
 
 
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    both = np.concatenate([x, y])
+    both.sort()
+    inter = int(np.count_nonzero(both[1:] == both[:-1]))
+    return 100 * inter >= percent * (len(both) - inter)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, forest: Forest) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
+
+    def run(batches):
+        for batch in batches:
+            left, right = batch.column(2), batch.column(3)
+            ok = np.array([
+                _similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), forest.percent) for x, y in zip(left, right, strict=True)
+            ], bool)
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(ok)) for i in (0, 1)], names=["a", "b"])
+
+    joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
+    return joined.select("a", "b", "x", "y").mapInArrow(run, _PAIRS).distinct()
+
+
 def _links(rows: DataFrame, forest: Forest) -> DataFrame:
-    """Spanning links between the classes of a family, from blocks (family, i, j, side, id, sig, set)."""
+    """Spanning links between classes of different families, from blocks (tied, i, j, side, id, family, sig, set)."""
 
     def run(batches):
         for batch in in_groups(batches, 3):
-            family, i, j, side, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(5))
-            sig = _matrix(batch.column(5), forest.width)
-            sets = batch.column(6)
-            cuts = _bounds(family, i, j)
+            tied, i, j, side, ids, family = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(6))
+            sig = _matrix(batch.column(6), forest.width)
+            sets = batch.column(7)
+            cuts = _bounds(tied, i, j)
             a, b = [], []
             for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-                own = [np.frombuffer(x, np.uint64) for x in sets.slice(s, e - s).to_pylist()]
-                for x, y in _verify_block(own, sig[s:e], side[s:e], bool(i[s] == j[s]), forest):
+                own = [np.frombuffer(x.as_buffer(), np.uint64) for x in sets.slice(s, e - s)]
+                for x, y in _verify_block(own, sig[s:e], side[s:e], family[s:e], bool(i[s] == j[s]), forest):
                     a.append(ids[s + x])
                     b.append(ids[s + y])
             if a:
                 yield _pair_batch([np.array(a)], [np.array(b)])
 
-    dealt = rows.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "id")
-    return dealt.select("family", "i", "j", "side", "id", "sig", "set").mapInArrow(run, _PAIRS)
+    dealt = rows.repartition("tied", "i", "j").sortWithinPartitions("tied", "i", "j", "id")
+    return dealt.select("tied", "i", "j", "side", "id", "family", "sig", "set").mapInArrow(run, _PAIRS)
 
 
-def _verify_block(sets: list[np.ndarray], sig: np.ndarray, side: np.ndarray, same: bool, forest: Forest) -> list[tuple[int, int]]:
-    """Forest of the verified pairs of one block, or of two (``side`` 0 and 1), best agreement first."""
+def _verify_block(sets: list[np.ndarray], sig: np.ndarray, side: np.ndarray, family: np.ndarray, same: bool, forest: Forest) -> list[tuple[int, int]]:
+    """Verified pairs of one block, or of two (``side`` 0 and 1), that tie families, best agreement first."""
     n = np.array([len(s) for s in sets])
     q = np.arange(len(sets)) if same else np.flatnonzero(side == 0)
     r = q if same else np.flatnonzero(side == 1)
@@ -287,13 +363,17 @@ def _verify_block(sets: list[np.ndarray], sig: np.ndarray, side: np.ndarray, sam
         part = q[lo : lo + 64]
         share = (sig[part][:, None, :] == sig[r][None, :, :]).mean(axis=2)
         ok = (share >= forest.floor) & (100 * np.minimum(n[part][:, None], n[r][None, :]) >= forest.percent * np.maximum(n[part][:, None], n[r][None, :]))
+        ok &= family[part][:, None] != family[r][None, :]
         if same:
             ok &= part[:, None] < r[None, :]
         x, y = np.nonzero(ok)
         left.append(part[x])
         right.append(r[y])
         agree.append(share[x, y])
+    if not left:
+        return []
     left, right, agree = np.concatenate(left), np.concatenate(right), np.concatenate(agree)
+    _, at = np.unique(family, return_inverse=True)
     parent = list(range(len(sets)))
 
     def find(x: int) -> int:
@@ -305,72 +385,90 @@ def _verify_block(sets: list[np.ndarray], sig: np.ndarray, side: np.ndarray, sam
     out = []
     for k in np.lexsort((right, left, -agree)).tolist():
         x, y = int(left[k]), int(right[k])
-        u, v = find(x), find(y)
-        if u == v:
-            continue
-        both = np.concatenate([sets[x], sets[y]])
-        both.sort()
-        inter = int(np.count_nonzero(both[1:] == both[:-1]))
-        if 100 * inter >= forest.percent * (len(both) - inter):
+        u, v = find(int(at[x])), find(int(at[y]))
+        if u != v and _similar(sets[x], sets[y], forest.percent):
             parent[u] = v
             out.append((x, y))
     return out
 
 
+def _still_apart(shared: DataFrame, classes: DataFrame, comps: DataFrame, failed: DataFrame, forest: Forest) -> DataFrame:
+    """(id, family, root) of step 5: the classes that agree with one of another component in a region that was cut, or
+    in which a candidate pair failed."""
+    marked = failed.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("failed", F.lit(1))
+    spots = shared.join(marked, "id", "left").join(comps.select(F.col("node").alias("id"), F.col("component").alias("family")), "id", "left")
+    spots = cut(spots.select("key", "id", "tree", "size", "failed", F.coalesce("family", "id").alias("family")))
+    per = spots.where("size > 2").groupBy("key", "family").agg(F.count("*").alias("n"), F.max("failed").alias("failed"), F.first("size").alias("size"))
+    several = per.groupBy("key").agg(
+        F.count("*").alias("parts"), F.max(F.struct("n", "family")).alias("main"), F.sum("n").alias("all"), F.max("failed").alias("any"), F.first("size").alias("members")
+    )
+    several = several.where((F.col("parts") > 1) & (F.col("any").isNotNull() | (F.col("members") > forest.small)))
+    several = several.select("key", F.col("main.family").alias("main"), (F.col("all") - F.col("main.n")).alias("minor"))
+    open_ = spots.join(several, "key").join(classes, "id")
+    # all but the largest component of a region against the whole region
+    ci, cj = F.ceil(F.col("minor") / forest.chunk), F.ceil(F.col("size") / forest.chunk)
+    spread = F.xxhash64("id", F.lit(5))
+    query = open_.where("family <> main").withColumn("query", F.lit(True)).withColumn("i", F.pmod(spread, ci)).withColumn("j", F.explode(F.sequence(F.lit(0), cj - 1)))
+    other = open_.withColumn("query", F.lit(False)).withColumn("j", F.pmod(spread, cj)).withColumn("i", F.explode(F.sequence(F.lit(0), ci - 1)))
+    columns = ["key", "i", "j", "query", "family", "id", "sig"]
+    out = cut(_across(query.select(columns).unionByName(other.select(columns)), forest).distinct())
+    forget(spots)
+    return out
+
+
+def _later_links(apart: DataFrame, rows: DataFrame, classes: DataFrame, sets: DataFrame, forest: Forest) -> DataFrame:
+    """Verified links between the components that ``apart`` ties, from full sets in pairs of blocks."""
+    ties = connected_components(apart.where("family <> root").select(F.col("family").alias("a"), F.col("root").alias("b")).distinct())
+    wanted = apart.select("id", "family").distinct().join(ties.select(F.col("node").alias("family"), F.col("component").alias("tied")), "family")
+    missing = cut(wanted.select("id").distinct().join(sets, "id", "left_anti"))
+    if not missing.isEmpty():
+        sets = sets.unionByName(_sets_of(rows, missing, forest))
+    wanted = cut(wanted.join(sets, "id").join(classes, "id"))
+    number = wanted.groupBy("tied").agg(F.ceil(F.sum(F.octet_length("set") + F.octet_length("sig")) / forest.block_bytes).alias("blocks"))
+    dealt = wanted.join(number, "tied").withColumn("b", F.pmod(F.xxhash64("id", F.lit(9)), F.col("blocks")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).withColumns(
+        {"i": F.least("b", "other"), "j": F.greatest("b", "other"), "side": F.when(F.col("b") <= F.col("other"), 0).otherwise(1)}
+    )
+    out = cut(_links(dealt, forest))
+    forget(missing, wanted)
+    return out
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", forest: Forest = Forest()) -> DataFrame:
     """Per row of ``docs``: id, ``n_shingles``, ``component_id`` and ``kept``.
 
-    A document without words has an empty set and is linked with nothing.  Rows with equal
+    A null or empty text, or one without words, has an empty set and is linked with nothing.  Rows with equal
     sets are linked.  Rows that share an id are one node of the link graph.  A row with a
     null id takes part only as a copy: it gets the component of its equals (null if there are
-    none with an id) and is not kept.  Other columns are left alone.
+    none with an id) and is not kept.  Texts of any length are read whole.  Other columns are left alone,
+    whatever their names, and an empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     sketch = cut(_sketch(rows, forest))
     full = sketch.where("n > 0 and id is not null")
-    keys = full.groupBy("k1", "k2", "n").agg(F.min("id").alias("rep"))
-    classes = cut(
-        full.join(keys.withColumnRenamed("rep", "id"), ["k1", "k2", "n", "id"]).groupBy("k1", "k2", "id").agg(F.first("sig").alias("sig")).select("id", "sig")
-    )
+    keys = cut(full.groupBy("k1", "k2", "n").agg(F.min(F.struct("id", "sig")).alias("c")).select("k1", "k2", "n", F.col("c.id").alias("rep"), F.col("c.sig").alias("sig")))
+    classes = keys.select(F.col("rep").alias("id"), "sig")
     spots = _region_keys(classes, forest)
     regions = spots.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     shared = cut(spots.join(regions, "key"))
     width = 2 * forest.depth  # bytes of one prefix
-    turn = F.col("tree") * width
     rolled = F.concat(F.expr(f"substring(sig, tree * {width} + 1)"), F.expr(f"substring(sig, 1, tree * {width})"))
     members = _chunks(shared.join(classes, "id").withColumn("sig", rolled), width, forest)
     first = cut(_first_pairs(members, forest).distinct())
-    families = connected_components(first)
-
-    # regions whose classes are of several families
-    open_ = shared.where("size > 2").join(families.withColumnRenamed("node", "id").withColumnRenamed("component", "family"), "id", "left")
-    open_ = open_.withColumn("family", F.coalesce("family", "id"))
-    per = open_.groupBy("key", "family").agg(F.count("*").alias("n"))
-    several = per.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("n", "family")).alias("main"), F.sum("n").alias("all")).where("parts > 1")
-    several = several.select("key", F.col("main.family").alias("main"), (F.col("all") - F.col("main.n")).alias("minor"))
-    open_ = open_.where(F.col("size") > forest.small).join(several, "key").join(classes, "id")
-    ci, cj = F.ceil(F.col("minor") / forest.chunk), F.ceil(F.col("size") / forest.chunk)
-    spread = F.xxhash64("id", F.lit(5))
-    query = open_.where("family <> main").withColumn("query", F.lit(True)).withColumn("i", F.pmod(spread, ci)).withColumn("j", F.explode(F.sequence(F.lit(0), cj - 1)))
-    other = open_.withColumn("query", F.lit(False)).withColumn("j", F.pmod(spread, cj)).withColumn("i", F.explode(F.sequence(F.lit(0), ci - 1)))
-    columns = ["key", "i", "j", "query", "family", "id", "sig"]
-    cross = cut(_cross_pairs(query.select(columns).unionByName(other.select(columns)), forest).distinct())
-    if not cross.isEmpty():
-        stars = families.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-        families = connected_components(stars.unionByName(cross))
-
-    # the full sets of a family's classes, in pairs of blocks
-    families = families.select(F.col("node").alias("id"), F.col("component").alias("family"))
-    number = families.groupBy("family").agg(F.count("*").alias("m")).select("family", F.ceil(F.col("m") / forest.chunk).alias("blocks"))
-    dealt = families.join(number, "family").withColumn("b", F.pmod(F.xxhash64("id", F.lit(9)), F.col("blocks")))
-    dealt = dealt.join(classes, "id").join(_sets_of(rows, families.select("id"), forest), "id")
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).withColumns(
-        {"i": F.least("b", "other"), "j": F.greatest("b", "other"), "side": F.when(F.col("b") <= F.col("other"), 0).otherwise(1)}
-    )
-    final = connected_components(_links(dealt, forest))
-
-    named = sketch.select("id", "n", "k1", "k2").join(keys, ["k1", "k2", "n"], "left")
-    named = named.join(final.withColumnRenamed("node", "rep"), "rep", "left")
+    sets = cut(_sets_of(rows, first.select(F.explode(F.array("a", "b")).alias("id")).distinct(), forest))
+    links = cut(_verified(first, sets, forest).unionByName(_same_id(full, keys)))
+    comps = connected_components(links)
+    apart = _still_apart(shared, classes, comps, first.join(links, ["a", "b"], "left_anti"), forest)
+    if not apart.isEmpty():
+        later = _later_links(apart, rows, classes, sets, forest)
+        if not later.isEmpty():
+            stars = comps.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+            comps = connected_components(stars.unionByName(later))
+        forget(later)
+    forget(shared, first, sets, links, apart)
+
+    named = sketch.select("id", "n", "k1", "k2").join(keys.drop("sig"), ["k1", "k2", "n"], "left")
+    named = named.join(comps.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.coalesce("component", "rep", "id")
     return named.select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"),
@@ -378,17 +476,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+def _same_id(full: DataFrame, keys: DataFrame) -> DataFrame:
+    """(a, b): ties an id that has rows of different sets with the classes of all of them."""
+    several = full.groupBy("id").agg((F.min("k1") != F.max("k1")).alias("differ")).where("differ").select("id")
+    rows = full.join(several, "id", "left_semi").select("id", "k1", "k2", "n").join(keys.drop("sig"), ["k1", "k2", "n"]).where("id <> rep")
+    return rows.select(F.least("id", "rep").alias("a"), F.greatest("id", "rep").alias("b")).distinct()
+
+
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", forest: Forest = Forest()) -> DataFrame:
     """The rows of ``docs`` with their columns, without those that ``near_duplicates`` does not keep.
 
-    Of rows that share an id the one with the smallest hash of its text stays; rows
-    with a null id stay.
+    Of rows that share an id and have equal texts one stays; others of that id stay, since nothing says that they
+    are alike.  Rows with a null id stay, as do rows without words.
     """
     found = cut(near_duplicates(docs, id_col, text_col, forest).where(F.col(id_col).isNotNull()))
-    out = docs.join(found.where(~F.col("kept")).select(id_col).distinct(), id_col, "left_anti")
-    if not found.groupBy(id_col).count().where("count > 1").isEmpty():
-        order = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col))
-        turn = F.row_number().over(order)
-        out = out.select(F.struct(*docs.columns).alias("row"), F.col(id_col).isNull().alias("nameless"), turn.alias("turn"))
-        out = out.where("nameless or turn = 1").select("row.*")
+    out = docs.join(found.where(~F.col("kept")).select(id_col).distinct(), id_col, "left_anti").select(*docs.columns)
+    repeated = found.groupBy(id_col).count().where("count > 1").select(F.col(id_col).alias("id"))
+    if not repeated.isEmpty():
+        packed = out.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")), F.length(text_col)).alias("text"))
+        once = packed.join(repeated, "id", "left_anti").select("row")
+        turn = F.row_number().over(Window.partitionBy("id", "text").orderBy(F.xxhash64("row")))
+        several = packed.join(repeated, "id", "left_semi").withColumn("turn", turn).where("turn = 1").select("row")
+        out = once.unionByName(several).select("row.*")
     return out.select(*docs.columns)

@@ -42,7 +42,7 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), forest=minhash.Forest(shingle=4))
 
 
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -127,7 +127,7 @@ def test_near_duplicates(docs, no_docs):
     named = [(i, s) for i, s in rows if i is not None]
     links = [(a, b) for a, x in named for b, y in named if a < b and x and y and 100 * len(x & y) >= 80 * len(x | y)]
     want = components({i for i, _ in named}, links)
-    found = minhash.near_duplicates(docs).collect()
+    found = minhash.near_duplicates(docs, forest=minhash.Forest(shingle=4)).collect()
     assert len(found) == len(rows)
     assert Counter((r.doc_id, r.n_shingles) for r in found) == Counter((i, len(s)) for i, s in rows)
     for r in found:
@@ -135,13 +135,14 @@ def test_near_duplicates(docs, no_docs):
             assert r.component_id == (want[3] if r.n_shingles else None) and not r.kept
         else:
             assert r.component_id == want[r.doc_id] and r.kept == (want[r.doc_id] == r.doc_id)
-    stay = minhash.representatives(docs)
+    stay = minhash.representatives(docs, forest=minhash.Forest(shingle=4))
     ids = [r.doc_id for r in stay.collect()]
-    assert stay.columns == docs.columns and sorted(i for i in ids if i is not None) == sorted({i for i in want if want[i] == i}) and ids.count(None) == 2
+    assert stay.columns == docs.columns and sorted(i for i in ids if i is not None) == sorted([i for i in want if want[i] == i] + [10]) and ids.count(None) == 2  # 10 has two texts
     assert minhash.near_duplicates(no_docs).count() == 0 and minhash.representatives(no_docs).count() == 0
 
 
-def test_large_family(spark):
+@pytest.mark.parametrize("chunk, block_bytes", [(1024, 8 << 20), (100, 100_000)])
+def test_large_family(spark, chunk, block_bytes):
     """A hub with many copies that are often too far from each other, and some too far from the hub."""
     import random
 
@@ -157,10 +158,22 @@ def test_large_family(spark):
     sets = {i: shingles(t) for i, t in rows}
     links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
     want = components(set(sets), links)
-    found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), forest=minhash.Forest(chunk=100))
+    found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), forest=minhash.Forest(shingle=4, chunk=chunk, block_bytes=block_bytes))
     assert {r.doc_id: r.component_id for r in found.collect()} == want
 
 
+def test_parts_of_a_sorted_order():
+    rng = np.random.default_rng(4)
+    sig = np.unique(rng.integers(0, 3, (400, 12)), axis=0)
+    lcp = np.append(0, [next(k for k in range(13) if k == 12 or a[k] != b[k]) for a, b in zip(sig, sig[1:])])
+    part = minhash.prefix_parts(lcp, 16, 1, 12)
+    assert np.bincount(part).max() <= 16 and (np.diff(part) >= 0).all()
+    for x in range(part[-1]):  # two neighbours are parted only where their parent part was too large
+        k = int(np.flatnonzero(part == x)[-1])
+        assert (sig[:, : lcp[k + 1]] == sig[k, : lcp[k + 1]]).all(axis=1).sum() > 16 or lcp[k + 1] == 0
+    assert minhash.prefix_parts(np.array([0] + [12] * 30), 16, 1, 12).tolist() == [0] * 31  # equal signatures stay together
+
+
 def without_repeats(rows, width=13):
     """rows: (id, text); ids None sort last."""
     rank = lambda i: (i is None, i or 0)
