@@ -44,7 +44,7 @@ class Forest:
     small: int = 16
     neighbours: int = 6
     chunk: int = 1024
-    block_bytes: int = 8 << 20
+    block_bytes: int = 4 << 20
 
     @property
     def width(self) -> int:
@@ -416,13 +416,10 @@ def _still_apart(shared: DataFrame, classes: DataFrame, comps: DataFrame, failed
     return out
 
 
-def _later_links(apart: DataFrame, rows: DataFrame, classes: DataFrame, sets: DataFrame, forest: Forest) -> DataFrame:
+def _later_links(apart: DataFrame, classes: DataFrame, sets: DataFrame, forest: Forest) -> DataFrame:
     """Verified links between the components that ``apart`` ties, from full sets in pairs of blocks."""
     ties = connected_components(apart.where("family <> root").select(F.col("family").alias("a"), F.col("root").alias("b")).distinct())
     wanted = apart.select("id", "family").distinct().join(ties.select(F.col("node").alias("family"), F.col("component").alias("tied")), "family")
-    missing = cut(wanted.select("id").distinct().join(sets, "id", "left_anti"))
-    if not missing.isEmpty():
-        sets = sets.unionByName(_sets_of(rows, missing, forest))
     wanted = cut(wanted.join(sets, "id").join(classes, "id"))
     number = wanted.groupBy("tied").agg(F.ceil(F.sum(F.octet_length("set") + F.octet_length("sig")) / forest.block_bytes).alias("blocks"))
     dealt = wanted.join(number, "tied").withColumn("b", F.pmod(F.xxhash64("id", F.lit(9)), F.col("blocks")))
@@ -430,7 +427,7 @@ def _later_links(apart: DataFrame, rows: DataFrame, classes: DataFrame, sets: Da
         {"i": F.least("b", "other"), "j": F.greatest("b", "other"), "side": F.when(F.col("b") <= F.col("other"), 0).otherwise(1)}
     )
     out = cut(_links(dealt, forest))
-    forget(missing, wanted)
+    forget(wanted)
     return out
 
 
@@ -455,12 +452,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rolled = F.concat(F.expr(f"substring(sig, tree * {width} + 1)"), F.expr(f"substring(sig, 1, tree * {width})"))
     members = _chunks(shared.join(classes, "id").withColumn("sig", rolled), width, forest)
     first = cut(_first_pairs(members, forest).distinct())
-    sets = cut(_sets_of(rows, first.select(F.explode(F.array("a", "b")).alias("id")).distinct(), forest))
+    # the classes of candidate pairs, and those of regions that were cut: step 5 needs no others
+    wanted = first.select(F.explode(F.array("a", "b")).alias("id")).unionByName(shared.where(F.col("size") > forest.small).select("id"))
+    sets = cut(_sets_of(rows, wanted.distinct(), forest))
     links = cut(_verified(first, sets, forest).unionByName(_same_id(full, keys)))
     comps = connected_components(links)
     apart = _still_apart(shared, classes, comps, first.join(links, ["a", "b"], "left_anti"), forest)
     if not apart.isEmpty():
-        later = _later_links(apart, rows, classes, sets, forest)
+        later = _later_links(apart, classes, sets, forest)
         if not later.isEmpty():
             stars = comps.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
             comps = connected_components(stars.unionByName(later))

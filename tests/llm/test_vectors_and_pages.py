@@ -61,7 +61,7 @@ def test_embeddings(spark):
                 links[a], links[b] = links.get(a, 0) + 1, links.get(b, 0) + 1
                 u, v = find(a), find(b)
                 parent[max(u, v)] = min(u, v)
-    for how in (embeddings.Projections(), embeddings.Projections(block=16)):
+    for how in (embeddings.Projections(miss_cell=1e-9), embeddings.Projections(miss_cell=1e-9, block=16)):
         found = embeddings.near_duplicates(df, how=how).collect()
         assert len(found) == len(rows) and len(links) > 100
         for r in found:
@@ -72,6 +72,31 @@ def test_embeddings(spark):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_recall_of_vectors(spark):
+    """Pairs just above the threshold are found as often as calibrated, and most unrelated pairs are never counted."""
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((600, 64))
+    rows, n = [], 0
+    for k, v in enumerate(base):
+        v = v / np.linalg.norm(v)
+        rows.append((2 * k, v, k % 2))
+        if k < 300:
+            u = rng.standard_normal(64)
+            u -= (u @ v) * v
+            c = rng.uniform(0.931, 0.97)
+            rows.append((2 * k + 1, c * v + np.sqrt(1 - c * c) * u / np.linalg.norm(u), k % 2))
+            n += 1
+    df = spark.createDataFrame([(i, [float(x) for x in v], label) for i, v, label in rows], "vec_id bigint, embedding array<double>, label int").repartition(3)
+    found = embeddings.near_duplicates(df).collect()
+    assert sum(r.n_links for r in found) / 2 >= 0.9 * n and all(r.component_id in (r.vec_id, r.vec_id - 1) for r in found)
+    assert embeddings.share_counted(df) < 0.05
+    functions, tables = embeddings.Projections().shape(5000)
+    near = embeddings.same_place(2.0, embeddings.Projections().distance) ** functions
+    assert (1 - near) ** tables <= 0.05
+    z = np.abs(np.random.default_rng(1).standard_normal(200_000) * 0.374)
+    assert abs(np.maximum(0, 1 - z / 2).mean() - embeddings.same_place(2.0, 0.374)) < 0.005
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body>
 <header><h1>Site name</h1></header><nav><ul><li><a href="/a">Home</a></li><li><a href="/b">About</a></li></ul></nav>
 <div class="cookie-notice"><p>We use cookies on this site to give you the best of all experiences, as you know.</p></div>
