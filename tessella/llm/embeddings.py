@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +43,13 @@ def same_place(width: float, distance: float) -> float:
 _MOST_TABLES = 1024
 
 
+@lru_cache(maxsize=8)
+def _normals(seed: int, dims: int, number: int) -> tuple[np.ndarray, np.ndarray]:
+    """Random directions and, for each, a random start in [0, 1)."""
+    rng = np.random.default_rng(seed)
+    return rng.standard_normal((dims, number)), rng.random(number)
+
+
 @dataclass(frozen=True)
 class Projections:
     cosine: float = 0.93
@@ -74,13 +81,14 @@ class Projections:
 
     def directions(self, dims: int) -> np.ndarray:
         """Those that are counted."""
-        return np.random.default_rng(self.seed).standard_normal((dims, self.projections))
-
-    def cells(self, x: np.ndarray, functions: int, tables: int) -> np.ndarray:
-        """Key of every unit vector's cell in each table, without the label: ``(len(x), tables)``."""
-        rng = np.random.default_rng(self.seed + 1)
-        a, start = rng.standard_normal((x.shape[1], functions * tables)), rng.random(functions * tables) * self.width
-        place = np.floor((x @ a + start) / self.width).astype(np.int64).reshape(len(x), tables, functions)
+        return _normals(self.seed, dims, self.projections)[0]
+
+    def cells(self, x: np.ndarray, functions: int, tables: int, first: int | None = None) -> np.ndarray:
+        """Key of every unit vector's cell in the ``first`` tables (all), without the label: ``(len(x), first)``."""
+        a, start = _normals(self.seed + 1, x.shape[1], functions * tables)
+        tables = tables if first is None else first
+        a, start = a[:, : functions * tables], start[: functions * tables]
+        place = np.floor(x @ a / self.width + start).astype(np.int64).reshape(len(x), tables, functions)
         h = np.broadcast_to(np.arange(1, tables + 1, dtype=np.uint64), (len(x), tables))
         for k in range(functions):
             h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + place[:, :, k].astype(np.uint64))
@@ -241,7 +249,7 @@ def _compared(blocks_: DataFrame, how: Projections, functions: int, tables: int)
                     if len(a) and (table := int(key[cuts[n]]) & (_MOST_TABLES - 1)):
                         # the pair belongs to the first table whose cell it shares
                         rows = np.unique(np.concatenate([a, b]))
-                        cells = how.cells(x[rows], functions, tables)[:, :table]
+                        cells = how.cells(x[rows], functions, tables, table)
                         first = ~(cells[np.searchsorted(rows, a)] == cells[np.searchsorted(rows, b)]).any(axis=1)
                         a, b = a[first], b[first]
                     a, b = at[a], at[b]
