@@ -1,10 +1,12 @@
 """Main text of web pages: flat text blocks and a decision tree.
 
-A page becomes a flat list of text blocks (runs of text between block-level tags).
-Each block has its word count and link density, those of the blocks before and after
-it, and where it stands (inside an article or main element, inside navigation,
-header, footer, sidebar, notice, advert, form or comments).  A decision tree, grown
-from the small labelled table below, keeps or drops each block.
+A page becomes a flat list of text blocks (runs of text between block-level tags).  Each block has its
+word count and link density, those of the blocks before and after it, its kind of tag and
+where it stands: in the page's main element, in an element that cannot hold the article (navigation, footer, form, reader
+comments), or in one whose name hints at something else, with the words that this element holds in all.
+A decision tree, grown from the small labelled table below, keeps or drops each block.
+
+The page is read once from left to right; broken tags, quotes and comments do not make it read anything again.
 """
 
 from __future__ import annotations
@@ -18,16 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
-    r"|<(?P<raw>script|style|textarea|title)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<[!?/][^>]*>",
-    re.S | re.I,
-)
+_NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_STOP = re.compile(r"[>\"']")
+# Elements whose content is no markup, and what ends it.
+_RAW = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in ("script", "style", "textarea", "title")}
 # Elements without article text; one that is never closed ends at the next block-level tag.
 _MUTED = {
-    tag: re.compile(rf"<(/?){tag}(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>", re.I)
+    tag: re.compile(rf"<(/?){tag}(?=[\s/>])", re.I)
     for tag in ("noscript", "template", "svg", "math", "iframe", "object", "canvas", "select", "button")
 }
 _HINTS = re.compile(r"""(?:^|\s)(class|id|role|style|aria-label|aria-hidden)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
@@ -41,61 +40,109 @@ _BLOCK = frozenset(
 )
 _HOLDER = _BLOCK - frozenset("p hr h1 h2 h3 h4 h5 h6 dt dd li td th tr".split())
 _ASIDE = frozenset("nav aside footer form menu dialog search fieldset head".split())
-# Words of class, id and role that name what is not the article.
-_BOILER = re.compile(
-    r"(?:^|[\s_-])(?<!\bhas[_-])(?<!\bno[_-])(?<!\bwith[_-])(?:ads?|adverts?|advertisements?|adbox|adsense|sponsor(?:ed)?|promo(?:tion)?s?|banners?|sidebars?|side-?bar|nav(?:bar|igation)?|"
-    r"menus?|breadcrumbs?|footers?|site-?header|page-?header|masthead|topbar|comments?|commentlist|comment-?list|respond|disqus|replies|reactions|"
-    r"cookies?|consent|gdpr|notices?|alert|popups?|modal|overlay|share|sharing|social|related|recommend(?:ed|ations)?|newsletter|subscribe|"
-    r"subscription|signup|login|search|widgets?|pagination|pager|toolbar|skip|copyright|legal|disclaimer|contentinfo|complementary|navigation|"
-    r"dialog|tags|metadata|hidden|sr-only|visually-hidden|paywall|outbrain|taboola)(?:$|[\s_-])(?!(?:enabled|disabled)\b)",
-    re.I,
-)
+# Words of class, id and role that name reader comments, and others that hint at what is not the article.
+_COMMENTS = "comments? commentlist comment-?list respond disqus replies reactions".split()
+_OTHERS = (
+    "ads? adverts? advertisements? adbox adsense sponsor(?:ed)? promo(?:tion)?s? banners? sidebars? side-?bar nav(?:bar|igation)? menus? breadcrumbs? "
+    "footers? site-?header page-?header masthead topbar cookies? consent gdpr notices? alert popups? modal overlay share sharing social related "
+    "recommend(?:ed|ations)? newsletter subscribe subscription signup login search widgets? pagination pager toolbar skip copyright legal disclaimer "
+    "contentinfo complementary navigation dialog tags metadata hidden sr-only visually-hidden paywall outbrain taboola"
+).split()
+
+
+def _named(words: list[str]) -> re.Pattern:
+    """The words, as a part of a name between blanks, hyphens and underscores; not in ``has-x``, ``no-x``, ``with-x`` or ``x-enabled``."""
+    return re.compile(rf"(?:^|[\s_-])(?<!\bhas[_-])(?<!\bno[_-])(?<!\bwith[_-])(?:{'|'.join(words)})(?:$|[\s_-])(?!(?:enabled|disabled)\b)", re.I)
 
 
-def _boiler(tag: str, rest: str, in_main: bool) -> int:
-    """2 for boilerplate by the kind of element or as hidden, 1 by a word of its class, id or role, else 0."""
+_COMMENT, _OTHER = _named(_COMMENTS), _named(_OTHERS)
+#: Where a block stands: nowhere special, in an element with a hint in its name, in one that cannot hold the article.
+FREE, HINTED, BARRED = 0, 1, 2
+
+
+def _standing(tag: str, rest: str, in_main: bool) -> int:
+    """BARRED by the kind of element, as hidden or as reader comments; HINTED by a word of its class, id or role; else FREE."""
     if tag in _ASIDE or tag == "header" and not in_main:
-        return 2
+        return BARRED
     if not rest:
-        return 0
-    named = 0
+        return FREE
+    found = FREE
     for name, value in _HINTS.findall(rest):
         value, name = value.strip("\"'"), name.lower()
         if name == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return 2
+                return BARRED
         elif name == "aria-hidden":
             if value.lower() == "true":
-                return 2
-        elif tag not in ("body", "html", "article", "main") and _BOILER.search(value):
-            if not (tag == "header" and in_main) and not re.fullmatch(r"h[1-6]", tag):
-                named = 1
-    return 2 if _HIDDEN.search(re.sub(r"\"[^\"]*\"|'[^']*'", "", rest)) else named
-
-
-def _comment(rest: str) -> bool:
-    """Whether the class, id or role of an article names something else, such as a comment."""
-    return any(name.lower() in ("class", "id", "role") and _BOILER.search(value.strip("\"'")) for name, value in _HINTS.findall(rest or ""))
-
-
-def text_blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
-    """Flat blocks of a page: text, words, words in links, in boilerplate, in the main element, heading."""
-    out: list[tuple[str, int, int, bool, bool, bool]] = []
-    stack: list[tuple[str, int, bool]] = []  # open holders: tag, boilerplate as in _boiler, main
+                return BARRED
+        elif tag not in ("body", "html"):
+            if _COMMENT.search(value) and not re.fullmatch(r"h[1-6]", tag):
+                return BARRED
+            if tag not in ("article", "main") and _OTHER.search(value) and not (tag == "header" and in_main) and not re.fullmatch(r"h[1-6]", tag):
+                found = HINTED
+    return BARRED if _HIDDEN.search(re.sub(r"\"[^\"]*\"|'[^']*'", "", rest)) else found
+
+
+class _Scanner:
+    """Finds where tags end, in time linear in the page for all tags together."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = {c: page.rfind(c) for c in ">\"'"}
+        self.dead: set[int] = set()  # stops from which no end outside quotes follows
+        self.known = (0, -1, False)  # no stop from the first to before the second position
+
+    def _stop(self, at: int) -> int:
+        a, b, none = self.known
+        if a <= at and (none or at <= b):
+            return -1 if none else b
+        m = _STOP.search(self.page, at)
+        self.known = (at, m.start() if m else -1, m is None)
+        return m.start() if m else -1
+
+    def end(self, at: int) -> int:
+        """Where the tag ends whose name ends at ``at``: after the next ``>`` outside quotes, else after the
+        next one at all; -1 if there is none."""
+        seen, q = [], at
+        while (s := self._stop(q)) >= 0 and s not in self.dead:
+            c = self.page[s]
+            if c == ">":
+                return s + 1
+            seen.append(s)
+            # a quote that is never closed is a character like others
+            q = self.page.index(c, s + 1) + 1 if s < self.last[c] else s + 1
+        self.dead.update(seen)
+        return self.page.index(">", at) + 1 if at <= self.last[">"] else -1
+
+
+#: A block: text, words, words in links, standing, in the main element, tag kind, number of the hinted element (or -1).
+Block = tuple[str, int, int, int, bool, int, int]
+#: Kinds of tags.
+PLAIN, HEADING, ITEM = 0, 1, 2
+
+
+def text_blocks(page: str) -> list[Block]:
+    """Flat blocks of a page in its order."""
+    out: list[Block] = []
+    stack: list[tuple[str, int, bool, int]] = []  # open holders: tag, standing, main, number of the hinted element
     words: list[str] = []
     linked = link = 0
-    heading = False
-    muted: str | None = None  # a boilerplate element that holds no others, such as a list item
+    kind = PLAIN
+    alone: tuple[str, int] | None = None  # an element with a standing of its own that holds no others, such as a list item
     silent: str | None = None  # an element of _MUTED without an end tag of its own
+    hinted = 0
+    scanner = _Scanner(page)
 
     def close() -> None:
-        nonlocal words, linked, heading
+        nonlocal words, linked
         text = " ".join(html.unescape("".join(words)).split()) if words else ""
         if text:
-            boiler, main = (stack[-1][1], stack[-1][2]) if stack else (0, False)
+            standing, main, number = stack[-1][1:] if stack else (FREE, False, -1)
+            if alone and alone[1] > standing:
+                standing, number = alone[1], hinted
             n = text.count(" ") + 1
             share = linked / max(1, sum(len(w) for w in words))
-            out.append((text, n, round(share * n), bool(boiler) or muted is not None, main, heading))
+            out.append((text, n, round(share * n), standing, main, kind, number))
         words, linked = [], 0
 
     def add(text: str) -> None:
@@ -106,23 +153,44 @@ def text_blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
                 linked += len(text)
 
     at = 0
-    while m := _TOKEN.search(page, at):
-        add(page[at : m.start()])
-        at = m.end()
-        tag = (m["tag"] or "").lower()
-        if not tag:
-            if m["raw"] and m["raw"].lower() in ("title", "textarea"):
+    while (lt := page.find("<", at)) >= 0:
+        add(page[at:lt])
+        if page.startswith(("<!--", "<![CDATA["), lt):
+            mark = "-->" if page[lt + 2] == "-" else "]]>"
+            end = page.find(mark, lt + 4)
+            at = end + 3 if end >= 0 else len(page)
+            continue
+        m = _NAME.match(page, lt)
+        if not m:
+            if page[lt + 1 : lt + 2] in ("!", "?", "/") and lt < scanner.last[">"] and page[lt + 1 : lt + 2]:
+                at = page.index(">", lt) + 1
+            else:
+                add("<")
+                at = lt + 1
+            continue
+        ending, tag = m[1], m[2].lower()
+        at = scanner.end(m.end())
+        if at < 0:
+            add("<")
+            at = lt + 1
+            continue
+        rest = page[m.end() : at - 1]
+        if tag in _RAW and not ending:
+            end = _RAW[tag].search(page, at)
+            at = end.end() if end else len(page)
+            if tag in ("title", "textarea"):
                 add(" ")
             continue
         if tag in _MUTED:
             if tag in ("select", "button", "iframe", "object"):
                 add(" ")
-            if m["end"]:
+            if ending:
                 silent = None if silent == tag else silent
-            elif not (tag in ("svg", "math") and m["rest"].endswith("/")):
+            elif not (tag in ("svg", "math") and rest.endswith("/")):
                 edge = _MUTED[tag].search(page, at)
-                if edge and edge[1]:
-                    at = edge.end()
+                end = scanner.end(edge.end()) if edge and edge[1] else -1
+                if end >= 0:
+                    at = end
                 else:
                     silent = silent or tag
             continue
@@ -131,125 +199,68 @@ def text_blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
         if tag == "br" or tag == "img":
             add(" ")
         elif tag == "a":
-            link = 0 if m["end"] else 1
+            link = 0 if ending else 1
         elif tag in _BLOCK:
             close()
             link = 0
-            if m["end"]:
-                heading = False
-                if muted == tag or tag in _HOLDER:
-                    muted = None
+            if ending:
+                kind = PLAIN
+                if alone and alone[0] == tag or tag in _HOLDER:
+                    alone = None
                 if tag in _HOLDER:
-                    for i in range(len(stack) - 1, -1, -1):
+                    for i in range(len(stack) - 1, max(-1, len(stack) - 200), -1):
                         if stack[i][0] == tag:
                             del stack[i:]
                             break
             else:
-                boiler, main = (stack[-1][1], stack[-1][2]) if stack else (0, False)
-                own = _boiler(tag, m["rest"], main)
-                heading = len(tag) == 2 and tag[0] == "h" and tag[1].isdigit()
+                standing, main, number = stack[-1][1:] if stack else (FREE, False, -1)
+                own = _standing(tag, rest, main)
+                hinted += own == HINTED
+                kind = HEADING if len(tag) == 2 and tag[0] == "h" and tag[1].isdigit() else ITEM if tag in ("li", "td", "th", "dt", "dd") else PLAIN
                 if tag in _HOLDER:
-                    muted = None
+                    alone = None
                     if tag == "body":
                         stack.clear()
-                        boiler, main = 0, False
-                    if tag in ("article", "main") and boiler == 1 and not main and not _comment(m["rest"]):
-                        boiler = 0
-                    stack.append((tag, max(boiler, own), main or tag in ("article", "main")))
+                        standing, main, number = FREE, False, -1
+                    if tag in ("article", "main") and standing == HINTED and not main and own == FREE:
+                        standing, number = FREE, -1
+                    if own > standing:
+                        standing, number = own, hinted if own == HINTED else -1
+                    stack.append((tag, standing, main or tag in ("article", "main"), number))
                 else:
-                    muted = tag if own else None
-    add(page[at:] if not page[at:].startswith("<") else "")
+                    alone = (tag, own) if own else None
+    add(page[at:])
     close()
     return out
 
 
-# The labelled table.  Words and link density of the block, of the block
-# before and of the block after; in boilerplate; in main; page has main; heading; article text.
+# The labelled table, a page a line.  A block: where it stands (- free, m in the main element, h and hm
+# hinted, b barred; 2 to 9 tell hinted elements apart), kind of tag (p plain, h heading, i item), words, words in
+# links, and whether it is text of the article.
 LABELLED = """
-7 0.00 8 0.00 60 0.00 0 1 1 0 1
-60 0.00 7 0.00 45 0.00 0 1 1 0 1
-1 0.00 60 0.00 80 0.00 0 1 1 0 1
-4 0.00 90 0.00 120 0.00 0 1 1 0 1
-35 0.10 40 0.00 2 0.00 0 1 1 0 1
-20 0.40 50 0.00 70 0.00 0 1 1 0 1
-5 1.00 60 0.00 60 0.00 0 1 1 0 1
-250 0.02 30 0.00 3 0.00 0 1 1 0 1
-12 0.00 0 0.00 40 0.00 0 1 1 0 1
-9 0.00 5 1.00 7 0.00 0 1 1 0 1
-2 0.00 1 0.00 1 0.00 0 1 1 0 1
-90 0.00 2 0.00 0 0.00 0 1 1 0 1
-8 0.00 0 0.00 70 0.00 0 1 1 1 1
-8 0.00 60 0.00 70 0.00 0 1 1 1 1
-6 1.00 5 1.00 5 1.00 0 1 1 0 0
-4 1.00 6 1.00 7 1.00 0 1 1 0 0
-7 0.00 8 0.00 60 0.00 1 1 1 0 0
-60 0.00 7 0.00 45 0.00 1 1 1 0 0
-1 0.00 60 0.00 80 0.00 1 1 1 0 0
-4 0.00 90 0.00 120 0.00 1 1 1 0 0
-35 0.10 40 0.00 2 0.00 1 1 1 0 0
-20 0.40 50 0.00 70 0.00 1 1 1 0 0
-5 1.00 60 0.00 60 0.00 1 1 1 0 0
-250 0.02 30 0.00 3 0.00 1 1 1 0 0
-12 0.00 0 0.00 40 0.00 1 1 1 0 0
-9 0.00 5 1.00 7 0.00 1 1 1 0 0
-2 0.00 1 0.00 1 0.00 1 1 1 0 0
-90 0.00 2 0.00 0 0.00 1 1 1 0 0
-7 0.00 8 0.00 60 0.00 1 0 1 0 0
-60 0.00 7 0.00 45 0.00 1 0 1 0 0
-1 0.00 60 0.00 80 0.00 1 0 1 0 0
-4 0.00 90 0.00 120 0.00 1 0 1 0 0
-35 0.10 40 0.00 2 0.00 1 0 1 0 0
-20 0.40 50 0.00 70 0.00 1 0 1 0 0
-5 1.00 60 0.00 60 0.00 1 0 1 0 0
-250 0.02 30 0.00 3 0.00 1 0 1 0 0
-12 0.00 0 0.00 40 0.00 1 0 1 0 0
-9 0.00 5 1.00 7 0.00 1 0 1 0 0
-2 0.00 1 0.00 1 0.00 1 0 1 0 0
-90 0.00 2 0.00 0 0.00 1 0 1 0 0
-7 0.00 8 0.00 60 0.00 1 0 0 0 0
-60 0.00 7 0.00 45 0.00 1 0 0 0 0
-1 0.00 60 0.00 80 0.00 1 0 0 0 0
-4 0.00 90 0.00 120 0.00 1 0 0 0 0
-35 0.10 40 0.00 2 0.00 1 0 0 0 0
-20 0.40 50 0.00 70 0.00 1 0 0 0 0
-5 1.00 60 0.00 60 0.00 1 0 0 0 0
-250 0.02 30 0.00 3 0.00 1 0 0 0 0
-12 0.00 0 0.00 40 0.00 1 0 0 0 0
-9 0.00 5 1.00 7 0.00 1 0 0 0 0
-2 0.00 1 0.00 1 0.00 1 0 0 0 0
-90 0.00 2 0.00 0 0.00 1 0 0 0 0
-6 1.00 5 1.00 5 1.00 1 0 1 0 0
-8 0.00 0 0.00 70 0.00 1 0 0 1 0
-7 0.00 8 0.00 60 0.00 0 0 1 0 0
-60 0.00 7 0.00 45 0.00 0 0 1 0 0
-1 0.00 60 0.00 80 0.00 0 0 1 0 0
-4 0.00 90 0.00 120 0.00 0 0 1 0 0
-35 0.10 40 0.00 2 0.00 0 0 1 0 0
-20 0.40 50 0.00 70 0.00 0 0 1 0 0
-5 1.00 60 0.00 60 0.00 0 0 1 0 0
-250 0.02 30 0.00 3 0.00 0 0 1 0 0
-12 0.00 0 0.00 40 0.00 0 0 1 0 0
-9 0.00 5 1.00 7 0.00 0 0 1 0 0
-2 0.00 1 0.00 1 0.00 0 0 1 0 0
-90 0.00 2 0.00 0 0.00 0 0 1 0 0
-45 0.00 40 0.00 60 0.00 0 0 0 0 1
-80 0.05 12 0.00 70 0.00 0 0 0 0 1
-120 0.00 5 0.00 8 0.00 0 0 0 0 1
-9 0.00 2 0.00 60 0.00 0 0 0 1 1
-6 0.00 55 0.00 40 0.00 0 0 0 1 1
-7 0.00 60 0.00 45 0.00 0 0 0 0 1
-12 0.00 50 0.00 50 0.00 0 0 0 0 1
-5 0.00 0 0.00 0 0.00 0 0 0 0 1
-25 0.10 40 0.00 5 0.00 0 0 0 0 1
-3 0.00 4 0.00 5 0.00 0 0 0 0 1
-30 0.00 4 0.00 35 0.00 0 0 0 0 1
-4 1.00 3 1.00 4 1.00 0 0 0 0 0
-2 1.00 0 0.00 3 1.00 0 0 0 0 0
-6 0.80 5 1.00 40 0.00 0 0 0 0 0
-14 0.70 9 1.00 12 0.90 0 0 0 0 0
-30 0.75 12 0.80 16 0.90 0 0 0 0 0
-8 0.60 40 0.00 6 1.00 0 0 0 0 0
-3 1.00 70 0.00 60 0.00 0 0 0 0 0
+b i 1 1 0, b i 2 2 0, b i 1 1 0, h p 8 0 0, m h 9 0 1, m p 70 0 1, m p 2 0 1, m p 120 3 1, m p 1 0 1, b p 9 2 0, b p 5 5 0
+b h 3 0 0, b p 14 0 0, m h 5 5 1, m p 4 0 1, m p 35 6 1, m i 6 0 1, m i 3 0 1, m i 9 4 1, m p 250 2 1, hm p 4 0 0, m p 60 0 1, b p 60 0 0, b p 25 1 0
+m p 1 0 1, m p 1 0 1, m p 1 0 1, b p 120 0 0, b p 3 0 0
+h p 22 1 0, h2 p 40 0 0, m p 14 0 1, m p 5 0 1, m p 33 0 1, hm3 i 5 5 0, hm3 i 6 6 0, hm3 i 4 4 0, b p 80 0 0, b p 45 1 0
+- i 1 1 0, - i 1 1 0, - i 2 2 0, - i 1 1 0, - h 4 0 1, - p 5 2 1, - p 80 0 1, - p 4 0 1, - p 110 6 1, - p 65 0 1, - i 4 4 0, - i 6 6 0, - i 5 5 0, - p 5 1 0
+- p 4 4 0, - p 3 3 0, - p 2 0 0, - p 5 5 0, - h 3 0 1, - p 45 0 1, - p 7 0 1, - p 52 12 1, - p 9 9 1, - p 60 0 1, - p 12 11 0, - p 9 9 0, - p 2 2 0
+- p 6 0 1
+- p 40 0 1, - p 3 0 1, - p 5 0 1
+- h 5 0 1, - p 30 0 1, - h 3 0 1, - p 36 0 1, - i 8 0 1, - i 11 1 1, - i 5 0 1, - p 28 0 1
+h h 7 0 1, h p 3 0 1, h p 90 1 1, h p 1 0 1, h p 140 4 1, h p 20 0 1, h i 7 0 1, h i 4 0 1, h p 75 0 1, b p 12 3 0, b i 2 2 0
+b i 3 3 0, h2 p 55 0 1, h2 p 130 2 1, h2 p 2 0 1, h2 h 6 0 1, h2 p 64 0 1, h3 p 15 1 0, h4 i 6 6 0, h4 i 8 8 0, h4 i 5 5 0
+h p 18 2 0, - h 9 0 1, - p 75 1 1, - p 62 0 1, h2 p 6 0 0, h2 p 11 1 0, - p 88 0 1, h3 h 2 0 0, h3 p 7 7 0, h3 p 9 9 0, b p 70 0 0, b p 110 2 0
+h p 30 1 0, h p 24 2 0, - p 48 0 1, - p 95 3 1, - p 3 0 1, - p 70 0 1, h2 p 35 1 0, h2 p 12 3 0
+- p 20 0 0, - p 60 1 0, m h 7 0 1, m p 150 2 1, m p 90 0 1, - i 3 3 0, - i 2 0 0, - p 9 0 0, - p 4 0 0
+- p 12 0 0, - h 2 0 0, - i 6 6 0, m h 8 0 1, m p 12 12 1, m p 45 0 1, m p 80 20 1, m p 6 6 1, m p 44 0 1, - p 26 1 0
+m p 60 0 1, m p 3 3 1, m p 70 0 1, m p 55 0 1, m i 4 4 0, m i 5 5 0, m i 3 3 0, m i 6 6 0
+b i 2 2 0, m h 6 0 1, m p 300 4 1, m p 2 0 1, m i 2 0 1, m i 1 0 1, m i 3 1 1, m i 1 0 1, hm p 20 1 0, hm p 9 2 0, m p 36 0 1
+- i 1 1 0, - i 1 0 0, - i 2 2 0, - i 1 1 0, - p 95 0 1, - h 4 0 1, - p 120 2 1, - p 2 0 1, - p 58 1 1, - p 3 3 0, - i 2 2 0, - i 1 1 0
+h p 20 0 0, - h 7 0 1, - p 66 0 1, - p 90 1 1, h2 p 8 0 0, - p 55 0 1, h3 p 28 0 0, h3 p 31 0 0
+h p 35 0 0, h2 p 14 0 0, - p 72 0 1, - p 5 0 1, - p 101 0 1, h3 p 40 0 0, h3 p 3 0 0, b p 30 0 0
+h i 40 39 0, h i 66 60 0, h i 80 76 0, - h 6 0 1, - p 85 0 1, - p 64 1 1, - p 1 0 1, - p 77 2 1
+m h 5 0 1, m p 140 0 1, m p 230 1 1, h p 110 1 0, h p 90 0 0, h i 3 0 0
+b p 50 0 0, b p 200 1 0, b p 2 0 0, m p 22 0 1, m p 8 0 1, m p 48 2 1, b h 2 0 0, b p 33 0 0, b p 66 0 0
 """
 
 
@@ -290,23 +301,46 @@ class Tree:
         return value[at]
 
 
-def block_features(blocks: list[tuple]) -> np.ndarray:
-    """Rows as in LABELLED, without the label, for the blocks of one page."""
+def block_features(blocks: list[Block]) -> np.ndarray:
+    """A row of numbers for each block of one page.
+
+    Words and link density of the block, of the one before and of the one after; standing; in main; the page has a main
+    element; kind of tag; words of the hinted element and its link density.
+    """
     n = np.array([b[1] for b in blocks], float)
-    density = np.array([b[2] for b in blocks], float) / np.maximum(n, 1)
-    flags = np.array([[b[3], b[4], b[5]] for b in blocks], float)
+    linked = np.array([b[2] for b in blocks], float)
+    density = linked / np.maximum(n, 1)
+    standing, main, kind, element = (np.array([b[k] for b in blocks], float) for k in (3, 4, 5, 6))
     before, after = (lambda v: np.append(0, v[:-1])), (lambda v: np.append(v[1:], 0))
     # a main element counts if it holds half of the page's running text at least, so a mere teaser does not
-    text = np.where((flags[:, 0] == 0) & (density <= 0.5), n, 0)
-    inside = (flags[:, 0] == 0) & (flags[:, 1] == 1)
+    text = np.where((standing == FREE) & (density <= 0.5), n, 0)
+    inside = (standing == FREE) & (main == 1)
     has_main = np.full(len(blocks), float(inside.any() and 2 * text[inside].sum() >= text.sum()))
-    return np.column_stack([n, density, before(n), before(density), after(n), after(density), flags[:, 0], flags[:, 1], has_main, flags[:, 2]])
+    hinted = standing == HINTED
+    _, at = np.unique(element, return_inverse=True)
+    held, held_links = (np.where(hinted, np.bincount(at, weights=v)[at], 0) for v in (n, linked))
+    return np.column_stack([n, density, before(n), before(density), after(n), after(density), standing, main, has_main, kind, held, held_links / np.maximum(held, 1)])
+
+
+def labelled_pages(table: str = LABELLED) -> tuple[list[list[Block]], np.ndarray]:
+    """Blocks of the table's pages, without texts, and all their labels."""
+    found, labels = [], []
+    for line in table.strip().splitlines():
+        page = []
+        for block in line.split(","):
+            where, kind, n, linked, label = block.split()
+            standing = HINTED if "h" in where else BARRED if "b" in where else FREE
+            element = int("0" + "".join(filter(str.isdigit, where))) if standing == HINTED else -1
+            page.append(("", int(n), int(linked), standing, "m" in where, {"p": PLAIN, "h": HEADING, "i": ITEM}[kind], element))
+            labels.append(int(label))
+        found.append(page)
+    return found, np.array(labels, float)
 
 
 @functools.cache
 def default_tree() -> Tree:
-    table = np.array([[float(v) for v in line.split()] for line in LABELLED.strip().splitlines()])
-    return Tree(table[:, :-1], table[:, -1])
+    found, labels = labelled_pages()
+    return Tree(np.concatenate([block_features(p) for p in found]), labels)
 
 
 def main_texts(pages: list[str | None], tree: Tree) -> list[str]:
@@ -320,8 +354,10 @@ def main_texts(pages: list[str | None], tree: Tree) -> list[str]:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", tree: Tree | None = None) -> DataFrame:
     """Per row of ``pages``: id, url, ``text`` and ``n_chars``, its code points.
 
-    Null and empty pages have an empty text.  Rows are independent, so repeated rows get
-    equal results; other columns are left alone.
+    Null and empty pages, and those without a block of the article, have an empty text.  Broken markup is read as far
+    as it goes: a tag without an end is text, an unclosed comment or script ends with the page.  Pages of any
+    length are read whole, in linear time.  Rows are independent, so repeated rows get equal results; other
+    columns are left alone, whatever their names, and an empty table gives an empty result.
     """
     tree = tree or default_tree()
     kinds = {c: pages.schema[c].dataType.simpleString() for c in (id_col, url_col)}

@@ -4,6 +4,8 @@ import random
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -152,8 +154,61 @@ def test_tree():
     x = rng.random((200, 3))
     y = ((x[:, 0] > 0.5) ^ (x[:, 2] > 0.3)).astype(float)
     assert (pages.Tree(x, y).predict(x) == y).all()
-    table = np.array([[float(v) for v in line.split()] for line in pages.LABELLED.strip().splitlines()])
-    assert (pages.default_tree().predict(table[:, :-1]) == table[:, -1]).all()
+    found, labels = pages.labelled_pages()
+    table = np.concatenate([pages.block_features(p) for p in found])
+    assert (pages.default_tree().predict(table) == labels).all() and len({tuple(r) for r in table}) > 0.9 * len(table)
+
+
+def test_neighbours_and_sizes_change_verdicts():
+    """Pages without a main element: what a block's neighbours and hinted element hold decides."""
+    tree = pages.default_tree()
+    soup = "<body><div><li><a>Home</a></li><li>News</li><li><a>Sport</a></li></div><h2>A title of some words</h2>" + f"<p>{LONG}</p><p>So.</p><p>{LONG}</p>" * 4 + "<div class='cookie'><p>We use cookies on this site</p></div>"
+    wrapped = f"<body><div class='hentry category-legal'><h1>The law</h1>{f'<p>{LONG}</p><p>So.</p>' * 4}</div><div class='legal'><p>All rights are kept by us</p></div>"
+    changed = 0
+    for page in (soup, wrapped):
+        rows = pages.block_features(pages.text_blocks(page))
+        own = tree.predict(rows)
+        for columns in ((2, 3, 4, 5), (10, 11), (0, 1)):
+            other = rows.copy()
+            other[:, columns] = 0
+            changed += int((tree.predict(other) != own).sum())
+    assert changed > 3
+    kept = pages.main_texts([soup, wrapped], tree)
+    assert kept[0] == "\n".join(["A title of some words"] + [LONG.strip(), "So.", LONG.strip()] * 4)
+    assert kept[1] == "\n".join(["The law"] + [LONG.strip(), "So."] * 4)
+
+
+def test_comments_go_wherever_they_stand():
+    inside = f"<main><article><p>{LONG}</p></article><article class='comment'><p>{LONG} says a reader</p></article><ol class='comment-list'><li>{LONG}</li></ol></main>"
+    assert pages.main_texts([inside], pages.default_tree()) == [LONG.strip()]
+
+
+@pytest.mark.parametrize("part", ["<p ", '<p "', "<a '\">", "<", "<!--", "<svg>", "<div>", "<script>", "<p a='", "<![CDATA[", "</p", "<iframe x=\""])
+def test_broken_pages_take_linear_time(part):
+    import time
+
+    pages.default_tree()
+    began = time.process_time()
+    pages.main_texts([part * (1_000_000 // len(part)), part * (500_000 // len(part)) + '">'], pages.default_tree())
+    assert time.process_time() - began < 15  # seconds even on a slow machine; a quadratic reader takes hours
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["<p>", "</p>", "<div class='ad'>", "</div>", "<article>", "</article>", "<li>", "<a href='x>y'>", "</a>", "word ", "<b>", '"', "'", "<", ">", "<!-- x -->", "&amp;", "<nav>", "</nav>", "<br>"]), max_size=30))
+def test_tags_end_where_a_plain_reader_finds_it(parts):
+    """The scanner against a plain one that walks every tag character by character."""
+    page = "".join(parts)
+    scanner = pages._Scanner(page)
+    for m in pages._NAME.finditer(page):
+        at, quote = m.end(), None
+        while at < len(page) and (quote or page[at] != ">"):
+            if page[at] == quote:
+                quote = None
+            elif not quote and page[at] in "\"'" and page[at] in page[at + 1 :]:
+                quote = page[at]
+            at += 1
+        want = at + 1 if at < len(page) else page.find(">", m.end()) + 1 or -1
+        assert scanner.end(m.end()) == want
 
 
 @pytest.mark.parametrize("empty", [False, True])
