@@ -40,13 +40,16 @@ OP7 = f"""WITH {_DOCS}, x AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1,
 tot AS (SELECT doc_id, count(*) AS n, sum(length(word)) AS c FROM x GROUP BY doc_id), {_repeat(5)}, {_repeat(8)}, {_repeat(13)},
 ln AS (SELECT doc_id, line, count(*) AS k FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id, line),
 li AS (SELECT doc_id, sum(k) AS lines, sum(k - 1) AS dup, sum((k - 1) * length(line)) AS chars FROM ln GROUP BY doc_id),
-a AS (SELECT d.doc_id, d.text, coalesce(tot.n, 0) AS n, coalesce(tot.c, 0) AS c, coalesce(rep8.n, 0) AS r8, coalesce(lines, 0) AS lines, coalesce(dup, 0) AS dup, coalesce(chars, 0) AS chars,
+rn AS (SELECT doc_id, r, unnest(range(1, len(runs[r]) - 1)) AS o, runs[r] AS run FROM (SELECT doc_id, runs, unnest(range(1, len(runs) + 1)) AS r FROM (SELECT doc_id, regexp_extract_all(text, '[^\\p{{L}}\\p{{N}}]{{3,}}') AS runs FROM d))),
+mw AS (SELECT doc_id, r, o, count(*) OVER (PARTITION BY doc_id, run[o:o + 2]) AS k FROM rn WHERE regexp_matches(run[o:o + 2], '[^\\x20\\x09-\\x0D]')),
+mk AS (SELECT doc_id, count(*) AS marks FROM (SELECT DISTINCT doc_id, r, o + s FROM mw, range(3) t(s) WHERE k > 1) GROUP BY doc_id),
+a AS (SELECT d.doc_id, d.text, coalesce(marks, 0) AS marks, coalesce(tot.n, 0) AS n, coalesce(tot.c, 0) AS c, coalesce(rep8.n, 0) AS r8, coalesce(lines, 0) AS lines, coalesce(dup, 0) AS dup, coalesce(chars, 0) AS chars,
   CAST(coalesce(rep5.c, 0) AS DOUBLE) / greatest(coalesce(tot.c, 0), 1) AS s5, CAST(coalesce(rep8.c, 0) AS DOUBLE) / greatest(coalesce(tot.c, 0), 1) AS s8, CAST(coalesce(rep13.c, 0) AS DOUBLE) / greatest(coalesce(tot.c, 0), 1) AS s13
-  FROM d LEFT JOIN tot USING (doc_id) LEFT JOIN rep5 USING (doc_id) LEFT JOIN rep8 USING (doc_id) LEFT JOIN rep13 USING (doc_id) LEFT JOIN li USING (doc_id)),
+  FROM d LEFT JOIN tot USING (doc_id) LEFT JOIN rep5 USING (doc_id) LEFT JOIN rep8 USING (doc_id) LEFT JOIN rep13 USING (doc_id) LEFT JOIN li USING (doc_id) LEFT JOIN mk USING (doc_id)),
 b AS (SELECT *, n < 20 OR 100 * r8 > 30 * n AS base_failed FROM a)
 SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(c AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(dup AS BIGINT) AS n_dup_lines,
-  CAST(r8 AS BIGINT) AS n_repeat_words, base_failed, greatest(s5, s8, s13) AS max_ngram_share, CAST(chars AS BIGINT) AS dup_line_chars,
-  NOT (base_failed OR s5 > 0.4e0 OR s8 > 0.35e0 OR s13 > 0.3e0 OR dup > 0.5e0 * lines OR chars > 0.4e0 * length(text)) AS kept FROM b"""
+  CAST(r8 AS BIGINT) AS n_repeat_words, base_failed, greatest(s5, s8, s13) AS max_ngram_share, CAST(chars AS BIGINT) AS dup_line_chars, CAST(marks AS BIGINT) AS mark_chars,
+  NOT (base_failed OR s5 > 0.3e0 OR s8 > 0.3e0 OR s13 > 0.25e0 OR marks > 0.1e0 * length(text) OR dup > 0.5e0 * lines OR chars > 0.4e0 * length(text)) AS kept FROM b"""
 
 OP9 = """WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 g AS (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
