@@ -6,8 +6,8 @@
    with a hidden class estimates by EM how often each voter fires in either class (its
    accuracy) and how the voters correlate within a class; correlated voters share their weight.
 3. A sparse linear classifier over votes, hashed words and word stems is fitted to the
-   posterior labels (the label itself where it was observed) of a bounded sample of
-   documents (``max_train`` labelled ones, half as many others); it scores every text.
+   label model's posteriors, and to nothing else, of a bounded sample of documents (``max_train`` labelled
+   ones, half as many others); observed labels only calibrate its scores by a slope and an intercept.
 """
 
 from __future__ import annotations
@@ -227,6 +227,20 @@ def fit_linear(doc: np.ndarray, col: np.ndarray, y: np.ndarray, rounds: int = 15
     return out
 
 
+def calibration(z: np.ndarray, y: np.ndarray, rounds: int = 25) -> tuple[float, float]:
+    """Slope and intercept for which the scores ``z`` explain the labels best; (1, 0) without both classes."""
+    if len(np.unique(y)) < 2:
+        return 1.0, 0.0
+    v = np.array([1.0, 0.0])
+    x = np.column_stack([z, np.ones(len(z))])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ v, -30, 30)))
+        curve = (x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
+        v = v - np.linalg.solve(curve, x.T @ (p - y) + 1e-3 * (v - [1.0, 0.0]))
+        v[0] = np.clip(v[0], 0.1, 10)
+    return float(v[0]), float(v[1])
+
+
 @dataclass
 class ToxicityModel:
     lexicon: Induced
@@ -245,7 +259,9 @@ def train(docs: DataFrame, sample: DataFrame, eligible: Column, max_train: int =
     """Induces lexicons from the labelled ``sample`` (``_id``, ``y``), estimates the label model on
     the votes of all documents and fits the classifier on a sample of ``eligible`` ones.
 
-    None if there are no documents.
+    None if there are no documents.  Null and empty texts have no votes; texts of any length are read whole.  A
+    document's rows are rows of their own, also repeated ones; a null id has no label.  Other columns are
+    left alone, whatever their names.
     """
     context = docs.sparkSession.sparkContext
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"), eligible.alias("_ok"))
@@ -276,35 +292,42 @@ def train(docs: DataFrame, sample: DataFrame, eligible: Column, max_train: int =
 
     def weak(batches):
         for batch in batches:
-            texts, y = batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False).astype(float)
+            texts, y = batch.column(0).to_pylist(), batch.column(1)
             for a, b in blocks([len(t or "") for t in texts]):
                 words, kinds = features(texts[a:b])
                 fired = votes(texts[a:b], words, kinds, shared.value)
-                q = np.where(np.isnan(y[a:b]), model_shared.value.posterior(fired), y[a:b])
+                q = model_shared.value.posterior(fired)
                 doc, col = columns_of(words, kinds, fired)
                 cuts = np.searchsorted(doc, np.arange(b - a + 1))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(q), pa.array([col[i:j].astype(np.int32).tobytes() for i, j in zip(cuts, cuts[1:], strict=False)], pa.binary())],
-                    names=["q", "col"],
+                    [pa.array(q), y[a:b], pa.array([col[i:j].astype(np.int32).tobytes() for i, j in zip(cuts, cuts[1:], strict=False)], pa.binary())],
+                    names=["q", "y", "col"],
                 )
 
     bucket = F.pmod(F.xxhash64("_id", F.lit("classifier")), F.lit(1 << 20))
     picked = (
-        rows.where("_ok").join(F.broadcast(sample), "_id", "left").where(bucket < shares * (1 << 20)).select("text", "y").mapInArrow(weak, "q double, col binary").toArrow()
+        rows.where("_ok").join(F.broadcast(sample), "_id", "left").where(bucket < shares * (1 << 20)).select("text", "y").mapInArrow(weak, "q double, y double, col binary").toArrow()
     )
     cols = [np.frombuffer(x, np.int32) for x in picked["col"].to_pylist()]
     weights = np.zeros(COLUMNS + 1, np.float32)
     if cols:
         q = picked["q"].to_numpy()
         doc = np.repeat(np.arange(len(cols)), [len(c) for c in cols])
-        weights = fit_linear(doc, np.concatenate(cols).astype(np.int64), q)
+        col = np.concatenate(cols).astype(np.int64)
+        weights = fit_linear(doc, col, q)
+        y = picked["y"].to_numpy()
+        slope, shift = calibration((np.bincount(doc, weights=weights[col], minlength=len(cols)) + weights[-1])[~np.isnan(y)], y[~np.isnan(y)])
+        weights *= np.float32(slope)
+        weights[-1] += np.float32(shift)
     return ToxicityModel(lexicon, model, weights)
 
 
 def score(docs: DataFrame, model: ToxicityModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: id and ``score``, the probability that it is toxic.
 
-    Null and empty texts have no words and get the intercept's score.  The broadcast model has a
+    Null and empty texts have no words and get the intercept's score; texts of any length are read whole.  Rows are
+    independent, so repeated rows get equal scores; other columns are left alone, whatever their names, and an
+    empty table gives an empty result.  Without a model all get 0.  The broadcast model has a
     fixed size: 2**18 weights and at most the induced and fixed lexicons.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
