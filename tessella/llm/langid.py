@@ -52,6 +52,7 @@ def ngrams(texts: list[str], orders: tuple[int, ...], bits: int) -> list[tuple[n
     doc = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(starts))
     space = points == 32
     keep = ~space
+    keep[:1] = True  # the first text of a batch begins like the others
     keep[1:] |= ~space[:-1] | (doc[1:] != doc[:-1])
     points, doc, space = points[keep], doc[keep], space[keep]
     out = []
@@ -101,7 +102,8 @@ def train(
 ) -> LanguageModel | None:
     """Count n-grams of every eligible row with a text and a language.
 
-    None if there is no such row.  More than ``max_languages`` languages raise, since the
+    None if there is no such row.  Texts of any length are read whole, empty ones add only to their language's
+    prior, and repeated rows count as often as they are there; other columns are left alone.  More than ``max_languages`` languages raise, since the
     matrix would no longer be of a proven size.
     """
     rows = docs.where(eligible & F.col(text).isNotNull() & F.col(lang).isNotNull()).select(
@@ -151,7 +153,10 @@ def train(
 def predict(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, ``lang_pred``, ``score``.
 
-    ``und`` with score 0 if the text is null or has no letter, or nothing was learned.
+    ``und`` with score 0 if the text is null, empty or has no letter, or nothing was learned.  Of equally probable
+    languages the first by name is taken.  Texts of any length are read whole.  Rows are independent, so
+    repeated rows get equal results; other columns are left alone, whatever their names, and an empty table gives
+    an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[id_col].dataType.simpleString()
