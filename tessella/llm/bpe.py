@@ -65,7 +65,9 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
 
     ``ids_sha256`` is of the ids as little-endian unsigned 32-bit integers and
     ``decoded_sha256`` of the decoded bytes, both in lower-case hex.  Null and empty texts
-    have no ids.  Rows are independent: repeated rows get equal results.
+    have no ids.  Very long texts are encoded in parts cut at safe places, which gives the ids of the whole; a text
+    without such a place is one part.  Rows are independent: repeated rows get equal results.  Other columns are left
+    alone, whatever their names, and an empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(load_ranks(ranks_path))
     kind = docs.schema[id_col].dataType.simpleString()

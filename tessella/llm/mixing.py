@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.llm.common import cut
+
 WORD = r"[^\x20\x09-\x0D]+"
 _FAN_IN = 64
 
@@ -102,7 +104,9 @@ def mix(
 
     Null texts and texts without words have size 0 and take no words; a null source is a source.
     Rows of equal id, source and size are one unit of that many rows: their certain copies are
-    shared out evenly, and one fraction is rounded, so a huge set of repeats is one row here.
+    shared out evenly, and one fraction is rounded, so a huge set of repeats is one row here.  Ties in all
+    draws are broken by ids and sizes.  Texts of any length are counted whole; an empty table gives an empty
+    result, and columns other than the three named are left alone.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size"))
     units = rows.groupBy("doc_id", "source", "size").agg(F.count("*").alias("rows"))
@@ -170,18 +174,30 @@ def _mix_units(rows: DataFrame, units: DataFrame, weights: tuple, most: float, g
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The rows of ``docs`` with their columns, each as often as the mix takes it.
 
-    Rows of equal id, source and size are alike to the mix and are numbered in the order of
-    their text; such repeats meet in one partition.
+    Texts are sent once, to be joined with the number of copies.  Rows of equal id, source and size are alike to the
+    mix: only those are numbered, by a hash of their text, to share the copies.  Null texts and texts without words
+    are taken like others by their source's factor, sources and ids may be null, an empty table gives an empty
+    result, and columns may have any names.
     """
-    taken = mix(docs, id_col, text_col, source_col, **options)
+    taken = cut(mix(docs, id_col, text_col, source_col, **options))
     key = ["doc_id", "source", "size"]
-    plan = taken.where("copies > 0").select(*key, "copies", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("copies"))).alias("n"))
-    rows = docs.select(
-        F.struct(*docs.columns).alias("row"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size"),
-        F.xxhash64(text_col).alias("h"),
-    )
-    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy(*key).orderBy("h")))
-    a, b = rows.alias("a"), plan.alias("b")
-    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in (*key, "n")]
-    joined = a.join(b, same[0] & same[1] & same[2] & same[3]).select("a.row", F.explode(F.sequence(F.lit(1), F.col("b.copies"))).alias("copy"))
-    return joined.select("row.*")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size"))
+    number = taken.groupBy(*key).agg(F.count("*").alias("rows"), F.max("copies").alias("copies"))
+
+    def joined(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+        same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in on]
+        for c in same[1:]:
+            same[0] = same[0] & c
+        found = left.alias("a").join(right.alias("b"), same[0])
+        return found.where("b.copies > 0").select("a.row", F.explode(F.sequence(F.lit(1), F.col("b.copies"))).alias("copy")).select("row.*")
+
+    out = joined(rows, number.where("rows = 1"), key)
+    repeated = cut(number.where("rows > 1").select(*key))
+    if not repeated.isEmpty():
+        same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in key]
+        shared = lambda df: df.alias("a").join(repeated.alias("b"), same[0] & same[1] & same[2], "left_semi")
+        turn = Window.partitionBy(*key)
+        plan = shared(taken).select(*key, "copies", F.row_number().over(turn.orderBy(F.desc("copies"))).alias("n"))
+        several = shared(rows).withColumn("n", F.row_number().over(turn.orderBy(F.xxhash64("row"))))
+        out = out.unionByName(joined(several, plan, [*key, "n"]))
+    return out

@@ -190,7 +190,9 @@ def train(
 ) -> tuple[np.ndarray, Network | None]:
     """Word vectors from all documents and a network fitted on the ``sample`` of ``labelled_sample``.
 
-    No network if the sample meets no document or has one class only.
+    No network if the sample meets no document or has one class only.  Null and empty texts have no words;
+    texts of any length are read whole, repeated rows count as often as they are there, and an empty table
+    gives vectors of zeros.  Columns other than id and text are left alone, whatever their names.
     """
     vectors = word_vectors(docs, text_col, space)
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
@@ -218,7 +220,9 @@ def score(
 ) -> DataFrame:
     """Per document: id and ``score``, the probability of the label.
 
-    Null and empty texts are scored as texts without words; without a network all get 0.5.
+    Null and empty texts are scored as texts without words; without a network all get 0.5.  Texts of any length
+    are read whole.  Rows are independent, so repeated rows get equal scores; other columns are left
+    alone, whatever their names, and an empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast((vectors, network))
     kind = docs.schema[id_col].dataType.simpleString()

@@ -1,15 +1,14 @@
 """Small documents with every awkward case."""
 
-import random
+import sys
+from pathlib import Path
 
 import pytest
 
-SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, id int, family string, kept string, row int, n_words string, _rule_kept int"
-
+sys.path.insert(0, str(Path(__file__).parent))
+from plain import prose  # noqa: E402
 
-def prose(seed: int, n: int, vocabulary: int = 300) -> str:
-    rng = random.Random(seed)
-    return " ".join(f"w{rng.randrange(vocabulary)}" for _ in range(n))
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, id int, family string, kept string, row int, n_words string, _rule_kept int"
 
 
 def awkward() -> list[tuple[int | None, str | None]]:

@@ -13,19 +13,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from plain import WORD, components, fold, plain_targets, prose, repeats, shingles, without_repeats
 from tessella.llm import bpe, langid, minhash, mixing, quality, repetition, substrings, toxicity
 from tessella.llm.common import FOLD, LETTERS, Words, is_held_out
 
-def prose(seed: int, n: int, vocabulary: int = 300) -> str:
-    rng = random.Random(seed)
-    return " ".join(f"w{rng.randrange(vocabulary)}" for _ in range(n))
-
-
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-
-
-def fold(t):
-    return re.sub("[A-Z]", lambda m: m[0].lower(), t)
 
 
 @settings(max_examples=60, deadline=None)
@@ -41,15 +32,6 @@ def test_words(texts):
     assert Words(["Ab9c!d"], LETTERS).counts.tolist() == [3]
 
 
-def repeats(words, n):
-    seen = Counter(tuple(words[i : i + n]) for i in range(len(words) - n + 1))
-    mark = [False] * len(words)
-    for i in range(len(words) - n + 1):
-        if seen[tuple(words[i : i + n])] > 1:
-            mark[i : i + n] = [True] * n
-    return mark
-
-
 def test_quality_rules(docs, no_docs):
     found = [r for r in repetition.quality_rules(docs).collect()]
     assert len(found) == docs.count()
@@ -73,6 +55,28 @@ def test_quality_rules(docs, no_docs):
     assert repetition.quality_rules(no_docs).count() == 0
 
 
+def plain_marks(t):
+    """Characters inside three marks in a row, not all blank, that the text has twice or more."""
+    mark = [not (c.isalpha() or c.isnumeric()) for c in t]
+    at = [i for i in range(len(t) - 2) if all(mark[i : i + 3]) and t[i : i + 3].strip(" \t\n\r\x0b\x0c")]
+    seen = Counter(t[i : i + 3] for i in at)
+    return len({i + k for i in at if seen[t[i : i + 3]] > 1 for k in range(3)})
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.text(alphabet="ab1 \n|$%#.é漢\U0001f600", max_size=40), min_size=1, max_size=5))
+def test_repeated_marks(texts):
+    assert repetition.repeated_marks(texts, 3).tolist() == [plain_marks(t) for t in texts]
+
+
+def test_verdict_is_more_than_the_base_rule():
+    clean, junk, rows = prose(1, 200), " ".join(f"{w}$$$" for w in prose(2, 100).split()), " | ".join(prose(3, 100).split())
+    looped = " ".join(prose(4 + k, 6) for k in [*range(40), *(7 * k % 40 for k in range(40))])  # five-word runs that come back, never eight
+    for text, kept in ((clean, True), (junk, False), (rows, False), (looped, False), (f"{clean} {clean[:60]}", True)):
+        found = dict(zip([f for f, _ in repetition.FIELDS], repetition.measure([text])[0], strict=True))
+        assert not found["base_failed"] and found["kept"] == kept and found["mark_chars"] == plain_marks(text)
+
+
 def ranks():
     import public_tokenizers
 
@@ -103,25 +107,6 @@ def test_bpe_parts(text):
     assert "".join(bpe.parts(text, 5)) == text and cut == codec.encoding.encode_ordinary(text)
 
 
-def components(ids, links):
-    parent = {i: i for i in ids}
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for a, b in links:
-        a, b = find(a), find(b)
-        parent[max(a, b)] = min(a, b)
-    return {i: find(i) for i in ids}
-
-
-def shingles(t):
-    w = WORD.findall(fold(t or ""))
-    return frozenset(tuple(w[i : i + 4]) for i in range(len(w) - 3)) if len(w) >= 4 else frozenset([tuple(w)] if w else [])
-
-
 def test_near_duplicates(docs, no_docs):
     rows = [(r.doc_id, shingles(r.text)) for r in docs.collect()]
     named = [(i, s) for i, s in rows if i is not None]
@@ -174,24 +159,6 @@ def test_parts_of_a_sorted_order():
     assert minhash.prefix_parts(np.array([0] + [12] * 30), 16, 1, 12).tolist() == [0] * 31  # equal signatures stay together
 
 
-def without_repeats(rows, width=13):
-    """rows: (id, text); ids None sort last."""
-    rank = lambda i: (i is None, i or 0)
-    first = {}
-    for i, t in rows:
-        w = WORD.findall(t or "")
-        for k in range(len(w) - width + 1):
-            key = tuple(w[k : k + width])
-            first[key] = min(first.get(key, rank(i)), rank(i))
-    for i, t in rows:
-        w = WORD.findall(t or "")
-        gone = [False] * len(w)
-        for k in range(len(w) - width + 1):
-            if first[tuple(w[k : k + width])] < rank(i):
-                gone[k : k + width] = [True] * width
-        yield i, len(w), sum(gone), hashlib.sha256(" ".join(x for x, g in zip(w, gone) if not g).encode()).hexdigest()
-
-
 @pytest.mark.parametrize("how", [substrings.Repeats(), substrings.Repeats(block_bytes=3000, group_windows=500)])
 def test_substrings(docs, no_docs, how):
     found = substrings.remove_repeats(docs, how=how).collect()
@@ -278,20 +245,10 @@ def test_mixing(docs, no_docs):
     rows = found.collect()
     assert Counter((r.doc_id, r.source, r.size) for r in rows) == Counter((r.doc_id, r.source, len(WORD.findall(r.text or ""))) for r in docs.collect())
     assert sorted(map(tuple, rows), key=str) == sorted(map(tuple, mixing.mix(docs.repartition(5), group_rows=8).collect()), key=str)
-    size, weight = Counter(), {}
+    size = Counter()
     for r in rows:
         size[r.source] += r.size
-    for k, s in enumerate(sorted(size, key=lambda s: (s is None, s or ""))):
-        weight[s] = (5, 2, 1)[k % 3]
-    target, free, left = {}, set(size), float(sum(size.values()))
-    while free:  # the excess over three times a source's size is shared again until there is none
-        share = {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
-        over = {s for s in free if share[s] > 3 * size[s]}
-        if not over:
-            target |= share
-            break
-        target |= {s: 3.0 * size[s] for s in over}
-        left, free = left - sum(3 * size[s] for s in over), free - over
+    target = plain_targets(size)
     taken = Counter()
     for r in rows:
         assert r.source_size == size[r.source] and r.target == pytest.approx(target[r.source]) and r.taken <= 3 * r.size
@@ -329,6 +286,79 @@ def test_language(docs, no_docs):
     assert {r.lang_pred for r in langid.predict(docs, None).collect()} == {"und"} and langid.predict(no_docs, model).count() == 0
 
 
+def test_language_scores_against_plain_sums():
+    rng = np.random.default_rng(0)
+    model = langid.LanguageModel(["de", "en", "fr"], np.log([0.2, 0.5, 0.3]), rng.normal(-8, 1, (1 << 10, 3)).astype(np.float32), (1, 2, 3), 10)
+    texts = ["Hello, World 12!", "x", "ÄÖ  straße\n\nund so", "a b  c"]
+    names, scores = model.score(texts)
+    for text, name, score in zip(texts, names, scores, strict=True):
+        chars = " " + re.sub(r"[\W\d_]+", " ", text.lower()).strip() + " "
+        total, mass = np.zeros(3), 0
+        for n in (1, 2, 3):
+            for i in range(len(chars) - n + 1):
+                gram = chars[i : i + n]
+                if " " in (gram if n == 1 else gram[1:-1]):
+                    continue
+                h = ord(gram[0]) + n
+                for c in gram[1:]:
+                    h = (h * 0x01000193 + ord(c)) & 0xFFFFFFFF
+                total += model.logp[((h * 0x9E3779B1) & 0xFFFFFFFF) >> 22]
+                mass += 1
+        z = total / mass**0.5 + model.prior
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        best = int(np.argmax(total + model.prior))
+        assert name == model.names[best] and score == pytest.approx(p[best], rel=1e-4)
+
+
+def test_quality_scores_against_plain_loops():
+    space = quality.VectorSpace()
+    rng = np.random.default_rng(1)
+    vectors = rng.normal(size=(space.buckets, space.dims)).astype(np.float32)
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    texts = ["a b c a", "", "one", None, prose(5, 60)]
+    x = quality.pooled(texts, vectors, space)
+    for row, text in zip(x, texts, strict=True):
+        v = [vectors[space.classes(Words([w]))[0]].astype(float) for w in WORD.findall(text or "")]
+        if not v:
+            assert not row.any()
+            continue
+        mean = sum(v) / len(v)
+        spread = np.sqrt(np.maximum(sum(u * u for u in v) / len(v) - mean * mean, 0))
+        agree = sum(float(a @ b) for a, b in zip(v, v[1:])) / len(v)
+        assert row == pytest.approx(np.array([*mean, *spread, agree, np.linalg.norm(mean), np.log1p(len(v))]), abs=2e-3)
+    net = quality.Network(rng.normal(size=(60, 5)), (rng.random(60) < 0.5).astype(float), epochs=3)
+    rows = rng.normal(size=(4, 5))
+    for row, score in zip(rows, net.score(rows), strict=True):
+        r = [(a - m) / s for a, m, s in zip(row, net.center, net.scale, strict=True)]
+        hidden = [max(0.0, sum(a * w for a, w in zip(r, net.p[0][:, k], strict=True)) + net.p[1][k]) for k in range(net.p[0].shape[1])]
+        z = sum(h * w for h, w in zip(hidden, net.p[2], strict=True)) + net.p[3][0]
+        assert score == pytest.approx(1 / (1 + np.exp(-z / net.temperature)))
+
+
+def test_toxicity_scores_against_plain_loops():
+    lexicon = toxicity.Induced().merged()
+    rng = np.random.default_rng(2)
+    weights = np.where(rng.random(toxicity.COLUMNS + 1) < 0.5, rng.normal(size=toxicity.COLUMNS + 1), 0).astype(np.float32)
+    texts = ["You are such an IDIOT!!", "a calm text of rivers", "", None, "HELLO THERE moron moron"]
+    fired_of = {w: 1 << toxicity.VOTERS.index(name) for name, words in toxicity.LEXICONS.items() for w in words.split()}
+    for text, score in zip(texts, toxicity.ToxicityModel(lexicon, None, weights).score(texts), strict=True):
+        words = re.findall(r"[^\W\d_]+", (text or "").lower())
+        fired = 0
+        for w in words:
+            fired |= fired_of.get(w, 0)
+        for name, pattern in toxicity.PATTERNS.items():
+            fired |= bool(pattern.search(text or "")) << toxicity.VOTERS.index(name)
+        columns = {(1 << toxicity.HASH_BITS) + v for v in range(len(toxicity.VOTERS)) if fired >> v & 1}
+        for w in words:
+            one = Words([w], LETTERS)
+            columns |= {int(h[0] >> np.uint64(64 - toxicity.HASH_BITS)) for h in (one.hash, *(one.prefix_hashes(k) for k in toxicity.STEMS)) if h[0]}
+        assert score == pytest.approx(1 / (1 + np.exp(-(sum(float(weights[c]) for c in columns) + float(weights[-1])))), rel=1e-5)
+    z = rng.normal(size=500)
+    y = (rng.random(500) < 1 / (1 + np.exp(-(2 * z - 1)))).astype(float)
+    slope, shift = toxicity.calibration(z, y)
+    assert slope == pytest.approx(2, abs=0.6) and shift == pytest.approx(-1, abs=0.4) and toxicity.calibration(z, y * 0) == (1.0, 0.0)
+
+
 def learnable(spark):
     clean, junk, bad = "the river runs to the sea and the wind is calm", "BUY!! NOW!! WIN!! $$$ %%% ###", "you idiot and moron what trash"
     rows = [(i, f"{(clean, junk)[i % 4 == 3]} {bad if i % 5 == 0 else ''} number {i}", int(i % 4 != 3), int(i % 5 == 0)) for i in range(400)]

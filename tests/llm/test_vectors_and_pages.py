@@ -1,15 +1,18 @@
 """Vectors, pages, components and the pipeline."""
 
+import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessella.llm import embeddings, pages
+import public_tokenizers
+from plain import WORD, components, plain_targets, repeats, shingles, without_repeats
+from tessella.llm import bpe, embeddings, pages, repetition
 from tessella.llm.components import connected_components
 
 
@@ -213,17 +216,57 @@ def test_tags_end_where_a_plain_reader_finds_it(parts):
 
 @pytest.mark.parametrize("empty", [False, True])
 def test_pipeline(spark, docs, no_docs, empty, tmp_path):
+    """Every stage against a plain version on what the stage before it kept."""
     now = no_docs if empty else docs
-    counts = []
+    tables = []
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        before = now.collect()
         out = stage(spark, now, "unused")
         if k < 4:
             assert out.columns == docs.columns
         out.write.parquet(str(tmp_path / str(k)))
         now = spark.read.parquet(str(tmp_path / str(k)))
-        counts.append(now.count())
+        tables.append((before, now.collect()))
     if empty:
-        assert counts == [0] * 5
-    else:
-        assert docs.count() > counts[0] > counts[1] >= counts[2] and counts[3] == counts[4] > 0
-        assert now.where(F.size("ids") == F.col("n_tokens")).count() == counts[4]
+        assert all(not after for _, after in tables)
+        return
+    (before, after) = tables[0]
+    measured = dict(zip([r.text for r in before], repetition.measure([r.text for r in before])))
+    assert Counter(after) == Counter(r for r in before if measured[r.text][-1])
+    for r in before:  # the base rule, and what a good text cannot have
+        words = WORD.findall(r.text or "")
+        if len(words) < 20 or 100 * sum(repeats(words, 8)) > 30 * len(words):
+            assert not measured[r.text][-1]
+    assert {50, 3, 10, 11, None} <= {r.doc_id for r in after} and not {40, 41, 47, 48} & {r.doc_id for r in after}
+
+    (before, after) = tables[1]
+    sets = [(r.doc_id, shingles(r.text, 5)) for r in before if r.doc_id is not None]
+    links = [(a, b) for a, x in sets for b, y in sets if a < b and x and y and 100 * len(x & y) >= 80 * len(x | y)]
+    root = components({i for i, _ in sets}, links)
+    assert {(r.doc_id, r.text) for r in after} == {(r.doc_id, r.text) for r in before if r.doc_id is None or root[r.doc_id] == r.doc_id}
+    assert len(after) == len({(r.doc_id, r.text) for r in after if r.doc_id is not None}) + sum(r.doc_id is None for r in before)
+
+    (before, after) = tables[2]
+    plain = list(without_repeats([(r.doc_id, r.text) for r in before]))
+    assert Counter((r.doc_id, hashlib.sha256(" ".join(WORD.findall(r.text or "")).encode()).hexdigest()) for r in after) == Counter(
+        (i, sha) for i, n, lost, sha in plain if not n or lost < n
+    )
+    assert sum(lost for _, _, lost, _ in plain) > 0
+
+    (before, after) = tables[3]
+    number, taken, size, most = Counter(before), Counter(after), Counter(), Counter()
+    assert set(taken) <= set(number) and all(n <= 3 * number[r] for r, n in taken.items())
+    words = {r: len(WORD.findall(r.text or "")) for r in before}
+    for r in before:
+        size[r.source] += words[r]
+        most[r.source] = max(most[r.source], words[r])
+    target = plain_targets(size)
+    for source in size:
+        assert abs(sum(n * words[r] for r, n in taken.items() if r.source == source) - target[source]) <= most[source] + 1e-6
+
+    (before, after) = tables[4]
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    encoding = bpe.Codec(bpe.load_ranks(path), pattern).encoding
+    assert Counter((r.doc_id, tuple(r.ids), r.n_tokens, r.decoded_sha256) for r in after) == Counter(
+        (r.doc_id, (ids := tuple(encoding.encode_ordinary(r.text or ""))), len(ids), hashlib.sha256((r.text or "").encode()).hexdigest()) for r in before
+    )
