@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 
 from pyspark.sql import DataFrame, Window
@@ -11,19 +12,25 @@ from pyspark.sql import functions as F
 def radius_pairs(df: DataFrame, radius: float, coords: tuple[str, ...] = ("x", "y", "z"), tid: str = "tid") -> DataFrame:
     """Ordered pairs ``(src, dst, dist)`` of different rows at most ``radius`` apart.
 
-    Points are dealt to cubes of side ``radius``; a point meets those of its own and the adjacent cubes
-    in an equi-join, which Spark can split where a cube is crowded.
+    Points are dealt to cubes of side ``radius``.  A point meets those of its own cube and of half of the adjacent
+    ones in an equi-join, which Spark can split where a cube is crowded, so each pair is found once; both
+    directions are made after the distance is known to be small.
     """
     if not (math.isfinite(radius) and radius > 0):
         raise ValueError("radius must be a positive finite number")
+    d = len(coords)
     cell = [F.floor(F.col(c) / radius) for c in coords]
     base = df.select(F.col(tid).alias("id"), *[F.col(c).alias(f"c{n}") for n, c in enumerate(coords)], *[c.alias(f"g{n}") for n, c in enumerate(cell)])
-    keys = [f"g{n}" for n in range(len(coords))]
-    probe = base.select(F.col("id").alias("src"), *[F.col(f"c{n}").alias(f"s{n}") for n in range(len(coords))], *keys)
-    for k in keys:
-        probe = probe.withColumn(k, F.explode(F.sequence(F.col(k) - 1, F.col(k) + 1)))
-    dist = F.sqrt(sum(((F.col(f"s{n}") - F.col(f"c{n}")) * (F.col(f"s{n}") - F.col(f"c{n}")) for n in range(1, len(coords))), (F.col("s0") - F.col("c0")) * (F.col("s0") - F.col("c0"))))
-    return probe.join(base, keys).where("src <> id").select("src", F.col("id").alias("dst"), dist.alias("dist")).where(F.col("dist") <= radius)
+    keys = [f"g{n}" for n in range(d)]
+    half = [o for o in itertools.product((-1, 0, 1), repeat=d) if o >= (0,) * d]  # the own cube and one of each two opposite ones
+    moves = F.explode(F.array(*[F.struct(*[F.lit(m).alias(k) for m, k in zip(o, keys, strict=True)], F.lit(not any(o)).alias("own")) for o in half]))
+    probe = base.select(F.col("id").alias("a"), *[F.col(f"c{n}").alias(f"s{n}") for n in range(d)], *keys, moves.alias("o"))
+    probe = probe.select("a", *[f"s{n}" for n in range(d)], *[(F.col(k) + F.col(f"o.{k}")).alias(k) for k in keys], "o.own")
+    dist = F.sqrt(sum(((F.col(f"s{n}") - F.col(f"c{n}")) * (F.col(f"s{n}") - F.col(f"c{n}")) for n in range(1, d)), (F.col("s0") - F.col("c0")) * (F.col("s0") - F.col("c0"))))
+    met = probe.join(base, keys).where((~F.col("own") & (F.col("a") != F.col("id"))) | (F.col("a") < F.col("id")))
+    near = met.select("a", F.col("id").alias("b"), dist.alias("dist")).where(F.col("dist") <= radius)
+    both = F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst"))))
+    return near.select(both.alias("e"), "dist").select("e.src", "e.dst", "dist")
 
 
 def knn_edges(df: DataFrame, k: int, radius: float, coords: tuple[str, ...] = ("x", "y", "z"), tid: str = "tid") -> DataFrame:

@@ -1,8 +1,9 @@
 """Potts loopy belief propagation in the log domain.
 
-An undirected edge is one row with both its messages, so no sweep looks for reverse edges.  A
-sweep joins the edges with the node fields twice, updates messages in an Arrow kernel
-(vectorised over edges, O(types) each) and adds up the incoming messages with one grouped sum.
+The state of a sweep is one table, dealt by node: a node's potential, what it sent to each neighbour and what
+it received from each.  A sweep is one exchange: a task sees whole nodes, adds up what they
+received, updates what they send in an Arrow kernel (vectorised over edges, O(types) each) and addresses each
+new message to its receiver.  A sweep's table is a checkpoint; the one before is deleted.
 """
 
 from __future__ import annotations
@@ -15,8 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.functions.batches import in_groups
 from tessella.functions.vectors import safe_ln, softmax
-from tessella.sources.tables import cut, cut_anew, signature_arrays
+from tessella.operators.graph import check_edges
+from tessella.sources.tables import cut, forget, signature_arrays
 
 
 @dataclass
@@ -61,35 +64,86 @@ def updated_message(h: np.ndarray, back: np.ndarray, old: np.ndarray, w: np.ndar
     return (1 - damping) * old + damping * value if damping < 1 else value
 
 
-_EDGE = "u bigint, v bigint, w double, muv array<double>, mvu array<double>"
+#: Kinds of rows of a state: potential, sent, received; and, in a sweep's output, its change.
+POTENTIAL, SENT, RECEIVED, CHANGE = 0, 1, 2, 3
+_STATE = "node bigint, nbr bigint, w double, kind int, m array<double>"
 
 
-def _kernel(damping: float):
+def first_state(edges: DataFrame, phi: DataFrame, types: int) -> DataFrame:
+    """``(node, nbr, w, kind, m)``: potentials, and messages of 0 both ways; edges without both potentials go."""
+    nodes = phi.select("node")
+    known = edges.join(nodes.withColumnRenamed("node", "u"), "u", "left_semi").join(nodes.withColumnRenamed("node", "v"), "v", "left_semi")
+    ways = F.array(*[F.struct(F.col(a).alias("node"), F.col(b).alias("nbr"), F.lit(k).alias("kind")) for a, b in (("u", "v"), ("v", "u")) for k in (SENT, RECEIVED)])
+    messages = known.select(F.explode(ways).alias("e"), "w").select("e.node", "e.nbr", "w", "e.kind", F.array_repeat(F.lit(0.0), types).alias("m"))
+    none = F.lit(None)
+    return phi.select("node", none.cast("bigint").alias("nbr"), none.cast("double").alias("w"), F.lit(POTENTIAL).alias("kind"), F.col("phi").alias("m")).unionByName(messages)
+
+
+def phase_of(node: np.ndarray, phases: int) -> np.ndarray:
+    """Group of sending nodes of an asynchronous sweep."""
+    return ((node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % phases
+
+
+def sweep(state: DataFrame, damping: float, phase: int = 0, phases: int = 1) -> DataFrame:
+    """The next state, and rows of kind CHANGE with the largest (``w``) and the summed (``m``) change of messages.
+
+    With several ``phases`` only the nodes of one send anew.
+    """
+
     def run(batches):
-        for batch in batches:
+        for batch in in_groups(batches, 1):
+            node, w, kind = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2, 3))
             n = batch.num_rows
-            if not n:
-                continue
-            w = batch.column(2).to_numpy()
-            muv, mvu, hu, hv = (batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(n, -1) for c in (3, 4, 5, 6))
-            new_uv, new_vu = updated_message(hu, mvu, muv, w, damping), updated_message(hv, muv, mvu, w, damping)
-            change = np.abs(np.concatenate([new_uv - muv, new_vu - mvu], axis=1))
-            offsets = np.arange(0, (n + 1) * muv.shape[1], muv.shape[1], dtype=np.int32)
-            pack = lambda m: pa.ListArray.from_arrays(offsets, m.ravel())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2), pack(new_uv), pack(new_vu), pa.array(np.nan_to_num(change.max(axis=1), nan=0.0)), pa.array(change.sum(axis=1))],
-                names=["u", "v", "w", "muv", "mvu", "d_max", "d_sum"],
-            )
-
-    return run
-
-
-def _fields(phi: DataFrame, edges: DataFrame, types: int) -> DataFrame:
-    """``(node, h)``: potential plus all incoming messages."""
-    inbox = edges.select(F.col("v").alias("node"), F.col("muv").alias("m")).unionByName(edges.select(F.col("u").alias("node"), F.col("mvu").alias("m")))
-    sums = inbox.groupBy("node").agg(F.array(*[F.sum(F.col("m")[k]) for k in range(types)]).alias("m"))
-    h = F.when(F.col("m").isNull(), F.col("phi")).otherwise(F.zip_with("phi", "m", lambda a, b: a + b))
-    return phi.join(sums, "node", "left").select("node", h.alias("h"))
+            m = batch.column(4).flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+            begins = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
+            group = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, n)))
+            # a node's potential comes first; what it received of a neighbour follows what it sent to it
+            h = np.add.reduceat(np.where((kind == SENT)[:, None], 0.0, m), begins)
+            sent = np.flatnonzero(kind == SENT)
+            if (kind[begins] != POTENTIAL).any() or (kind[sent + 1] != RECEIVED).any():
+                raise ValueError("a node without a potential or an edge without its reverse")
+            new = updated_message(h[group[sent]], m[sent + 1], m[sent], w[sent], damping)
+            if phases > 1:
+                new = np.where((phase_of(node[sent], phases) == phase)[:, None], new, m[sent])
+            change = np.abs(new - m[sent])
+            nbr = batch.column(1).take(pa.array(sent))
+            top = float(np.nan_to_num(change.max(), nan=0.0)) if len(sent) else 0.0
+            types = m.shape[1]
+            pack = lambda v, k=types: pa.ListArray.from_arrays(np.arange(0, len(v) * k + 1, k, dtype=np.int32), v.ravel())
+            fixed = lambda k, v: pa.array(np.full(k, v), pa.int32())
+            weights = batch.column(2).take(pa.array(sent))
+            for columns in (
+                [batch.column(0).take(pa.array(begins)), pa.nulls(len(begins), pa.int64()), pa.nulls(len(begins), pa.float64()), fixed(len(begins), POTENTIAL), pack(m[begins])],
+                [batch.column(0).take(pa.array(sent)), nbr, weights, fixed(len(sent), SENT), pack(new)],
+                [nbr, batch.column(0).take(pa.array(sent)), weights, fixed(len(sent), RECEIVED), pack(new)],
+                [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([top]), fixed(1, CHANGE), pa.array([[float(change.sum())]], pa.list_(pa.float64()))],
+            ):
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "nbr", "w", "kind", "m"])
+
+    return state.repartition("node").sortWithinPartitions("node", F.col("nbr").asc_nulls_first(), "kind").mapInArrow(run, _STATE)
+
+
+def _fields(state: DataFrame, types: int) -> DataFrame:
+    """``(node, h)``: potential plus all received messages."""
+    return state.where(F.col("kind").isin(POTENTIAL, RECEIVED)).groupBy("node").agg(F.array(*[F.sum(F.col("m")[k]) for k in range(types)]).alias("h"))
+
+
+def _edges(state: DataFrame) -> DataFrame:
+    """``(u, v, w, muv, mvu)``: the messages of undirected edges."""
+    ends = state.where("kind > 0 and node < nbr").groupBy(F.col("node").alias("u"), F.col("nbr").alias("v"))
+    of = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("m")))
+    return ends.agg(F.max("w").alias("w"), of(SENT).alias("muv"), of(RECEIVED).alias("mvu"))
+
+
+def check_undirected(edges: DataFrame) -> int:
+    """Number of edges; raises unless each (u, v) is there once, with u < v and a finite weight."""
+    check_edges(edges.select(F.col("u").alias("src"), F.col("v").alias("dst"), "w"))
+    n, turned, different = edges.agg(F.count("*"), F.count_if(F.col("u") >= F.col("v")), F.count_distinct("u", "v")).first()
+    if turned:
+        raise ValueError("edges must have u < v")
+    if different != n:
+        raise ValueError("an edge is there more than once")
+    return n
 
 
 def belief_propagation(
@@ -100,50 +154,36 @@ def belief_propagation(
     is below ``tol``.
 
     ``schedule='async'`` updates the messages of one of ``phases`` groups of sending nodes at a time, each
-    from the newest fields: a distributed block form of in-place sweeps with the same fixed points.
+    from the newest fields: a distributed block form of in-place sweeps with the same fixed points.  Invalid edges raise.
     """
     if max_iter < 1 or not 0 < damping <= 1 or not tol >= 0 or schedule not in ("sync", "async"):
         raise ValueError("max_iter >= 1, 0 < damping <= 1, tol >= 0 and a known schedule are needed")
-    zero = F.array_repeat(F.lit(0.0), types)
-    now = cut(edges.select("u", "v", "w", zero.alias("muv"), zero.alias("mvu")))
-    n_edges = 2 * now.count()
-    fields = phi.select("node", F.col("phi").alias("h"))
+    n_edges = 2 * check_undirected(edges)
+    steps = 1 if schedule == "sync" else phases
+    state = out = first_state(edges, phi, types)
     history: list[tuple[int, float | None, float | None]] = []
     top = mean = None
     for turn in range(1, max_iter + 1):
         worst, total = 0.0, 0.0
-        for phase in range(1 if schedule == "sync" else phases):
-            hu = fields.select(F.col("node").alias("u"), F.col("h").alias("hu"))
-            hv = fields.select(F.col("node").alias("v"), F.col("h").alias("hv"))
-            joined = now.join(hu, "u").join(hv, "v").select("u", "v", "w", "muv", "mvu", "hu", "hv")
-            new = joined.mapInArrow(_kernel(damping), _EDGE + ", d_max double, d_sum double")
-            if schedule == "async":
-                new = _only_phase(new, now, phase, phases)
-            new = cut_anew(new)
-            d = new.agg(F.max("d_max"), F.sum("d_sum")).first()
+        for phase in range(steps):
+            last, out = out, cut(sweep(state, damping, phase, steps))
+            forget(last)
+            state = out.where(F.col("kind") < CHANGE)
+            d = out.where(F.col("kind") == CHANGE).agg(F.max("w"), F.sum(F.col("m")[0])).first()
             worst, total = max(worst, d[0] or 0.0), total + (d[1] or 0.0)
-            now = new.select("u", "v", "w", "muv", "mvu")
-            fields = _fields(phi, now, types)  # derived from the checkpoint, so its lineage stays short
         top, mean = worst, (total / (n_edges * types) if n_edges else None)
         history.append((turn, top, mean))
         if verbose:
             print(f"iteration {turn}: max change {top:.6g}, mean change {mean}")
         if top < tol:
             break
-    return Beliefs(fields.select("node", softmax(F.col("h")).alias("p")), turn, top, mean, history, now, fields)
-
-
-def _only_phase(new: DataFrame, old: DataFrame, phase: int, phases: int) -> DataFrame:
-    """Keeps the new messages of this phase's senders and the old ones of the others."""
-    was = old.select("u", "v", F.col("muv").alias("_uv"), F.col("mvu").alias("_vu"))
-    mine = lambda c: F.pmod(F.xxhash64(c), F.lit(phases)) == phase
-    both = new.join(was, ["u", "v"]).withColumns(
-        {"muv": F.when(mine("u"), F.col("muv")).otherwise(F.col("_uv")), "mvu": F.when(mine("v"), F.col("mvu")).otherwise(F.col("_vu"))}
-    )
-    step = F.concat(F.zip_with("muv", "_uv", lambda a, b: F.abs(a - b)), F.zip_with("mvu", "_vu", lambda a, b: F.abs(a - b)))
-    return both.withColumn("_d", step).select(
-        "u", "v", "w", "muv", "mvu", F.array_max("_d").alias("d_max"), F.aggregate("_d", F.lit(0.0), lambda s, x: s + x).alias("d_sum")
-    )
+    fields = _fields(state, types)
+    return Beliefs(fields.select("node", softmax(F.col("h")).alias("p")), turn, top, mean, history, _edges(state), fields)
+
+
+def history_table(found: Beliefs) -> DataFrame:
+    """``(iteration, max_delta, mean_delta)``: one row a sweep."""
+    return found.marginals.sparkSession.createDataFrame(found.history, "iteration int, max_delta double, mean_delta double")
 
 
 def estimate_lbp_memory_mb(n_nodes: int, n_types: int, n_edges: int) -> float:

@@ -49,19 +49,6 @@ def forget(*frames: DataFrame | None) -> None:
             df._files = None
 
 
-def cut_anew(df: DataFrame) -> DataFrame:
-    """``cut`` that also forgets the plan's size estimate.
-
-    A checkpoint keeps the estimate, a join multiplies those of its sides, and so an iteration that joins its own
-    last state triples the digits each turn, until the planner does nothing but multiply.
-    """
-    done = cut(df)
-    session = df.sparkSession._jsparkSession
-    anew = DataFrame(session.internalCreateDataFrame(done._jdf.queryExecution().toRdd(), done._jdf.schema(), False), df.sparkSession)
-    anew._files = done._files
-    return anew
-
-
 def events_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A point table derived from ``events``: position, feature, quality and gene flag."""
     k = F.get_json_object("props", "$.k").cast("int")
