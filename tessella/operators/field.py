@@ -86,6 +86,7 @@ def likelihood(points: DataFrame, w: np.ndarray, log_theta: np.ndarray) -> tuple
     names = [f"g{j}" for j in range(k)]
     parts = points.select("g", "ids", "ws").mapInArrow(run, "m bigint, " + ", ".join(f"{n} double" for n in names))
     found = parts.groupBy("m").agg(*[F.sum(n).alias(n) for n in names]).toArrow().to_pandas()
+    shared.destroy()
     head = found[found["m"] < 0].iloc[0]
     loss, count = head["g0"], head["g1"]
     if not count:
@@ -171,7 +172,7 @@ class Fit:
 
 
 def minimize(fun, start: np.ndarray, maxit: int = 100, reltol: float = 1e-6, memory: int = 5) -> Fit:
-    """L-BFGS with a backtracking line search on a function that returns value and gradient.
+    """L-BFGS with a line search for sufficient decrease and curvature, on a function that returns value and gradient.
 
     Stops when the relative decrease is at most ``reltol`` ('converged'), after ``maxit`` iterations
     ('limit') or when no step lowers the value ('stalled').
@@ -198,18 +199,24 @@ def minimize(fun, start: np.ndarray, maxit: int = 100, reltol: float = 1e-6, mem
             status = "converged"
             break
         step = 1.0 if past else min(1.0, 1.0 / math.sqrt(-slope))
-        for _ in range(25):
+        low, high = 0.0, math.inf
+        for _ in range(30):
             new_value, new_grad = fun(x - step * q)
             evaluations += 1
-            if new_value <= value + 1e-4 * step * slope:
-                if not past and float((new_grad * q).sum()) > 0.9 * -slope and step < 1e6:  # far too short a first step
-                    step *= 4
-                    continue
+            if not new_value <= value + 1e-4 * step * slope:  # too long
+                high = step
+            elif -float((new_grad * q).sum()) < 0.9 * slope:  # still falling steeply: too short
+                low = step
+            else:
                 break
-            step /= 2
+            step = (low + high) / 2 if high < math.inf else 2 * low
         else:
-            status = "stalled"
-            break
+            if low == 0:
+                status = "stalled"
+                break
+            step = low  # lowers the value, though its slope is steep
+            new_value, new_grad = fun(x - step * q)
+            evaluations += 1
         s, y = -step * q, new_grad - grad
         if float((s * y).sum()) > 1e-12:
             past = [*past[-memory + 1 :], (s, y, 1 / float((s * y).sum()))]

@@ -72,3 +72,9 @@ def filter_counts(df: DataFrame, signatures: DataFrame, columns: Columns = Colum
         F.count("*").alias("n_rows"), F.count_if(good).alias("n_quality"), F.count_if(flagged).alias("n_gene"),
         F.count_if(flagged & F.coalesce("_known", F.lit(False))).alias("n_known"),
     )
+
+
+def known_counts(df: DataFrame, signatures: DataFrame, gene: str = "feature_name") -> tuple[int, int]:
+    """Rows, and those whose gene has a signature."""
+    genes = signatures.select(F.col("gene").alias(gene)).distinct().withColumn("_known", F.lit(True))
+    return tuple(df.join(genes, gene, "left").agg(F.count("*"), F.count_if(F.coalesce("_known", F.lit(False)))).first())

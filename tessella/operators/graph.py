@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,6 +76,29 @@ def row_pointers(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return d.withColumn("_inside", inside).join(F.broadcast(parts), "_part").select("node", (F.col("_offset") + F.col("_inside")).alias("start"))
 
 
+@dataclass(frozen=True)
+class Csr:
+    """A graph by rows: ``pointers`` (node, start) with a last row of the next node's number and the number of edges,
+    ``edges`` (edge_id, src, dst, w, rev_id) in that order, and both counts."""
+
+    pointers: DataFrame
+    edges: DataFrame
+    n_nodes: int
+    n_edges: int
+
+
+def csr(edges: DataFrame, nodes: DataFrame, check_reverse: bool = True) -> Csr:
+    """The graph of directed ``edges`` (src, dst, w) on ``nodes`` (node), checked and numbered."""
+    check_edges(edges)
+    strangers = edges.join(nodes.withColumnRenamed("node", "src"), "src", "left_anti").unionByName(edges.join(nodes.withColumnRenamed("node", "dst"), "dst", "left_anti"))
+    if not strangers.isEmpty():
+        raise ValueError("edge endpoints are out of range")
+    n_nodes, last = nodes.agg(F.count("*"), F.max("node")).first()
+    n_edges = edges.count()
+    end = edges.sparkSession.createDataFrame([((-1 if last is None else last) + 1, n_edges)], "node bigint, start bigint")
+    return Csr(row_pointers(edges, nodes).unionByName(end), reverse_edges(edges, check_reverse), n_nodes, n_edges)
+
+
 def undirected(edges: DataFrame) -> DataFrame:
     """``(u, v, w)`` with u < v, once an edge: what belief propagation keeps its two messages on."""
     return edges.where("src < dst").select(F.col("src").alias("u"), F.col("dst").alias("v"), "w")

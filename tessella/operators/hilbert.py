@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import warnings
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,17 +49,43 @@ def hilbert_index(df: DataFrame, coords: list[str], level: int | None = None, ou
     return df if scaled else df.drop(*[f"{c}_scaled" for c in coords])
 
 
+@dataclass(frozen=True)
+class Hilbert:
+    """``rows`` with ``hilbert``, ``hilbert_double`` and the scaled coordinates; minima by coordinate, extent and bits."""
+
+    rows: DataFrame
+    mins: dict[str, float]
+    extent: float
+    bits: int
+
+
+def hilbert_result(df: DataFrame, coords: list[str], level: int | None = None) -> Hilbert:
+    """The index with all that it was made from."""
+    bits = level_of(len(coords), level)
+    found = extent(df, coords).first()
+    if found["extent"] is None:
+        raise ValueError("no points")
+    rows = hilbert_index(df, coords, level, scaled=True).withColumn("hilbert_double", F.col("hilbert").cast("double"))
+    return Hilbert(rows, {c: found[f"min_{c}"] for c in coords}, found["extent"], bits)
+
+
+#: Bits of a row's number inside its partition in ``monotonically_increasing_id``.
+_ROW_BITS = 33
+
+
 def row_index(df: DataFrame, by: list[str], out: str = "index", start: int = 1) -> DataFrame:
     """Adds the rank by ``by``, which must be unique, without a one-partition window.
 
-    Rows are ranged and sorted; each partition counts its own and adds the counts of those before.
+    Rows are ranged, sorted and checkpointed once; a row's place in its partition is added to the rows of the
+    partitions before, of which there is one number a partition.
     """
-    ranged = cut(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_part", F.spark_partition_id()))
+    ranged = cut(df.repartitionByRange(*by).sortWithinPartitions(*by)).withColumn("_row", F.monotonically_increasing_id())
+    part, local = F.shiftright("_row", _ROW_BITS), F.col("_row").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
+    counts = ranged.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = ranged.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    local = F.row_number().over(Window.partitionBy("_part").orderBy(*by))
-    # one offset a partition
-    return ranged.withColumn("_local", local).join(F.broadcast(offsets), "_part").withColumn(out, F.col("_offset") + F.col("_local") + (start - 1)).drop("_part", "_n", "_offset", "_local")
+    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    joined = ranged.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+    return joined.withColumn(out, F.col("_offset") + local + start).drop("_part", "_row", "_offset")
 
 
 def hilbert_order(df: DataFrame, coords: list[str], level: int | None = None, tid: str = "tid") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.vectors import bcc_point, bcc_vertices, tri_point, tri_vertices
@@ -32,6 +32,13 @@ def check_edge(s: float) -> None:
         raise ValueError("s must be a positive finite number")
 
 
+def checked_weights(vertices: Column, tol: float = 1e-6) -> Column:
+    """The vertices of a point, whose weights must be finite and add up to 1; others raise when read."""
+    total = F.aggregate(vertices, F.lit(0.0), lambda t, v: t + v["w"])
+    wrong = F.raise_error(F.lit("a point lies in no cell of the lattice: its weights do not add up to 1"))
+    return F.when(F.coalesce(F.abs(total - 1) <= tol, F.lit(False)) & ~F.isnan(total), vertices).otherwise(wrong)
+
+
 def barycentric(df: DataFrame, basis: str, s: float, coords: tuple[str, ...] = ("x", "y", "z"), origin: tuple[float, ...] | None = None, tol: float = 1e-10) -> DataFrame:
     """``df`` with ``slot``, the lattice key and ``w``: one row a point and vertex."""
     check_edge(s)
@@ -42,6 +49,7 @@ def barycentric(df: DataFrame, basis: str, s: float, coords: tuple[str, ...] = (
         raise ValueError(f"origin must have {d} finite numbers")
     point = [F.col(c) for c in coords[:d]]
     found = tri_vertices(*point, s, origin, tol) if kind == "2d" else bcc_vertices(*point, s, origin, tol)
+    found = checked_weights(found)
     return df.select("*", F.posexplode(found).alias("slot", "_v")).select(*df.columns, "slot", *[F.col(f"_v.{c}").alias(c) for c in (*keys, "w")])
 
 

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
-from functools import cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -197,6 +196,21 @@ def _(spark, d):
     return hilbert.hilbert_index(points(spark, d), ["x", "y", "z"], LEVEL).select("tid", "hilbert")
 
 
+_axes = ", ".join(f"CAST(round(({c} - (SELECT min({c}) FROM p)) / (SELECT greatest(max(x) - min(x), max(y) - min(y)) FROM p) * {(1 << LEVEL) - 1}) AS BIGINT) AS {c}_scaled" for c in "xy")
+
+
+@query(
+    "hilbert_result",
+    f"SELECT tid, x_scaled, y_scaled, CAST(hilbert AS DOUBLE) AS hilbert_double, (SELECT round(min(x), 6) FROM p) AS min_x, (SELECT round(min(y), 6) FROM p) AS min_y, "
+    f"(SELECT round(greatest(max(x) - min(x), max(y) - min(y)), 6) FROM p) AS extent, CAST({LEVEL} AS INTEGER) AS bits FROM hil JOIN (SELECT tid, {_axes} FROM p) USING (tid)",
+    hilbert_sql(["x", "y"], LEVEL),
+)
+def _(spark, d):
+    found = hilbert.hilbert_result(points(spark, d), ["x", "y"], LEVEL)
+    made = [r6(F.lit(found.mins["x"])).alias("min_x"), r6(F.lit(found.mins["y"])).alias("min_y"), r6(F.lit(found.extent)).alias("extent"), F.lit(found.bits).alias("bits")]
+    return found.rows.select("tid", "x_scaled", "y_scaled", "hilbert_double", *made)
+
+
 @query("hilbert_order", 'SELECT tid, hilbert, row_number() OVER (ORDER BY hilbert, tid) AS "index" FROM hil', hilbert_sql(["x", "y"], LEVEL))
 def _(spark, d):
     return hilbert.hilbert_order(points(spark, d), ["x", "y"], LEVEL).select("tid", "hilbert", "index")
@@ -334,6 +348,15 @@ def _(spark, d):
     return graph.row_pointers(weighted(spark, d), points(spark, d).select(F.col("tid").alias("node")))
 
 
+@query(
+    "graph_csr", "SELECT node, start FROM (SELECT node, CAST(coalesce(sum(deg) OVER (ORDER BY node ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start "
+    "FROM (SELECT tid AS node, count(dst) AS deg FROM p LEFT JOIN dir ON src = tid GROUP BY tid)) UNION ALL SELECT (SELECT max(tid) + 1 FROM p), (SELECT count(*) FROM dir)", KNN_SQL,
+)
+def _(spark, d):
+    found = graph.csr(tables.cut(weighted(spark, d)), points(spark, d).select(F.col("tid").alias("node")))
+    return found.pointers.select("node", "start")
+
+
 @query("graph_from_matrix", "SELECT CAST(o_custkey AS BIGINT) AS src, CAST(o_custkey % 100 AS BIGINT) AS dst, count(*) AS n FROM orders WHERE o_custkey <> o_custkey % 100 GROUP BY 1, 2")
 def _(spark, d):
     o = tables.read_table(spark, d, "orders")
@@ -386,6 +409,14 @@ def _(spark, d):
     return found.select("iterations", r6("max_delta").alias("max_delta"), r6("mean_delta").alias("mean_delta"))
 
 
+@query(
+    "lbp_history", "SELECT CAST(1 AS INTEGER) AS iteration, round(max(delta), 6) AS max_delta, round(avg(delta), 6) AS mean_delta FROM m1 "
+    "UNION ALL SELECT 2, round(max(delta), 6), round(avg(delta), 6) FROM m2", lbp_sql(2),
+)
+def _(spark, d):
+    return potts.history_table(beliefs(spark, d, 2)).select("iteration", r6("max_delta").alias("max_delta"), r6("mean_delta").alias("mean_delta"))
+
+
 @query("lbp_async")
 def _(spark, d):
     return _marginals(beliefs(spark, d, 50, schedule="async", tol=1e-2))
@@ -413,11 +444,6 @@ def fixed_w(n_basis: int, types: int = 4) -> np.ndarray:
     return np.sin(1.7 * np.arange(n_basis)[:, None] + np.arange(types)[None, :])
 
 
-@cache
-def _nothing() -> None:
-    return None
-
-
 def problem(spark: SparkSession, d: str, basis: str) -> workflows.FieldProblem:
     return workflows.field_problem(tables.cut(points(spark, d)), tables.block_signatures(spark), basis, EDGE)
 
@@ -565,4 +591,4 @@ def _(spark, d):
 
 @query("profile_crf")
 def _(spark, d):
-    return workflows.profile_crf(raw(spark, d), tables.block_signatures(spark)).drop("seconds", "size_mb")
+    return workflows.profile_crf(raw(spark, d), tables.block_signatures(spark)).drop("seconds", "size_mb", "total_mb", "peak_mb")

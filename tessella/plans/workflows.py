@@ -4,17 +4,18 @@ from __future__ import annotations
 
 import math
 import time
+import warnings
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions.vectors import argmax, centered
 from tessella.operators import field as fields
 from tessella.operators import filters, graph, hilbert, knn, lattice, potts, signatures
 from tessella.operators.filters import Columns
-from tessella.sources.tables import check_signatures, cut, signature_arrays
+from tessella.sources.tables import check_signatures, cut, signature_arrays, written_mb
 
 
 @dataclass
@@ -30,6 +31,21 @@ class CrfResult:
     history: list = field(default_factory=list)
 
 
+def begin(spark: SparkSession, stage: str, verbose: bool) -> None:
+    """Names the jobs of a stage, and says so if asked."""
+    spark.sparkContext.setJobDescription(stage)
+    if verbose:
+        print(f"{stage} ...", flush=True)
+
+
+def warn_of_unknown(df: DataFrame, signature: DataFrame, columns: Columns, qv_threshold: float) -> None:
+    """Warns if rows are left out because their gene has no signature."""
+    rows = filters.gene_rows(filters.quality(df, columns.qv, qv_threshold), columns.is_gene)
+    n, known = filters.known_counts(rows, signature, columns.gene)
+    if known < n:
+        warnings.warn(f"only {known} of {n} rows have genes with a signature; the others are left out", stacklevel=3)
+
+
 def neighbour_graph(points: DataFrame, k: int, radius: float, ratio: float) -> DataFrame:
     """Undirected edges (u, v, w) of the union of everyone's nearest neighbours."""
     if not (math.isfinite(ratio) and ratio > 0):
@@ -52,13 +68,19 @@ def run_crf(
 
     The order gives ``hilbert`` and ``index`` and is not needed for the labels.
     """
+    spark = df.sparkSession
     _, names = check_signatures(signature)
+    begin(spark, "filtering rows", verbose)
+    warn_of_unknown(df, signature, columns, qv_threshold)
     points = cut(filters.transcripts(df, signature, columns, qv_threshold))
     if points.isEmpty():
         raise ValueError("no rows remain after filtering")
+    begin(spark, "joining neighbours", verbose)
     edges = cut(neighbour_graph(points, n_neighbors, dist_threshold, same_label_ratio))
     phi = cut(potts.node_potentials(points, signature))
+    begin(spark, "propagating beliefs", verbose)
     found = potts.belief_propagation(edges, phi, len(names), max_iter, damping, tol, verbose=verbose)
+    begin(spark, "ordering and labelling rows", verbose)
     rows = hilbert.hilbert_order(points, ["x", "y"]) if with_order else points
     labels = rows.join(named_labels(found.marginals, names).withColumnRenamed("node", "tid"), "tid").drop("p")
     return CrfResult(labels, found.marginals, edges, found.iterations, found.max_delta, found.mean_delta, found.history)
@@ -97,12 +119,15 @@ class FieldProblem:
 def field_problem(points: DataFrame, signature: DataFrame, basis: str, s: float, origin: tuple | None = None) -> FieldProblem:
     """Vertices, basis ids, lattice edges and the log signature matrix of filtered points."""
     order = signature_arrays(signature).select("gene").orderBy("gene").withColumn("g", F.row_number().over(_by("gene")) - 1)
-    genes = cut(points.select("tid", "gene").join(F.broadcast(cut(order)), "gene").select("tid", "gene", "g"))
+    genes = cut(points.select("tid", "gene").join(cut(order), "gene").select("tid", "gene", "g"))
     vertices = lattice.barycentric(points.select("tid", "x", "y", *(["z"] if "z" in points.columns else [])), basis, s, origin=origin)
     spots = cut(lattice.basis_points(vertices, basis, s, origin))
     links = cut(lattice.lattice_edges(spots, basis, s))
-    table = fields.points_table(lattice.design(vertices, spots, basis), genes.select("tid", "g")).persist()
     n = spots.count()
+    types = signature.select("k").distinct().count()
+    if n * types > fields.LARGEST:  # before any edge is collected
+        raise ValueError(f"{n} x {types} coefficients are too many for the driver; use a coarser lattice")
+    table = cut(fields.points_table(lattice.design(vertices, spots, basis), genes.select("tid", "g")))
     number = links.toArrow()
     edges = tuple(number[c].to_numpy() for c in ("m1", "m2", "distance"))
     return FieldProblem(table, genes, spots, links, edges, log_matrix(signature), n)
@@ -125,7 +150,7 @@ def spatial_basis(
     df: DataFrame, signature: DataFrame, s: float, basis: str = "3d", columns: Columns = Columns(), qv_threshold: float = 20, origin: tuple | None = None,
     penalty: fields.Penalty = fields.Penalty(), signature_floor: float = 1e-12, normalize_signatures: bool = True, refine_signatures: bool = False,
     signature_update_iters: int = 1, signature_prior_strength: float | None = None, signature_update_rate: float = 0.25, signature_min_posterior: float = 0.0,
-    maxit: int = 100, refinement_maxit: int | None = None, reltol: float = 1e-6,
+    maxit: int = 100, refinement_maxit: int | None = None, reltol: float = 1e-6, verbose: bool = False,
 ) -> BasisResult:
     """Filter, interpolate on a lattice, fit the field, refine signatures if asked, label."""
     lattice.basis_kind(basis)
@@ -133,10 +158,13 @@ def spatial_basis(
     if signature_floor <= 0 or maxit < 1 or reltol <= 0 or signature_update_iters < 1:
         raise ValueError("signature_floor, maxit, reltol and signature_update_iters must be positive")
     n_genes, names = check_signatures(signature, least_types=2)
+    begin(df.sparkSession, "filtering rows", verbose)
+    warn_of_unknown(df, signature, columns, qv_threshold)
     points = cut(filters.transcripts(df, signature, columns, qv_threshold))
     if points.isEmpty():
         raise ValueError("no rows remain after filtering")
     first = cut(signatures.prepared(signature, signature_floor, normalize_signatures))
+    begin(df.sparkSession, "interpolating on the lattice", verbose)
     problem = field_problem(points, first, basis, s, origin)
     strength = n_genes if signature_prior_strength is None else signature_prior_strength
     current, w = first, np.zeros((problem.n_basis, len(names)))
@@ -144,6 +172,7 @@ def spatial_basis(
     rounds = signature_update_iters if refine_signatures else 0
     for turn in range(rounds + 1):
         log_theta = log_matrix(current)
+        begin(df.sparkSession, f"fitting the field, round {turn}", verbose)
         fit = fields.minimize(
             lambda v, t=log_theta: fields.objective(problem.points, v, t, problem.edges, penalty), w, maxit if turn == 0 else (refinement_maxit or maxit), reltol
         )
@@ -178,19 +207,26 @@ def profile_crf(
     df: DataFrame, signature: DataFrame, columns: Columns = Columns(), qv_threshold: float = 20, n_neighbors: int = 10, dist_threshold: float = 2,
     same_label_ratio: float = 5, tol: float = 0.1, max_iter: int = 50, damping: float = 1.0,
 ) -> DataFrame:
-    """``(stage, seconds, n_rows, size_mb, n_nodes, n_labels, n_directed_edges, n_candidate_directed_edges, lbp_lower_bound_mb)``.
+    """``(stage, seconds, n_rows, size_mb, total_mb, peak_mb, source, n_nodes, n_labels, n_directed_edges, n_candidate_directed_edges, lbp_lower_bound_mb)``.
 
-    Runs each stage of ``run_crf`` to its end; sizes are the optimizer's estimates of what a stage yields.
+    Runs each stage of ``run_crf`` to its end.  ``size_mb`` is the optimizer's estimate of what a stage yields, ``total_mb``
+    what it wrote to its checkpoint and ``peak_mb`` the most heap that the driver used in it (its memory pools'
+    peaks); ``source`` names that measure.
     """
     spark = df.sparkSession
-    rows: list[tuple[str, float, int, float]] = []
+    rows: list[tuple] = []
+    pools = list(spark._jvm.java.lang.management.ManagementFactory.getMemoryPoolMXBeans())
 
     def stage(name: str, make):
+        for pool in pools:
+            pool.resetPeakUsage()
         began = time.time()
         out = cut(make())
         n = out.count()
         size = float(str(out._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) / 2**20
-        rows.append((name, time.time() - began, n, size))
+        seconds = time.time() - began
+        peak = sum(pool.getPeakUsage().getUsed() for pool in pools if str(pool.getType().name()) == "HEAP") / 2**20
+        rows.append((name, seconds, n, size, written_mb(out), peak, "checkpoint files, JVM memory pools"))
         return out
 
     _, names = check_signatures(signature)
@@ -205,5 +241,5 @@ def profile_crf(
     bound = potts.estimate_lbp_memory_mb(n, len(names), e)
     return spark.createDataFrame(
         [(*r, n, len(names), e, candidates, bound) for r in rows],
-        "stage string, seconds double, n_rows bigint, size_mb double, n_nodes bigint, n_labels int, n_directed_edges bigint, n_candidate_directed_edges bigint, lbp_lower_bound_mb double",
+        "stage string, seconds double, n_rows bigint, size_mb double, total_mb double, peak_mb double, source string, n_nodes bigint, n_labels int, n_directed_edges bigint, n_candidate_directed_edges bigint, lbp_lower_bound_mb double",
     )

@@ -39,6 +39,15 @@ def _checkpoint_files(df: DataFrame) -> str | None:
     return found.get() if found.isDefined() else None
 
 
+def written_mb(df: DataFrame) -> float:
+    """MB that a checkpoint (from ``cut``) has on disk; 0 for others."""
+    if not (files := getattr(df, "_files", None)):
+        return 0.0
+    context = df.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(files)
+    return path.getFileSystem(context._jsc.hadoopConfiguration()).getContentSummary(path).getLength() / 2**20
+
+
 def forget(*frames: DataFrame | None) -> None:
     """Deletes the files of checkpoints (from ``cut``) that nothing reads any more; others are left alone."""
     for df in frames:
@@ -120,3 +129,20 @@ def check_signatures(signatures: DataFrame, least_types: int = 1) -> tuple[int,
 def coo_matrix(rows: DataFrame, row: str = "row", col: str = "col", weight: str = "weight") -> DataFrame:
     """A sparse matrix as ``(src, dst, w)``; explicit zeros stay, as in compressed formats."""
     return rows.select(F.col(row).cast("bigint").alias("src"), F.col(col).cast("bigint").alias("dst"), F.col(weight).cast("double").alias("w"))
+
+
+def check_matrix(matrix: DataFrame, n_rows: int, n_cols: int) -> DataFrame:
+    """``(src, dst, w)`` of a square matrix whose cells all lie in it, once each and with finite weights; others raise."""
+    if n_rows != n_cols or n_rows < 0:
+        raise ValueError("an adjacency matrix must be square")
+    w = F.col("w")
+    wrong = w.isNull() | F.isnan(w) | (F.abs(w) == math.inf)
+    outside = ~F.coalesce(F.col("src").between(0, n_rows - 1) & F.col("dst").between(0, n_rows - 1), F.lit(False))
+    bad, out, n, cells = matrix.agg(F.count_if(wrong), F.count_if(outside), F.count("*"), F.count_distinct("src", "dst")).first()
+    if out:
+        raise ValueError(f"{out} cells lie outside the matrix")
+    if bad:
+        raise ValueError("edge weights must be finite")
+    if cells != n:
+        raise ValueError("a cell of the matrix is there more than once")
+    return matrix

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.vectors import bcc_vertices, tri_vertices
-from tessella.operators.field import predict
+from tessella.operators.field import LARGEST, predict
 from tessella.operators.lattice import basis_kind, lattice_keys
 
 
@@ -15,14 +16,47 @@ def score_points(points: DataFrame, basis_points: DataFrame, w: np.ndarray, gene
     """``(tid, logits, prior, posterior)`` of a stream or table with ``tid, x, y[, z], gene``.
 
     Vertices that the fit did not touch have coefficients 0; genes without a signature are dropped.
-    The lattice is looked up in a map the size of the fitted lattice, like ``w`` itself.
+    The fitted lattice is as large as ``w`` and is checked with it; a batch's vertices are looked up together in its sorted keys.
     """
     keys = lattice_keys(basis)
-    number = {tuple(r[k] for k in keys): r["basis_id"] for r in basis_points.select(*keys, "basis_id").collect()}
+    if w.size > LARGEST:
+        raise ValueError("too many coefficients to send to every task")
+    spots = basis_points.select(*keys, "basis_id").toArrow()
+    order, known = sorted_keys([spots[k].to_numpy() for k in keys])
+    shared = points.sparkSession.sparkContext.broadcast((known, spots["basis_id"].to_numpy()[order]))
     padded = np.vstack([w, np.zeros((1, w.shape[1]))])
-    lookup = F.udf(lambda v: [number.get(tuple(p[k] for k in keys), len(w)) for p in v], "array<bigint>")
+
+    def number(batches):
+        known, ids = shared.value
+        for batch in batches:
+            flat = batch.column(2).flatten()
+            rows = pack_keys([flat.field(k).to_numpy() for k in keys])
+            at = np.minimum(np.searchsorted(known, rows), max(0, len(known) - 1))
+            found = np.where(known[at] == rows, ids[at], len(padded) - 1) if len(known) else np.full(len(rows), len(padded) - 1)
+            offsets = batch.column(2).offsets
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.ListArray.from_arrays(offsets, pa.array(found, pa.int64())), pa.ListArray.from_arrays(offsets, flat.field("w"))], names=["tid", "g", "ids", "ws"]
+            )
+
     point = [F.col(c) for c in ("x", "y", "z")[: len(keys)]]
     found = (tri_vertices if basis_kind(basis) == "2d" else bcc_vertices)(*point, s, origin or (0.0,) * len(keys))
-    order = F.create_map(*[F.lit(x) for i, g in enumerate(genes) for x in (g, i)])
-    rows = points.withColumn("g", order[F.col("gene")]).where("g is not null").withColumn("_v", found)
-    return predict(rows.select("tid", "g", lookup("_v").alias("ids"), F.transform("_v", lambda v: v["w"]).alias("ws")), padded, log_theta)
+    genes_of = F.create_map(*[F.lit(x) for i, g in enumerate(genes) for x in (g, i)])
+    rows = points.withColumn("g", genes_of[F.col("gene")]).where("g is not null").select(F.col("tid").cast("bigint").alias("tid"), "g", found.alias("v"))
+    return predict(rows.mapInArrow(number, "tid bigint, g int, ids array<bigint>, ws array<double>"), padded, log_theta)
+
+
+def pack_keys(columns: list[np.ndarray]) -> np.ndarray:
+    """One number for each lattice point: 21 bits a coordinate."""
+    out = np.zeros(len(columns[0]), np.int64)
+    for c in columns:
+        out = (out << 21) | ((c.astype(np.int64) + (1 << 20)) & ((1 << 21) - 1))
+    return out
+
+
+def sorted_keys(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the lattice points by packed key, and the sorted keys; points too far out for a key raise."""
+    if any(len(c) and (c.min() < -(1 << 20) or c.max() >= 1 << 20) for c in columns):
+        raise ValueError("lattice coordinates must lie within 2**20 of the origin")
+    packed = pack_keys(columns)
+    order = np.argsort(packed)
+    return order, packed[order]

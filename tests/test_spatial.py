@@ -275,3 +275,106 @@ def test_streaming_scores_equal_batch(spark, tmp_path):
     run.stop()
     got = {r.tid: r.posterior for r in spark.table("scored").collect()}
     assert got.keys() == batch.keys() and all(np.allclose(got[i], batch[i]) for i in got)
+
+
+def small_edges(spark, rows):
+    return spark.createDataFrame(rows, "u bigint, v bigint, w double")
+
+
+def test_a_sweep_is_one_exchange(spark):
+    phi = spark.createDataFrame([(i, [0.0, float(i)]) for i in range(4)], "node bigint, phi array<double>")
+    state = tables.cut(potts.first_state(small_edges(spark, [(0, 1, 0.5), (1, 2, 0.7)]), phi, 2))
+    plan = potts.sweep(state, 1.0)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "Join" not in plan
+    assert potts.sweep(state, 1.0).where("kind = 3").agg(F.max("w")).first()[0] > 0
+
+
+@pytest.mark.parametrize("rows", [[(0, 1, float("nan"))], [(1, 0, 1.0)], [(1, 1, 1.0)], [(0, 1, 1.0), (0, 1, 2.0)], [(0, None, 1.0)], [(0, 1, None)]])
+def test_belief_propagation_checks_edges(spark, rows):
+    phi = spark.createDataFrame([(i, [0.0, 1.0]) for i in range(2)], "node bigint, phi array<double>")
+    with pytest.raises(ValueError):
+        potts.belief_propagation(small_edges(spark, rows), phi, 2)
+
+
+def test_superseded_states_are_deleted(spark):
+    import os
+
+    phi = spark.createDataFrame([(i, [0.0, 0.1 * i]) for i in range(3)], "node bigint, phi array<double>")
+    folder = tables._checkpoint_files(tables.cut(phi)).replace("file:", "").rsplit("/", 1)[0]
+    before = set(os.listdir(folder))
+    found = potts.belief_propagation(small_edges(spark, [(0, 1, 0.5), (1, 2, 0.5)]), phi, 2, 4, tol=0.0)
+    assert len(set(os.listdir(folder)) - before) == 1 and found.marginals.count() == 3
+    assert [r.iteration for r in potts.history_table(found).orderBy("iteration").collect()] == [1, 2, 3, 4]
+
+
+def test_csr_and_matrix_checks(spark):
+    nodes = spark.range(5).select(F.col("id").alias("node"))
+    both = spark.createDataFrame([(0, 1, 1.0), (1, 0, 1.0), (1, 3, 2.0), (3, 1, 2.0)], "src bigint, dst bigint, w double")
+    found = graph.csr(both, nodes)
+    assert [tuple(r) for r in found.pointers.orderBy("node").collect()] == [(0, 0), (1, 1), (2, 3), (3, 3), (4, 4), (5, 4)]
+    assert (found.n_nodes, found.n_edges) == (5, 4) and {(r.edge_id, r.rev_id) for r in found.edges.collect()} == {(0, 1), (1, 0), (2, 3), (3, 2)}
+    with pytest.raises(ValueError):
+        graph.csr(both.unionByName(both.selectExpr("9L AS src", "0L AS dst", "1D AS w")), nodes)
+    assert tables.check_matrix(both, 4, 4) is both
+    for n, m, rows in ((4, 5, both), (3, 3, both), (4, 4, both.unionByName(both)), (4, 4, both.withColumn("w", F.lit(float("inf"))))):
+        with pytest.raises(ValueError):
+            tables.check_matrix(rows, n, m)
+
+
+def test_matrix_to_beliefs(spark):
+    """The low-level path: matrix, checked graph, belief propagation."""
+    cells = spark.createDataFrame([(0, 1, 0.7), (1, 0, 0.7), (1, 2, 0.4), (2, 1, 0.4), (0, 0, 5.0)], "row int, col int, weight double")
+    edges = graph.directed(tables.check_matrix(tables.coo_matrix(cells), 3, 3), drop_diagonal=True)
+    phi = spark.createDataFrame([(0, [0.0, 1.0]), (1, [0.3, 0.0]), (2, [0.0, 0.0])], "node bigint, phi array<double>")
+    found = potts.belief_propagation(graph.undirected(edges), phi, 2, 10, tol=1e-12)
+    weights = {}
+    for labels in itertools.product(range(2), repeat=3):  # a tree: exact
+        score = sum(r.phi[labels[r.node]] for r in phi.collect()) + 0.7 * (labels[0] == labels[1]) + 0.4 * (labels[1] == labels[2])
+        for i, k in enumerate(labels):
+            weights[i, k] = weights.get((i, k), 0) + math.exp(score)
+    for r in found.marginals.collect():
+        total = weights[r.node, 0] + weights[r.node, 1]
+        assert r.p == pytest.approx([weights[r.node, 0] / total, weights[r.node, 1] / total])
+
+
+def test_crowded_cube(spark):
+    """Many points in one cube: each pair once in either direction."""
+    rng = np.random.default_rng(3)
+    place = rng.random((150, 3)) * 0.3
+    df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(place)], "tid bigint, x double, y double, z double")
+    found = [(r.src, r.dst) for r in knn.radius_pairs(df, 1.0).collect()]
+    assert len(found) == len(set(found)) == 150 * 149
+
+
+def test_weights_are_checked(spark):
+    df = spark.createDataFrame([(0.5,), (0.4,), (float("nan"),)], "x double")
+    v = F.array(F.struct(F.col("x").alias("w")), F.struct(F.lit(0.5).alias("w")))
+    checked = df.select("x", lattice.checked_weights(v).alias("v"))
+    assert checked.where("x = 0.5").count() == 1 and checked.where("x = 0.5").first().v is not None
+    for bad in ("x = 0.4", "isnan(x)"):
+        with pytest.raises(Exception, match="add up to 1"):
+            checked.where(bad).collect()
+
+
+def test_unknown_genes_warn(spark):
+    sig = tables.signatures_from_matrix(spark, np.array([[0.7, 0.3], [0.2, 0.8]]), ["g0", "g1"], ["t", "u"])
+    with pytest.warns(UserWarning, match="rows have genes with a signature"):
+        workflows.run_crf(points(spark, 40, genes=4), sig, max_iter=2, with_order=False)
+
+
+def test_hilbert_result(spark):
+    df = spark.createDataFrame([(i, float(i % 4), float(i // 4)) for i in range(16)], "tid bigint, x double, y double")
+    found = hilbert.hilbert_result(df, ["x", "y"], 2)
+    assert (found.mins, found.extent, found.bits) == ({"x": 0.0, "y": 0.0}, 3.0, 2)
+    rows = found.rows.collect()
+    assert sorted(r.hilbert_double for r in rows) == list(range(16)) and all((r.x_scaled, r.y_scaled) == (r.x, r.y) for r in rows)
+
+
+def test_line_search_keeps_curvature():
+    """The valley of Rosenbrock's function, where backtracking alone gives useless steps."""
+    def fun(w):
+        x, y = w[0]
+        return (1 - x) ** 2 + 100 * (y - x * x) ** 2, np.array([[-2 * (1 - x) - 400 * x * (y - x * x), 200 * (y - x * x)]])
+
+    fit = field.minimize(fun, np.array([[-1.2, 1.0]]), maxit=200, reltol=1e-14)
+    assert fit.w[0] == pytest.approx([1.0, 1.0], abs=1e-4) and fit.status == "converged"
