@@ -6,7 +6,7 @@ Words are maximal runs of characters other than the ASCII white space
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +14,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.sources.tables import cut, forget  # noqa: F401  the library's own, for the operators
+from tessella.functions.batches import in_groups  # noqa: F401  the library's own, for the operators
+from tessella.sources.tables import cut, forget  # noqa: F401
 
 #: Characters worked on at once inside a task; keeps the numpy buffers near the cache.
 BLOCK_CHARS = 300_000
@@ -169,23 +170,3 @@ def blocks(sizes: list[int], limit: int = BLOCK_CHARS) -> Iterator[tuple[int, in
         total += s
     if start < len(sizes):
         yield start, len(sizes)
-
-
-def in_groups(batches: Iterable[pa.RecordBatch], key_columns: int) -> Iterator[pa.RecordBatch]:
-    """Splits batches sorted by their first columns into record batches of whole groups."""
-    rest: pa.RecordBatch | None = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        if rest is not None:
-            batch = pa.concat_batches([rest, batch])
-        same = np.ones(batch.num_rows, bool)
-        for c in range(key_columns):
-            v = batch.column(c).to_numpy(zero_copy_only=False)
-            same &= v == v[-1]
-        n = batch.num_rows - int(np.argmin(same[::-1])) if not same.all() else 0
-        rest = batch.slice(n)
-        if n:
-            yield batch.slice(0, n)
-    if rest is not None and rest.num_rows:
-        yield rest
