@@ -34,9 +34,13 @@ def check_edge(s: float) -> None:
 
 def checked_weights(vertices: Column, tol: float = 1e-6) -> Column:
     """The vertices of a point, whose weights must be finite and add up to 1; others raise when read."""
-    total = F.aggregate(vertices, F.lit(0.0), lambda t, v: t + v["w"])
-    wrong = F.raise_error(F.lit("a point lies in no cell of the lattice: its weights do not add up to 1"))
-    return F.when(F.coalesce(F.abs(total - 1) <= tol, F.lit(False)) & ~F.isnan(total), vertices).otherwise(wrong)
+    def check(v: Column) -> Column:
+        total = F.aggregate(v, F.lit(0.0), lambda t, x: t + x["w"])
+        wrong = F.raise_error(F.lit("a point lies in no cell of the lattice: its weights do not add up to 1"))
+        return F.when(F.coalesce(F.abs(total - 1) <= tol, F.lit(False)) & ~F.isnan(total), v).otherwise(wrong)
+
+    # bound to a variable, so that the vertices are computed once
+    return F.transform(F.array(vertices), check)[0]
 
 
 def barycentric(df: DataFrame, basis: str, s: float, coords: tuple[str, ...] = ("x", "y", "z"), origin: tuple[float, ...] | None = None, tol: float = 1e-10) -> DataFrame:
