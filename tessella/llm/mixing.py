@@ -17,9 +17,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.common import cut
+from tessella.operators.hilbert import row_index
 
 WORD = r"[^\x20\x09-\x0D]+"
 _FAN_IN = 64
+#: Rows, or copies of a row, that one part of a large set of repeats has.
+_PART_ROWS = 10_000
 
 
 def size_of(text: Column) -> Column:
@@ -30,27 +33,25 @@ def size_of(text: Column) -> Column:
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3.0) -> DataFrame:
     """Per source: ``source_size``, ``target``, ``n_rows`` and ``number`` (by code point, null last).
 
-    ``sizes`` has ``source`` and ``size``.  A target stops at ``most`` times the source's size and
-    the excess is shared again by weight: the level at which the targets add up to all words
-    is found by sorting the sources by the level at which each is full.  The windows run over
-    one row a source.
+    ``sizes`` has ``source`` and ``size``.  A target stops at ``most`` times the source's size and the excess is
+    shared again by weight: words left over are dealt to the sources that are not full, until no further one fills up
+    (each round is one aggregate over a row a source).  Sources are numbered by a range sort, so neither needs
+    all sources in one task.
     """
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows"))
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), F.pmod(F.col("number"), F.lit(len(weights))) + 1)
-    per = per.withColumn("number", (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1).cast("int"))
-    per = per.withColumn("weight", w).withColumn("full", F.lit(float(most)) * F.col("source_size"))
-    by_full = Window.orderBy(F.col("full") / F.col("weight"), "number")
-    everything = Window.partitionBy()
-    per = (
-        per.withColumn("before", F.coalesce(F.sum("full").over(by_full.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-        .withColumn("left", F.sum("weight").over(by_full.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
-        .withColumn("total", F.sum("source_size").over(everything))
-        .withColumn("level", (F.col("total") - F.col("before")) / F.col("left"))
-        # the level to use is that of the first source that is not full at it
-        .withColumn("level", F.max(F.when(F.col("level") * F.col("weight") < F.col("full"), F.col("level"))).over(everything))
-    )
-    target = F.when(F.col("level").isNull(), F.col("full")).otherwise(F.least("full", F.col("level") * F.col("weight")))
-    return per.select("source", "source_size", target.alias("target"), "n_rows", "number")
+    numbered = row_index(per, [F.col("source").isNull(), F.col("source")], "number", start=0).withColumn("number", F.col("number").cast("int"))
+    per = cut(numbered.withColumn("weight", w))
+    full = F.lit(float(most)) * F.col("source_size")
+    total, weight = per.agg(F.sum("source_size"), F.sum("weight")).first()
+    level, known = (total / weight if weight else 0.0), 0
+    while True:
+        is_full = F.col("weight") * F.lit(level) >= full
+        n, size, free = per.agg(F.count_if(is_full), F.sum(F.when(is_full, F.col("source_size"))), F.sum(F.when(~is_full, F.col("weight")))).first()
+        if n == known:
+            break
+        level, known = ((total - most * size) / free if free else float("inf")), n
+    return per.select("source", "source_size", F.least(full, F.col("weight") * F.lit(level)).alias("target"), "n_rows", "number")
 
 
 def pivot(p: np.ndarray, size: np.ndarray, draws: np.ndarray) -> int:
@@ -161,9 +162,8 @@ def _mix_units(rows: DataFrame, units: DataFrame, weights: tuple, most: float, g
     units = first.join(decided, ["number", "unit_group"], "left").withColumn(
         "further", F.col("more") + F.when(F.col("open"), F.coalesce("late", F.lit(0))).otherwise(F.col("extra"))
     )
-    several = 10_000
-    spread = units.withColumn("_block", F.explode(F.sequence(F.lit(0), F.floor((F.col("rows") - 1) / several)))).withColumn(
-        "_row", F.explode(F.sequence(F.col("_block") * several, F.least(F.col("rows"), (F.col("_block") + 1) * several) - 1))
+    spread = units.withColumn("_block", F.explode(F.sequence(F.lit(0), F.floor((F.col("rows") - 1) / _PART_ROWS)))).withColumn(
+        "_row", F.explode(F.sequence(F.col("_block") * _PART_ROWS, F.least(F.col("rows"), (F.col("_block") + 1) * _PART_ROWS) - 1))
     )
     copies = F.col("whole") + F.floor(F.col("further") / F.col("rows")) + (F.col("_row") < F.pmod("further", "rows")).cast("bigint")
     return spread.withColumn("copies", copies).select(
@@ -175,29 +175,35 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     """The rows of ``docs`` with their columns, each as often as the mix takes it.
 
     Texts are sent once, to be joined with the number of copies.  Rows of equal id, source and size are alike to the
-    mix: only those are numbered, by a hash of their text, to share the copies.  Null texts and texts without words
-    are taken like others by their source's factor, sources and ids may be null, an empty table gives an empty
-    result, and columns may have any names.
+    mix: only those are numbered, equal ones together, to share the copies; they are dealt to parts of about
+    ``_PART_ROWS`` by a hash of the row, so a huge set of them (say, of the null id) is never in one task.  Null texts and
+    texts without words are taken like others by their source's factor, sources and ids may be null, an empty table
+    gives an empty result, and columns may have any names.
     """
     taken = cut(mix(docs, id_col, text_col, source_col, **options))
     key = ["doc_id", "source", "size"]
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size"))
-    number = taken.groupBy(*key).agg(F.count("*").alias("rows"), F.max("copies").alias("copies"))
-
-    def joined(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-        same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in on]
-        for c in same[1:]:
-            same[0] = same[0] & c
-        found = left.alias("a").join(right.alias("b"), same[0])
-        return found.where("b.copies > 0").select("a.row", F.explode(F.sequence(F.lit(1), F.col("b.copies"))).alias("copy")).select("row.*")
-
-    out = joined(rows, number.where("rows = 1"), key)
-    repeated = cut(number.where("rows > 1").select(*key))
+    # all rows of a unit have ``low`` copies, ``extra`` of them one more
+    low = F.min("copies")
+    units = taken.groupBy(*key).agg(F.count("*").alias("rows"), low.alias("low"), (F.sum("copies") - low * F.count("*")).alias("extra"))
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in key]
+    of_unit = lambda df, units: df.alias("a").join(units.alias("b"), same[0] & same[1] & same[2])
+    single = of_unit(rows, units.where("rows = 1 and low > 0"))
+    out = single.select("a.row", F.explode(F.sequence(F.lit(1), F.col("b.low")))).select("row.*")
+    repeated = cut(units.where("rows > 1"))
     if not repeated.isEmpty():
-        same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in key]
-        shared = lambda df: df.alias("a").join(repeated.alias("b"), same[0] & same[1] & same[2], "left_semi")
-        turn = Window.partitionBy(*key)
-        plan = shared(taken).select(*key, "copies", F.row_number().over(turn.orderBy(F.desc("copies"))).alias("n"))
-        several = shared(rows).withColumn("n", F.row_number().over(turn.orderBy(F.xxhash64("row"))))
-        out = out.unionByName(joined(several, plan, [*key, "n"]))
+        parts = F.ceil(F.col("rows") / _PART_ROWS)
+        alike = of_unit(rows, repeated).select("a.*", "b.rows", "b.low", "b.extra").groupBy(*key, "rows", "low", "extra", "row").agg(F.count("*").alias("n"))
+        alike = cut(alike.withColumn("hash", F.xxhash64("row")).withColumn("part", F.pmod(F.col("hash"), parts)))
+        ahead = (Window.unboundedPreceding, -1)
+        first = F.coalesce(F.sum("n").over(Window.partitionBy(*key).orderBy("part").rowsBetween(*ahead)), F.lit(0))
+        begins = alike.groupBy(*key, "part").agg(F.sum("n").alias("n")).select(*key, "part", first.alias("begin"))
+        inside = F.coalesce(F.sum("n").over(Window.partitionBy(*key, "part").orderBy("hash").rowsBetween(*ahead)), F.lit(0))
+        placed = of_unit(alike.withColumn("inside", inside), begins.withColumnRenamed("part", "_part")).where("part = _part")
+        place = F.col("begin") + F.col("inside")
+        total = F.col("low") * F.col("n") + F.greatest(F.lit(0), F.least(F.col("n"), F.col("extra") - place))
+        several = placed.select("row", "hash", total.alias("total")).where("total > 0")
+        dealt = several.withColumn("block", F.explode(F.sequence(F.lit(0), F.floor((F.col("total") - 1) / _PART_ROWS)))).repartition("hash", "block")
+        number = F.least(F.lit(_PART_ROWS), F.col("total") - F.col("block") * _PART_ROWS)
+        out = out.unionByName(dealt.select("row", F.explode(F.sequence(F.lit(1), number))).select("row.*"))
     return out

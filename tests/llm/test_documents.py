@@ -262,6 +262,36 @@ def test_mixing(docs, no_docs):
     assert mixing.mix(no_docs).count() == 0 and mixing.mixed(no_docs).count() == 0
 
 
+def test_copies_of_many_alike_rows(spark, monkeypatch):
+    """Rows of one id, source and size, equal ones and others, in several parts: the mix takes what it says, rows alike to within one."""
+    monkeypatch.setattr(mixing, "_PART_ROWS", 7)
+    rows = [(None, f"w{i % 20} x y", "a", i % 20) for i in range(60)] + [(None, "same text here", "b", 1)] * 45 + [(i, prose(i, 9), "c", i) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, hash int").repartition(4)
+    plan = mixing.mix(df, group_rows=8).collect()
+    want, units = Counter(), {}
+    for r in plan:
+        want[(r.doc_id, r.source)] += r.copies
+        units.setdefault((r.doc_id, r.source), []).append(r.copies)
+    found = mixing.mixed(df, group_rows=8)
+    got = Counter(tuple(r) for r in found.collect())
+    have = Counter()
+    for (i, _, s, _), n in got.items():
+        have[(i, s)] += n
+    assert found.columns == df.columns and have == +want
+    for row, n in Counter(rows).items():
+        low, high = min(units[(row[0], row[2])]), max(units[(row[0], row[2])])
+        assert high - low <= 1 and n * low <= got[row] <= n * high
+    assert got == Counter(tuple(r) for r in mixing.mixed(df.repartition(2), group_rows=8).collect())
+
+
+@pytest.mark.parametrize("sizes", [{}, {None: 0}, {"a": 10}, {"a": 1, "b": 100, "c": 3, "é": 50, None: 7}, {f"s{k:02d}": 3**(k % 7) for k in range(23)}])
+def test_targets(spark, sizes):
+    df = spark.createDataFrame([(s, n) for s, n in sizes.items()], "source string, size bigint")
+    found = mixing.source_targets(df).collect()
+    assert {r.source: r.target for r in found} == pytest.approx(plain_targets(sizes) if any(sizes.values()) else dict.fromkeys(sizes, 0.0))
+    assert [r.source for r in sorted(found, key=lambda r: r.number)] == sorted(sizes, key=lambda s: (s is None, s or ""))
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.tuples(st.floats(0.01, 0.99), st.integers(1, 500), st.floats(0, 1, exclude_max=True)), min_size=1, max_size=40))
 def test_pivot(units):
