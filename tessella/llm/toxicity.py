@@ -1,10 +1,12 @@
 """Toxicity by weak supervision.
 
 1. Sixteen voters look at a text: fixed lexicons, patterns, and lexicons of words and word
-   stems that are far commoner in toxic labelled rows.  A voter fires or not.
+   stems that are far commoner in toxic labelled rows.  A voter fires or abstains.  A fixed word that
+   labelled rows refute, as it is as common in clean ones, leaves its lexicon.
 2. Spark counts the vote patterns (at most 2**16) over all documents.  A generative label model
    with a hidden class estimates by EM how often each voter fires in either class (its
-   accuracy) and how the voters correlate within a class; correlated voters share their weight.
+   accuracy) and how the voters correlate within a class; correlated votes on one text share their weight.
+   A voter that abstains says nothing; that all telling lexicons abstain is a vote of its own.
 3. A sparse linear classifier over votes, hashed words and word stems is fitted to the
    label model's posteriors, and to nothing else, of a bounded sample of documents (``max_train`` labelled
    ones, half as many others); observed labels only calibrate its scores by a slope and an intercept.
@@ -47,9 +49,11 @@ class Induced:
 
     keys: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint64))
     bits: np.ndarray = field(default_factory=lambda: np.empty(0, np.int32))
+    refuted: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint64))  # fixed words that are left out
 
     def merged(self) -> "Induced":
-        fixed = [(int(h), 1 << VOTERS.index(name)) for name, text in LEXICONS.items() for h in Words([text], LETTERS).hash]
+        gone = set(self.refuted.tolist())
+        fixed = [(h, 1 << VOTERS.index(name)) for name, text in LEXICONS.items() for h in Words([text], LETTERS).hash.tolist() if h not in gone]
         new = ~np.isin(self.keys, np.array([k for k, _ in fixed], np.uint64))
         keys = np.concatenate([self.keys[new], np.array([k for k, _ in fixed], np.uint64)])
         bits = np.concatenate([self.bits[new], np.array([b for _, b in fixed], np.int32)])
@@ -90,8 +94,10 @@ def induce(rows: DataFrame, number: int = 3000, least: int = 4) -> Induced:
     """Words and stems whose document frequency is far higher in the rows with ``y`` 1.
 
     ``rows`` has ``y`` and ``text``.  Counts are summed per task, then by Spark; at most
-    ``number`` entries of the best log odds are kept, the size of the induced lexicons.
+    ``number`` entries of the best log odds are kept, the size of the induced lexicons.  Fixed words that
+    at least three rows with ``y`` 0 have, and whose odds are not high, are refuted.
     """
+    fixed = np.unique(np.concatenate([Words([text], LETTERS).hash for text in LEXICONS.values()])).view(np.int64).tolist()
 
     def count(batches):
         for batch in batches:
@@ -121,34 +127,48 @@ def induce(rows: DataFrame, number: int = 3000, least: int = 4) -> Induced:
     found = (
         rows.select("y", "text").mapInArrow(count, "kind int, h bigint, bad bigint, good bigint")
         .groupBy("kind", "h").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-        .where(F.col("bad") >= least).withColumn("odds", odds).where(F.col("odds") > 2.5)
-        .orderBy(F.desc("odds"), "h", "kind").limit(number).collect()
+        .withColumns({"odds": odds, "fixed": (F.col("kind") == 0) & F.col("h").isin(fixed)})
+        .where(F.col("fixed") | ((F.col("bad") >= least) & (F.col("odds") > 2.5)))
+        .orderBy(F.desc("fixed"), F.desc("odds"), "h", "kind").limit(number + len(fixed)).collect()
     )
-    keys, bits = [], []
+    keys, bits, refuted = [], [], []
     for r in found:
         h = r["h"] & (1 << 64) - 1
+        if r["fixed"]:
+            if r["good"] >= 3 and r["odds"] <= 2.5:
+                refuted.append(h)
+            continue
         name = f"stem{STEMS[r['kind'] - 1]}" if r["kind"] else f"words{h % 4}"
         keys.append(h)
         bits.append(1 << VOTERS.index(name if r["odds"] > 3.5 else "weak"))
-    return Induced(np.array(keys, np.uint64), np.array(bits, np.int32))
+    return Induced(np.array(keys, np.uint64), np.array(bits, np.int32), np.array(refuted, np.uint64))
+
+
+#: Bits of the voters with a lexicon of telling words; the label model adds a vote of their silence.
+LEXICAL = sum(1 << v for v, name in enumerate(VOTERS) if name not in (*PATTERNS, "weak"))
+
+
+def fired_by(patterns: np.ndarray) -> np.ndarray:
+    """Pattern x vote, 0 or 1: the voters, then the silence of all telling lexicons."""
+    return np.column_stack([(patterns[:, None] >> np.arange(len(VOTERS))) & 1, (patterns & LEXICAL) == 0]).astype(np.int64)
 
 
 class LabelModel:
-    """Rates at which each voter fires in either class, correlations within classes, prior."""
+    """Rates at which each vote is cast in either class, correlations within classes, prior."""
 
     def __init__(self, patterns: np.ndarray, number: np.ndarray, bad: np.ndarray, good: np.ndarray, rounds: int = 50):
         """``number``, ``bad`` and ``good``: documents with each pattern, in all and labelled 1 and 0.
 
         Labelled rows keep their class in every round, which fixes the meaning of the classes.
         """
-        x = (patterns[:, None] >> np.arange(len(VOTERS))) & 1
+        x = fired_by(patterns)
         rates = lambda w0, w1: np.array([((x * w[:, None]).sum(0) + 0.5) / (w.sum() + 5) for w in (w0, w1)])
         if not bad.sum():  # nothing is labelled toxic: a lexicon is taken to be right three times in ten
-            bad = number * (x[:, [v not in PATTERNS for v in VOTERS]].sum(1) > 1) * 0.3
+            bad = number * (x[:, [v for v, name in enumerate(VOTERS) if name not in PATTERNS]].sum(1) > 1) * 0.3
         self.rate = rates(number - bad, bad + 1e-3)
         self.prior = float(np.clip(bad.sum() / max(1.0, bad.sum() + good.sum()), 1e-3, 0.5))
-        self.share = np.ones(len(VOTERS))
-        self.correlation = np.eye(len(VOTERS))
+        self.shared = np.zeros((x.shape[1], x.shape[1]))
+        self.correlation = np.eye(x.shape[1])
         free = np.maximum(number - bad - good, 0)
         for _ in range(rounds):
             q = self._posterior(x)
@@ -159,17 +179,16 @@ class LabelModel:
             cov = sum(((x - self.rate[c]) * w[:, None]).T @ (x - self.rate[c]) for c, w in ((0, w0), (1, w1)))
             sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
             self.correlation = cov / np.outer(sd, sd)
-            off = np.clip(self.correlation - np.eye(len(VOTERS)), 0, 1)
-            self.share = 1 / (1 + (off**2).sum(1))  # the part that the other voters do not repeat
+            self.shared = np.clip(self.correlation - np.eye(x.shape[1]), 0, 1) ** 2
 
     def _posterior(self, x: np.ndarray) -> np.ndarray:
         r0, r1 = np.clip(self.rate, 1e-4, 1 - 1e-4)
-        up, down = np.log(r1 / r0), np.log((1 - r1) / (1 - r0))
-        z = np.log(self.prior / (1 - self.prior)) + (self.share * (x * up + (1 - x) * down)).sum(1)
+        part = x / (1 + x @ self.shared)  # of each vote, what the other votes cast do not repeat
+        z = np.log(self.prior / (1 - self.prior)) + part @ np.log(r1 / r0)
         return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
     def posterior(self, patterns: np.ndarray) -> np.ndarray:
-        return self._posterior((patterns[:, None] >> np.arange(len(VOTERS))) & 1)
+        return self._posterior(fired_by(patterns))
 
 
 #: Columns of the linear classifier: hashed words and stems, then the votes.
@@ -193,7 +212,7 @@ def columns_of(words: Words, kinds: list[np.ndarray], fired: np.ndarray, keep: n
     return pair // COLUMNS, pair % COLUMNS
 
 
-def fit_linear(doc: np.ndarray, col: np.ndarray, y: np.ndarray, rounds: int = 150, l1: float = 2e-4) -> np.ndarray:
+def fit_linear(doc: np.ndarray, col: np.ndarray, y: np.ndarray, rounds: int = 600, l1: float = 2e-4) -> np.ndarray:
     """Logistic regression with an L1 penalty by accelerated proximal gradient; last entry: intercept."""
     n = len(y)
     freq = np.bincount(col, minlength=COLUMNS)
@@ -231,13 +250,23 @@ def calibration(z: np.ndarray, y: np.ndarray, rounds: int = 25) -> tuple[float,
     """Slope and intercept for which the scores ``z`` explain the labels best; (1, 0) without both classes."""
     if len(np.unique(y)) < 2:
         return 1.0, 0.0
-    v = np.array([1.0, 0.0])
     x = np.column_stack([z, np.ones(len(z))])
+    first = np.array([1.0, 0.0])
+    loss = lambda v: float((np.logaddexp(0, x @ v) - y * (x @ v)).sum() + 5e-4 * ((v - first) ** 2).sum())
+    v, value = first, loss(first)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ v, -30, 30)))
         curve = (x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
-        v = v - np.linalg.solve(curve, x.T @ (p - y) + 1e-3 * (v - [1.0, 0.0]))
-        v[0] = np.clip(v[0], 0.1, 10)
+        step = np.linalg.solve(curve, x.T @ (p - y) + 1e-3 * (v - first))
+        for _ in range(30):  # a Newton step may overshoot where the scores are extreme
+            new = v - step
+            new[0] = np.clip(new[0], 0.1, 10)
+            if loss(new) <= value:
+                break
+            step = step / 2
+        else:
+            break
+        v, value = new, loss(new)
     return float(v[0]), float(v[1])
 
 

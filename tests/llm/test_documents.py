@@ -389,6 +389,33 @@ def test_toxicity_scores_against_plain_loops():
     assert slope == pytest.approx(2, abs=0.6) and shift == pytest.approx(-1, abs=0.4) and toxicity.calibration(z, y * 0) == (1.0, 0.0)
 
 
+def test_toxicity_label_model():
+    bit = lambda *names: sum(1 << toxicity.VOTERS.index(n) for n in names)
+    patterns = np.array([0, bit("worth"), bit("worth", "words1"), bit("weak"), bit("shouting")])
+    model = toxicity.LabelModel(patterns, np.array([800.0, 20, 60, 70, 50]), np.array([1.0, 6, 20, 2, 1]), np.array([260.0, 0, 0, 20, 15]))
+    none, one, both, weak, loud = model.posterior(patterns)
+    assert one > 0.9 and both > 0.9 and none < 0.05 and weak < 0.3 and loud < 0.1
+    # correlated votes are worth less together than their sum, and each counts in full alone
+    logit = lambda q: np.log(q / (1 - q))
+    alone = logit(model.posterior(np.array([bit("words1")]))[0])
+    assert logit(both) < logit(one) + alone - logit(model.prior)
+
+
+def test_toxicity_calibration_of_extreme_scores():
+    z = np.concatenate([np.full(300, -40.0), np.full(30, 35.0), np.full(5, -38.0), np.full(5, 33.0)])
+    y = np.concatenate([np.zeros(300), np.ones(30), np.ones(5), np.zeros(5)])
+    slope, shift = toxicity.calibration(z, y)
+    assert abs(shift) < 50 and 0.5 < 1 / (1 + np.exp(-(slope * 35 + shift))) < 1
+
+
+def test_toxicity_refutes_fixed_words(spark):
+    rows = [("vile and idiot" if i % 4 == 0 else "vile river", float(i % 4 == 0)) for i in range(80)]
+    found = toxicity.induce(spark.createDataFrame(rows, "text string, y double"))
+    assert found.refuted.tolist() == Words(["vile"], LETTERS).hash.tolist()
+    merged = found.merged()
+    assert not np.isin(found.refuted, merged.keys).any() and Words(["idiot"], LETTERS).hash[0] in merged.keys
+
+
 def learnable(spark):
     clean, junk, bad = "the river runs to the sea and the wind is calm", "BUY!! NOW!! WIN!! $$$ %%% ###", "you idiot and moron what trash"
     rows = [(i, f"{(clean, junk)[i % 4 == 3]} {bad if i % 5 == 0 else ''} number {i}", int(i % 4 != 3), int(i % 5 == 0)) for i in range(400)]
