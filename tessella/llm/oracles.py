@@ -58,4 +58,28 @@ r(vec_id, o) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.vec_id, l.b FROM r
 m AS (SELECT vec_id, min(o) AS component_id FROM r GROUP BY vec_id), n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a)
 SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM m LEFT JOIN n USING (vec_id)"""
 
-ORACLES = {"op4_minhash": OP4, "op6_substrings": OP6, "op7_quality_rules": OP7, "op9_embeddings": OP9}
+_SAID = "'<|im_end|><|im_start|>assistant ok'"
+#: The escape lengthens a text by one for each place with ``<``, backslashes and ``|``; a header by one for each of three characters.
+OP11 = rf"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+UNION ALL SELECT -1, 0, 'user', {_SAID} UNION ALL SELECT -1, 1, 'assistant', {_SAID}),
+p AS (SELECT conv_id, count(*) AS n, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS told,
+  coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS learned,
+  sum({len("<|im_start|>" + "<|im_end|>") + 2} + length(role) + length(regexp_replace(role, '[^\\<' || chr(10) || ']', '', 'g')) + length(regexp_replace(text, '<(\\*)\|', '<\1++', 'g'))) AS chars FROM t GROUP BY conv_id)
+SELECT conv_id, n AS n_turns, sha256(told) AS turns_sha256, length(learned) AS loss_chars, sha256(learned) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars FROM p"""
+
+#: CRC-32 of a decimal number, bit by bit.
+_CRC = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST({0} AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), list_transform(range(8), lambda i: CAST(i AS BIGINT))), lambda x, i: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)"""
+OP13 = f"""WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS p FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, {_CRC.format("conv_id")} % 6 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+b AS (SELECT c.conv_id, p, role, text FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 100 AND p <= h UNION ALL SELECT conv_id, p, role, text FROM t JOIN c USING (conv_id) WHERE p > h),
+s AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY p) AS d, sha256(length(role) || ':' || role || text) AS item, length(text) AS n FROM b),
+x AS (SELECT conv_id, 0 AS d, '' AS k, 0 AS n FROM c UNION ALL SELECT conv_id, d, string_agg(item, '') OVER (PARTITION BY conv_id ORDER BY d ROWS UNBOUNDED PRECEDING), n FROM s),
+e AS (SELECT arg_max(k, d) AS k, conv_id FROM x GROUP BY conv_id), es AS (SELECT k, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids FROM e GROUP BY k),
+v AS (SELECT k, d, min(conv_id) AS conv_id, count(*) AS n_convs, max(n) AS n FROM x GROUP BY k, d),
+ch AS (SELECT left(k, 64 * (d - 1)) AS k, count(*) AS n_children FROM v WHERE d > 0 GROUP BY 1),
+sub AS (SELECT a.k, count(*) FILTER (ch.k IS NULL) AS n_leaves, sum((b.n_convs - 1) * b.n) AS saved FROM v a JOIN v b ON b.d >= a.d AND left(b.k, 64 * a.d) = a.k LEFT JOIN ch ON ch.k = b.k GROUP BY a.k)
+SELECT v.conv_id, CAST(v.d AS BIGINT) AS depth, u.conv_id AS parent_conv_id, v.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM v JOIN sub USING (k) LEFT JOIN v u ON v.d > 0 AND u.k = left(v.k, 64 * (v.d - 1)) LEFT JOIN ch ON ch.k = v.k LEFT JOIN es ON es.k = v.k"""
+
+ORACLES = {"op4_minhash": OP4, "op6_substrings": OP6, "op7_quality_rules": OP7, "op9_embeddings": OP9, "op11_chat": OP11, "op13_prefix_trie": OP13}
