@@ -5,7 +5,7 @@ from __future__ import annotations
 import warnings
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,12 +47,18 @@ def known_genes(df: DataFrame, signatures: DataFrame, gene: str = "feature_name"
     return df.join(genes, gene, "left_semi").select(*df.columns)
 
 
-def transcripts(df: DataFrame, signatures: DataFrame, columns: Columns = Columns(), qv_threshold: float = 20) -> DataFrame:
+def transcripts(df: DataFrame, signatures: DataFrame, columns: Columns = Columns(), qv_threshold: float = 20, counts: Observation | None = None) -> DataFrame:
     """The three filters in turn, with columns named ``tid, x, y, z, gene`` and the others as they are.
 
-    Non-finite coordinates raise when rows are read.
+    Non-finite coordinates raise when rows are read.  ``counts`` observes, in the same pass, the rows before the last filter (``n``) and after it (``n_known``).
     """
-    kept = known_genes(gene_rows(quality(df, columns.qv, qv_threshold), columns.is_gene), signatures, columns.gene)
+    rows = gene_rows(quality(df, columns.qv, qv_threshold), columns.is_gene)
+    if counts is None:
+        kept = known_genes(rows, signatures, columns.gene)
+    else:
+        genes = signatures.select(F.col("gene").alias(columns.gene)).distinct().withColumn("_known", F.lit(True))
+        told = rows.join(genes, columns.gene, "left").observe(counts, F.count("*").alias("n"), F.count_if(F.coalesce("_known", F.lit(False))).alias("n_known"))
+        kept = told.where("_known").select(*df.columns)
     finite = [F.coalesce(F.abs(F.col(c)) < float("inf"), F.lit(False)) & ~F.isnan(F.col(c)) for c in (columns.x, columns.y, columns.z) if c in df.columns]
     ok = finite[0]
     for f in finite[1:]:

@@ -4,10 +4,16 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.operators.hilbert import hilbert_index
+from tessella.sources.tables import cut
+
 
 def radius_pairs(df: DataFrame, radius: float, coords: tuple[str, ...] = ("x", "y", "z"), tid: str = "tid") -> DataFrame:
     """Ordered pairs ``(src, dst, dist)`` of different rows at most ``radius`` apart.
@@ -33,12 +39,101 @@ def radius_pairs(df: DataFrame, radius: float, coords: tuple[str, ...] = ("x", "
     return near.select(both.alias("e"), "dist").select("e.src", "e.dst", "dist")
 
 
-def knn_edges(df: DataFrame, k: int, radius: float, coords: tuple[str, ...] = ("x", "y", "z"), tid: str = "tid") -> DataFrame:
+# --- nearest neighbours where points are crowded
+
+#: Finest cells have the radius' side halved so often; points compared with each one, on average, up to which cubes of the radius' size do.
+FINEST, CROWD = 30, 200
+
+
+def _pairs_in_cubes(base: DataFrame, radius: float, d: int) -> tuple[int, int]:
+    """Number of points, and of ordered pairs that share a cube of side ``radius``."""
+    cubes = base.groupBy(*[F.floor(F.col(f"c{n}") / radius).alias(f"g{n}") for n in range(d)]).agg(F.count("*").alias("n"))
+    n, pairs = cubes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.col("n").cast("double") * F.col("n")), F.lit(0.0))).first()
+    return n, pairs
+
+
+def reach(df: DataFrame, k: int, radius: float, coords: tuple[str, ...] = ("x", "y", "z"), tid: str = "tid") -> DataFrame:
+    """``(id, c0.., r)``: a distance within which each point has ``k`` others, or ``radius`` if that is less.
+
+    Points are sorted along the Hilbert curve; the distance is the k-th of those to the ``k`` points before and after.
+    The ends of a partition see fewer of them, which only makes the bound wider.
+    """
+    names = [f"c{n}" for n in range(len(coords))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        done = 0  # rows of ``held`` that were given out and are there for those after them
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                new = pa.Table.from_batches([batch])
+                held = new if held is None else pa.concat_tables([held, new])
+            if held is None:
+                continue
+            x = np.stack([held.column(c).to_numpy() for c in names], axis=1)
+            n = len(x)
+            stop = n if batch is None else max(done, n - k)  # the last rows wait for those after them
+            near = np.full((n, 2 * k), np.inf)
+            for o in range(1, min(k, n - 1) + 1):
+                dist = np.sqrt(((x[o:] - x[:-o]) ** 2).sum(axis=1))
+                near[:-o, o - 1] = dist
+                near[o:, k + o - 1] = dist
+            bound = np.minimum(np.partition(near, k - 1, axis=1)[:, k - 1], radius)
+            if stop > done:
+                out = held.slice(done, stop - done).append_column("r", pa.array(bound[done:stop]))
+                yield from out.combine_chunks().to_batches()
+            keep = max(0, stop - k)
+            held, done = held.slice(keep), stop - keep
+
+    kind = df.schema[tid].dataType.simpleString()
+    base = df.select(F.col(tid).alias("id"), *[F.col(c).cast("double").alias(f"c{n}") for n, c in enumerate(coords)])
+    placed = hilbert_index(base, names[:3], 15 if len(coords) == 3 else None).repartitionByRange("hilbert", "id").sortWithinPartitions("hilbert", "id")
+    return placed.select("id", *names).mapInArrow(run, f"id {kind}, {', '.join(f'{c} double' for c in names)}, r double")
+
+
+def nearest_candidates(df: DataFrame, k: int, radius: float, coords: tuple[str, ...] = ("x", "y", "z"), tid: str = "tid") -> DataFrame:
+    """``(src, dst, dist)``: pairs of which the ``k`` nearest within ``radius`` are among those of each ``src``.
+
+    A point looks only as far as its ``reach``, in cells of a size between that and twice as much: where points are crowded, cells are small.
+    Of points at one place only the ``k + 1`` of the smallest ids can be anyone's neighbours, so only these are looked up.
+    """
+    d = len(coords)
+    axes = range(d)
+    asking = cut(reach(df, k, radius, coords, tid))
+    level = F.least(F.lit(FINEST), F.greatest(F.lit(0), F.floor(F.log2(F.lit(radius) / F.greatest("r", F.lit(radius * 2.0**-FINEST)))))).cast("int")
+    side = lambda of: F.lit(radius) / F.pow(F.lit(2.0), of)  # noqa: E731  a power of two: exact
+    used = [r[0] for r in asking.select(level.alias("level")).distinct().collect()]  # at most FINEST + 1
+    ask = asking.select("id", *[f"c{n}" for n in axes], "r", level.alias("level"))
+    for n in axes:
+        c, s = F.col(f"c{n}"), side(F.col("level"))
+        far = F.col("r") * (1 + 1e-9) + F.abs(c) * 1e-15
+        ask = ask.withColumn(f"g{n}", F.explode(F.sequence(F.floor((c - far) / s), F.floor((c + far) / s))))
+    ask = ask.select(F.col("id").alias("src"), *[F.col(f"c{n}").alias(f"s{n}") for n in axes], "r", "level", *[f"g{n}" for n in axes])
+    place = [f"c{n}" for n in axes]
+    first = F.row_number().over(Window.partitionBy(*place).orderBy("id"))
+    there = asking.select("id", *place).withColumn("nth", first).where(F.col("nth") <= k + 1)
+    there = there.select("id", *place, F.explode(F.array(*[F.lit(v) for v in used])).alias("level"))
+    there = there.select("id", *place, "level", *[F.floor(F.col(f"c{n}") / side(F.col("level"))).alias(f"g{n}") for n in axes])
+    met = ask.join(there, ["level", *[f"g{n}" for n in axes]]).where(F.col("src") != F.col("id"))
+    square = lambda n: (F.col(f"s{n}") - F.col(f"c{n}")) * (F.col(f"s{n}") - F.col(f"c{n}"))
+    dist = F.sqrt(sum((square(n) for n in range(1, d)), square(0)))
+    return met.select("src", F.col("id").alias("dst"), dist.alias("dist"), "r")
+
+
+def knn_edges(df: DataFrame, k: int, radius: float, coords: tuple[str, ...] = ("x", "y", "z"), tid: str = "tid", crowd: float = CROWD) -> DataFrame:
     """``(src, dst, dist, rank)``: the ``k`` nearest rows within ``radius``; ties go to the smaller id.
 
-    Cutting the ``k`` nearest by the radius and taking the ``k`` nearest inside it are the same.
+    Cutting the ``k`` nearest by the radius and taking the ``k`` nearest inside it are the same.  Cubes of the radius' size are counted first;
+    where a point would meet more than ``crowd`` others in its own on average, points look in cells as small as their neighbours are near.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
+    if not (math.isfinite(radius) and radius > 0):
+        raise ValueError("radius must be a positive finite number")
+    n, pairs = _pairs_in_cubes(df.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(coords)]), radius, len(coords))
+    if pairs > crowd * n:
+        found = nearest_candidates(df, k, radius, coords, tid)
+        near = found.where((F.col("dist") <= radius) & (F.col("dist") <= F.col("r") * (1 + 1e-9))).select("src", "dst", "dist")
+    else:
+        near = radius_pairs(df, radius, coords, tid)
     rank = F.row_number().over(Window.partitionBy("src").orderBy("dist", "dst"))
-    return radius_pairs(df, radius, coords, tid).withColumn("rank", rank).where(F.col("rank") <= k)
+    return near.withColumn("rank", rank).where(F.col("rank") <= k)

@@ -1,9 +1,9 @@
 """Potts loopy belief propagation in the log domain.
 
-The state of a sweep is one table, dealt by node: a node's potential, what it sent to each neighbour and what
-it received from each.  A sweep is one exchange: a task sees whole nodes, adds up what they
-received, updates what they send in an Arrow kernel (vectorised over edges, O(types) each) and addresses each
-new message to its receiver.  A sweep's table is a checkpoint; the one before is deleted.
+The graph is kept once, as adjacency blocks: a row a block of nodes with their potentials, row pointers, neighbours, weights and, for each
+directed edge, the block and place of its reverse.  Blocks do not move again; what sweeps exchange is messages alone: a block's
+new messages are addressed to places of other blocks, a row a pair of blocks.  A task sees whole blocks and works in numpy, O(types) an
+edge.  A sweep's messages are a checkpoint; the one before is deleted.
 """
 
 from __future__ import annotations
@@ -13,13 +13,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.functions.batches import in_groups
 from tessella.functions.vectors import safe_ln, softmax
+from tessella.operators.components import connected_components
 from tessella.operators.graph import check_edges
-from tessella.sources.tables import cut, forget, signature_arrays
+from tessella.sources.tables import cut, cut_by, forget, signature_arrays, stored
 
 
 @dataclass
@@ -64,19 +64,13 @@ def updated_message(h: np.ndarray, back: np.ndarray, old: np.ndarray, w: np.ndar
     return (1 - damping) * old + damping * value if damping < 1 else value
 
 
-#: Kinds of rows of a state: potential, sent, received; and, in a sweep's output, its change.
-POTENTIAL, SENT, RECEIVED, CHANGE = 0, 1, 2, 3
-_STATE = "node bigint, nbr bigint, w double, kind int, m array<double>"
+# --- the graph in blocks
 
-
-def first_state(edges: DataFrame, phi: DataFrame, types: int) -> DataFrame:
-    """``(node, nbr, w, kind, m)``: potentials, and messages of 0 both ways; edges without both potentials go."""
-    nodes = phi.select("node")
-    known = edges.join(nodes.withColumnRenamed("node", "u"), "u", "left_semi").join(nodes.withColumnRenamed("node", "v"), "v", "left_semi")
-    ways = F.array(*[F.struct(F.col(a).alias("node"), F.col(b).alias("nbr"), F.lit(k).alias("kind")) for a, b in (("u", "v"), ("v", "u")) for k in (SENT, RECEIVED)])
-    messages = known.select(F.explode(ways).alias("e"), "w").select("e.node", "e.nbr", "w", "e.kind", F.array_repeat(F.lit(0.0), types).alias("m"))
-    none = F.lit(None)
-    return phi.select("node", none.cast("bigint").alias("nbr"), none.cast("double").alias("w"), F.lit(POTENTIAL).alias("kind"), F.col("phi").alias("m")).unionByName(messages)
+#: Directed edges of a block, about; a component with more is not updated in one task.
+BLOCK_EDGES = 200_000
+#: Most exchanges of one sweep in place.
+MOST_LEVELS = 200
+_BLOCK = "block int, node array<bigint>, start array<int>, nbr array<bigint>, w array<double>, to_block array<int>, to_slot array<int>, phase array<int>, phi array<double>"
 
 
 def phase_of(node: np.ndarray, phases: int) -> np.ndarray:
@@ -84,55 +78,189 @@ def phase_of(node: np.ndarray, phases: int) -> np.ndarray:
     return ((node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % phases
 
 
-def sweep(state: DataFrame, damping: float, phase: int = 0, phases: int = 1) -> DataFrame:
-    """The next state, and rows of kind CHANGE with the largest (``w``) and the summed (``m``) change of messages.
+def by_range(phi: DataFrame, n_edges: int, block_edges: int = BLOCK_EDGES) -> DataFrame:
+    """``(node, block, phase, phi)``: nodes dealt by ranges of their ids."""
+    ranged = phi.select("node", "phi").repartitionByRange(max(1, -(-n_edges // block_edges)), "node")
+    return cut(ranged.select("node", F.spark_partition_id().alias("block"), F.lit(0).alias("phase"), "phi"))
+
+
+def by_component(phi: DataFrame, parts: DataFrame, n_edges: int, block_edges: int = BLOCK_EDGES) -> DataFrame:
+    """``(node, block, phase, phi)``: whole components (``parts``: node, component) in a block; a lone node is a component."""
+    mine = phi.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    block = F.pmod(F.xxhash64("component"), F.lit(max(1, -(-n_edges // block_edges)))).cast("int")
+    return cut(mine.select("node", block.alias("block"), F.lit(0).alias("phase"), "phi"))
+
+
+def adjacency_blocks(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """One row a block, of ``edges`` (u, v, w) between ``nodes`` (node, block, phase, phi); edges without both go.
+
+    A block's directed edges are in the order of node and neighbour; the edges of node n are ``start[n]`` to ``start[n + 1]``.
+    ``to_block`` and ``to_slot`` say where the reverse of each edge is.
+    """
+    both = F.explode(F.array(*[F.struct(F.col(a).alias("src"), F.col(b).alias("dst")) for a, b in (("u", "v"), ("v", "u"))]))
+    ends = edges.select(both.alias("e"), "w").select("e.src", "e.dst", "w")
+    ends = ends.join(nodes.select(F.col("node").alias("src"), "block"), "src").join(nodes.select(F.col("node").alias("dst"), F.col("block").alias("to_block")), "dst")
+    slot = F.row_number().over(Window.partitionBy("block").orderBy("src", "dst")) - 1
+    numbered = cut(ends.withColumn("slot", slot))
+    back = numbered.select(F.col("src").alias("dst"), F.col("dst").alias("src"), F.col("slot").alias("to_slot"))
+    rows = numbered.join(back, ["src", "dst"]).select("block", "src", "dst", "slot", "w", "to_block", "to_slot")
+
+    def pack(key: tuple, links: pa.Table, mine: pa.Table) -> pa.Table:
+        links, mine = links.sort_by("slot"), mine.sort_by("node")
+        node, src = mine.column("node").to_numpy(), links.column("src").to_numpy()
+        start = np.append(np.searchsorted(src, node), len(src))
+        values = [node, start, *[links.column(c).to_numpy() for c in ("dst", "w", "to_block", "to_slot")], mine.column("phase").to_numpy()]
+        phi = mine.column("phi").combine_chunks().flatten()
+        names = [c.split()[0] for c in _BLOCK.split(", ")]
+        types = [pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int32()]
+        arrays = [pa.array([v], pa.list_(t)) for v, t in zip(values, types, strict=True)]
+        return pa.table([pa.array([key[0].as_py()], pa.int32()), *arrays, pa.ListArray.from_arrays(pa.array([0, len(phi)], pa.int32()), phi)], names=names)
+
+    links = rows.withColumnRenamed("block", "of")
+    found = cut_by(links.groupBy("of").cogroup(nodes.groupBy("block")).applyInArrow(lambda k, a, b: pack(k, a, b), _BLOCK), "block")
+    forget(numbered)
+    return found
+
+
+@dataclass
+class _Block:
+    """A block's arrays, and the messages that its edges sent and received last."""
+
+    node: np.ndarray
+    start: np.ndarray
+    nbr: np.ndarray
+    w: np.ndarray
+    to_block: np.ndarray
+    to_slot: np.ndarray
+    phase: np.ndarray
+    phi: np.ndarray
+    sent: np.ndarray
+    got: np.ndarray
+
+    @classmethod
+    def read(cls, static: pa.Table, messages: pa.Table, types: int) -> _Block:
+        of = lambda c: static.column(c).combine_chunks().flatten().to_numpy()
+        arrays = {c: of(c) for c in ("node", "start", "nbr", "w", "to_block", "to_slot", "phase")}
+        shape = (len(arrays["nbr"]), types)
+        sent, got = np.zeros(shape), np.zeros(shape)
+        kinds = messages.column("kind").to_pylist()
+        slots, values = (messages.column(c).combine_chunks() for c in ("slot", "m"))
+        for i, kind in enumerate(kinds):
+            m = values[i].values.to_numpy().reshape(-1, types)
+            if kind == SENT:
+                sent = m
+            else:
+                got[slots[i].values.to_numpy()] = m
+        return cls(**arrays, phi=of("phi").reshape(-1, types), sent=sent, got=got)
+
+    @property
+    def of(self) -> np.ndarray:
+        """The node's place of each edge."""
+        return np.repeat(np.arange(len(self.node)), np.diff(self.start))
+
+    def fields(self) -> np.ndarray:
+        """Potential plus all received messages, a row a node."""
+        h = self.phi.copy()
+        some = np.flatnonzero(np.diff(self.start))
+        if len(some):
+            h[some] += np.add.reduceat(self.got, self.start[some], axis=0)
+        return h
+
+
+#: Kinds of message rows: a block's own last messages, messages to it, and a sweep's change.
+SENT, RECEIVED, CHANGE = 0, 1, 2
+_MESSAGE = "block int, kind int, slot array<int>, m array<double>"
+_MESSAGE_ARROW = pa.schema([("block", pa.int32()), ("kind", pa.int32()), ("slot", pa.list_(pa.int32())), ("m", pa.list_(pa.float64()))])
+
+
+def _messages(rows: list[tuple]) -> pa.Table:
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _MESSAGE_ARROW.types, strict=True)], schema=_MESSAGE_ARROW)
+
+
+def no_messages(blocks: DataFrame) -> DataFrame:
+    return blocks.sparkSession.createDataFrame([], _MESSAGE)
+
+
+def sweep(blocks: DataFrame, messages: DataFrame, types: int, damping: float, phase: int = 0, phases: int = 1) -> DataFrame:
+    """The next messages, and rows of kind CHANGE with the largest and the summed change.
+
+    With several ``phases`` only the nodes of one send anew, the others what they sent last.
+    """
+
+    def run(key: tuple, static: pa.Table, last: pa.Table) -> pa.Table:
+        b = _Block.read(static, last, types)
+        of = b.of
+        new = updated_message(b.fields()[of], b.got, b.sent, b.w, damping)
+        if phases > 1:
+            new = np.where((b.phase == phase)[of][:, None], new, b.sent)
+        change = np.abs(new - b.sent)
+        rows = [(None, CHANGE, None, [_largest(change), float(change.sum())]), (key[0].as_py(), SENT, None, new.ravel())]
+        order = np.argsort(b.to_block, kind="stable")
+        begins = np.flatnonzero(np.diff(b.to_block[order], prepend=-1))
+        rows += [(int(b.to_block[at[0]]), RECEIVED, b.to_slot[at], new[at].ravel()) for at in np.split(order, begins[1:]) if len(at)]
+        return _messages(rows)
+
+    return _with_messages(blocks, messages).applyInArrow(run, _MESSAGE)
+
+
+def sweep_in_place(blocks: DataFrame, messages: DataFrame, types: int, damping: float) -> DataFrame:
+    """A sweep in which each message is used as soon as it is there, nodes in the order of their ids; blocks hold whole components.
 
-    With several ``phases`` only the nodes of one send anew.
+    A node waits only for its neighbours of smaller id, so all nodes of one level (the longest chain of ever smaller neighbours)
+    are updated together, which gives what one message after the other gives.  Nothing leaves a block.
     """
 
-    def run(batches):
-        for batch in in_groups(batches, 1):
-            node, w, kind = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2, 3))
-            n = batch.num_rows
-            m = batch.column(4).flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
-            begins = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
-            group = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, n)))
-            # a node's potential comes first; what it received of a neighbour follows what it sent to it
-            h = np.add.reduceat(np.where((kind == SENT)[:, None], 0.0, m), begins)
-            sent = np.flatnonzero(kind == SENT)
-            if (kind[begins] != POTENTIAL).any() or (kind[sent + 1] != RECEIVED).any():
-                raise ValueError("a node without a potential or an edge without its reverse")
-            new = updated_message(h[group[sent]], m[sent + 1], m[sent], w[sent], damping)
-            if phases > 1:
-                new = np.where((phase_of(node[sent], phases) == phase)[:, None], new, m[sent])
-            change = np.abs(new - m[sent])
-            nbr = batch.column(1).take(pa.array(sent))
-            top = float(np.nan_to_num(change.max(), nan=0.0)) if len(sent) else 0.0
-            types = m.shape[1]
-            pack = lambda v, k=types: pa.ListArray.from_arrays(np.arange(0, len(v) * k + 1, k, dtype=np.int32), v.ravel())
-            fixed = lambda k, v: pa.array(np.full(k, v), pa.int32())
-            weights = batch.column(2).take(pa.array(sent))
-            for columns in (
-                [batch.column(0).take(pa.array(begins)), pa.nulls(len(begins), pa.int64()), pa.nulls(len(begins), pa.float64()), fixed(len(begins), POTENTIAL), pack(m[begins])],
-                [batch.column(0).take(pa.array(sent)), nbr, weights, fixed(len(sent), SENT), pack(new)],
-                [nbr, batch.column(0).take(pa.array(sent)), weights, fixed(len(sent), RECEIVED), pack(new)],
-                [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([top]), fixed(1, CHANGE), pa.array([[float(change.sum())]], pa.list_(pa.float64()))],
-            ):
-                yield pa.RecordBatch.from_arrays(columns, names=["node", "nbr", "w", "kind", "m"])
-
-    return state.repartition("node").sortWithinPartitions("node", F.col("nbr").asc_nulls_first(), "kind").mapInArrow(run, _STATE)
-
-
-def _fields(state: DataFrame, types: int) -> DataFrame:
-    """``(node, h)``: potential plus all received messages."""
-    return state.where(F.col("kind").isin(POTENTIAL, RECEIVED)).groupBy("node").agg(F.array(*[F.sum(F.col("m")[k]) for k in range(types)]).alias("h"))
-
-
-def _edges(state: DataFrame) -> DataFrame:
-    """``(u, v, w, muv, mvu)``: the messages of undirected edges."""
-    ends = state.where("kind > 0 and node < nbr").groupBy(F.col("node").alias("u"), F.col("nbr").alias("v"))
-    of = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("m")))
-    return ends.agg(F.max("w").alias("w"), of(SENT).alias("muv"), of(RECEIVED).alias("mvu"))
+    def run(key: tuple, static: pa.Table, last: pa.Table) -> pa.Table:
+        b = _Block.read(static, last, types)
+        of, h, sent = b.of, b.fields(), b.got[b.to_slot]  # what an edge sent is at its reverse's place
+        to = np.searchsorted(b.node, b.nbr)
+        top, total = 0.0, 0.0
+        level = levels(len(b.node), of, to)
+        order = np.argsort(level[of], kind="stable")
+        for at in np.split(order, np.flatnonzero(np.diff(level[of][order])) + 1):
+            new = updated_message(h[of[at]], b.got[at], sent[at], b.w[at], damping)
+            step = new - sent[at]
+            np.add.at(h, to[at], step)
+            sent[at] = new
+            b.got[b.to_slot[at]] = new
+            change = np.abs(step)
+            top, total = max(top, _largest(change)), total + float(change.sum())
+        return _messages([(None, CHANGE, None, [top, total]), (key[0].as_py(), RECEIVED, np.arange(len(of)), b.got.ravel())])
+
+    return _with_messages(blocks, messages).applyInArrow(run, _MESSAGE)
+
+
+def _largest(change: np.ndarray) -> float:
+    return float(np.nan_to_num(change.max(), nan=0.0)) if change.size else 0.0
+
+
+def _with_messages(blocks: DataFrame, messages: DataFrame):
+    return blocks.groupBy("block").cogroup(messages.withColumnRenamed("block", "for").groupBy("for"))
+
+
+def levels(n: int, of: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Length of the longest chain of ever smaller neighbours of each node, for edges ``of`` -> ``to``."""
+    up = to > of  # a lower node tells its higher neighbours
+    level = np.zeros(n, np.int64)
+    while True:
+        told = level.copy()
+        np.maximum.at(told, to[up], level[of[up]] + 1)
+        if (told == level).all():
+            return level
+        level = told
+
+
+def node_levels(edges: DataFrame, nodes: DataFrame, most: int = MOST_LEVELS) -> DataFrame:
+    """``(node, level)`` of ``levels`` for a distributed graph (u < v), a join a level; more than ``most`` levels raise."""
+    now = cut(nodes.select("node", F.lit(0).alias("level")))
+    for _ in range(most):
+        told = edges.join(now.select(F.col("node").alias("u"), "level"), "u").groupBy(F.col("v").alias("node")).agg((F.max("level") + 1).alias("more"))
+        last, now = now, cut(now.select("node", F.col("level").alias("was")).join(told, "node", "left").select("node", F.greatest("was", "more").alias("level"), (F.col("more") > F.col("was")).alias("moved")))
+        forget(last)
+        if not now.agg(F.count_if("moved")).first()[0]:
+            return now.select("node", "level")
+    forget(now)
+    raise ValueError(f"a chain of more than {most} neighbours of rising id: number the nodes otherwise, or use another schedule")
 
 
 def check_undirected(edges: DataFrame) -> int:
@@ -146,30 +274,58 @@ def check_undirected(edges: DataFrame) -> int:
     return n
 
 
+def _dealt(edges: DataFrame, phi: DataFrame, n_edges: int, schedule: str, phases: int) -> tuple[DataFrame, int, bool]:
+    """Nodes in blocks with their phases, the number of phases, and whether blocks hold whole components."""
+    if schedule == "in_place":
+        parts = connected_components(edges.select(F.col("u").alias("a"), F.col("v").alias("b")))
+        sizes = edges.join(parts.withColumnRenamed("node", "u"), "u").groupBy("component").agg(F.count("*").alias("n"))
+        if 2 * (sizes.agg(F.max("n")).first()[0] or 0) <= BLOCK_EDGES:
+            return by_component(phi, parts, n_edges), 1, True
+        found = node_levels(edges, phi)
+        n_levels = found.agg(F.max("level")).first()[0] + 1
+        ranged = by_range(phi, n_edges)
+        return cut(ranged.drop("phase").join(found.withColumnRenamed("level", "phase"), "node").select("node", "block", "phase", "phi")), n_levels, False
+    nodes = by_range(phi, n_edges)
+    if schedule == "async":
+        group = F.pandas_udf(lambda v: phase_series(v, phases), "int")
+        return nodes.withColumn("phase", group("node")), phases, False
+    return nodes, 1, False
+
+
+def phase_series(node, phases: int):
+    import pandas as pd
+
+    return pd.Series(phase_of(node.to_numpy(), phases).astype(np.int32))
+
+
 def belief_propagation(
     edges: DataFrame, phi: DataFrame, types: int, max_iter: int = 50, damping: float = 1.0, tol: float = 1e-2,
     schedule: str = "sync", phases: int = 4, verbose: bool = False,
 ) -> Beliefs:
     """Messages on ``edges`` (u < v, w) from the potentials ``phi`` (node, phi), until the largest change
-    is below ``tol``.
+    is below ``tol``.  Invalid edges raise.
 
-    ``schedule='async'`` updates the messages of one of ``phases`` groups of sending nodes at a time, each
-    from the newest fields: a distributed block form of in-place sweeps with the same fixed points.  Invalid edges raise.
+    ``schedule='in_place'`` uses each message as soon as it is there, senders in the order of their ids and receivers in that of theirs:
+    by whole components, or, where one has more than ``BLOCK_EDGES`` directed edges, by levels of nodes, an exchange each (a chain of
+    more than ``MOST_LEVELS`` raises).  ``'async'`` updates the messages of one of ``phases`` groups of sending nodes at a time, each from
+    the newest fields: other iterates, the same fixed points.
     """
-    if max_iter < 1 or not 0 < damping <= 1 or not tol >= 0 or schedule not in ("sync", "async"):
+    if max_iter < 1 or not 0 < damping <= 1 or not tol >= 0 or schedule not in ("sync", "async", "in_place"):
         raise ValueError("max_iter >= 1, 0 < damping <= 1, tol >= 0 and a known schedule are needed")
     n_edges = 2 * check_undirected(edges)
-    steps = 1 if schedule == "sync" else phases
-    state = out = first_state(edges, phi, types)
+    nodes, steps, whole = _dealt(edges, phi, n_edges, schedule, phases)
+    blocks = adjacency_blocks(edges, nodes)
+    forget(nodes)
+    messages = out = no_messages(blocks)
     history: list[tuple[int, float | None, float | None]] = []
     top = mean = None
     for turn in range(1, max_iter + 1):
         worst, total = 0.0, 0.0
         for phase in range(steps):
-            last, out = out, cut(sweep(state, damping, phase, steps))
+            last, out = out, stored(sweep_in_place(blocks, messages, types, damping) if whole else sweep(blocks, messages, types, damping, phase, steps))
             forget(last)
-            state = out.where(F.col("kind") < CHANGE)
-            d = out.where(F.col("kind") == CHANGE).agg(F.max("w"), F.sum(F.col("m")[0])).first()
+            messages = out.where(F.col("kind") < CHANGE)
+            d = out.where(F.col("kind") == CHANGE).agg(F.max(F.col("m")[0]), F.sum(F.col("m")[1])).first()
             worst, total = max(worst, d[0] or 0.0), total + (d[1] or 0.0)
         top, mean = worst, (total / (n_edges * types) if n_edges else None)
         history.append((turn, top, mean))
@@ -177,8 +333,27 @@ def belief_propagation(
             print(f"iteration {turn}: max change {top:.6g}, mean change {mean}")
         if top < tol:
             break
-    fields = _fields(state, types)
-    return Beliefs(fields.select("node", softmax(F.col("h")).alias("p")), turn, top, mean, history, _edges(state), fields)
+    found = stored(_result(blocks, messages, types))
+    forget(out, blocks)
+    fields = found.where("nbr is null").select("node", F.col("sent").alias("h"))
+    pairs = found.where("nbr is not null").select(F.col("node").alias("u"), F.col("nbr").alias("v"), "w", F.col("sent").alias("muv"), F.col("got").alias("mvu"))
+    return Beliefs(fields.select("node", softmax(F.col("h")).alias("p")), turn, top, mean, history, pairs, fields)
+
+
+def _result(blocks: DataFrame, messages: DataFrame, types: int) -> DataFrame:
+    """A row a node with its field (``sent``), and a row an undirected edge (node < nbr) with its two messages."""
+
+    def run(key: tuple, static: pa.Table, last: pa.Table) -> pa.Table:
+        b = _Block.read(static, last, types)
+        n = len(b.node)
+        low = np.flatnonzero(b.node[b.of] < b.nbr)
+        sent = b.sent if SENT in last.column("kind").to_pylist() else b.got[b.to_slot]
+        pack = lambda v: pa.ListArray.from_arrays(np.arange(0, len(v) * types + 1, types, dtype=np.int32), v.ravel())
+        nodes = [pa.array(b.node), pa.nulls(n, pa.int64()), pa.nulls(n, pa.float64()), pack(b.fields()), pa.nulls(n, pa.list_(pa.float64()))]
+        links = [pa.array(b.node[b.of][low]), pa.array(b.nbr[low]), pa.array(b.w[low]), pack(sent[low]), pack(b.got[low])]
+        return pa.table([pa.concat_arrays([x, y]) for x, y in zip(nodes, links, strict=True)], names=["node", "nbr", "w", "sent", "got"])
+
+    return _with_messages(blocks, messages).applyInArrow(run, "node bigint, nbr bigint, w double, sent array<double>, got array<double>")
 
 
 def history_table(found: Beliefs) -> DataFrame:

@@ -6,6 +6,7 @@ doubles rounded to 6 places; ties are broken by ids.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Callable
 
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions.vectors import argmax, centered, log_sum_exp, softmax
 from tessella.operators import field as fields
-from tessella.operators import filters, graph, hilbert, knn, lattice, potts, signatures
+from tessella.operators import field_blocks, filters, graph, hilbert, knn, lattice, potts, signatures
 from tessella.plans import workflows
 from tessella.sources import tables
 
@@ -292,7 +293,7 @@ KNN_SQL = f"""cel AS (SELECT *, CAST(floor(x / {RADIUS}e0) AS BIGINT) AS gx, CAS
 pr AS (SELECT tid, x, y, z, gx + dx AS gx, gy + dy AS gy, gz + dz AS gz FROM cel, range(-1, 2) a(dx), range(-1, 2) b(dy), range(-1, 2) c(dz)),
 pa AS (SELECT pr.tid AS src, cel.tid AS dst, sqrt((pr.x - cel.x) * (pr.x - cel.x) + (pr.y - cel.y) * (pr.y - cel.y) + (pr.z - cel.z) * (pr.z - cel.z)) AS dist FROM pr JOIN cel USING (gx, gy, gz) WHERE pr.tid <> cel.tid),
 near AS (SELECT src, dst, dist, row_number() OVER (PARTITION BY src ORDER BY dist, dst) AS rnk FROM pa WHERE dist <= {RADIUS}e0),
-knn AS (SELECT src, dst, dist, rnk FROM near WHERE rnk <= {NEIGHBOURS}), w AS (SELECT ln({RATIO}e0) AS wt),
+knn AS MATERIALIZED (SELECT src, dst, dist, rnk FROM near WHERE rnk <= {NEIGHBOURS}), w AS (SELECT ln({RATIO}e0) AS wt),
 dir AS (SELECT src, dst FROM knn UNION SELECT dst, src FROM knn), und AS (SELECT src AS u, dst AS v FROM dir WHERE src < dst)"""
 
 
@@ -417,6 +418,11 @@ def _(spark, d):
     return potts.history_table(beliefs(spark, d, 2)).select("iteration", r6("max_delta").alias("max_delta"), r6("mean_delta").alias("mean_delta"))
 
 
+@query("lbp_in_place")
+def _(spark, d):
+    return _marginals(beliefs(spark, d, 50, schedule="in_place", tol=1e-2))
+
+
 @query("lbp_async")
 def _(spark, d):
     return _marginals(beliefs(spark, d, 50, schedule="async", tol=1e-2))
@@ -516,12 +522,55 @@ gs AS (SELECT m, t, sum(st) AS g FROM (SELECT m1 AS m, t, st FROM sl UNION ALL S
 ga AS (SELECT wm.m, wm.t, coalesce(gl.g, 0) + coalesce(gs.g, 0) AS g FROM wm LEFT JOIN gl USING (m, t) LEFT JOIN gs USING (m, t))"""
 
 
+#: Lattice points of a block in the queries of the blocked field, so that small tables have several.
+SPAN = 50
+
+
+def blocked(spark: SparkSession, d: str, basis: str) -> tuple[workflows.FieldProblem, DataFrame]:
+    """The problem in blocks and the fixed coefficients in blocks."""
+    pr = workflows.field_problem(tables.cut(points(spark, d)), tables.block_signatures(spark), basis, EDGE, blocked=True, span=SPAN)
+    w = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.sin(1.7 * F.col("basis_id") + k))
+    return pr, field_blocks.coefficient_blocks(pr.basis.select("basis_id", w.alias("w")), pr.blocks)
+
+
 @query("field_gradient_bcc", "SELECT m AS basis_id, CAST(t AS INTEGER) AS k, round(g - avg(g) OVER (PARTITION BY m), 6) + 0e0 AS gradient FROM ga", basis_sql("bcc") + ", " + GRADIENT_SQL)
 def _(spark, d):
-    pr = problem(spark, d, "bcc")
-    _, g = fields.objective(pr.points, fixed_w(pr.n_basis), pr.log_theta, pr.edges, fields.Penalty(0.7, "quadratic"))
-    rows = [(int(m), int(k), float(g[m, k])) for m in range(g.shape[0]) for k in range(g.shape[1])]
-    return spark.createDataFrame(rows, "basis_id bigint, k int, gradient double").withColumn("gradient", r6("gradient"))
+    pr, w = blocked(spark, d, "bcc")
+    found = field_blocks.objective_blocks(pr.blocks, w, pr.log_theta, fields.Penalty(0.7, "quadratic"))
+    rows = field_blocks.coefficient_rows(found.select("block", F.col("grad").alias("w")), pr.blocks)
+    return rows.select("basis_id", F.posexplode("w").alias("k", "gradient")).select("basis_id", "k", r6("gradient").alias("gradient"))
+
+
+def _halo_predict(basis: str) -> Callable:
+    def run(spark, d):
+        pr, w = blocked(spark, d, basis)
+        long = field_blocks.predict_blocks(pr.blocks, w, pr.log_theta).select("tid", F.posexplode(F.arrays_zip("logits", "prior", "posterior")).alias("k", "v"))
+        return long.select("tid", "k", r6("v.logits").alias("logit"), r6("v.prior").alias("prior"), r6("v.posterior").alias("posterior"))
+
+    return run
+
+
+for _basis in ("tri", "bcc"):
+    query(f"halo_predict_{_basis}", "SELECT tid, CAST(t AS INTEGER) AS k, round(f, 6) AS logit, round(prior, 6) AS prior, round(post, 6) AS posterior FROM ps", basis_sql(_basis))(_halo_predict(_basis))
+
+#: Each regularization and each purity term alone, summed up from the blocks.
+TERMS = [("quadratic", "none"), ("huber", "none"), ("bounded", "none"), ("quadratic", "entropy"), ("quadratic", "gini")]
+_terms_sql = basis_sql("bcc") + ", rr AS (SELECT (a.w - b.w) / distance AS r FROM le JOIN wm a ON a.m = m1 JOIN wm b ON b.m = m2 AND b.t = a.t), n AS (SELECT count(*) AS n FROM le), " + ", ".join(
+    f"im_{k} AS (SELECT avg(h) AS v FROM (SELECT m, {v} AS h FROM (SELECT m, exp(w) / sum(exp(w)) OVER (PARTITION BY m) AS q FROM wm) GROUP BY m))" for k, v in IMPURITIES.items()
+)
+
+
+@query(
+    "lattice_penalties", " UNION ALL ".join(f"SELECT '{r}' AS regularization, '{p}' AS purity, round(0.7e0 * (SELECT sum({SLOPES[r]}) FROM rr) / (SELECT n FROM n) + 0.3e0 * (SELECT v FROM im_{p}), 6) AS value" for r, p in TERMS), _terms_sql,
+)
+def _(spark, d):
+    pr, w = blocked(spark, d, "bcc")
+    w = tables.cut(w)
+    found = [
+        field_blocks.objective_blocks(pr.blocks, w, pr.log_theta, _penalty(r, p), ("smoothness",)).agg(F.lit(r).alias("regularization"), F.lit(p).alias("purity"), r6(F.sum("value")).alias("value"))
+        for r, p in TERMS
+    ]
+    return functools.reduce(DataFrame.unionByName, found)
 
 
 @query("centered_coefficients", "SELECT m AS basis_id, CAST(t AS INTEGER) AS k, round(w - avg(w) OVER (PARTITION BY m), 6) AS w FROM wm", basis_sql("tri"))

@@ -8,12 +8,12 @@ import warnings
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions.vectors import argmax, centered
 from tessella.operators import field as fields
-from tessella.operators import filters, graph, hilbert, knn, lattice, potts, signatures
+from tessella.operators import field_blocks, filters, graph, hilbert, knn, lattice, potts, signatures
 from tessella.operators.filters import Columns
 from tessella.sources.tables import check_signatures, cut, signature_arrays, written_mb
 
@@ -38,12 +38,19 @@ def begin(spark: SparkSession, stage: str, verbose: bool) -> None:
         print(f"{stage} ...", flush=True)
 
 
-def warn_of_unknown(df: DataFrame, signature: DataFrame, columns: Columns, qv_threshold: float) -> None:
-    """Warns if rows are left out because their gene has no signature."""
-    rows = filters.gene_rows(filters.quality(df, columns.qv, qv_threshold), columns.is_gene)
-    n, known = filters.known_counts(rows, signature, columns.gene)
+def filtered(df: DataFrame, signature: DataFrame, columns: Columns, qv_threshold: float) -> DataFrame:
+    """The filtered rows, checkpointed; rows left out because their gene has no signature are counted in the same pass and told of.
+
+    No rows left: an error.
+    """
+    counts = Observation()
+    points = cut(filters.transcripts(df, signature, columns, qv_threshold, counts))
+    n, known = counts.get["n"], counts.get["n_known"]
     if known < n:
         warnings.warn(f"only {known} of {n} rows have genes with a signature; the others are left out", stacklevel=3)
+    if not known:
+        raise ValueError("no rows remain after filtering")
+    return points
 
 
 def neighbour_graph(points: DataFrame, k: int, radius: float, ratio: float) -> DataFrame:
@@ -62,24 +69,21 @@ def named_labels(probabilities: DataFrame, names: list[str], column: str = "p")
 
 def run_crf(
     df: DataFrame, signature: DataFrame, columns: Columns = Columns(), qv_threshold: float = 20, n_neighbors: int = 10, dist_threshold: float = 2,
-    same_label_ratio: float = 5, tol: float = 0.1, max_iter: int = 50, damping: float = 1.0, with_order: bool = True, verbose: bool = False,
+    same_label_ratio: float = 5, tol: float = 0.1, max_iter: int = 50, damping: float = 1.0, with_order: bool = True, verbose: bool = False, schedule: str = "sync",
 ) -> CrfResult:
-    """Filter, order along the Hilbert curve, join neighbours, propagate beliefs, label.
+    """Filter, order along the Hilbert curve, join neighbours, propagate beliefs (by ``schedule``), label.
 
     The order gives ``hilbert`` and ``index`` and is not needed for the labels.
     """
     spark = df.sparkSession
     _, names = check_signatures(signature)
     begin(spark, "filtering rows", verbose)
-    warn_of_unknown(df, signature, columns, qv_threshold)
-    points = cut(filters.transcripts(df, signature, columns, qv_threshold))
-    if points.isEmpty():
-        raise ValueError("no rows remain after filtering")
+    points = filtered(df, signature, columns, qv_threshold)
     begin(spark, "joining neighbours", verbose)
     edges = cut(neighbour_graph(points, n_neighbors, dist_threshold, same_label_ratio))
     phi = cut(potts.node_potentials(points, signature))
     begin(spark, "propagating beliefs", verbose)
-    found = potts.belief_propagation(edges, phi, len(names), max_iter, damping, tol, verbose=verbose)
+    found = potts.belief_propagation(edges, phi, len(names), max_iter, damping, tol, schedule, verbose=verbose)
     begin(spark, "ordering and labelling rows", verbose)
     rows = hilbert.hilbert_order(points, ["x", "y"]) if with_order else points
     labels = rows.join(named_labels(found.marginals, names).withColumnRenamed("node", "tid"), "tid").drop("p")
@@ -88,14 +92,17 @@ def run_crf(
 
 @dataclass
 class BasisResult:
-    """Everything a basis fit yields; matrices are numpy, rows of points are DataFrames."""
+    """Everything a basis fit yields; rows of points are DataFrames.
+
+    ``basis_weights`` is a matrix, or ``(basis_id, w)`` after a fit in blocks.
+    """
 
     labels: DataFrame
     prediction: DataFrame
     basis_points: DataFrame
     basis_edges: DataFrame
-    basis_weights: np.ndarray
-    fit: fields.Fit
+    basis_weights: np.ndarray | DataFrame
+    fit: fields.Fit | field_blocks.BlockedFit
     fits: list
     signatures_initial: DataFrame
     signatures: DataFrame
@@ -105,38 +112,37 @@ class BasisResult:
 
 @dataclass
 class FieldProblem:
-    """A point table on a lattice, ready for the objective."""
+    """A point table on a lattice, ready for the objective: ``edges`` as arrays, or all in ``blocks``."""
 
     points: DataFrame
     genes: DataFrame
     basis: DataFrame
     lattice_edges: DataFrame
-    edges: tuple
+    edges: tuple | None
     log_theta: np.ndarray
     n_basis: int
+    blocks: field_blocks.BlockedField | None = None
+
 
+def field_problem(points: DataFrame, signature: DataFrame, basis: str, s: float, origin: tuple | None = None, blocked: bool | None = None, span: int | None = None) -> FieldProblem:
+    """Vertices, basis ids, lattice edges and the log signature matrix of filtered points.
 
-def field_problem(points: DataFrame, signature: DataFrame, basis: str, s: float, origin: tuple | None = None) -> FieldProblem:
-    """Vertices, basis ids, lattice edges and the log signature matrix of filtered points."""
-    order = signature_arrays(signature).select("gene").orderBy("gene").withColumn("g", F.row_number().over(_by("gene")) - 1)
-    genes = cut(points.select("tid", "gene").join(cut(order), "gene").select("tid", "gene", "g"))
+    ``blocked`` keeps lattice and points in blocks (of ``span`` lattice points); by default that is done where the driver cannot hold the coefficients.
+    """
+    order = hilbert.row_index(signature_arrays(signature).select("gene"), ["gene"], "g", start=0).withColumn("g", F.col("g").cast("int"))
+    genes = cut(points.select("tid", "gene").join(order, "gene").select("tid", "gene", "g"))
     vertices = lattice.barycentric(points.select("tid", "x", "y", *(["z"] if "z" in points.columns else [])), basis, s, origin=origin)
     spots = cut(lattice.basis_points(vertices, basis, s, origin))
     links = cut(lattice.lattice_edges(spots, basis, s))
     n = spots.count()
     types = signature.select("k").distinct().count()
-    if n * types > fields.LARGEST:  # before any edge is collected
-        raise ValueError(f"{n} x {types} coefficients are too many for the driver; use a coarser lattice")
     table = cut(fields.points_table(lattice.design(vertices, spots, basis), genes.select("tid", "g")))
+    log_theta = log_matrix(signature)
+    if blocked or blocked is None and n * types > fields.LARGEST:
+        return FieldProblem(table, genes, spots, links, None, log_theta, n, field_blocks.blocked_field(table, links, n, types, span))
     number = links.toArrow()
     edges = tuple(number[c].to_numpy() for c in ("m1", "m2", "distance"))
-    return FieldProblem(table, genes, spots, links, edges, log_matrix(signature), n)
-
-
-def _by(column: str):
-    from pyspark.sql import Window
-
-    return Window.orderBy(column)
+    return FieldProblem(table, genes, spots, links, edges, log_theta, n)
 
 
 def log_matrix(signature: DataFrame) -> np.ndarray:
@@ -152,43 +158,49 @@ def spatial_basis(
     signature_update_iters: int = 1, signature_prior_strength: float | None = None, signature_update_rate: float = 0.25, signature_min_posterior: float = 0.0,
     maxit: int = 100, refinement_maxit: int | None = None, reltol: float = 1e-6, verbose: bool = False,
 ) -> BasisResult:
-    """Filter, interpolate on a lattice, fit the field, refine signatures if asked, label."""
+    """Filter, interpolate on a lattice, fit the field, refine signatures if asked, label.
+
+    More coefficients than the driver can hold are fitted in blocks (``field_blocks``), by the same steps.
+    """
     lattice.basis_kind(basis)
     lattice.check_edge(s)
     if signature_floor <= 0 or maxit < 1 or reltol <= 0 or signature_update_iters < 1:
         raise ValueError("signature_floor, maxit, reltol and signature_update_iters must be positive")
     n_genes, names = check_signatures(signature, least_types=2)
     begin(df.sparkSession, "filtering rows", verbose)
-    warn_of_unknown(df, signature, columns, qv_threshold)
-    points = cut(filters.transcripts(df, signature, columns, qv_threshold))
-    if points.isEmpty():
-        raise ValueError("no rows remain after filtering")
+    points = filtered(df, signature, columns, qv_threshold)
     first = cut(signatures.prepared(signature, signature_floor, normalize_signatures))
     begin(df.sparkSession, "interpolating on the lattice", verbose)
     problem = field_problem(points, first, basis, s, origin)
     strength = n_genes if signature_prior_strength is None else signature_prior_strength
-    current, w = first, np.zeros((problem.n_basis, len(names)))
+    current, blocks = first, problem.blocks
+    w = np.zeros((problem.n_basis, len(names))) if blocks is None else field_blocks.zero_blocks(blocks)
     fits, history, updates = [], [first], []
     rounds = signature_update_iters if refine_signatures else 0
+
+    def predict(theta: np.ndarray) -> DataFrame:
+        return fields.predict(problem.points, w, theta) if blocks is None else field_blocks.predict_blocks(blocks, w, theta)
+
     for turn in range(rounds + 1):
         log_theta = log_matrix(current)
         begin(df.sparkSession, f"fitting the field, round {turn}", verbose)
-        fit = fields.minimize(
-            lambda v, t=log_theta: fields.objective(problem.points, v, t, problem.edges, penalty), w, maxit if turn == 0 else (refinement_maxit or maxit), reltol
-        )
+        most = maxit if turn == 0 else (refinement_maxit or maxit)
+        if blocks is None:
+            fit = fields.minimize(lambda v, t=log_theta: fields.objective(problem.points, v, t, problem.edges, penalty), w, most, reltol)
+        else:
+            fit = field_blocks.minimize_blocks(blocks, log_theta, penalty, w, most, reltol)
         fits.append(fit)
         w = fit.w
         if turn < rounds:
-            q = signatures.posterior_long(fields.predict(problem.points, w, log_theta).join(problem.genes, "tid").select("gene", "posterior"))
+            q = signatures.posterior_long(predict(log_theta).join(problem.genes, "tid").select("gene", "posterior"))
             update = cut(signatures.refined(signatures.weighted_counts(q, signature_min_posterior), first, current, strength, signature_update_rate, signature_floor))
             updates.append(signatures.update_summary(update))
             current = update.select("gene", "k", "cell_type", "theta")
             history.append(current)
-    prediction = fields.predict(problem.points, w, log_matrix(current))
+    prediction = predict(log_matrix(current))
     labels = points.join(named_labels(prediction.select("tid", "posterior"), names, "posterior"), "tid").drop("posterior")
-    return BasisResult(
-        labels, prediction, problem.basis, problem.lattice_edges, w - w.mean(axis=1, keepdims=True), fits[-1], fits, first, current, history, updates
-    )
+    centred = w - w.mean(axis=1, keepdims=True) if blocks is None else centered_rows(field_blocks.coefficient_rows(w, blocks))
+    return BasisResult(labels, prediction, problem.basis, problem.lattice_edges, centred, fits[-1], fits, first, current, history, updates)
 
 
 def minimum_slice(points: DataFrame, signature: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 import tempfile
+import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,24 +16,56 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage by a reliable checkpoint in the session's shared folder (``spark.checkpoint.dir``).
+def _shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder (``spark.checkpoint.dir``).
 
     Where that is unset a folder of our own is used in local mode only; on a cluster it would be a folder
     of the driver alone, so there it is an error.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None and not re.match(r"local(\[|$)", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cuts the lineage by a reliable checkpoint in the session's shared folder."""
+    _shared_folder(df.sparkSession)
     done = df.checkpoint()
     done._files = _checkpoint_files(done)
     return done
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Cuts the lineage by a table written to the session's shared folder.
+
+    A checkpoint keeps the planner's guess of its size, and where a table is made of two others that is their product: over many rounds
+    it grows without end.  A written table has the size of its files.
+    """
+    path = f"{_shared_folder(df.sparkSession)}/table-{uuid.uuid4()}"
+    df.write.parquet(path)
+    done = df.sparkSession.read.schema(df.schema).parquet(path)
+    done._files = path
+    return done
+
+
+def cut_by(df: DataFrame, *keys: str) -> DataFrame:
+    """``cut`` of rows dealt by ``keys``; grouping or joining by them later does not move these rows again.
+
+    The plan of a checkpoint tells how its rows are dealt only if it was not an adaptive one.
+    """
+    conf = df.sparkSession.conf
+    before = conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return cut(df.repartition(*keys))
+    finally:
+        conf.set("spark.sql.adaptive.enabled", before)
+
+
 def _checkpoint_files(df: DataFrame) -> str | None:
     """Folder of a DataFrame that ``checkpoint`` returned."""
     found = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
@@ -40,7 +73,7 @@ def _checkpoint_files(df: DataFrame) -> str | None:
 
 
 def written_mb(df: DataFrame) -> float:
-    """MB that a checkpoint (from ``cut``) has on disk; 0 for others."""
+    """MB that a checkpoint (from ``cut`` or ``stored``) has on disk; 0 for others."""
     if not (files := getattr(df, "_files", None)):
         return 0.0
     context = df.sparkSession.sparkContext
@@ -49,7 +82,7 @@ def written_mb(df: DataFrame) -> float:
 
 
 def forget(*frames: DataFrame | None) -> None:
-    """Deletes the files of checkpoints (from ``cut``) that nothing reads any more; others are left alone."""
+    """Deletes the files of checkpoints (from ``cut`` or ``stored``) that nothing reads any more; others are left alone."""
     for df in frames:
         if files := getattr(df, "_files", None):
             context = df.sparkSession.sparkContext

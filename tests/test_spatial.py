@@ -275,6 +275,11 @@ def test_streaming_scores_equal_batch(spark, tmp_path):
     run.stop()
     got = {r.tid: r.posterior for r in spark.table("scored").collect()}
     assert got.keys() == batch.keys() and all(np.allclose(got[i], batch[i]) for i in got)
+    # lattice points 2**21 apart would have one key: a point that far away has no fitted vertex; an unknown gene no row
+    p = pts.first()
+    far = spark.createDataFrame([(0, p.x + 1.5 * 2**21, p.y, p.z, p.gene), (1, p.x, p.y, p.z, "nobody"), (2, p.x, p.y, p.z, None)], "tid bigint, x double, y double, z double, gene string")
+    rows = score_points(far, pr.basis, w, genes, pr.log_theta, "bcc", 3.0).collect()
+    assert [r.tid for r in rows] == [0] and rows[0].logits == [0.0, 0.0]
 
 
 def small_edges(spark, rows):
@@ -283,10 +288,15 @@ def small_edges(spark, rows):
 
 def test_a_sweep_is_one_exchange(spark):
     phi = spark.createDataFrame([(i, [0.0, float(i)]) for i in range(4)], "node bigint, phi array<double>")
-    state = tables.cut(potts.first_state(small_edges(spark, [(0, 1, 0.5), (1, 2, 0.7)]), phi, 2))
-    plan = potts.sweep(state, 1.0)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange ") == 1 and "Join" not in plan
-    assert potts.sweep(state, 1.0).where("kind = 3").agg(F.max("w")).first()[0] > 0
+    edges = small_edges(spark, [(0, 1, 0.5), (1, 2, 0.7)])
+    blocks = potts.adjacency_blocks(edges, potts.by_range(phi, 4, 2))
+    first = tables.cut(potts.sweep(blocks, potts.no_messages(blocks), 2, 1.0))
+    plan = potts.sweep(blocks, first.where("kind < 2"), 2, 1.0)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "Join" not in plan  # of messages; the graph stays where it is
+    assert first.columns == ["block", "kind", "slot", "m"] and blocks.count() == 2
+    # a sweep's table holds two messages a directed edge and two numbers a block, and no weight or potential
+    assert first.agg(F.sum(F.size("m"))).first()[0] == 2 * 4 * 2 + 2 * 2
+    assert first.where("kind = 2").agg(F.max(F.col("m")[0])).first()[0] > 0
 
 
 @pytest.mark.parametrize("rows", [[(0, 1, float("nan"))], [(1, 0, 1.0)], [(1, 1, 1.0)], [(0, 1, 1.0), (0, 1, 2.0)], [(0, None, 1.0)], [(0, 1, None)]])
