@@ -23,6 +23,8 @@ from tessella.llm.common import cut, forget
 
 #: Arcs that a task contracts at once, and ids joined to one text before they are digested.
 BLOCK_ARCS, CHUNK_IDS = 200_000, 2_000
+#: Links of a list (56 bytes each) up to which it is broadcast in a round of ranking.
+SMALL_LIST = 200_000
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 _ENTER, _EXIT = 0, 1
 
@@ -49,13 +51,14 @@ def rebuilt(rows: DataFrame, every: int = 100, most: int = 6, **names: str) -> D
     the CRC-32 of its decimal id modulo ``most``.
     """
     own = cut(turns(rows, **names))
-    convs = own.where("place = 1").select("conv", (F.crc32(F.col("conv").cast("string").cast("binary")) % most).alias("h"))
+    h = F.crc32(F.col("conv").cast("string").cast("binary")) % most
     # at most ``most`` - 1 turns a leading conversation, which ``every`` others read
     heads = own.where((F.col("conv") % every == 0) & (F.col("place") < most)).withColumnRenamed("conv", "base")
-    begun = convs.withColumn("base", F.col("conv") - F.col("conv") % every).join(heads, "base").where("place <= h").select("conv", "place", "item", "chars")
-    rest = own.where(F.col("place") > F.crc32(F.col("conv").cast("string").cast("binary")) % most)
-    none = convs.select("conv", F.lit(0).alias("place"), F.lit(None).cast("binary").alias("item"), F.lit(0).cast("bigint").alias("chars"))
-    return begun.unionByName(rest).unionByName(none)
+    begun = own.where("place = 1").select("conv", h.alias("h"), (F.col("conv") - F.col("conv") % every).alias("base"))
+    begun = begun.join(heads, "base").where("place <= h").select("conv", "place", "item", "chars")
+    none = F.struct(F.lit(0).alias("place"), F.lit(None).cast("binary").alias("item"), F.lit(0).cast("bigint").alias("chars"))
+    kept = F.array_compact(F.array(F.when(F.col("place") > h, F.struct("place", "item", "chars")), F.when(F.col("place") == 1, none)))
+    return begun.unionByName(own.select("conv", F.explode(kept).alias("t")).select("conv", "t.*"))
 
 
 def _prefixes(sequences: DataFrame) -> DataFrame:
@@ -86,10 +89,12 @@ def _prefixes(sequences: DataFrame) -> DataFrame:
 
 def _families(nodes: DataFrame) -> DataFrame:
     """Each node followed by its children in the order of their names, range partitioned: ``kind`` 0 is a node, 1 a child of it."""
-    node = nodes.select(F.col("k0").alias("g0"), F.col("k1").alias("g1"), F.lit(0).alias("kind"), "conv", "depth", "k0", "k1", "n_convs", "saved")
-    child = nodes.where("depth > 0").select(F.col("p0").alias("g0"), F.col("p1").alias("g1"), F.lit(1).alias("kind"), "conv", "depth", *[F.lit(0).cast("bigint").alias(c) for c in ("k0", "k1", "n_convs", "saved")])
+    zero = F.lit(0).cast("bigint")
+    row = lambda g0, g1, kind, *more: F.struct(F.col(g0).alias("g0"), F.col(g1).alias("g1"), F.lit(kind).alias("kind"), "conv", "depth", *[c.alias(n) for c, n in zip(more, ("k0", "k1", "n_convs", "saved"), strict=True)])
+    node, child = row("k0", "k1", 0, *map(F.col, ("k0", "k1", "n_convs", "saved"))), row("p0", "p1", 1, zero, zero, zero, zero)
+    rows = nodes.select(F.explode(F.array_compact(F.array(node, F.when(F.col("depth") > 0, child)))).alias("r")).select("r.*")
     by = ["g0", "g1", "kind", "conv"]
-    return cut(node.unionByName(child).repartitionByRange(*by).sortWithinPartitions(*by).withColumn("part", F.spark_partition_id()))
+    return cut(rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("part", F.spark_partition_id()))
 
 
 _ARC = "conv bigint, arc bigint, next_conv bigint, next_arc bigint, leaves bigint, saved bigint, parent_conv bigint, k0 bigint, k1 bigint, n_convs bigint"
@@ -224,20 +229,29 @@ def _contract(arcs: DataFrame, block_arcs: int) -> DataFrame:
     return arcs.repartitionByRange("conv", "arc").sortWithinPartitions("conv", "arc").mapInArrow(run, _LINK)
 
 
-def ranked(links: DataFrame) -> DataFrame:
+def ranked(links: DataFrame, small: int = SMALL_LIST) -> DataFrame:
     """``(conv, arc, t0, t1, t2)``: sums from each link of a list to its end, by pointer doubling.
 
     ``links`` has ``conv, arc``, its successor ``next_conv, next_arc`` (null at the end) and what lies before the
-    successor.  Every link but the first is the successor of exactly one, so no key of the join is hot.  After r rounds a link has seen 2^r others.
+    successor.  After r rounds a link has seen 2^r others.  A round looks each link's successor up by a join in which no key is hot: a link
+    is the successor of one other at most, and those that are done look themselves up.  Lists of up to ``small`` links, which are
+    counted first, are broadcast for that.
     """
     now = cut(links)
-    rounds = max(now.count() - 1, 0).bit_length()
+    n = now.count()
+    few = n <= small
+    if few:
+        last, now = now, cut(now.coalesce(1 + n // (small // 4)))
+        forget(last)
+    to = [F.coalesce("next_conv", "conv"), F.coalesce("next_arc", "arc")]
     other = [F.col(c).alias(f"o_{c}") for c in ("conv", "arc", "next_conv", "next_arc", "t0", "t1", "t2")]
-    sums = [(F.col(f"t{j}") + F.col(f"o_t{j}")).alias(f"t{j}") for j in range(3)]
-    for _ in range(rounds):
-        met = now.where("next_conv is not null").join(now.select(*other), (F.col("next_conv") == F.col("o_conv")) & (F.col("next_arc") == F.col("o_arc")))
-        step = met.select("conv", "arc", F.col("o_next_conv").alias("next_conv"), F.col("o_next_arc").alias("next_arc"), *sums)
-        last, now = now, cut(now.where("next_conv is null").unionByName(step))
+    open_ = F.col("next_conv").isNotNull()
+    sums = [F.when(open_, F.col(f"t{j}") + F.col(f"o_t{j}")).otherwise(F.col(f"t{j}")).alias(f"t{j}") for j in range(3)]
+    nexts = [F.when(open_, F.col(f"o_{c}")).alias(c) for c in ("next_conv", "next_arc")]
+    for _ in range(max(n - 1, 0).bit_length()):
+        told = now.select(*other)
+        met = now.join(F.broadcast(told) if few else told, (to[0] == F.col("o_conv")) & (to[1] == F.col("o_arc")))
+        last, now = now, cut(met.select("conv", "arc", *nexts, *sums))
         forget(last)
     return now.select("conv", "arc", "t0", "t1", "t2")
 

@@ -260,9 +260,10 @@ def test_trie_of_nothing(spark):
     assert trie.prefix_trie(trie.rebuilt(table(spark, [(None, 0, "user", "x")]))).count() == 0
 
 
-def test_ranking_of_a_list(spark):
+@pytest.mark.parametrize("small", [trie.SMALL_LIST, 8])
+def test_ranking_of_a_list(spark, small):
     n = 37
     order = np.random.default_rng(3).permutation(n).tolist()
     links = [(a, 0, b, None if b is None else 0, 1, a, 2) for a, b in zip(order, [*order[1:], None], strict=True)]
-    found = {r.conv: (r.t0, r.t1, r.t2) for r in trie.ranked(spark.createDataFrame(links, "conv bigint, arc bigint, next_conv bigint, next_arc bigint, t0 bigint, t1 bigint, t2 bigint")).collect()}
+    found = {r.conv: (r.t0, r.t1, r.t2) for r in trie.ranked(spark.createDataFrame(links, "conv bigint, arc bigint, next_conv bigint, next_arc bigint, t0 bigint, t1 bigint, t2 bigint"), small).collect()}
     assert found == {a: (n - i, sum(order[i:]), 2 * (n - i)) for i, a in enumerate(order)}
