@@ -287,6 +287,31 @@ query("tri_edges", "SELECT m1, m2, round(distance, 6) AS distance FROM le", f"{T
 query("bcc_edges", "SELECT m1, m2, round(distance, 6) AS distance FROM le", f"{BCC_SQL}, {BCC_EDGES_SQL}")(_edges_query("bcc"))
 
 
+#: Lattice points by first appearance, slot by slot in the order of tid, and the edges that go up in these ids.
+TRI_SEEN_SQL = f"""{TRI_SQL}, sl AS (SELECT tid, i, j, CASE WHEN r + s <= 1 THEN 0 ELSE 1 END AS up FROM tf),
+sv AS (SELECT tid, 0 AS slot, i + up AS i, j + up AS j FROM sl UNION ALL SELECT tid, 1, CASE WHEN up = 0 THEN i + 1 ELSE i END, j + up FROM sl UNION ALL SELECT tid, 2, CASE WHEN up = 0 THEN i ELSE i + 1 END, CASE WHEN up = 0 THEN j + 1 ELSE j END FROM sl),
+fs AS (SELECT i, j, min(slot * 1000000000000 + tid) AS f FROM sv GROUP BY i, j), fp AS (SELECT i, j, row_number() OVER (ORDER BY f) - 1 AS basis_id FROM fs)"""
+
+
+def _seen(spark: SparkSession, d: str, basis: str) -> DataFrame:
+    return lattice.basis_points(lattice.barycentric(points(spark, d), basis, EDGE, first_fit=True), basis, EDGE, by_appearance=True)
+
+
+@query("tri_points_by_appearance", "SELECT basis_id, i, j FROM fp", TRI_SEEN_SQL)
+def _(spark, d):
+    return _seen(spark, d, "tri").select("basis_id", "i", "j")
+
+
+@query("tri_edges_by_appearance", "SELECT a.basis_id AS m1, b.basis_id AS m2 FROM fp a JOIN fp b ON (b.i = a.i + 1 AND b.j IN (a.j, a.j - 1)) OR (b.i = a.i AND b.j = a.j + 1) WHERE a.basis_id < b.basis_id", TRI_SEEN_SQL)
+def _(spark, d):
+    return lattice.lattice_edges(_seen(spark, d, "tri"), "tri", EDGE, every=False).select("m1", "m2")
+
+
+@query("bcc_edges_by_appearance")
+def _(spark, d):
+    return lattice.lattice_edges(_seen(spark, d, "bcc"), "bcc", EDGE, every=False).select("m1", "m2", r6("distance").alias("distance"))
+
+
 # --- neighbours and graphs
 
 KNN_SQL = f"""cel AS (SELECT *, CAST(floor(x / {RADIUS}e0) AS BIGINT) AS gx, CAST(floor(y / {RADIUS}e0) AS BIGINT) AS gy, CAST(floor(z / {RADIUS}e0) AS BIGINT) AS gz FROM p),

@@ -124,16 +124,17 @@ class FieldProblem:
     blocks: field_blocks.BlockedField | None = None
 
 
-def field_problem(points: DataFrame, signature: DataFrame, basis: str, s: float, origin: tuple | None = None, blocked: bool | None = None, span: int | None = None) -> FieldProblem:
+def field_problem(points: DataFrame, signature: DataFrame, basis: str, s: float, origin: tuple | None = None, blocked: bool | None = None, span: int | None = None, by_appearance: bool = False) -> FieldProblem:
     """Vertices, basis ids, lattice edges and the log signature matrix of filtered points.
 
-    ``blocked`` keeps lattice and points in blocks (of ``span`` lattice points); by default that is done where the driver cannot hold the coefficients.
+    ``by_appearance`` numbers lattice points as they appear, takes the first tetrahedron that fits and, with it, the subset of edges that hangs
+    on these ids.  ``blocked`` keeps lattice and points in blocks (of ``span`` lattice points); by default that is done where the driver cannot hold the coefficients.
     """
     order = hilbert.row_index(signature_arrays(signature).select("gene"), ["gene"], "g", start=0).withColumn("g", F.col("g").cast("int"))
     genes = cut(points.select("tid", "gene").join(order, "gene").select("tid", "gene", "g"))
-    vertices = lattice.barycentric(points.select("tid", "x", "y", *(["z"] if "z" in points.columns else [])), basis, s, origin=origin)
-    spots = cut(lattice.basis_points(vertices, basis, s, origin))
-    links = cut(lattice.lattice_edges(spots, basis, s))
+    vertices = lattice.barycentric(points.select("tid", "x", "y", *(["z"] if "z" in points.columns else [])), basis, s, origin=origin, first_fit=by_appearance)
+    spots = cut(lattice.basis_points(vertices, basis, s, origin, by_appearance))
+    links = cut(lattice.lattice_edges(spots, basis, s, every=not by_appearance))
     n = spots.count()
     types = signature.select("k").distinct().count()
     table = cut(fields.points_table(lattice.design(vertices, spots, basis), genes.select("tid", "g")))
@@ -156,11 +157,11 @@ def spatial_basis(
     df: DataFrame, signature: DataFrame, s: float, basis: str = "3d", columns: Columns = Columns(), qv_threshold: float = 20, origin: tuple | None = None,
     penalty: fields.Penalty = fields.Penalty(), signature_floor: float = 1e-12, normalize_signatures: bool = True, refine_signatures: bool = False,
     signature_update_iters: int = 1, signature_prior_strength: float | None = None, signature_update_rate: float = 0.25, signature_min_posterior: float = 0.0,
-    maxit: int = 100, refinement_maxit: int | None = None, reltol: float = 1e-6, verbose: bool = False,
+    maxit: int = 100, refinement_maxit: int | None = None, reltol: float = 1e-6, verbose: bool = False, by_appearance: bool = False,
 ) -> BasisResult:
     """Filter, interpolate on a lattice, fit the field, refine signatures if asked, label.
 
-    More coefficients than the driver can hold are fitted in blocks (``field_blocks``), by the same steps.
+    More coefficients than the driver can hold are fitted in blocks (``field_blocks``), by the same steps.  ``by_appearance``: see ``field_problem``.
     """
     lattice.basis_kind(basis)
     lattice.check_edge(s)
@@ -171,7 +172,7 @@ def spatial_basis(
     points = filtered(df, signature, columns, qv_threshold)
     first = cut(signatures.prepared(signature, signature_floor, normalize_signatures))
     begin(df.sparkSession, "interpolating on the lattice", verbose)
-    problem = field_problem(points, first, basis, s, origin)
+    problem = field_problem(points, first, basis, s, origin, by_appearance=by_appearance)
     strength = n_genes if signature_prior_strength is None else signature_prior_strength
     current, blocks = first, problem.blocks
     w = np.zeros((problem.n_basis, len(names))) if blocks is None else field_blocks.zero_blocks(blocks)

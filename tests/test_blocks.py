@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.operators import components, field, field_blocks, knn, potts
+from tessella.operators import components, field, field_blocks, knn, lattice, potts
 from tessella.plans import catalog, workflows
 from tessella.sources import tables
 
@@ -223,3 +223,58 @@ def test_a_crowded_cube_is_not_compared_pair_by_pair(spark):
     assert met < n * n / 2 / 20
     assert knn.knn_edges(df, k, 1.0).count() == n * k
     assert knn.knn_edges(df.where("false"), k, 1.0).count() == 0
+
+
+# --- numbering by appearance, first tetrahedra
+
+
+def plain_tetrahedron(q, tol=1e-10):
+    """The first of all sets of four corners that is a tetrahedron of the lattice and holds the point."""
+    low = [[2 * math.floor((c - p) / 2) + p for c in q] for p in (0, 1)]
+    found = [tuple(b + 2 * u for b, u in zip(base, up)) for base in low for up in itertools.product((0, 1), repeat=3)]
+    for four in itertools.combinations(found, 4):
+        if sorted(sum((x - y) ** 2 for x, y in zip(a, b)) for a, b in itertools.combinations(four, 2)) != [3, 3, 3, 3, 4, 4]:
+            continue
+        w = np.linalg.solve(np.vstack([np.array(four, float).T, np.ones(4)]), np.append(q, 1.0))
+        if ((w >= -tol) & (w <= 1 + tol)).all():
+            return four, w
+    raise AssertionError("no tetrahedron")
+
+
+def test_first_tetrahedra(spark):
+    values = [-1.0, -0.5, 0.0, 0.5, 1.0, 1.5, 2.0]
+    cases = list(itertools.product(values, repeat=3)) + [tuple(map(float, p)) for p in np.random.default_rng(0).normal(0, 3, (60, 3))]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(cases)], "tid bigint, x double, y double, z double")
+    rows = lattice.barycentric(df, "bcc", 2.0, first_fit=True).collect()
+    closed = {(r.tid, r.i, r.j, r.k): r.w for r in lattice.barycentric(df, "bcc", 2.0).collect() if r.w > 1e-9}
+    got = {}
+    for r in sorted(rows, key=lambda r: (r.tid, r.slot)):
+        got.setdefault(r.tid, []).append(((r.i, r.j, r.k), r.w))
+    for i, q in enumerate(cases):
+        four, w = plain_tetrahedron(q)
+        assert [v for v, _ in got[i]] == list(four) and np.allclose([x for _, x in got[i]], w, atol=1e-9)
+    positive = {(i, *v): x for i, found in got.items() for v, x in found if x > 1e-9}
+    assert positive.keys() == closed.keys() and all(abs(positive[k] - closed[k]) < 1e-9 for k in closed)
+
+
+@pytest.mark.parametrize("basis", ["tri", "bcc"])
+@pytest.mark.parametrize("order", ["given", "sorted", "shuffled"])
+def test_numbering_by_appearance(spark, basis, order):
+    x = np.random.default_rng(7).random((80, 3)) * 9
+    x = {"given": x, "sorted": x[np.argsort(x[:, 0])], "shuffled": x[::-1]}[order]
+    df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(x)], "tid bigint, x double, y double, z double").repartition(3)
+    keys = lattice.lattice_keys(basis)
+    vertices = tables.cut(lattice.barycentric(df, basis, 3.0, first_fit=True))
+    ids = {}
+    for r in sorted(vertices.collect(), key=lambda r: (r.slot, r.tid)):
+        ids.setdefault(tuple(r[k] for k in keys), len(ids))
+    points = tables.cut(lattice.basis_points(vertices, basis, 3.0, by_appearance=True))
+    assert {tuple(r[k] for k in keys): r.basis_id for r in points.collect()} == ids
+    want = set()
+    for p, a in ids.items():
+        for offset in [(1, 0), (0, 1), (1, -1)] if basis == "tri" else [(2, 0, 0), (0, 2, 0), (0, 0, 2), *itertools.product((-1, 1), repeat=3)]:
+            b = ids.get(tuple(u + v for u, v in zip(p, offset)))
+            if b is not None and a < b:
+                want.add((a, b))
+    assert {(r.m1, r.m2) for r in lattice.lattice_edges(points, basis, 3.0, every=False).collect()} == want
+    assert len(want) < lattice.lattice_edges(points, basis, 3.0).count()
