@@ -2,10 +2,13 @@
 
 A page becomes a flat list of text blocks (runs of text between block-level tags).  Each block has its
 word count and link density, those of the blocks before and after it, its kind of tag and
-where it stands: in the page's main element, in an element that cannot hold the article (navigation, footer, form, reader
+where it stands: in the page's main element, in an element that does not hold the article (navigation, footer, form, reader
 comments), or in one whose name hints at something else, with the words that this element holds in all.
 A decision tree, grown from the small labelled table below, keeps or drops each block.
 
+No name or tag alone bars an element: the classes of blog software, page-wide forms and the like also surround articles.  A second
+small tree tells such wrappers by what they hold: their share of the page's running text, how much there is elsewhere, headings and links.
+
 The page is read once from left to right; broken tags, quotes and comments do not make it read anything again.
 """
 
@@ -14,6 +17,7 @@ from __future__ import annotations
 import functools
 import html
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -56,31 +60,35 @@ def _named(words: list[str]) -> re.Pattern:
 
 
 _COMMENT, _OTHER = _named(_COMMENTS), _named(_OTHERS)
-#: Where a block stands: nowhere special, in an element with a hint in its name, in one that cannot hold the article.
+#: Where a block stands: nowhere special, in an element with a hint in its name, in one that does not hold the article.
 FREE, HINTED, BARRED = 0, 1, 2
+#: Why an element is barred: by a part of a name or as a form or header, by the whole name of a comment list, by its kind, as hidden.
+NAMED, LISTED, KIND, HIDDEN = 0, 1, 2, 3
+# Names that a list of reader comments has, and nothing else.
+_LISTS = frozenset("comments commentlist comment-list disqus disqus_thread respond".split())
 
 
-def _standing(tag: str, rest: str, in_main: bool) -> int:
-    """BARRED by the kind of element, as hidden or as reader comments; HINTED by a word of its class, id or role; else FREE."""
-    if tag in _ASIDE or tag == "header" and not in_main:
-        return BARRED
+def _standing(tag: str, rest: str, in_main: bool) -> tuple[int, int]:
+    """Standing and, if BARRED, why: by the kind of element, as hidden or as reader comments; HINTED by a word of its class, id or role."""
+    found, why = (BARRED, NAMED if tag in ("form", "fieldset", "header") else KIND) if tag in _ASIDE or tag == "header" and not in_main else (FREE, NAMED)
     if not rest:
-        return FREE
-    found = FREE
+        return found, why
     for name, value in _HINTS.findall(rest):
         value, name = value.strip("\"'"), name.lower()
         if name == "style":
-            if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return BARRED
+            if tag not in ("body", "html") and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+                return BARRED, HIDDEN
         elif name == "aria-hidden":
-            if value.lower() == "true":
-                return BARRED
-        elif tag not in ("body", "html"):
+            if tag not in ("body", "html") and value.lower() == "true":
+                return BARRED, HIDDEN
+        elif tag not in ("body", "html") and found != BARRED:
             if _COMMENT.search(value) and not re.fullmatch(r"h[1-6]", tag):
-                return BARRED
-            if tag not in ("article", "main") and _OTHER.search(value) and not (tag == "header" and in_main) and not re.fullmatch(r"h[1-6]", tag):
+                found, why = BARRED, LISTED if value.lower() in _LISTS else NAMED
+            elif tag not in ("article", "main") and _OTHER.search(value) and not (tag == "header" and in_main) and not re.fullmatch(r"h[1-6]", tag):
                 found = HINTED
-    return BARRED if _HIDDEN.search(re.sub(r"\"[^\"]*\"|'[^']*'", "", rest)) else found
+    if tag not in ("body", "html") and _HIDDEN.search(re.sub(r"\"[^\"]*\"|'[^']*'", "", rest)):
+        return BARRED, HIDDEN
+    return found, why
 
 
 class _Scanner:
@@ -121,33 +129,68 @@ Block = tuple[str, int, int, int, bool, int, int]
 PLAIN, HEADING, ITEM = 0, 1, 2
 
 
-def text_blocks(page: str) -> list[Block]:
+# Elements that can stand in the head of a page; any other one, or text, ends it.
+_HEAD = frozenset("base link meta title style script noscript template".split())
+
+
+class _Standings:
+    """Which elements bar or hint, by number: blocks belong to the innermost of each."""
+
+    def __init__(self) -> None:
+        self.parent: list[int] = []  # the barring element around each barring element, or -1
+        self.why: list[int] = []
+        self.hints = 0
+
+    def enter(self, own: tuple[int, int], barred: int, hinted: int) -> tuple[int, int]:
+        """Numbers inside an element that stands as ``own`` inside these."""
+        if own[0] == BARRED:
+            self.parent.append(barred)
+            self.why.append(own[1])
+            return len(self.why) - 1, hinted
+        if own[0] == HINTED and hinted < 0:
+            self.hints += 1
+            return barred, self.hints
+        return barred, hinted
+
+
+def text_blocks(page: str, wrappers: Tree | None = None) -> list[Block]:
     """Flat blocks of a page in its order."""
-    out: list[Block] = []
-    stack: list[tuple[str, int, bool, int]] = []  # open holders: tag, standing, main, number of the hinted element
+    raw: list[tuple[str, int, int, int, int, bool, int, bool]] = []
+    stack: list[tuple[str, int, int, bool]] = []  # open holders: tag, numbers of the barring and hinting elements, main
+    opened: Counter[str] = Counter()  # their tags
     words: list[str] = []
     linked = link = 0
-    kind = PLAIN
-    alone: tuple[str, int] | None = None  # an element with a standing of its own that holds no others, such as a list item
+    kind, top = PLAIN, False
+    alone: tuple[str, int, int] | None = None  # an element with a standing of its own that holds no others, such as a list item
     silent: str | None = None  # an element of _MUTED without an end tag of its own
-    hinted = 0
+    found = _Standings()
     scanner = _Scanner(page)
 
     def close() -> None:
         nonlocal words, linked
         text = " ".join(html.unescape("".join(words)).split()) if words else ""
         if text:
-            standing, main, number = stack[-1][1:] if stack else (FREE, False, -1)
-            if alone and alone[1] > standing:
-                standing, number = alone[1], hinted
+            barred, hinted, main = stack[-1][1:] if stack else (-1, -1, False)
+            if alone:
+                barred, hinted = alone[1:]
             n = text.count(" ") + 1
             share = linked / max(1, sum(len(w) for w in words))
-            out.append((text, n, round(share * n), standing, main, kind, number))
+            raw.append((text, n, round(share * n), barred, hinted, main, kind, top))
         words, linked = [], 0
 
+    def leave(tag: str) -> None:
+        """Closes the innermost open element of that name, and those inside it."""
+        while opened[tag]:
+            last = stack.pop()[0]
+            opened[last] -= 1
+            if last == tag:
+                break
+
     def add(text: str) -> None:
         nonlocal linked
         if text and not silent:
+            if stack and stack[-1][0] == "head" and not text.isspace():
+                leave("head")
             words.append(text)
             if link:
                 linked += len(text)
@@ -175,6 +218,8 @@ def text_blocks(page: str) -> list[Block]:
             at = lt + 1
             continue
         rest = page[m.end() : at - 1]
+        if not ending and stack and stack[-1][0] == "head" and tag not in _HEAD and tag != "head":
+            leave("head")
         if tag in _RAW and not ending:
             end = _RAW[tag].search(page, at)
             at = end.end() if end else len(page)
@@ -204,34 +249,106 @@ def text_blocks(page: str) -> list[Block]:
             close()
             link = 0
             if ending:
-                kind = PLAIN
+                kind, top = PLAIN, False
                 if alone and alone[0] == tag or tag in _HOLDER:
                     alone = None
                 if tag in _HOLDER:
-                    for i in range(len(stack) - 1, max(-1, len(stack) - 200), -1):
-                        if stack[i][0] == tag:
-                            del stack[i:]
-                            break
+                    leave(tag)
             else:
-                standing, main, number = stack[-1][1:] if stack else (FREE, False, -1)
+                barred, hinted, main = stack[-1][1:] if stack else (-1, -1, False)
                 own = _standing(tag, rest, main)
-                hinted += own == HINTED
                 kind = HEADING if len(tag) == 2 and tag[0] == "h" and tag[1].isdigit() else ITEM if tag in ("li", "td", "th", "dt", "dd") else PLAIN
+                top = tag == "h1"
                 if tag in _HOLDER:
                     alone = None
                     if tag == "body":
                         stack.clear()
-                        standing, main, number = FREE, False, -1
-                    if tag in ("article", "main") and standing == HINTED and not main and own == FREE:
-                        standing, number = FREE, -1
-                    if own > standing:
-                        standing, number = own, hinted if own == HINTED else -1
-                    stack.append((tag, standing, main or tag in ("article", "main"), number))
+                        opened.clear()
+                        barred, hinted, main = -1, -1, False
+                    if tag in ("article", "main") and not main and own[0] == FREE:
+                        hinted = -1
+                    stack.append((tag, *found.enter(own, barred, hinted), main or tag in ("article", "main")))
+                    opened[tag] += 1
                 else:
-                    alone = (tag, own) if own else None
+                    alone = (tag, *found.enter(own, barred, hinted)) if own[0] else None
     add(page[at:])
     close()
-    return out
+    return _stood(raw, found, wrappers or wrapper_tree())
+
+
+#: How a barring element looks: why it bars, its share of the page's running text, its words and the words outside such elements, their
+#: ratio, where the page's top heading is (in it 1, elsewhere -1, nowhere 0) and the link density of all in it.
+def _wrapper_features(why: int, own: float, left: float, total: float, heading: int, words: float, linked: float) -> list[float]:
+    return [why == LISTED, why == KIND, own / max(total, 1), own, left, left / max(left + own, 1), heading, linked / max(words, 1)]
+
+
+def _stood(raw: list[tuple], found: _Standings, wrappers: Tree) -> list[Block]:
+    """Blocks with their standing, after the barring elements that only wrap the article are told from the others.
+
+    Elements are looked at from the outside in: what a wrapper holds itself is text outside barring elements for those in it.
+    """
+    n = len(found.why)
+    sums = np.zeros((n, 4))  # running words, words, linked words, top headings of all in an element
+    direct = np.zeros(n)
+    left = total = tops = 0.0
+    for _, words, linked, barred, _, _, _, top in raw:
+        running = words if 2 * linked <= words else 0
+        if barred < 0:
+            left += running
+            total += running
+            tops += top
+        else:
+            sums[barred] += (running, words, linked, top)
+            direct[barred] += running
+    hidden = np.zeros(n, bool)
+    for e in range(n):  # an element comes after the one around it
+        hidden[e] = found.why[e] == HIDDEN or found.parent[e] >= 0 and hidden[found.parent[e]]
+    inside: dict[int, list[int]] = {}
+    for e in range(n - 1, -1, -1):
+        if hidden[e]:
+            continue
+        around = found.parent[e]
+        inside.setdefault(around, []).append(e)
+        if around >= 0:
+            sums[around] += sums[e]
+        else:
+            total += sums[e][0]
+            tops += sums[e][3]
+    wraps, ask = np.zeros(n, bool), inside.get(-1, [])
+    while ask:
+        rows = [_wrapper_features(found.why[e], sums[e][0], left, total, (1 if sums[e][3] else -1) if tops else 0, *sums[e][1:3]) for e in ask]
+        chosen = [e for e, p in zip(ask, wrappers.predict(np.array(rows, float)), strict=True) if p > 0.5]
+        wraps[chosen] = True
+        left += direct[chosen].sum()
+        ask = [x for e in chosen for x in inside.get(e, [])]
+    return [
+        (text, words, linked, BARRED if barred >= 0 and not wraps[barred] else HINTED if hinted >= 0 else FREE, main, kind, hinted if barred < 0 or wraps[barred] else -1)
+        for text, words, linked, barred, hinted, main, kind, _ in raw
+    ]
+
+
+# The labelled table of barring elements: why (n named, form or header; l a comment list; k by kind), running words in it,
+# outside such elements, and of the page, the top heading (+ in it, - elsewhere, 0 none), words in links, and whether it wraps the article.
+LABELLED_WRAPPERS = """
+n 300 0 320 + 10 1, n 300 0 300 0 5 1, n 120 12 150 + 2 1, n 90 5 300 0 0 1, n 40 0 45 0 0 1, n 700 20 800 + 30 1, n 60 0 400 - 2 1, n 300 6 310 - 3 1, n 1500 9 1600 - 8 1, n 75 0 80 + 4 1
+n 25 0 25 0 0 1, n 30 0 33 + 0 1, n 20 0 26 - 1 1, n 400 30 470 + 9 1, n 130 0 600 0 6 1, n 2000 60 2300 + 40 1, n 34 4 50 + 2 1, n 55 7 66 - 0 1, n 800 0 1700 + 12 1, n 220 0 900 - 5 1
+l 400 0 420 + 8 1, l 200 6 260 + 3 1, l 900 15 950 + 20 1, l 60 0 64 + 0 1, k 500 0 500 + 9 1, k 300 4 310 + 2 1, k 900 10 1000 + 30 1, k 90 0 95 + 1 1
+n 25 300 340 - 2 0, n 200 90 320 - 0 0, n 900 60 1000 - 4 0, n 900 60 1000 0 4 0, n 150 140 300 0 1 0, n 12 0 320 0 1 0, n 15 0 280 + 3 0, n 30 2 900 0 20 0, n 200 25 225 - 1 0, n 9 0 10 0 0 0
+n 8 0 300 + 2 0, n 45 90 150 + 5 0, n 60 400 480 + 6 0, n 16 0 500 0 4 0, n 10 5 200 0 0 0, n 300 40 350 - 2 0, n 80 30 120 - 1 0, n 22 0 700 + 3 0, n 500 35 560 0 6 0, n 5 0 90 - 0 0
+l 300 0 300 0 4 0, l 300 120 430 - 2 0, l 80 10 95 - 1 0, l 500 0 500 - 9 0, l 40 60 110 0 0 0, l 700 50 800 + 5 0, l 30 0 200 - 2 0, l 90 0 400 0 3 0
+k 60 0 400 0 3 0, k 80 200 300 - 2 0, k 40 0 60 0 5 0, k 30 0 30 0 12 0, k 100 0 130 0 1 0, k 70 0 800 - 6 0, k 50 300 360 + 3 0, k 200 90 300 + 8 0, k 300 0 300 0 4 0, k 25 0 300 + 2 0, k 500 60 600 - 9 0
+"""
+
+
+def labelled_wrappers(table: str = LABELLED_WRAPPERS) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of the table's elements."""
+    rows, labels = [], []
+    for line in table.strip().replace("\n", ",").split(","):
+        why, own, left, total, heading, linked, label = line.split()
+        own, left, total, linked = map(float, (own, left, total, linked))
+        rows.append(_wrapper_features("nlk".index(why), own, left, total, {"+": 1, "-": -1, "0": 0}[heading], own, linked))
+        labels.append(float(label))
+    return np.array(rows, float), np.array(labels)
 
 
 # The labelled table, a page a line.  A block: where it stands (- free, m in the main element, h and hm
@@ -260,6 +377,8 @@ h p 20 0 0, - h 7 0 1, - p 66 0 1, - p 90 1 1, h2 p 8 0 0, - p 55 0 1, h3 p 28 0
 h p 35 0 0, h2 p 14 0 0, - p 72 0 1, - p 5 0 1, - p 101 0 1, h3 p 40 0 0, h3 p 3 0 0, b p 30 0 0
 h i 40 39 0, h i 66 60 0, h i 80 76 0, - h 6 0 1, - p 85 0 1, - p 64 1 1, - p 1 0 1, - p 77 2 1
 m h 5 0 1, m p 140 0 1, m p 230 1 1, h p 110 1 0, h p 90 0 0, h i 3 0 0
+b i 1 1 0, - h 2 0 1, - p 60 0 1, - p 62 1 1, b p 12 0 0, b p 180 0 0, b p 5 0 0
+b i 1 1 0, - h 3 0 1, - p 45 0 1, - p 130 2 1, b p 9 0 0, - p 1 1 0
 b p 50 0 0, b p 200 1 0, b p 2 0 0, m p 22 0 1, m p 8 0 1, m p 48 2 1, b h 2 0 0, b p 33 0 0, b p 66 0 0
 """
 
@@ -337,6 +456,11 @@ def labelled_pages(table: str = LABELLED) -> tuple[list[list[Block]], np.ndarray
     return found, np.array(labels, float)
 
 
+@functools.cache
+def wrapper_tree() -> Tree:
+    return Tree(*labelled_wrappers())
+
+
 @functools.cache
 def default_tree() -> Tree:
     found, labels = labelled_pages()
