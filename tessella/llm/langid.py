@@ -10,6 +10,7 @@ occurrences, multiplied with it by gathering rows and adding them up per documen
 from __future__ import annotations
 
 import functools
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -71,6 +72,10 @@ def ngrams(texts: list[str], orders: tuple[int, ...], bits: int) -> list[tuple[n
     return out
 
 
+#: Languages that a task counts at once; with more it gives out what it has and begins anew.
+_LANGUAGES_A_TASK = 64
+
+
 class LanguageModel:
     """Names, log priors and a ``(2**bits, languages)`` float32 log-probability matrix."""
 
@@ -112,24 +117,39 @@ def train(
 
     def count(batches):
         sums: dict[str, np.ndarray] = {}
-        number: dict[str, int] = {}
+        number: Counter[str] = Counter()
+
+        def counted():
+            none = np.zeros(1, np.int64)
+            for name in number:
+                acc = sums.get(name, none)
+                at = np.flatnonzero(acc)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([name] * (len(at) + 1)), pa.array(np.append(at, -1), pa.int32()),
+                     pa.array(np.append(acc[at], number[name]))],
+                    names=["lang", "bucket", "n"],
+                )
+            sums.clear()
+            number.clear()
+
         for batch in batches:
             langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in blocks([len(t) for t in texts]):
-                own = np.array(langs[a:b], dtype=object)
+                names, own = np.unique(np.array(langs[a:b], dtype=object), return_inverse=True)
                 for doc, bucket in ngrams(texts[a:b], orders, bits):
-                    for name in set(langs[a:b]):
-                        mine = bucket[(own == name)[doc]]
-                        sums.setdefault(name, np.zeros(1 << bits, np.int64))[:] += np.bincount(mine, minlength=1 << bits)
-                for name in set(langs[a:b]):
-                    number[name] = number.get(name, 0) + int((own == name).sum())
-        for name, acc in sums.items():
-            at = np.flatnonzero(acc)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([name] * (len(at) + 1)), pa.array(np.append(at, -1), pa.int32()),
-                 pa.array(np.append(acc[at], number[name]))],
-                names=["lang", "bucket", "n"],
-            )
+                    code, n = np.unique((own[doc] << bits) | bucket.astype(np.int64), return_counts=True)
+                    if len(names) > _LANGUAGES_A_TASK:  # too many for an array each
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(names[code >> bits].tolist(), pa.string()), pa.array(code & ((1 << bits) - 1), pa.int32()), pa.array(n, pa.int64())], names=["lang", "bucket", "n"]
+                        )
+                        continue
+                    for k, at in zip(*np.unique(code >> bits, return_index=True), strict=True):
+                        mine = slice(at, np.searchsorted(code, (k + 1) << bits))
+                        sums.setdefault(names[k], np.zeros(1 << bits, np.int64))[code[mine] & ((1 << bits) - 1)] += n[mine]
+                number.update(langs[a:b])
+                if max(len(sums), len(number)) > _LANGUAGES_A_TASK:
+                    yield from counted()
+        yield from counted()
 
     counts = rows.mapInArrow(count, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     packed = counts.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("c")).limit(max_languages + 1).toArrow()
