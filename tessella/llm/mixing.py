@@ -142,7 +142,8 @@ def _mix_units(rows: DataFrame, units: DataFrame, weights: tuple, most: float, g
         f"doc_id {kind}, source {source_kind}, size bigint, rows bigint, source_size bigint, target double, number int, "
         "whole bigint, more bigint, p double, draw bigint, unit_group bigint, open boolean, extra bigint"
     )
-    first = dealt.groupBy("number", "unit_group").applyInPandas(_rounded(False), schema)
+    # every level of the tree and the last join read it: rounding is done once
+    first = cut(dealt.groupBy("number", "unit_group").applyInPandas(_rounded(False), schema))
 
     small = "number int, unit_group bigint, size bigint, p double, draw bigint, level_group bigint, open boolean, extra bigint"
     left = first.where("open").select("number", "unit_group", "size", "p", "draw", F.col("unit_group").alias("level_group"))
