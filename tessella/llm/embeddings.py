@@ -194,11 +194,12 @@ def _shared_cells(spots: DataFrame) -> DataFrame:
 
 def compare(x: np.ndarray, h: np.ndarray, left: np.ndarray, right: np.ndarray, own: bool, how: Projections) -> tuple[np.ndarray, np.ndarray, int]:
     """Pairs (left, right) whose cosine reaches the threshold, and how many pairs were counted."""
-    right = right[np.argsort(h[right, 0], kind="stable")]
+    # neighbouring queries share a window that is little wider than their own
+    left, right = (v[np.argsort(h[v, 0], kind="stable")] for v in (left, right))
     sorted_h, slack = h[right, 0], np.float32(1e-5)
     out_a, out_b, counted = [np.empty(0, np.int64)], [np.empty(0, np.int64)], 0
-    for lo in range(0, len(left), 128):
-        q = left[lo : lo + 128]
+    for lo in range(0, len(left), 64):
+        q = left[lo : lo + 64]
         s = np.searchsorted(sorted_h, h[q, 0].min() - how.reach - slack)
         e = np.searchsorted(sorted_h, h[q, 0].max() + how.reach + slack, "right")
         r = right[s:e]
