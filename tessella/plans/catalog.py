@@ -120,6 +120,12 @@ def _(spark, d):
     return wide.select("gene", *[r6(f"type{k}").alias(f"type{k}") for k in range(4)])
 
 
+@query("signature_long", "SELECT gene, CAST(k AS INTEGER) AS k, cell_type, round(theta, 6) AS theta FROM prep", SEEN_SQL)
+def _(spark, d):
+    found = tables.signatures_from_wide(tables.signatures_wide(seen_signatures(spark, d)))
+    return found.select("gene", "k", "cell_type", r6("theta").alias("theta"))
+
+
 @query("node_potentials", "SELECT tid, k, round(ln(theta), 6) AS log_theta FROM p JOIN sig USING (gene)")
 def _(spark, d):
     return potts.node_potentials(points(spark, d), tables.block_signatures(spark)).select(F.col("node").alias("tid"), F.posexplode("phi").alias("k", "v")).select("tid", "k", r6("v").alias("log_theta"))
@@ -428,6 +434,14 @@ for _n, _damp in ((1, 1.0), (2, 0.5), (3, 1.0)):
     )
 
 
+@query("matrix_beliefs", "SELECT node, CAST(k AS INTEGER) AS k, round(p, 6) AS p FROM marg", lbp_sql(2, 0.5))
+def _(spark, d):
+    pts = tables.cut(points(spark, d))
+    cells = weighted(spark, d).select(F.col("src").alias("row"), F.col("dst").alias("col"), F.col("w").alias("weight"))
+    n = pts.agg(F.max("tid")).first()[0] + 1
+    return _marginals(workflows.matrix_beliefs(cells, n, n, potts.node_potentials(pts, tables.block_signatures(spark)), 4, max_iter=2, damping=0.5, tol=0.0))
+
+
 @query("lbp_change", "SELECT CAST(2 AS BIGINT) AS iterations, round(max(delta), 6) AS max_delta, round(avg(delta), 6) AS mean_delta FROM m2", lbp_sql(2))
 def _(spark, d):
     b = beliefs(spark, d, 2)

@@ -15,7 +15,7 @@ from tessella.functions.vectors import argmax, centered
 from tessella.operators import field as fields
 from tessella.operators import field_blocks, filters, graph, hilbert, knn, lattice, potts, signatures
 from tessella.operators.filters import Columns
-from tessella.sources.tables import check_signatures, cut, signature_arrays, written_mb
+from tessella.sources.tables import check_matrix, check_signatures, coo_matrix, cut, signature_arrays, written_mb
 
 
 @dataclass
@@ -90,6 +90,25 @@ def run_crf(
     return CrfResult(labels, found.marginals, edges, found.iterations, found.max_delta, found.mean_delta, found.history)
 
 
+def matrix_beliefs(cells: DataFrame, n_rows: int, n_cols: int, phi: DataFrame, types: int, drop_diagonal: bool = True, **options) -> potts.Beliefs:
+    """Belief propagation on the graph of a sparse matrix ``cells`` (row, col, weight) from the potentials ``phi`` (node, phi).
+
+    The matrix must be square, with finite weights and each cell once, and symmetric: a cell without its opposite, or with another weight there, raises;
+    so does a cell of the diagonal that is not dropped.  ``options`` are those of ``belief_propagation``.
+    """
+    edges = graph.directed(check_matrix(coo_matrix(cells), n_rows, n_cols), drop_diagonal=drop_diagonal)
+    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("w").alias("back"))
+    both = cut(edges.join(back, ["src", "dst"], "left"))
+    alone, uneven, own = both.agg(F.count_if(F.col("back").isNull()), F.count_if(F.col("back") != F.col("w")), F.count_if(F.col("src") == F.col("dst"))).first()
+    if alone:
+        raise ValueError(f"{alone} edges have no reverse edge")
+    if uneven:
+        raise ValueError(f"{uneven} edges differ in weight from their reverse")
+    if own:
+        raise ValueError("an edge leads from a node to itself")
+    return potts.belief_propagation(graph.undirected(both), phi, types, **options)
+
+
 @dataclass
 class BasisResult:
     """Everything a basis fit yields; rows of points are DataFrames.

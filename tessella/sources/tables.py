@@ -136,6 +136,22 @@ def signatures_wide(signatures: DataFrame) -> DataFrame:
     return signatures.groupBy("gene").pivot("cell_type").agg(F.first("theta"))
 
 
+def signatures_from_wide(wide: DataFrame, gene: str = "gene", types: list[str] | None = None) -> DataFrame:
+    """Long form ``(gene, k, cell_type, theta)`` of a table with one row a gene and one column a cell type, in the order of ``types`` (all other columns).
+
+    Genes that are null or there more than once are found by ``check_signatures``, like values that are no probabilities.
+    """
+    names = [c for c in wide.columns if c != gene] if types is None else types
+    if not names or missing_columns(wide, [gene, *names]):
+        raise ValueError("a wide signature table needs a gene column and one for each cell type")
+    cells = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(n).alias("cell_type"), F.col(f"`{n}`").cast("double").alias("theta")) for k, n in enumerate(names)])
+    return wide.select(F.col(f"`{gene}`").cast("string").alias("gene"), F.explode(cells).alias("c")).select("gene", "c.*")
+
+
+def missing_columns(df: DataFrame, names: list[str]) -> list[str]:
+    return [n for n in names if n not in df.columns]
+
+
 def signature_arrays(signatures: DataFrame, value: Column | None = None) -> DataFrame:
     """``(gene, theta array)``, in the order of ``k``."""
     value = F.col("theta") if value is None else value
@@ -146,9 +162,11 @@ def signature_arrays(signatures: DataFrame, value: Column | None = None) -> Data
 def check_signatures(signatures: DataFrame, least_types: int = 1) -> tuple[int, list[str]]:
     """Number of genes and the names of the cell types; raises if the matrix is not valid."""
     bad = F.col("theta").isNull() | F.isnan("theta") | (F.abs("theta") == math.inf) | (F.col("theta") < 0)
-    n, genes, cells, wrong = signatures.agg(
-        F.count("*"), F.countDistinct("gene"), F.countDistinct("gene", "k"), F.count_if(bad)
+    n, genes, cells, wrong, nameless = signatures.agg(
+        F.count("*"), F.countDistinct("gene"), F.countDistinct("gene", "k"), F.count_if(bad), F.count_if(F.col("gene").isNull())
     ).first()
+    if nameless:
+        raise ValueError("signatures must name their genes")
     if wrong:
         raise ValueError("signatures must contain finite non-negative values")
     names = [r["cell_type"] for r in signatures.select("k", "cell_type").distinct().orderBy("k").collect()]

@@ -63,7 +63,7 @@ def test_sweeps_in_place_are_those_of_a_loop(spark, monkeypatch, name, damping,
     whole = []
     dealt = potts._dealt
     monkeypatch.setattr(potts, "_dealt", lambda *a: whole.append(dealt(*a)) or whole[-1])
-    for sweeps in (1, 3):
+    for sweeps in (1, 3) if name != "random" else (2,):
         found = potts.belief_propagation(edges, table, types, sweeps, damping, tol=0.0, schedule="in_place")
         want, top, mean = one_after_the_other(rows, phi, sweeps, damping)
         got = {r.node: r.p for r in found.marginals.collect()}
@@ -97,6 +97,23 @@ def test_blocks_do_not_change_synchronous_sweeps(spark, monkeypatch, block_edges
     assert x.keys() == y.keys() == {(u, v) for u, v, _ in rows} and all(np.allclose(x[e], y[e]) for e in x)
 
 
+def test_beliefs_of_a_matrix(spark):
+    rows, phi, edges, table, types = graph_of(spark, "triangle")
+    cells = [(a, b, w) for u, v, w in rows for a, b in ((u, v), (v, u))] + [(2, 2, 9.0)]
+    of = lambda c: spark.createDataFrame(c, "row int, col int, weight double")
+    want = {r.node: r.p for r in potts.belief_propagation(edges, table, types, 3, tol=0.0).marginals.collect()}
+    got = {r.node: r.p for r in workflows.matrix_beliefs(of(cells), 10, 10, table, types, max_iter=3, tol=0.0).marginals.collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[n], want[n]) for n in want)
+    for wrong, shape, says in [
+        (cells, (10, 9), "square"), (cells[1:], (10, 10), "no reverse"), (cells + cells[:1], (10, 10), "more than once"), ([(0, 1, 5.0), *cells[1:]], (10, 10), "differ"), (cells, (2, 2), "outside"),
+        ([(0, 1, math.nan), *cells[1:]], (10, 10), "finite"),
+    ]:
+        with pytest.raises(ValueError, match=says):
+            workflows.matrix_beliefs(of(wrong), *shape, table, types)
+    with pytest.raises(ValueError, match="itself"):
+        workflows.matrix_beliefs(of(cells), 10, 10, table, types, drop_diagonal=False)
+
+
 def test_levels_and_components(spark):
     rows = [(0, 1), (1, 5), (2, 5), (5, 6), (8, 9)]
     edges = spark.createDataFrame([(u, v, 1.0) for u, v in rows], "u bigint, v bigint, w double")
@@ -163,8 +180,8 @@ def test_fit_in_blocks(spark, monkeypatch):
     plain, blocks = small_problem(spark)
     penalty = field.Penalty(0.01, "quadratic")
     fun = lambda v: field.objective(plain.points, v, plain.log_theta, plain.edges, penalty)
-    want = field.minimize(fun, np.zeros((plain.n_basis, 3)), 8, 1e-6)
-    got = field_blocks.minimize_blocks(blocks, plain.log_theta, penalty, field_blocks.zero_blocks(blocks), 8, 1e-6)
+    want = field.minimize(fun, np.zeros((plain.n_basis, 3)), 6, 1e-6)
+    got = field_blocks.minimize_blocks(blocks, plain.log_theta, penalty, field_blocks.zero_blocks(blocks), 6, 1e-6)
     assert (got.status, got.iterations, got.evaluations) == (want.status, want.iterations, want.evaluations)
     assert got.value == pytest.approx(want.value, abs=1e-8) and np.allclose(matrix(got.w, blocks), want.w, atol=1e-5)
     with pytest.warns(UserWarning, match="limit"):
@@ -174,7 +191,7 @@ def test_fit_in_blocks(spark, monkeypatch):
 def test_a_fit_beyond_the_driver(spark, monkeypatch):
     """With a small limit the whole workflow runs in blocks and ends where the other one does."""
     raw, sig = catalog.raw(spark, SMALL), tables.block_signatures(spark)
-    options = {"s": 16.0, "basis": "bcc", "reltol": 1e-4, "maxit": 6, "refine_signatures": True, "refinement_maxit": 2}
+    options = {"s": 16.0, "basis": "bcc", "reltol": 1e-4, "maxit": 4, "refine_signatures": True, "refinement_maxit": 2}
     want = workflows.spatial_basis(raw, sig, **options)
     monkeypatch.setattr(field, "LARGEST", 100)
     monkeypatch.setattr(field_blocks, "LARGEST", 100)
@@ -278,3 +295,16 @@ def test_numbering_by_appearance(spark, basis, order):
                 want.add((a, b))
     assert {(r.m1, r.m2) for r in lattice.lattice_edges(points, basis, 3.0, every=False).collect()} == want
     assert len(want) < lattice.lattice_edges(points, basis, 3.0).count()
+
+
+def test_wide_signatures(spark):
+    wide = spark.createDataFrame([("g0", 0.5, 1), ("g1", 0.5, 0)], "gene string, `T.1` double, b int")
+    long = tables.signatures_from_wide(wide)
+    assert sorted(tuple(r) for r in long.collect()) == [("g0", 0, "T.1", 0.5), ("g0", 1, "b", 1.0), ("g1", 0, "T.1", 0.5), ("g1", 1, "b", 0.0)]
+    assert tables.check_signatures(long) == (2, ["T.1", "b"])
+    assert [r.cell_type for r in tables.signatures_from_wide(wide, types=["b"]).where("gene = 'g0'").collect()] == ["b"]
+    for bad in (wide.union(wide), wide.selectExpr("CAST(NULL AS STRING) AS gene", "`T.1`", "b"), wide.withColumn("b", F.lit(-1))):
+        with pytest.raises(ValueError):
+            tables.check_signatures(tables.signatures_from_wide(bad))
+    with pytest.raises(ValueError):
+        tables.signatures_from_wide(wide, types=["c"])
