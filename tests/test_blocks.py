@@ -242,6 +242,24 @@ def test_a_crowded_cube_is_not_compared_pair_by_pair(spark):
     assert knn.knn_edges(df.where("false"), k, 1.0).count() == 0
 
 
+def test_rows_at_one_place_are_measured_once(spark, monkeypatch):
+    """Copies add rows to the result, not distances; nothing is broadcast, and a place with many rows is cut."""
+    rng = np.random.default_rng(5)
+    x = np.repeat(rng.random((60, 3)) * 4, 12, axis=0)
+    df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(x)], "tid bigint, x double, y double, z double")
+    monkeypatch.setattr(knn.place_rows, "__defaults__", (None, 5))
+    apart = np.sqrt(sum((x[:, None, j] - x[None, :, j]) ** 2 for j in range(3)))
+    want = {(a, b) for a, b in zip(*np.nonzero(apart <= 1.0), strict=True) if a != b}
+    found = knn.radius_pairs(df, 1.0)
+    rows = [(r.src, r.dst) for r in found.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    assert knn.nearest_candidates(df, 5, 1.0).count() == 60 * 5
+    for crowd in (0.0, 1e9):
+        got = {(r.src, r.dst, r["rank"]) for r in knn.knn_edges(df, 15, 1.0, crowd=crowd).collect()}
+        assert got == plain_knn(x, list(range(len(x))), 15, 1.0)
+
+
 # --- numbering by appearance, first tetrahedra
 
 
