@@ -204,6 +204,32 @@ def test_a_fit_beyond_the_driver(spark, monkeypatch):
     assert np.allclose([rows[i] for i in range(len(rows))], want.basis_weights, atol=1e-3)
 
 
+def test_messages_are_those_of_the_log_domain():
+    """The kernel's scaled sums against logarithms of sums, with impossible types, wide fields and weights of either sign."""
+    rng = np.random.default_rng(8)
+    h, back, old = rng.normal(0, 50, (3, 200, 4))
+    h[:40, 1] = -np.inf
+    w = np.concatenate([[-0.5, 0.0, 1e-12, 600.0], rng.random(196) * 3])
+    cavity = np.where(np.isneginf(h), -np.inf, h - back)
+    with np.errstate(divide="ignore"):
+        strong = np.log(np.maximum(np.expm1(w), 0))[:, None]
+    want = np.logaddexp(np.logaddexp.reduce(cavity, axis=1)[:, None], strong + cavity)
+    want = want - np.logaddexp.reduce(want, axis=1)[:, None]
+    assert np.allclose(potts.updated_message(h, back, old, w, 0.7), 0.3 * old + 0.7 * want, atol=1e-12)
+
+
+def test_rows_are_added_by_vertex():
+    rng = np.random.default_rng(9)
+    ids, ws, diff = rng.integers(5, 20, (300, 3)), rng.random((300, 3)), rng.normal(size=(300, 4))
+    got, want = np.ones((30, 4)), np.ones((30, 4))
+    field._add_rows(got, ids, ws, diff)
+    for s in range(3):
+        np.add.at(want, ids[:, s], ws[:, s, None] * diff)
+    assert np.allclose(got, want, atol=1e-12)
+    field._add_rows(got, ids[:0], ws[:0], diff[:0])
+    assert np.allclose(got, want, atol=1e-12)
+
+
 # --- neighbours
 
 
