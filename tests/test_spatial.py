@@ -388,3 +388,22 @@ def test_line_search_keeps_curvature():
 
     fit = field.minimize(fun, np.array([[-1.2, 1.0]]), maxit=200, reltol=1e-14)
     assert fit.w[0] == pytest.approx([1.0, 1.0], abs=1e-4) and fit.status == "converged"
+
+
+def test_both_ways_of_an_edge_are_one_group(spark):
+    rows = [(1, 2, 0.5), (2, 1, 0.5), (3, 1, 0.5), (4, 4, 0.5), (None, 5, 0.5), (5, None, 0.5), (6, None, 0.5), (None, None, 0.5)]
+    found = graph.directed(spark.createDataFrame(rows, "src bigint, dst bigint, w double"), symmetric=True)
+    want = {(a, b) for s, d, _ in rows for a, b in ((s, d), (d, s))}
+    got = [(r.src, r.dst) for r in found.collect()]
+    assert set(got) == want and len(got) == len(want)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and plan.count("Aggregate") == 1
+
+
+def test_a_row_of_events_is_parsed_once(spark):
+    from tessella.plans import catalog
+
+    plan = catalog.points(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("get_json_object") == 1  # filters are on the value, not on the JSON again
+    for name in ("graph_degree", "graph_one_way"):  # what they show is made of checkpoints: the table itself is read once
+        assert "FileScan" not in catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
