@@ -352,3 +352,25 @@ def test_wide_signatures(spark):
             tables.check_signatures(tables.signatures_from_wide(bad))
     with pytest.raises(ValueError):
         tables.signatures_from_wide(wide, types=["c"])
+
+
+def test_blocks_and_messages_are_bytes_that_find_their_reverse(spark):
+    rng = np.random.default_rng(5)
+    n, types = 40, 3
+    pairs = sorted({(int(min(a, b)), int(max(a, b))) for a, b in rng.integers(0, n - 2, (150, 2)) if a != b})  # the last nodes have no edges
+    edges = spark.createDataFrame([(u, v, float(rng.uniform(0.1, 1))) for u, v in pairs], "u bigint, v bigint, w double")
+    phi = spark.createDataFrame([(i, rng.normal(size=types).tolist()) for i in range(n)], "node bigint, phi array<double>")
+    blocks = potts.adjacency_blocks(edges, potts.by_range(phi, 2 * len(pairs), len(pairs) // 2))
+    assert {t for c, t in blocks.dtypes if c != "block"} == {"binary"}
+    held = {r.block: {c: np.frombuffer(r[c], kind) for c, kind in potts._ARRAYS.items()} for r in blocks.collect()}
+    assert len(held) > 1 and sum(len(b["nbr"]) for b in held.values()) == 2 * len(pairs)
+    sender = {k: np.repeat(b["node"], np.diff(b["start"])) for k, b in held.items()}
+    for k, b in held.items():
+        assert (np.lexsort((b["nbr"], sender[k])) == np.arange(len(b["nbr"]))).all()
+        for s, d, to, slot, w in zip(sender[k], b["nbr"], b["to_block"], b["to_slot"], b["w"], strict=True):
+            assert sender[to][slot] == d and held[to]["nbr"][slot] == s and held[to]["w"][slot] == w
+    numbers = potts.sweep(blocks, potts.no_messages(blocks), types, 0.8)
+    packed = potts.sweep(blocks, potts.no_messages(blocks, packed=True), types, 0.8, packed=True)
+    want = {(r.block, r.kind, tuple(r.slot or ()), tuple(r.m)) for r in numbers.where("kind < 2").collect()}
+    assert {(r.block, r.kind, tuple(np.frombuffer(r.slot or b"", np.int32)), tuple(np.frombuffer(r.m))) for r in packed.where("kind < 2").collect()} == want
+    assert {(r.top, r.total) for r in packed.where("kind = 2").collect()} == {tuple(r.m) for r in numbers.where("kind = 2").collect()}
