@@ -374,3 +374,47 @@ def test_blocks_and_messages_are_bytes_that_find_their_reverse(spark):
     want = {(r.block, r.kind, tuple(r.slot or ()), tuple(r.m)) for r in numbers.where("kind < 2").collect()}
     assert {(r.block, r.kind, tuple(np.frombuffer(r.slot or b"", np.int32)), tuple(np.frombuffer(r.m))) for r in packed.where("kind < 2").collect()} == want
     assert {(r.top, r.total) for r in packed.where("kind = 2").collect()} == {tuple(r.m) for r in numbers.where("kind = 2").collect()}
+
+
+def test_sweeps_of_whole_components_write_no_messages(spark, monkeypatch):
+    """The tables that belief propagation writes do not grow with its sweeps; a component larger than a block writes one a sweep, whatever the phases."""
+    written = []
+    monkeypatch.setattr(potts, "stored", lambda df: written.append(df.columns) or tables.stored(df))
+    rows, phi, edges, table, types = graph_of(spark, "random")
+    for most, limit, more in ((2, 200_000, 0), (6, 200_000, 0), (3, 40, 3)):
+        monkeypatch.setattr(potts, "BLOCK_EDGES", limit)
+        written.clear()
+        found = potts.belief_propagation(edges, table, types, most, tol=0.0, schedule="async")
+        assert found.iterations == most and sum("kind" in c for c in written) == more and len(written) < 12
+
+
+def test_components_over_several_blocks_are_gathered(spark, monkeypatch):
+    """Blocks by range cut every component; each ends in one block, with the values of the loop."""
+    monkeypatch.setattr(potts, "BLOCK_EDGES", 60)
+    rng = np.random.default_rng(6)
+    n, types = 24, 2
+    rows = [(u, v, float(rng.uniform(0.2, 1))) for u in range(n) for v in range(u + 1, n) if u % 6 == v % 6 and rng.random() < 0.9]
+    phi = {i: rng.normal(size=types).tolist() for i in range(n + 1)}
+    edges = spark.createDataFrame(rows, "u bigint, v bigint, w double")
+    table = spark.createDataFrame(list(phi.items()), "node bigint, phi array<double>")
+    blocks = potts._dealt(edges, table, 2 * len(rows), "sync", 1)
+    assert blocks[2] and blocks[0].agg(F.sum("n_out"), F.sum("n_edges")).first() == (0, len(rows)) and blocks[0].count() > 1
+    found = potts.belief_propagation(edges, table, types, 50, tol=1e-2, schedule="in_place")
+    want, top, mean = one_after_the_other(rows, phi, found.iterations)
+    got = {r.node: r.p for r in found.marginals.collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[i], want[i], atol=1e-9) for i in want)
+    assert found.max_delta == pytest.approx(top) and found.mean_delta == pytest.approx(mean) and top < 1e-2
+    assert one_after_the_other(rows, phi, found.iterations - 1)[1] >= 1e-2  # not a sweep more than needed
+
+
+def test_a_long_chain_needs_an_exchange_a_block(spark, monkeypatch):
+    """260 neighbours of rising id in a component larger than a block."""
+    monkeypatch.setattr(potts, "BLOCK_EDGES", 200)
+    rng = np.random.default_rng(7)
+    phi = {i: rng.normal(size=2).tolist() for i in range(260)}
+    rows = [(i, i + 1, 0.9) for i in range(259)]
+    edges, table = spark.createDataFrame(rows, "u bigint, v bigint, w double"), spark.createDataFrame(list(phi.items()), "node bigint, phi array<double>")
+    found = potts.belief_propagation(edges, table, 2, 2, tol=0.0, schedule="in_place")
+    want, top, _ = one_after_the_other(rows, phi, 2)
+    got = {r.node: r.p for r in found.marginals.collect()}
+    assert all(np.allclose(got[i], want[i], atol=1e-9) for i in want) and found.max_delta == pytest.approx(top)
