@@ -418,3 +418,20 @@ def test_a_long_chain_needs_an_exchange_a_block(spark, monkeypatch):
     want, top, _ = one_after_the_other(rows, phi, 2)
     got = {r.node: r.p for r in found.marginals.collect()}
     assert all(np.allclose(got[i], want[i], atol=1e-9) for i in want) and found.max_delta == pytest.approx(top)
+
+
+def test_a_matrix_is_read_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def watched(w):
+        seen.add(1)
+        return w
+
+    rows, phi, edges, table, types = graph_of(spark, "triangle")
+    cells = [(a, b, w) for u, v, w in rows for a, b in ((u, v), (v, u))] + [(2, 2, 9.0)]
+    watched_cells = spark.createDataFrame(cells, "row int, col int, weight double").withColumn("weight", watched("weight"))
+    workflows.matrix_beliefs(watched_cells, 10, 10, table, types, max_iter=2, tol=0.0).marginals.collect()
+    assert seen.value == len(cells)
+    with pytest.raises(ValueError, match="1 cells lie outside"):
+        workflows.matrix_beliefs(spark.createDataFrame([(0, None, 1.0)], "row int, col int, weight double"), 2, 2, table, types)
