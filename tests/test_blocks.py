@@ -435,3 +435,11 @@ def test_a_matrix_is_read_once(spark):
     assert seen.value == len(cells)
     with pytest.raises(ValueError, match="1 cells lie outside"):
         workflows.matrix_beliefs(spark.createDataFrame([(0, None, 1.0)], "row int, col int, weight double"), 2, 2, table, types)
+
+
+def test_labelling_writes_no_messages(spark, monkeypatch):
+    written = []
+    for module in (potts, workflows):
+        monkeypatch.setattr(module, "stored", lambda df: written.append(tables.stored(df)) or written[-1])
+    found = workflows.run_crf(catalog.raw(spark, SMALL), tables.block_signatures(spark), with_order=False)
+    assert found.iterations > 3 and found.max_delta < 0.1 and not any("kind" in df.columns for df in written)
