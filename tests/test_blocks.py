@@ -443,3 +443,14 @@ def test_labelling_writes_no_messages(spark, monkeypatch):
         monkeypatch.setattr(module, "stored", lambda df: written.append(tables.stored(df)) or written[-1])
     found = workflows.run_crf(catalog.raw(spark, SMALL), tables.block_signatures(spark), with_order=False)
     assert found.iterations > 3 and found.max_delta < 0.1 and not any("kind" in df.columns for df in written)
+
+
+def test_a_profile_keeps_no_messages_and_no_neighbours(spark, monkeypatch):
+    """The lists of neighbours and the order are deleted once they are used."""
+    written = []
+    for module in (potts, workflows):
+        monkeypatch.setattr(module, "stored", lambda df: written.append(tables.stored(df)) or written[-1])
+    workflows.profile_crf(catalog.raw(spark, SMALL), tables.block_signatures(spark))
+    assert not any("kind" in df.columns for df in written)
+    of = lambda c: [df._files is None for df in written if c in df.columns]
+    assert of("rank") == [True] and of("hilbert") == [True]
